@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontaminate, packing, rans
+from spanloom.llm import decontaminate, ngram_join, packing, rans
 from spanloom.llm.common import table
 
 #: The tokenizer file of the token queries; any tokenizers JSON file will do.
@@ -16,6 +16,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, num=75, den=100)
+
+
 def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
@@ -24,5 +28,5 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op7_rans, op9_winnowing)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_ngram_join, op7_rans, op9_winnowing)}
 SQL: dict[str, str] = {}
