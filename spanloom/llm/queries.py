@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, ngram_join, packing, rans
-from spanloom.llm.common import table
+from spanloom.llm import decontaminate, lm, ngram_join, packing, rans
+from spanloom.llm.common import fold_of, table
 
 #: The tokenizer file of the token queries; any tokenizers JSON file will do.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 7) == 2
+    model = lm.train(docs.where(~held_out))
+    scored = lm.score(docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("key"), "text"), model, "key")
+    return scored.select("key.*", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
 
@@ -28,5 +37,5 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_ngram_join, op7_rans, op9_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op4_ngram_join, op7_rans, op9_winnowing)}
 SQL: dict[str, str] = {}
