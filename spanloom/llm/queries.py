@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, lm, ngram_join, packing, rans
+from spanloom.llm import decontaminate, langid, lm, ngram_join, packing, rans
 from spanloom.llm.common import fold_of, table
 
 #: The tokenizer file of the token queries; any tokenizers JSON file will do.
@@ -29,6 +29,13 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, num=75, den=100)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("key"), "text"), model, "key").select("key.*", "lang_pred", "score")
+
+
 def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
@@ -37,5 +44,5 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op4_ngram_join, op7_rans, op9_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op4_ngram_join, op6_language, op7_rans, op9_winnowing)}
 SQL: dict[str, str] = {}
