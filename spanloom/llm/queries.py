@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, langid, lm, ngram_join, packing, rans
+from spanloom.llm import decontaminate, langid, line_dedup, lm, ngram_join, packing, quality, rans
 from spanloom.llm.common import fold_of, table
 
 #: The tokenizer file of the token queries; any tokenizers JSON file will do.
@@ -29,6 +29,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, num=75, den=100)
 
 
+def op5_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = quality.score(docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("key"), "text"), model, "key")
+    return scored.select("key.*", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold_of(F.col("doc_id"), 5) == 0
@@ -40,9 +48,27 @@ def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_lines(docs, host="source", max_ratio=0.05, min_pages=5).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op4_ngram_join, op6_language, op7_rans, op9_winnowing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op4_ngram_join, op5_crf_quality, op6_language, op7_rans, op8_site_lines, op9_winnowing)}
+#: The line queries of op8: lines of a page once, their share of the host's pages, and what is left of each page.
+OP8_SQL = """
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+h AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+c AS (SELECT source, trim(line, ' ') AS k, count(DISTINCT doc_id) AS n FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL),
+b AS (SELECT c.source, k FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n >= 5 AND n > pages * 0.05::double),
+m AS (SELECT l.*, b.k IS NOT NULL AS bad, trim(line, ' ') <> '' AS solid FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(line, ' ') = b.k),
+d AS (SELECT doc_id, count(*) FILTER (WHERE solid) AS n_lines, count(*) FILTER (WHERE bad) AS n_bad, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad) AS rest FROM m GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN coalesce(n_bad, 0) < n_lines THEN n_bad ELSE 0 END AS n_dropped,
+       CASE WHEN n_bad > 0 AND n_bad < n_lines THEN rest ELSE t.text END AS text
+FROM documents t LEFT JOIN d USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op8_site_lines": OP8_SQL}
