@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, langid, line_dedup, lm, ngram_join, packing, quality, rans
+from spanloom.llm import decontaminate, langid, line_dedup, lm, ngram_join, packing, quality, rans, toxicity
 from spanloom.llm.common import fold_of, table
 
 #: The tokenizer file of the token queries; any tokenizers JSON file will do.
@@ -57,7 +57,16 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op4_ngram_join, op5_crf_quality, op6_language, op7_rans, op8_site_lines, op9_winnowing)}
+def op10_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    languages = langid.train(docs.where(~held_out))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out), languages)
+    scored = toxicity.score(docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("key"), "text"), model, "key")
+    return scored.select("key.*", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op4_ngram_join, op5_crf_quality, op6_language, op7_rans, op8_site_lines, op9_winnowing, op10_cnn_toxicity)}
 #: The line queries of op8: lines of a page once, their share of the host's pages, and what is left of each page.
 OP8_SQL = """
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

@@ -70,6 +70,13 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     row_at: np.ndarray
+    sums: np.ndarray
+
+    def beginnings(self, n: int) -> np.ndarray:
+        """Hashes of the words' first n bytes; words of fewer bytes have 0."""
+        stop = np.minimum(self.starts + n, len(self.data))
+        h = mix((self.sums[stop] - self.sums[self.starts]) * _power(len(self.data) + 1)[1][self.starts] + U64(n))
+        return np.where(self.ends - self.starts >= n, h, U64(0))
 
     @property
     def counts(self) -> np.ndarray:
@@ -111,7 +118,7 @@ def words(data: np.ndarray, at: np.ndarray, kind: str = "space", fold: bool = Tr
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(0, U64), np.zeros(len(at), np.int64))
+        return Words(data, none, none, np.zeros(0, U64), np.zeros(len(at), np.int64), np.zeros(1, U64))
     inside = WORD_BYTES[kind][data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -128,7 +135,7 @@ def words(data: np.ndarray, at: np.ndarray, kind: str = "space", fold: bool = Tr
     values *= up[:n]
     np.cumsum(values, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, at, side="left"))
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, at, side="left"), sums)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
