@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, langid, line_dedup, lm, ngram_join, packing, quality, rans, toxicity
+from spanloom.llm import ann, decontaminate, langid, line_dedup, lm, ngram_join, packing, quality, rans, toxicity
 from spanloom.llm.common import fold_of, table
 
 #: The tokenizer file of the token queries; any tokenizers JSON file will do.
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, num=75, den=100)
 
@@ -66,7 +70,7 @@ def op10_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("key.*", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op4_ngram_join, op5_crf_quality, op6_language, op7_rans, op8_site_lines, op9_winnowing, op10_cnn_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op3_nn_descent, op4_ngram_join, op5_crf_quality, op6_language, op7_rans, op8_site_lines, op9_winnowing, op10_cnn_toxicity)}
 #: The line queries of op8: lines of a page once, their share of the host's pages, and what is left of each page.
 OP8_SQL = """
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
