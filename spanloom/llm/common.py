@@ -43,3 +43,20 @@ def fold_of(doc_id: Column, n: int) -> Column:
 def parts_for(total: float, each: float) -> int:
     """How many parts of about ``each`` units hold ``total`` units; at least one, and it grows with the data."""
     return max(1, int(-(-total // each)))
+
+
+class Rows:
+    """A DataFrame's rows as one column ``row``, so that working columns clash with none of theirs."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(self.names))).alias("row"))
+
+    def col(self, name: str) -> Column:
+        """A column of the rows, by its name."""
+        return F.col(f"row.c{self.names.index(name)}")
+
+    def back(self, df: DataFrame, at: str = "row", **new: Column) -> DataFrame:
+        """The original columns, those named in ``new`` replaced or added."""
+        own = [new.get(c, F.col(f"{at}.c{i}")).alias(c) for i, c in enumerate(self.names)]
+        return df.select(*own, *(v.alias(k) for k, v in new.items() if k not in self.names))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
-from spanloom.llm.common import save
+from spanloom.llm.common import Rows, save
 
 #: Bits of the filter that drops document fingerprints no test item has. Fixed, so its broadcast is 2 MB.
 FILTER_BITS = 24
@@ -147,5 +147,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, **columns
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", **columns: str) -> DataFrame:
     """Documents without a shared window; all columns stay. Rows with a null id are judged like others of that id."""
-    bad = contamination(docs, items, window, doc_id=doc_id, **columns).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contamination(docs, items, window, doc_id=doc_id, **columns).where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    rows = Rows(docs)
+    return rows.back(rows.df.join(save(bad, "contaminated"), rows.col(doc_id).eqNullSafe(F.col("bad")), "left_anti"))

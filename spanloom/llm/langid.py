@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
+from spanloom.llm.common import Rows
 
 #: Learning rows per language at most (expected number; chosen by a hash of the id).
 SAMPLE_PER_LANGUAGE = 400
@@ -199,9 +200,9 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 def keep_identified(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.3, text: str = "text") -> DataFrame:
     """Rows whose text has a language (one of ``languages``, if given) with a score of ``least`` or more; columns as they were."""
-    names = docs.columns
-    scored = identify(docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("row"), F.col(text)), model, "row", text)
+    rows = Rows(docs)
+    scored = identify(rows.df.withColumn("body", rows.col(text)), model, "row", "body")
     ok = (F.col("lang_pred") != "und") & (F.col("score") >= least)
     if languages is not None:
         ok &= F.col("lang_pred").isin(languages)
-    return scored.where(ok).select(*(F.col(f"key.c{i}").alias(c) for i, c in enumerate(names)))
+    return rows.back(scored.where(ok), "key")

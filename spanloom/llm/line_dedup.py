@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import save
+from spanloom.llm.common import Rows, save
 
 #: Boilerplate lines up to which they are broadcast (about 40 bytes each); beyond it they are joined by shuffle.
 BROADCAST_LINES = 200_000
@@ -20,7 +20,7 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
-def _lines(text: str) -> Column:
+def _lines(text: Column | str) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 
 
@@ -42,22 +42,19 @@ def drop_lines(pages: DataFrame, page_id: str = "doc_id", host: str = "source",
     Null text stays null with 0 lines; blank lines stay where they are.
     """
     found = save(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
+    rows = Rows(pages)
+    body = rows.df.select("row", rows.col(host).alias("host"), rows.col(text).alias("text"), rows.col(page_id).alias("id"))
     if found.count() <= BROADCAST_LINES:
-        listed = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line_key").alias("_bad"))
-        joined = pages.join(F.broadcast(listed), pages[host].eqNullSafe(F.col("_host")), "left")
+        listed = found.groupBy(F.col("host").alias("bad_host")).agg(F.collect_list("line_key").alias("bad"))
+        joined = body.join(F.broadcast(listed), F.col("host").eqNullSafe(F.col("bad_host")), "left")
     else:
-        own = pages.select(F.col(page_id).alias("_id"), F.col(host).alias("_host"), F.explode(F.array_distinct(F.transform(_lines(text), _key))).alias("_key"))
-        hit = own.join(found, own._host.eqNullSafe(found.host) & (own._key == found.line_key)).groupBy("_id", "_host").agg(F.collect_set("_key").alias("_bad"))
-        joined = pages.join(hit, pages[page_id].eqNullSafe(F.col("_id")) & pages[host].eqNullSafe(F.col("_host")), "left")
+        own = body.select(F.col("id").alias("bad_id"), F.col("host").alias("bad_host"), F.explode(F.array_distinct(F.transform(_lines("text"), _key))).alias("own_key"))
+        hit = own.join(found, own.bad_host.eqNullSafe(found.host) & (own.own_key == found.line_key)).groupBy("bad_id", "bad_host").agg(F.collect_set("own_key").alias("bad"))
+        joined = body.join(hit, F.col("id").eqNullSafe(F.col("bad_id")) & F.col("host").eqNullSafe(F.col("bad_host")), "left")
     zero = F.lit(0)
-    rest = F.when(F.col("_bad").isNotNull(), F.filter(F.split(text, "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _key(x))))
-    lines = F.coalesce(F.size(_lines(text)), zero)
-    left = F.size(F.filter("_rest", lambda x: F.trim(x) != ""))
-    whole = F.col("_rest").isNull() | (left == 0)
-    cut = joined.withColumn("_rest", rest)
-    new = cut.select(
-        *(F.when(whole, F.col(text)).otherwise(F.array_join("_rest", "\n")).alias(text) if c == text else F.col(c) for c in pages.columns),
-        lines.cast("long").alias("n_lines"),
-        F.when(whole, zero).otherwise(lines - left).cast("long").alias("n_dropped"),
-    )
-    return new
+    rest = F.when(F.col("bad").isNotNull(), F.filter(F.split("text", "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains("bad", _key(x))))
+    lines = F.coalesce(F.size(_lines("text")), zero)
+    left = F.size(F.filter("rest", lambda x: F.trim(x) != ""))
+    whole = F.col("rest").isNull() | (left == 0)
+    new = {text: F.when(whole, F.col("text")).otherwise(F.array_join("rest", "\n")), "n_lines": lines.cast("long"), "n_dropped": F.when(whole, zero).otherwise(lines - left).cast("long")}
+    return rows.back(joined.withColumn("rest", rest), **new)

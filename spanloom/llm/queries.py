@@ -84,4 +84,38 @@ SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN coalesce(n_bad, 0) <
 FROM documents t LEFT JOIN d USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op8_site_lines": OP8_SQL}
+#: Words as the operator takes them; Spark and DuckDB agree on these classes.
+_ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: Links by shared shingles over whole sets, then the least id reachable.
+OP4_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+g AS (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS g FROM s GROUP BY doc_id),
+f AS (SELECT g, min(doc_id) AS rep FROM g GROUP BY g),
+r AS (SELECT s.doc_id, s FROM s JOIN f ON s.doc_id = f.rep),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM r a JOIN r b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+      UNION SELECT rep, doc_id FROM g JOIN f USING (g) WHERE doc_id <> rep),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(doc_id, top) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.b, c.top FROM c JOIN u ON u.a = c.doc_id WHERE c.top < u.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(c.top), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+"""
+
+#: Every window of every item looked up at every word of every document.
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id::varchar AS item_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+k AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM i WHERE len(w) > 0)),
+z AS (SELECT DISTINCT n FROM k),
+x AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, z WHERE len(w) >= n)),
+h AS (SELECT doc_id, n, p, item_id FROM x JOIN k USING (n, s)),
+q AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS at FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN q USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op9_winnowing": OP9_SQL, "op8_site_lines": OP8_SQL}
