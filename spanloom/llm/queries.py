@@ -112,7 +112,7 @@ k AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p : p +
 z AS (SELECT DISTINCT n FROM k),
 x AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, z WHERE len(w) >= n)),
 h AS (SELECT doc_id, n, p, item_id FROM x JOIN k USING (n, s)),
-q AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS at FROM h) GROUP BY doc_id),
+q AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS spot FROM h) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN q USING (doc_id) LEFT JOIN t USING (doc_id)
