@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Learns from documents with a label 0 or 1; the sample is bounded by ``SAMPLE_PER_LABEL``. None without labels."""
     chosen = labels.select(F.col(label_id).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null")
     chosen = sampled(chosen, F.col("y"), SAMPLE_PER_LABEL, F.col("key"))
-    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text")).join(chosen, "key").select("y", "text")
+    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key").select("y", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
