@@ -28,7 +28,7 @@ from spanloom.llm.common import parts_for, save, scratch
 _U = np.uint64
 BEGIN, END = _U(0x243F6A8885A308D3), _U(0x13198A2E03707344)
 #: Tokens a task aggregates before it writes pairs out, and text bytes per range of histories.
-BUFFER, RANGE_BYTES = 2_000_000, 24_000_000
+BUFFER, RANGE_BYTES = 2_000_000, 8_000_000
 #: Text bytes scored at once.
 SCORE_BYTES = 4 << 20
 #: Bits of a pair's key that come from the history, so that ranges of histories are ranges of keys.
