@@ -22,6 +22,8 @@ from spanloom.llm.tokens import crc32, encode_documents
 GROUP_PIECES = 20_000
 #: Emptiest bins of a group that are packed again with those of other groups.
 AGAIN_BINS = 6
+#: Bins from which the search can take nothing more before it ends; the emptiest come first.
+PATIENCE = 4
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -58,7 +60,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     stuck = np.zeros(len(bins), dtype=bool)
     while np.count_nonzero(fill) > least:
         open_ = np.flatnonzero((fill > 0) & ~stuck)
-        if not len(open_):
+        if not len(open_) or stuck.sum() >= PATIENCE:
             break
         e = int(open_[np.argmin(fill[open_])])
         if _step(e, size, home, fill, capacity):
@@ -100,7 +102,7 @@ def _step(e: int, size: np.ndarray, home: np.ndarray, fill: np.ndarray, capacity
             fill[e] -= n - size[y]
             return True
     for a in range(len(mine)):  # two of this bin for one of another
-        for c in range(a + 1, min(len(mine), a + 33)):
+        for c in range(a + 1, min(len(mine), a + 9)):
             n = int(size[mine[a]] + size[mine[c]])
             gain = n - size
             ok = np.flatnonzero((gain > 0) & (gain <= roomy) & (fill[home] + gain > fill[e]))
@@ -162,7 +164,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
     def level(df: DataFrame, n: int, name: str) -> DataFrame:
         dealt = df.select("piece_key", "length", F.pmod(F.xxhash64("piece_key"), F.lit(n)).cast("int").alias("g"))
-        return save(dealt.groupBy("g").applyInArrow(_pack_group(capacity), schema), name)
+        return save(dealt.repartition(n, "g").groupBy("g").applyInArrow(_pack_group(capacity), schema), name)
 
     first = level(rest, groups, "packed")
     if groups == 1:
