@@ -125,7 +125,8 @@ def retention_buckets(clips: DataFrame, anchors: DataFrame, risks: DataFrame, ke
     grid = clips.where((F.col("duration") > 0) & (n > 0)).select(*key, "duration", F.explode(F.sequence(F.lit(0), n - 1)).alias("bucket"))
     grid = grid.select(*key, "bucket", (F.col("bucket") * size).alias("start"), F.least(F.col("duration"), (F.col("bucket") + 1) * size).alias("end"))
     items = anchors.select(*key, "start", "end", (F.col("weight") * 45).alias("w")).unionByName(risks.select(*key, "start", "end", (F.col("weight") * -55).alias("w")))
-    items = items.withColumn("bucket", F.explode(intervals.touched(F.greatest(F.lit(0.0), F.col("start")), F.col("end"), size)).cast("int")).withColumnsRenamed({"start": "i_start", "end": "i_end"})
+    items = items.select(*key, F.col("start").alias("i_start"), F.col("end").alias("i_end"), "w", F.explode(intervals.touched(F.greatest(F.lit(0.0), F.col("start")), F.col("end"), size)).alias("b"))
+    items = items.withColumn("bucket", F.col("b").cast("int")).drop("b")
     low, high = F.greatest("start", "i_start"), F.least("end", "i_end")
     shares = grid.join(items, [*key, "bucket"]).where(high > low).groupBy(*key, "bucket").agg(F.sum(F.bround((high - low) * 1000).cast("bigint") * F.col("w").cast("bigint")).alias("mass"))
     span = F.greatest(F.lit(1).cast("bigint"), F.bround((F.col("end") - F.col("start")) * 1000).cast("bigint"))

@@ -59,7 +59,7 @@ def snap(points: DataFrame, bounds: DataFrame, key: list[str], at: str, reach: f
     part of the join, so each point meets the bounds of three one-second buckets only.
     """
     near = F.sequence(F.floor(F.col(at)) - 1, F.floor(F.col(at)) + 1)
-    left = points.select(*key, "point", F.col(at).alias("_at")).withColumn("bucket", F.explode(near))
+    left = points.select(*key, "point", F.col(at).alias("_at"), F.explode(near).alias("bucket"))
     right = bounds.select(*key, "bound", F.floor("bound").alias("bucket"))
     far = F.abs(F.col("bound") - F.col("_at"))
     best = left.join(right, [*key, "bucket"]).where(far <= reach).groupBy("point").agg(F.min(F.struct(far.alias("far"), F.col("bound"))).alias("best"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators import captions, crop, edit, intervals, pacing, voice, windows
+from spanloom.sources.scratch import save
 
 L = ["video_id", "clip_idx"]
 
@@ -43,20 +44,24 @@ class Retention:
 
 
 def optimise(segments: DataFrame, words: DataFrame, candidates: DataFrame, replies: Replies) -> Retention:
-    """W-B: every video's best candidates re-edited: hooks, variants, scores, the chosen edit and its timeline."""
+    """W-B: every video's best candidates re-edited: hooks, variants, scores, the chosen edit and its timeline.
+
+    Replies are parsed once; tables that several later steps read are written in between.
+    """
     best = windows.best_candidates(candidates)
-    contexts = windows.contexts(segments, best)
-    analyses = edit.read_analyses(best, _answered(replies, best))
+    contexts = save(windows.contexts(segments, best), "contexts")
+    analyses = save(edit.read_analyses(best, _answered(replies, best)), "analyses")
     ok = analyses.where(F.col("top").isNotNull())
     starts, ends = edit.bounds_of(segments, words, contexts)
     proposed = edit.proposed_variants(analyses)
     cleaned = edit.clean_pieces(edit.proposed_pieces(proposed), contexts, starts, ends)
-    variants, pieces = edit.with_original(proposed, cleaned, ok)
-    evaluated = edit.evaluate(variants, pieces, words, analyses)
+    variants, pieces = edit.with_original(proposed, save(cleaned, "cleaned"), ok)
+    pieces = save(pieces, "pieces")
+    evaluated = save(edit.evaluate(variants, pieces, words, analyses), "evaluated")
     selected = edit.select_best(evaluated)
     own = pieces.join(selected.select(*edit.V), edit.V, "left_semi").select(*edit.C, "seg_pos", "start", "end", "role", "reason")
     spans = contexts.select(*edit.C, F.col("candidate_start").alias("start"), F.col("candidate_end").alias("end"))
-    return Retention(analyses, contexts, edit.hooks_of(analyses, contexts), evaluated, pieces, selected, own, intervals.timeline(own, edit.C), edit.assemble(selected, analyses), pacing.of_spans(words, spans, edit.C))
+    return Retention(analyses, contexts, save(edit.hooks_of(analyses, contexts), "hooks"), evaluated, pieces, selected, own, intervals.timeline(own, edit.C), edit.assemble(selected, analyses), pacing.of_spans(words, spans, edit.C))
 
 
 def remapped_items(r: Retention) -> DataFrame:

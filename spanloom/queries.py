@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,40 +11,48 @@ from spanloom import fixtures
 from spanloom.functions import exprs, fixed
 from spanloom.operators import captions, crop, edit, hooks, intervals, pacing, voice, windows
 from spanloom.plans import jobs
+from spanloom.sources.scratch import save
 
 C, L = ["video_id", "cand_idx"], ["video_id", "clip_idx"]
 
 
 class Data:
-    """Tables of one run, made when first asked for."""
+    """The derived tables of one data folder; each is written once, when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.words = fixtures.words(spark, sf_dir)
-        self.segments = fixtures.segments(self.words)
+        self.words = save(fixtures.words(spark, sf_dir), "words")
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return save(fixtures.segments(self.words), "segments")
 
     @property
     def links(self) -> DataFrame:
         return windows.sliding_windows(self.segments)
 
-    @property
+    @cached_property
     def spans(self) -> DataFrame:
-        return self.links.select("video_id", "window_idx", F.col("window_start").alias("start"), F.col("window_end").alias("end")).distinct()
+        return save(self.links.select("video_id", "window_idx", F.col("window_start").alias("start"), F.col("window_end").alias("end")).distinct(), "spans")
+
+    @cached_property
+    def window_replies(self) -> DataFrame:
+        return save(fixtures.window_replies(self.spans), "window_replies")
 
     @property
     def scored(self) -> DataFrame:
-        return windows.read_window_replies(self.spans, fixtures.window_replies(self.spans))
+        return windows.read_window_replies(self.spans, self.window_replies)
 
-    @property
+    @cached_property
     def candidates(self) -> DataFrame:
-        return windows.suppress_overlaps(self.scored)
+        return save(windows.suppress_overlaps(self.scored), "candidates")
 
-    @property
+    @cached_property
     def best(self) -> DataFrame:
-        return windows.best_candidates(self.candidates)
+        return save(windows.best_candidates(self.candidates), "best")
 
-    @property
+    @cached_property
     def retention(self) -> jobs.Retention:
-        return jobs.optimise(self.segments, self.words, self.candidates, fixtures.analysis_replies)
+        return jobs.optimise(self.segments, self.words, self.candidates, save(fixtures.analysis_replies(self.best), "replies"))
 
     @property
     def plain_pieces(self) -> DataFrame:
@@ -53,9 +63,20 @@ class Data:
         return rows.select(*C, "p.seg_pos", "p.start", "p.end", F.lit("context").alias("role"))
 
 
+_made: dict[tuple, Data] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Data:
+    """The derived tables of a folder, shared by the queries of one application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _made:
+        _made[key] = Data(spark, sf_dir)
+    return _made[key]
+
+
 def _data(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(Data(spark, sf_dir))
+        return f(derived(spark, sf_dir))
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     return run
