@@ -45,7 +45,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     for i in range(1, 60):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = e.join(least, e.v == least.x).select("u", F.col("m").alias("v")).distinct()
+        large = e.join(least, e.v == least.x).select("u", F.col("m").alias("v"))
         mins = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(mins, large.u == mins.x).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
         e = save(small, f"{name}_{i}")
