@@ -9,7 +9,10 @@ from spanloom.functions import exprs, fixed
 
 
 def word_timings(hooks: DataFrame, key: list[str], text: str = "text", duration: str = "duration") -> DataFrame:
-    """Key, w_idx, word, start, end: the duration shared by word lengths (1 to 8 letters each), the last word ending with it."""
+    """Key, w_idx, word, start, end: the duration shared by word lengths (1 to 8 letters each), the last word ending with it.
+
+    Shares are taken of whole tenths of milliseconds, so that ties do not depend on float noise.
+    """
     bare = exprs.strip(F.coalesce(text, F.lit("")))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"(?U)\s+"))
     rows = hooks.select(*key, F.greatest(F.lit(0.01), F.col(duration).cast("double")).alias("_d"), F.posexplode(words).alias("w_idx", "word"))
@@ -18,10 +21,11 @@ def word_timings(hooks: DataFrame, key: list[str], text: str = "text", duration:
     w = Window.partitionBy(*key).orderBy("w_idx")
     upto = F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0))
     all_ = F.sum("_w").over(Window.partitionBy(*key))
-    start = F.col("_d") * (F.col("_upto") - F.col("_w")) / F.col("_all")
-    end = F.when(F.col("_upto") == F.col("_all"), F.col("_d")).otherwise(F.greatest(start + 0.01, F.least(F.col("_d"), F.col("_d") * F.col("_upto") / F.col("_all"))))
-    rows = rows.withColumns({"_upto": upto, "_all": all_})
-    return rows.select(*key, "w_idx", "word", F.bround(start, 4).alias("start"), F.bround(end, 4).alias("end"))
+    rows = rows.withColumns({"_upto": upto, "_all": all_, "_t": exprs.ticks(F.col("_d"))})
+    at = lambda c: F.bround(F.col("_t") * c / F.col("_all"))
+    start = at(F.col("_upto") - F.col("_w"))
+    end = F.when(F.col("_upto") == F.col("_all"), F.col("_t").cast("double")).otherwise(F.greatest(start + 100, at(F.col("_upto"))))
+    return rows.select(*key, "w_idx", "word", (start / 10000.0).alias("start"), (end / 10000.0).alias("end"))
 
 
 def _map(values: dict[str, str]) -> Column:

@@ -1 +1,165 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL for the registered queries, from the same tables."""
+
+from __future__ import annotations
+
+from spanloom.functions import fixed
+
+
+def _list(words: list[str]) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+# Timed words and segments from conversations, in whole milliseconds.
+_WORDS = r"""
+t AS (SELECT conv_id AS video_id, turn::int AS seg_idx, unnest(w) AS w0, generate_subscripts(w, 1) - 1 AS p
+      FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text, ' '), '\s+'), lambda x: x <> '') AS w FROM conversations)),
+n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx, p) - 1 AS n FROM t),
+i AS (SELECT *, CASE WHEN n % 41 = 3 THEN '20' WHEN n % 41 = 4 THEN 'de' WHEN n % 41 = 5 THEN 'ani' WHEN n % 43 = 11 THEN 'you' WHEN n % 43 = 12 THEN 'know,'
+      WHEN n % 47 = 13 THEN 'Știi' WHEN n % 53 IN (17, 18) THEN 'echo' WHEN n % 59 = 19 THEN 'Ana' WHEN n % 59 = 20 THEN 'Pop' WHEN n % 29 = 6 THEN 'um'
+      WHEN n % 211 = 100 THEN 'Aaaaaaaaaaaaaaaaaaaaaaa' ELSE w0 END AS word FROM n),
+g AS (SELECT *, CASE WHEN word = 'Aaaaaaaaaaaaaaaaaaaaaaa' THEN 2500 ELSE 90 + 45 * least(8, greatest(1, length(regexp_replace(word, '[^\p{L}\p{N}_]+', '', 'g')))) END AS dur,
+      CASE WHEN regexp_matches(word, '[.!?]$') THEN 600 + n * 37 % 5 * 100 WHEN word LIKE '%,' THEN 250 WHEN n % 11 = 0 THEN 800 ELSE n * 13 % 4 * 30 END AS gap FROM i),
+st AS (SELECT *, coalesce(sum(dur + gap) OVER (PARTITION BY video_id ORDER BY seg_idx, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS st FROM g),
+words AS (SELECT video_id, seg_idx, p::int AS word_idx, word, st / 1000.0::double AS start, (st + dur) / 1000.0::double AS "end",
+      min(st) OVER s / 1000.0::double AS seg_start, max(st + dur) OVER s / 1000.0::double AS seg_end FROM st WINDOW s AS (PARTITION BY video_id, seg_idx)),
+segments AS (SELECT video_id, seg_idx, any_value(seg_start) AS start, any_value(seg_end) AS "end", string_agg(word, ' ' ORDER BY word_idx) AS text FROM words GROUP BY ALL),
+ends AS (SELECT video_id, arg_max("end", seg_idx) AS last FROM segments GROUP BY video_id)"""
+
+_WINDOWS = """
+grid AS (SELECT video_id, last, unnest(range(0, floor(last / 30)::int + 1))::int AS window_idx FROM ends),
+win AS (SELECT video_id, window_idx, (window_idx * 30)::double AS ws, least(window_idx * 30 + 45.0::double, last) AS we FROM grid WHERE window_idx * 30 < last),
+links AS (SELECT w.video_id, window_idx, ws AS window_start, we AS window_end, seg_idx, start, s."end", text FROM win w JOIN segments s ON s.video_id = w.video_id AND s."end" >= ws AND s.start <= we),
+spans AS (SELECT DISTINCT video_id, window_idx, window_start AS start, window_end AS "end" FROM links)"""
+
+_SUM = " + ".join(f"{w} * greatest(0, least(100, (video_id * 31 + window_idx * 17) % 101 + {5 * d} - 15))" for d, w in enumerate(fixed.CANDIDATE_WEIGHTS.values()))
+_SCORED = f"""
+scored AS (SELECT *, greatest(0, least(100, round_even(({_SUM}) / 100.0::double, 0)))::int AS score FROM spans)"""
+
+# The greedy choice is a recursion over each recording's ranked windows.
+_CANDIDATES = """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, window_idx) AS rk FROM scored WHERE score >= 62),
+fold(video_id, rk, kept) AS (
+  SELECT DISTINCT video_id, 0::bigint, []::STRUCT(w INT, s DOUBLE, e DOUBLE, sc INT)[] FROM ranked
+  UNION ALL
+  SELECT f.video_id, r.rk, CASE WHEN len(list_filter(kept, lambda x: greatest(0.0::double, least(x.e, r."end") - greatest(x.s, r.start)) / greatest(0.001::double, least(x.e - x.s, r."end" - r.start)) >= 0.72::double)) > 0
+    THEN kept ELSE list_append(kept, {'w': r.window_idx, 's': r.start, 'e': r."end", 'sc': r.score}) END
+  FROM fold f JOIN ranked r ON r.video_id = f.video_id AND r.rk = f.rk + 1),
+full_ AS (SELECT video_id, arg_max(kept, rk) AS kept FROM fold GROUP BY video_id),
+cands AS (SELECT video_id, (i - 1)::int AS cand_idx, kept[i].w AS window_idx, kept[i].s AS start, kept[i].e AS "end", kept[i].sc AS score FROM (SELECT video_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM full_)),
+best AS (SELECT * FROM cands WHERE cand_idx < 8)"""
+
+_PIECES = """
+pieces AS (SELECT video_id, cand_idx, 0 AS seg_pos, start + (video_id + 3) % 12 AS start, start + (video_id + 3) % 12 + 6.5::double AS "end" FROM best
+ UNION ALL SELECT video_id, cand_idx, 1, start + (video_id + 9) % 12, start + (video_id + 9) % 12 + 8.25::double FROM best
+ UNION ALL SELECT video_id, cand_idx, 2, start + (video_id + 1) % 12, start + (video_id + 1) % 12 + 4.0::double FROM best),
+line AS (SELECT video_id, cand_idx, seg_pos AS index, round_even(start, 3) AS source_start, round_even("end", 3) AS source_end,
+  round_even(coalesce(sum("end" - start) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS target_start,
+  round_even(coalesce(sum("end" - start) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + ("end" - start), 3) AS target_end, 'context' AS role
+  FROM pieces WINDOW o AS (PARTITION BY video_id, cand_idx ORDER BY seg_pos))"""
+
+
+def _pacing(spans: str, key: str) -> str:
+    """CTEs that measure ordered words ``ordered`` (key, word, start, end, o) of ``spans`` (key, duration)."""
+    return rf"""
+tok AS (SELECT *, nullif(regexp_replace(lower(trim(word)), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g'), '') AS token FROM ordered),
+seq AS (SELECT *, last_value(token IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lead(start) OVER w AS nxt, greatest(0.0::double, lead(start) OVER w - "end") AS gap FROM tok WINDOW w AS (PARTITION BY {key} ORDER BY o)),
+agg AS (SELECT {key}, count(*) AS n, count(*) FILTER (WHERE token IN {_list(fixed.FILLERS)}) AS fillers, count(*) FILTER (WHERE token = before) AS repeats,
+  coalesce(sum(round_even(gap * 10000, 0)::bigint) FILTER (WHERE gap >= 0.75::double), 0) / 10000.0::double AS pause FROM seq GROUP BY ALL),
+raw AS (SELECT s.*, greatest(0.01::double, s.duration) AS d, coalesce(n, 0) AS n, coalesce(fillers, 0) AS fillers, coalesce(repeats, 0) AS repeats, coalesce(pause, 0.0::double) AS pause FROM {spans} s LEFT JOIN agg USING ({key})),
+pace AS (SELECT {key}, round_even(d, 3) AS duration, n AS word_count, round_even(n / d, 3) AS words_per_second, fillers AS filler_count, round_even(fillers / greatest(1, n)::double, 4) AS filler_ratio, repeats AS repeated_word_count, round_even(pause, 3) AS long_pause_seconds,
+  round_even(greatest(0, least(100, 100.0::double - least(35.0::double, pause / d * 120.0::double) - least(25.0::double, fillers / greatest(1, n)::double * 180.0::double) - least(15.0::double, repeats / greatest(1, n)::double * 120.0::double)
+   - CASE WHEN n / d < 1.45::double THEN least(22.0::double, (1.45::double - n / d) * 18.0::double) WHEN n / d > 4.4::double THEN least(14.0::double, (n / d - 4.4::double) * 6.0::double) ELSE 0.0::double END)), 0)::int AS pacing_score,
+  round_even(greatest(0, least(100, 30.0::double + greatest(0, n - fillers - repeats) / d * 20.0::double)), 0)::int AS information_density_proxy FROM raw)"""
+
+
+_INSIDE = """
+durations AS (SELECT video_id, window_idx, "end" - start AS duration FROM spans),
+ordered AS (SELECT s.video_id, s.window_idx, word, w.start, w."end", row_number() OVER (PARTITION BY s.video_id, s.window_idx ORDER BY w.start, w."end", seg_idx, word_idx) AS o
+  FROM spans s JOIN words w ON w.video_id = s.video_id AND (w.start + w."end") / 2.0::double BETWEEN s.start AND s."end" AND seg_end >= s.start AND seg_start <= s."end")"""
+
+_BASE = _WORDS
+_TO_WINDOWS = ",".join([_WORDS, _WINDOWS])
+_TO_BEST = ",".join([_WORDS, _WINDOWS, _SCORED, _CANDIDATES])
+_TO_PIECES = ",".join([_TO_BEST, _PIECES])
+_TO_PACE = ",".join([_TO_WINDOWS, _INSIDE, _pacing("durations", "video_id, window_idx")])
+_CONTEXT = """
+ctx AS (SELECT *, greatest(0.0::double, cs - 45) AS xs, least(last, ce + 20) AS xe FROM (SELECT video_id, cand_idx, greatest(0.0::double, start) AS cs, least(last, "end") AS ce, last FROM best JOIN ends USING (video_id)))"""
+_ITEMS = """
+items AS (SELECT video_id, cand_idx, h AS pos, start + (h * 9 + video_id) % 40 AS start, start + (h * 9 + video_id) % 40 + 3 AS "end", (video_id * 7 + h * 31) % 101 AS weight FROM best, (SELECT unnest(range(0, 5))::int AS h)),
+mapped AS (SELECT i.video_id, i.cand_idx, pos, weight, index, target_start, greatest(start, source_start) AS lo, least("end", source_end) AS hi, source_start AS ss FROM items i JOIN line l ON l.video_id = i.video_id AND l.cand_idx = i.cand_idx AND least("end", source_end) > greatest(start, source_start)),
+moved AS (SELECT video_id, cand_idx, pos, round_even(target_start + (lo - ss), 3) AS start, round_even(target_start + (hi - ss), 3) AS "end", weight, index, round_even(lo, 3) AS source_start, round_even(hi, 3) AS source_end FROM mapped)"""
+
+
+def _with(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes} {select}"
+
+
+_C = "video_id, cand_idx"
+SQL: dict[str, str] = {
+    "timed_words": _with(_BASE, "SELECT * FROM words"),
+    "timed_segments": _with(_BASE, "SELECT * FROM segments"),
+    "sliding_windows": _with(_TO_WINDOWS, "SELECT video_id, window_idx, window_start, window_end, seg_idx FROM links"),
+    "window_text": _with(_TO_WINDOWS, """SELECT video_id, window_idx, any_value(window_start) AS start, any_value(window_end) AS "end", string_agg(printf('[%.1fs - %.1fs] %s' || chr(10), round_even(start, 1), round_even("end", 1), text), '' ORDER BY seg_idx) AS text FROM links GROUP BY ALL"""),
+    "window_scores": _with(",".join([_TO_WINDOWS, _SCORED]), "SELECT video_id, window_idx, 'Window ' || window_idx AS title, greatest(0, least(100, (video_id * 31 + window_idx * 17) % 101 - 15))::int AS hook, greatest(0, least(100, (video_id * 31 + window_idx * 17) % 101 + 15))::int AS density, score FROM scored"),
+    "candidates": _with(_TO_BEST, "SELECT * FROM cands"),
+    "context_segments": _with(
+        f"{_TO_BEST},{_CONTEXT}",
+        """SELECT video_id, cand_idx, section, seg_idx FROM (SELECT c.video_id, c.cand_idx, seg_idx, unnest([CASE WHEN s."end" >= xs AND start <= cs THEN 'before' END, CASE WHEN s."end" >= cs AND start <= ce THEN 'candidate' END, CASE WHEN s."end" >= ce AND start <= xe THEN 'after' END, 'all']) AS section
+        FROM ctx c JOIN segments s ON s.video_id = c.video_id AND s."end" >= xs AND s.start <= xe) WHERE section IS NOT NULL""",
+    ),
+    "pacing_windows": _with(_TO_PACE, "SELECT * FROM pace"),
+    "pacing_risks": _with(_TO_PACE, """SELECT video_id, window_idx, round_even("end", 3) AS start, round_even(nxt, 3) AS "end", 'long_pause' AS reason, least(100, round_even(45 + gap * 25, 0)::int) AS severity FROM seq WHERE gap >= 0.75::double"""),
+    "best_windows": _with(_TO_PACE, "SELECT video_id, place::int AS place, window_idx, word_count, pacing_score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pacing_score DESC, word_count DESC, window_idx) AS place FROM pace) WHERE place <= 3"),
+    "edit_timeline": _with(_TO_PIECES, "SELECT * FROM line"),
+    "edit_costs": _with(
+        _TO_PIECES,
+        f"""SELECT {_C}, 0 AS variant_pos, sum(round_even(("end" - start) * 1000, 0)::bigint) / 1000.0::double AS duration, (greatest(0, count(*) - 4) * 1.5 + count(*) FILTER (WHERE start < ps) * 6.0 + count(*) FILTER (WHERE start >= ps AND start - pe > 20) * 2.0)::double AS edit_penalty, min(start) AS clip_start, max("end") AS clip_end, count(*) AS n_pieces
+        FROM (SELECT *, lag(start) OVER o AS ps, lag("end") OVER o AS pe FROM pieces WINDOW o AS (PARTITION BY {_C} ORDER BY seg_pos)) GROUP BY {_C}""",
+    ),
+    "edit_times": _with(_TO_PIECES, f"""SELECT p.video_id, p.cand_idx, p.seg_pos AS point, p.start + 2.5::double AS t, (SELECT arg_min(target_start + (p.start + 2.5::double - source_start), index) FROM line l WHERE l.video_id = p.video_id AND l.cand_idx = p.cand_idx AND p.start + 2.5::double BETWEEN source_start AND source_end) AS target FROM pieces p"""),
+    "edit_items": _with(f"{_TO_PIECES},{_ITEMS}", "SELECT * FROM moved"),
+    "edit_buckets": _with(
+        f"""{_TO_PIECES},{_ITEMS},
+        lens AS (SELECT {_C}, sum(round_even(("end" - start) * 1000, 0)) / 1000 AS duration FROM pieces GROUP BY {_C}),
+        cells AS (SELECT {_C}, b AS bucket, (b * 5.0)::double AS start, least(duration, (b + 1) * 5.0::double) AS "end" FROM (SELECT *, unnest(range(0, ceil((duration - 1e-6) / 5.0)::int))::int AS b FROM lens)),
+        mass AS (SELECT c.video_id, c.cand_idx, bucket, sum(round_even((least(c."end", m."end") - greatest(c.start, m.start)) * 1000, 0)::bigint * weight * CASE WHEN pos % 2 = 0 THEN 45 ELSE -55 END)::bigint AS mass FROM cells c JOIN moved m ON m.video_id = c.video_id AND m.cand_idx = c.cand_idx AND least(c."end", m."end") > greatest(c.start, m.start) GROUP BY ALL),
+        marks AS (SELECT c.*, greatest(0, least(100, round_even(60.0::double + coalesce(mass, 0) / (greatest(1, round_even(("end" - start) * 1000, 0)::bigint) * 100)::double, 0)))::int AS score FROM cells c LEFT JOIN mass USING ({_C}, bucket))""",
+        f"""SELECT {_C}, bucket, round_even(start, 3) AS start, round_even("end", 3) AS "end", score, CASE WHEN score >= 80 THEN 'very_good' WHEN score >= 65 THEN 'good' WHEN score >= 45 THEN 'medium' ELSE 'retention_hole' END AS label FROM marks""",
+    ),
+    "edit_removed": _with(
+        f"""{_TO_PIECES},
+        cut AS (SELECT b.video_id, b.cand_idx, b.start AS cs, b."end" AS ce, seg_pos, p.start AS o, greatest(p.start, b.start) AS s, least(p."end", b."end") AS e FROM best b JOIN pieces p ON p.video_id = b.video_id AND p.cand_idx = b.cand_idx AND p."end" > b.start AND p.start < b."end"),
+        gaps AS (SELECT *, greatest(cs, coalesce(max(e) OVER (PARTITION BY {_C} ORDER BY o, seg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), cs)) AS at_ FROM cut)""",
+        f"""SELECT {_C}, round_even(at_, 3) AS start, round_even(s, 3) AS "end", 'not_selected_by_retention_edit' AS reason FROM gaps WHERE s > at_ + 0.15::double
+        UNION ALL SELECT {_C}, round_even(last, 3), round_even(ce, 3), 'not_selected_by_retention_edit' FROM (SELECT b.video_id, b.cand_idx, b."end" AS ce, coalesce(max(e), b.start) AS last FROM best b LEFT JOIN cut c ON c.video_id = b.video_id AND c.cand_idx = b.cand_idx GROUP BY b.video_id, b.cand_idx, b."end", b.start) WHERE last < ce - 0.15::double""",
+    ),
+    "clip_words": _with(_TO_BEST, """SELECT b.video_id, b.cand_idx, seg_idx, word_idx, word, w.start - b.start AS start, w."end" - b.start AS "end" FROM best b JOIN words w ON w.video_id = b.video_id AND w."end" >= b.start AND w.start <= b."end\""""),
+    "edit_words": _with(
+        f"""{_TO_PIECES},
+        put AS (SELECT *, coalesce(sum("end" - start) OVER (PARTITION BY {_C} ORDER BY seg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM pieces),
+        met AS (SELECT p.video_id, p.cand_idx, seg_pos, seg_idx, word_idx, word, at_, p."end" - p.start AS len, greatest(0.0::double, w.start - p.start) AS lo, w."end" - p.start AS hi, row_number() OVER (PARTITION BY p.video_id, p.cand_idx, seg_pos, round_even(w.start, 4), round_even(w."end", 4), word ORDER BY seg_idx, word_idx) AS twin
+          FROM put p JOIN words w ON w.video_id = p.video_id AND (w.start + w."end") / 2.0::double BETWEEN p.start AND p."end" AND seg_end >= p.start AND seg_start <= p."end")""",
+        f"""SELECT {_C}, seg_pos, seg_idx, word_idx, word, round_even(at_ + lo, 4) AS start, round_even(at_ + least(len, greatest(lo, hi)), 4) AS "end" FROM met WHERE twin = 1""",
+    ),
+    "voice_timings": _with(
+        r"""%s,
+        w AS (SELECT video_id, seg_idx, greatest(0.01::double, "end" - start) AS d, unnest(a) AS word, generate_subscripts(a, 1) - 1 AS w_idx FROM (SELECT *, regexp_split_to_array(trim(text), '\s+') AS a FROM segments)),
+        x AS (SELECT *, least(8, greatest(1, length(regexp_replace(word, '[^\p{L}\p{N}_]+', '', 'g')))) AS k FROM w),
+        y AS (SELECT *, sum(k) OVER (PARTITION BY video_id, seg_idx ORDER BY w_idx)::bigint AS upto, sum(k) OVER (PARTITION BY video_id, seg_idx)::bigint AS total FROM x)""" % _WORDS,
+        """SELECT video_id, seg_idx, w_idx::int AS w_idx, word, round_even(t * (upto - k) / total::double, 0) / 10000.0::double AS start, CASE WHEN upto = total THEN t ELSE greatest(round_even(t * (upto - k) / total::double, 0) + 100, round_even(t * upto / total::double, 0)) END / 10000.0::double AS "end" FROM (SELECT *, round_even(d * 10000, 0)::bigint AS t FROM y)""",
+    ),
+    "idea_spans": _with(
+        f"""{_TO_WINDOWS},
+        inw AS (SELECT s.video_id, s.window_idx, w.word, w.start, w."end", row_number() OVER (PARTITION BY s.video_id, s.window_idx ORDER BY seg_idx, word_idx) - 1 AS place
+          FROM spans s JOIN words w ON w.video_id = s.video_id AND s.window_idx % 2 = 0 AND (w.start + w."end") / 2.0::double BETWEEN s.start AND s."end" AND seg_end >= s.start AND seg_start <= s."end"),
+        cut AS (SELECT *, regexp_matches(lag(word) OVER o, '[.!?]["'']?$') OR start - lag("end") OVER o >= 0.55::double AS c FROM inw WINDOW o AS (PARTITION BY video_id, window_idx ORDER BY place))""",
+        """SELECT video_id, window_idx, place::int AS place, word, start, "end", sum(CASE WHEN c THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, window_idx ORDER BY place)::bigint AS span FROM cut""",
+    ),
+    "text_functions": _with(
+        _BASE,
+        rf"""SELECT video_id, seg_idx, n AS n_words, (CASE WHEN n <= 0 THEN 0 WHEN n <= 8 THEN 100 WHEN n <= 10 THEN 94 WHEN n <= 12 THEN 86 WHEN n <= 14 THEN 70 ELSE greatest(20, 70 - (n - 14) * 8) END)::bigint AS brevity,
+        CASE WHEN regexp_matches(p, '[ăâîșț]') OR {" + ".join(f"contains(p, ' {w} ')::int" for w in fixed.RO_HINTS)} > {" + ".join(f"contains(p, ' {w} ')::int" for w in fixed.EN_HINTS)} THEN 'ro' ELSE 'en' END AS language,
+        regexp_matches(lower(text), '^(?:{"|".join(w.replace("'", "''") for w in fixed.WEAK_PREFIXES)})') AS weak, replace(replace(replace(text, '\', '\\'), '{{', '\{{'), '}}', '\}}') AS escaped
+        FROM (SELECT *, ' ' || lower(text) || ' ' AS p, len(regexp_split_to_array(trim(text), '\s+'))::bigint AS n FROM segments)""",
+    ),
+}

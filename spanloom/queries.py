@@ -74,6 +74,11 @@ def derived(spark: SparkSession, sf_dir: str) -> Data:
     return _made[key]
 
 
+def forget() -> None:
+    """The next query derives its tables anew."""
+    _made.clear()
+
+
 def _data(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f(derived(spark, sf_dir))
