@@ -12,7 +12,7 @@ def clamp_score(value: Column) -> Column:
     """Text of a JSON value as an int from 0 to 100, rounded half to even; what is no number is 0, infinities are the ends."""
     text = F.lower(F.trim(value.cast("string")))
     number = F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
-    return F.coalesce(F.when(F.isnan(number), 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)))), F.lit(0.0)).cast("int")
+    return F.when(number.isNull() | F.isnan(number), 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)))).cast("int")
 
 
 def bounded(value: Column, low, high) -> Column:

@@ -58,8 +58,8 @@ def audit(key: list[str], **tables: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str, key: list[str], text: str = "document") -> None:
-    """One text file per row in a folder by its key."""
-    documents.select(*key, F.col(text).alias("value")).repartition(*key).write.mode("overwrite").option("lineSep", "").partitionBy(*key).text(path)
+    """One text file per row in a folder by its key; the sink writes the last line break."""
+    documents.select(*key, F.regexp_replace(text, "\n$", "").alias("value")).repartition(*key).write.mode("overwrite").partitionBy(*key).text(path)
 
 
 def ordered(df: DataFrame, *columns: str | Column) -> DataFrame:
