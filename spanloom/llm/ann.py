@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import parts_for, save
 
 #: Neighbours kept per node, and nodes per bucket.
-DEGREE, BUCKET = 28, 2_000
+DEGREE, BUCKET = 28, 20_000
 #: Projections and run length of the first graph; most rounds; a round that changes a smaller share is the last.
 PROJECTIONS, RUN, ROUNDS, ENOUGH = 2, 768, 6, 0.02
 #: Search: nodes expanded per query and round, nearest nodes remembered, rounds at most.
@@ -156,7 +156,7 @@ def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
         reach = edges.groupBy("src").agg(F.when(F.count("*") >= DEGREE, F.max("d")).otherwise(float("inf")).alias("reach"))
         reached = nodes.join(reach, nodes.id == reach.src, "left").select("id", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
         wanted = around.select("bucket", F.col("member").alias("w")).distinct()
-        vectors = wanted.join(reached, wanted.w == reached.id).select(F.col("bucket").alias("b"), "id", "vec", "reach")
+        vectors = wanted.join(reached, wanted.w == reached.id).select(F.col("bucket").alias("b"), "id", F.col("vec").cast("array<float>").alias("vec"), "reach")
         better = around.groupBy("bucket").cogroup(vectors.groupBy("b")).applyInArrow(_local_join, "src long, dst long, d double")
         edges = save(_merged(edges, better, buckets), f"round_{r}")
     return edges.select("src", "dst", "d")
