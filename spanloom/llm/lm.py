@@ -282,7 +282,7 @@ def score_rows(arrays: Arrays, data: np.ndarray, at: np.ndarray) -> tuple[np.nda
     h_at[row_at[:-1]] = inverse[-1]
     keys, first, back = np.unique(pair_key(h, w), return_index=True, return_inverse=True)
     c = arrays.pair_counts(keys)
-    p1 = m.word_rest / (m.words + 1) + (_less(cont, m.word_discounts) / m.types if m.types else 0.0)
+    p1 = m.word_rest / (m.words + 1) + _less(cont, m.word_discounts) / max(1, m.types)
     hk, wk = h_at[first], w_at[first]
     d = m.pair_discounts
     weight = d[0] * once + d[1] * twice + d[2] * more
