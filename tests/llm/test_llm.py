@@ -95,6 +95,28 @@ def test_local_search_keeps_pieces_and_empties_bins():
     assert len(bins) <= 5
 
 
+def test_local_search_goes_on_past_stuck_bins():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(20, 60, 300).tolist()
+    bins = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
+    assert len(bins) == -(-sum(lengths) // 100)
+
+
+def test_packing_of_many_groups_reaches_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 40)
+    rng = np.random.default_rng(2)
+    lengths = [*rng.integers(20, 60, 400).tolist(), 100, 100]
+    got = defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(list(enumerate(lengths)), "piece_key long, length long"), 100).collect():
+        got[r.sequence_id].append((r.offset, r.piece_key))
+    assert sorted(k for v in got.values() for _, k in v) == list(range(402))
+    for v in got.values():
+        ends = [o + lengths[k] for o, k in sorted(v)]
+        assert ends[-1] <= 100 and [o for o, _ in sorted(v)] == [0, *ends[:-1]]
+    assert len(got) <= -(-sum(lengths) // 100) + 2
+
+
 def kneser_ney(train, asked):
     toks = [[w.translate(LOW) for w in WORDS.findall(t)] + ["</s>"] for t in train]
     uni, bi = Counter(w for t in toks for w in t), Counter(p for t in toks for p in zip(["<s>", *t[:-1]], t))
