@@ -241,7 +241,7 @@ def clip_words(d):
 
 
 def _window_places(d):
-    inside = intervals.words_inside(d.words, d.spans).where("window_idx % 2 = 0")
+    inside = intervals.words_inside(d.words, d.spans)
     return inside.select("video_id", "window_idx", F.struct("seg_idx", "word_idx").alias("place"), "word", "start", "end")
 
 
@@ -292,7 +292,7 @@ def voice_routes(d):
 def voice_mix(d):
     v = F.col("video_id")
     rows = d.best.select(*C, (F.col("end") - F.col("start")).alias("duration"), (1.0 + v % 25 / 10).alias("hook_duration"))
-    items = _plain_items(d).where("video_id % 4 <> 0").join(d.best.select(*C, F.col("start").alias("cs")), C)
+    items = _plain_items(d).join(d.best.select(*C, F.col("start").alias("cs")), C)
     items = items.select(*C, "pos", (F.col("start") - F.col("cs")).alias("start"), (F.col("end") - F.col("cs")).alias("end"), F.col("weight").alias("importance"))
     out = voice.mix_plan(voice.teasers(rows, items, C))
     return out.withColumn("speed", voice.fit_speed(F.col("hook_duration") * 3)).withColumn("tempo", F.array_join(F.transform(voice.tempo_factors(F.col("speed")), lambda x: F.format_string("%.6f", x)), ","))

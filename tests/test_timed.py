@@ -5,8 +5,11 @@ import json
 import math
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from spanloom import oracle, queries
 from spanloom.functions import exprs
 from spanloom.operators import captions, crop, edit, hooks, intervals, pacing, scoring, voice, windows
 from spanloom.sources import transcripts
@@ -164,6 +167,38 @@ def test_crop(spark):
     assert docs[0]["document"].count("\n") == 6 and docs[1]["document"].startswith("0.000 crop@smart x ")
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return queries.derived(spark, SMALL)
+
+
+@pytest.mark.parametrize("name", ["idea_spans", "boundary_costs", "caption_groups", "caption_events"])
+def test_every_window_with_words_is_captioned(small, name):
+    words = [r for r in small.words.collect() if r.word.strip()]
+    spoken = {(s.video_id, s.window_idx) for s in small.spans.collect() for w in words if w.video_id == s.video_id and s.start <= (w.start + w.end) / 2 <= s.end and w.seg_end >= s.start and w.seg_start <= s.end}
+    assert any(k % 2 for _, k in spoken)
+    assert {(r.video_id, r.window_idx) for r in getattr(queries, name)(small).select("video_id", "window_idx").distinct().collect()} == spoken
+
+
+def test_idea_spans_equal_sql_of_all_windows(small):
+    sql = oracle.SQL["idea_spans"].replace(" AND s.window_idx % 2 = 0", "")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SMALL}/conversations.parquet'")
+    got = [tuple(r) for r in queries.idea_spans(small).select("video_id", "window_idx", "place", "word", "start", "end", "span").collect()]
+    assert sorted(got) == sorted(db.execute(f'SELECT video_id, window_idx, place, word, start, "end", span FROM ({sql})').fetchall())
+
+
+def test_teasers_with_and_without_anchors(spark, small):
+    assert {r.teaser_source for r in queries.voice_mix(small).select("teaser_source").distinct().collect()} == {"retention_anchor"}
+    clips = spark.createDataFrame([(1, 30.0, 2.0), (2, 30.0, 2.0)], "video_id long, duration double, hook_duration double")
+    anchors = spark.createDataFrame([(1, 0, 10.0, 14.0, 50)], "video_id long, pos int, start double, end double, importance int")
+    got = rows(voice.teasers(clips, anchors, ["video_id"]), "video_id")
+    assert [(r["teaser_start"], r["teaser_end"], r["teaser_source"]) for r in got] == [(11.0, 13.0, "retention_anchor"), (0.0, 2.0, "clip_start")]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     seg = [{"start": 0.0, "end": 1.0, "text": "hi", "words": [{"word": "hi", "start": 0.0, "end": 0.5}]}]
