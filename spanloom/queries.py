@@ -305,7 +305,7 @@ def voice_records(d):
 
 
 def _framed(d):
-    return d.best.select("video_id", F.col("cand_idx").alias("clip_idx"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.least(F.lit(20.0), F.col("end") - F.col("start")).alias("duration"))
+    return d.best.select("video_id", F.col("cand_idx").alias("clip_idx"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), (F.col("end") - F.col("start")).alias("duration"))
 
 
 def crop_points(d):

@@ -199,6 +199,19 @@ def test_teasers_with_and_without_anchors(spark, small):
     assert [(r["teaser_start"], r["teaser_end"], r["teaser_source"]) for r in got] == [(11.0, 13.0, "retention_anchor"), (0.0, 2.0, "clip_start")]
 
 
+def test_crop_follows_whole_clips(small):
+    length = {(r.video_id, r.cand_idx): r.end - r.start for r in small.best.collect()}
+    assert max(length.values()) > 20
+    points = queries.crop_points(small).groupBy("video_id", "clip_idx").agg(F.max("time").alias("last"), F.count("*").alias("n")).collect()
+    assert {(r.video_id, r.clip_idx) for r in points} == set(length)
+    for r in points:
+        whole = length[r.video_id, r.clip_idx]
+        samples = math.floor((whole + 0.001) * 2) + 1
+        assert r.n == samples + ((samples - 1) / 2 < whole) and whole <= r.last <= whole + 0.001
+    for r in queries.crop_commands(small).select("video_id", "clip_idx", "n_chars").collect():
+        assert r.n_chars > 100 * length[r.video_id, r.clip_idx]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     seg = [{"start": 0.0, "end": 1.0, "text": "hi", "words": [{"word": "hi", "start": 0.0, "end": 0.5}]}]
