@@ -77,11 +77,19 @@ class Model:
         return out * (SCALE / gram_numbers(at))[:, None] + self.bias
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each row's language and a score from 0 to 1."""
+        """Index of each row's language and a score from 0 to 1.
+
+        The score is the family's probability against the likeliest other one times the language's mean probability
+        against each other one of its family, so it means the same for any number of either.
+        """
         rows = len(at) - 1
         p = 1 / (1 + np.exp(-2 * np.clip(self.margins(data, at), -30, 30)))
         k = len(self.families)
-        family = p[:, :k] / p[:, :k].sum(axis=1, keepdims=True) if k > 1 else np.ones((rows, k))
+        family = np.ones((rows, k))
+        if k > 1:
+            top = np.sort(p[:, :k], axis=1)[:, -2:]
+            rival = np.where(p[:, :k] < top[:, 1:], top[:, 1:], top[:, :1])
+            family = p[:, :k] / (p[:, :k] + rival)
         within = np.zeros((rows, len(self.languages)))
         for members in self.families:
             within[:, members] = 1.0 / len(members) if len(members) > 1 else 1.0
@@ -91,7 +99,7 @@ class Model:
                 if a in members:
                     votes[:, a] += p[:, k + c]
                     votes[:, b] += 1 - p[:, k + c]
-            within[:, members] = votes[:, members] / votes[:, members].sum(axis=1, keepdims=True)
+            within[:, members] = votes[:, members] / (len(members) - 1)  # the mean probability against another
         best = np.argmax(family, axis=1)
         joint = np.zeros_like(within)
         for f, members in enumerate(self.families):

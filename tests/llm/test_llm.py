@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from spanloom.llm import ann, components, decontaminate, langid, line_dedup, lm, ngram_join, packing, quality, rans, text, tokens, toxicity
 from spanloom.llm.queries import TOKENIZER
 
@@ -272,6 +273,16 @@ def test_language_identification(spark, messy):
     assert langid.identify(messy, langid.train(messy.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_stage_keeps_all_of_many_languages(spark):
+    rng = random.Random(11)
+    codes = [*langid.FAMILIES["germanic"], *langid.FAMILIES["slavic"], "el", "tr", "ja", "ko", "vi", "th", "he", "hi"]
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 8))) for _ in range(12)] for c in codes}
+    rows = [(i, sentences(rng, words[c], rng.randrange(20, 40)), c) for i, c in enumerate(codes * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = Counter(r.lang for r in corpus_pipeline.identify_language(spark, docs, "").select("lang").collect())
+    assert all(kept[c] >= 19 for c in codes)
+
+
 def test_quality(spark, messy):
     rng = random.Random(6)
     good = lambda: "\n".join(" ".join(rng.choice(["river", "stone", "walk", "light"]) for _ in range(9)).capitalize() + "." for _ in range(5))
