@@ -2,7 +2,7 @@
 
 Every line is good or bad given its own features, those of its neighbours and the neighbouring labels.
 Lines learn from their document's label. Forward-backward marginals of "good", weighted by line length,
-make a document's mean, which a logistic curve fitted on the learning documents turns into a score.
+make a document's mean, which a logistic curve fitted on all labelled documents turns into a score.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from spanloom.llm.langid import sampled
 #: Learning documents per label at most (expected number; chosen by a hash of the id).
 SAMPLE_PER_LABEL = 1_000
 STEPS = 120
+#: Cells of the curve's histogram per unit of log odds.
+CELLS = 50
 #: Line features: see ``line_features``.
 N_OWN = 16
 _SETS = {
@@ -158,7 +160,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def fit(own: np.ndarray, size: np.ndarray, line_at: np.ndarray, y: np.ndarray) -> Model:
-    """Maximum likelihood by Adam; documents of the rarer label weigh as much as they are frequent among all."""
+    """Maximum likelihood by Adam. The curve is that of these documents; ``train`` sets it anew from all labelled ones."""
     x = with_neighbours(own, line_at)
     w, c = np.zeros((x.shape[1], 2)), np.zeros((2, 2))
     lines = np.diff(line_at)
@@ -177,22 +179,28 @@ def fit(own: np.ndarray, size: np.ndarray, line_at: np.ndarray, y: np.ndarray) -
             param += 0.1 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
     p, _, _ = forward_backward(x @ w, c, line_at)
     z = _logit(_document_means(p, size, line_at))
+    return Model(w, c, curve_of(z, y, np.ones(len(y))))
+
+
+def curve_of(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from log odds to labels."""
     slope, shift = 1.0, 0.0
-    for _ in range(100):  # Newton steps for the curve
+    for _ in range(100):  # Newton steps
         q = 1 / (1 + np.exp(-(slope * z + shift)))
-        s = q * (1 - q) + 1e-6
-        g = np.array([((y - q) * z).sum() - 0.1 * slope, (y - q).sum()])
+        s = weight * q * (1 - q) + 1e-6
+        g = np.array([(weight * (y - q) * z).sum() - 0.1 * slope, (weight * (y - q)).sum()])
         h = np.array([[(s * z * z).sum() + 0.1, (s * z).sum()], [(s * z).sum(), s.sum()]])
         step = np.clip(np.linalg.solve(h, g), -1, 1)
         slope, shift = slope + step[0], shift + step[1]
-    return Model(w, c, (float(slope), float(shift)))
+    return float(slope), float(shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality") -> Model | None:
-    """Learns from documents with a label 0 or 1; the sample is bounded by ``SAMPLE_PER_LABEL``. None without labels."""
-    chosen = labels.select(F.col(label_id).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null")
-    chosen = sampled(chosen, F.col("y"), SAMPLE_PER_LABEL, F.col("key"))
-    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key").select("y", "text")
+    """Learns from documents with a label 0 or 1: weights from a sample bounded by ``SAMPLE_PER_LABEL``, the curve from all. None without labels."""
+    given = labels.select(F.col(label_id).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null")
+    chosen = sampled(given, F.col("y"), SAMPLE_PER_LABEL, F.col("key"))
+    source = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = source.join(F.broadcast(chosen), "key").select("y", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +215,23 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     own = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, N_OWN) for x in found["x"].to_pylist()])
     size = np.concatenate([np.frombuffer(x, np.int64) for x in found["size"].to_pylist()])
     line_at = np.concatenate([[0], np.cumsum([len(x) // (4 * N_OWN) for x in found["x"].to_pylist()])])
-    return fit(own, size, line_at, found["y"].to_numpy().astype(np.int64))
+    m = fit(own, size, line_at, found["y"].to_numpy().astype(np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in tx.chunks(batch.column(1)):
+                own, size, line_at = line_features(data, at)
+                p, _, _ = forward_backward(shared.value.emissions(with_neighbours(own, line_at)), shared.value.changes, line_at)
+                cell = np.floor(_logit(_document_means(p, size, line_at)) * CELLS).astype(np.int32)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(cell)], names=["key", "cell"])
+
+    # Texts stay where they are: only keys and cells meet the labels.
+    scored = source.mapInArrow(cells, f"key {source.schema['key'].dataType.simpleString()}, cell int")
+    table = scored.join(given, "key").groupBy("y", "cell").count().toArrow()
+    y, cell, count = (table[c].to_numpy() for c in ("y", "cell", "count"))
+    m.curve = curve_of((cell + 0.5) / CELLS, y, count)
+    return m
 
 
 def score_rows(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,8 +3,8 @@
 A word's embedding is the sum of hashed ones: its own and those of its beginnings, so that inflected and
 unseen forms resemble known ones. Filters of several widths slide over the whole text and each
 keeps its maximum; a linear layer on the maxima gives the probability. All of it is trained in numpy on a bounded
-sample. Thresholds are calibrated by the text's predicted language on a part of that sample, and scores
-are bent so that every language's threshold lies at the same score.
+sample. Thresholds are calibrated by the text's predicted language on all labelled texts outside that sample, weighted to the
+labels' true rates, and scores are bent so that every language's threshold lies at the same score.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ PARTS = 1 + len(BEGINNINGS)
 #: The score at which a text counts as toxic in every language.
 CUT = 0.3
 PAD = 1 << BITS
+#: Cells of a threshold's histogram per unit of log odds.
+CELLS = 50
 
 
 def word_slots(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,51 +154,68 @@ def fit(rows: list[np.ndarray], y: np.ndarray, languages: langid.Model) -> Model
     return m
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
     """The middle of the widest-scoring cut: the threshold with the best F1, halfway to the next value in log odds."""
-    by = np.argsort(-p, kind="stable")
-    p, y = np.clip(p[by], 1e-6, 1 - 1e-6), y[by]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    weight = np.ones(len(p)) if weight is None else weight
+    p, back = np.unique(np.clip(p, 1e-6, 1 - 1e-6), return_inverse=True)
+    hits = np.cumsum(np.bincount(back, weight * y)[::-1])
+    f1 = 2 * hits / (np.cumsum(np.bincount(back, weight)[::-1]) + hits[-1])
     i = int(np.argmax(f1))
-    odds = np.log(p / (1 - p))
+    odds = np.log(p / (1 - p))[::-1]
     low = odds[i + 1] if i + 1 < len(p) else odds[i] - 2
     return float(np.clip(1 / (1 + np.exp(-(odds[i] + low) / 2)), 0.02, 0.98))
 
 
 def train(docs: DataFrame, labels: DataFrame, languages: langid.Model, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic") -> Model | None:
-    """Learns from documents with a label 0 or 1; every fifth of the sample sets the thresholds. None without both labels."""
-    chosen = labels.select(F.col(label_id).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null")
-    chosen = sampled(chosen, F.col("y"), SAMPLE_PER_LABEL, F.col("key"))
-    rows = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key")
-    shared = docs.sparkSession.sparkContext.broadcast(Model(np.zeros((1, 1)), [], np.zeros(1), np.zeros(1), 0.0, languages))
+    """Learns from a sample of documents with a label 0 or 1; all labelled documents it did not learn from set the thresholds. None without both labels."""
+    given = labels.select(F.col(label_id).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null")
+    chosen = sampled(given, F.col("y"), SAMPLE_PER_LABEL, F.col("key")).where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5)) != 0)
+    source = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = source.join(F.broadcast(chosen), "key")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in tx.chunks(batch.column(2)):
                 slots, row_at = word_slots(data, at)
                 own = [slots[a:b].tobytes() for a, b in zip(row_at[:-1].tolist(), row_at[1:].tolist(), strict=True)]
-                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(shared.value.language(data, at)), pa.array(own, pa.binary())], names=["order", "y", "lang", "x"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(own, pa.binary())], names=["order", "y", "x"])
 
-    found = rows.select(F.xxhash64("key").alias("order"), "y", "text").mapInArrow(features, "order long, y int, lang long, x binary").toArrow().sort_by("order")
+    found = rows.select(F.xxhash64("key").alias("order"), "y", "text").mapInArrow(features, "order long, y int, x binary").toArrow().sort_by("order")
     y = found["y"].to_numpy().astype(np.float32)
     if not 0 < y.sum() < len(y):
         return None
-    x = [np.frombuffer(v, np.int32).reshape(-1, PARTS) for v in found["x"].to_pylist()]
-    lang = found["lang"].to_numpy()
-    held = np.arange(len(y)) % 5 == 0
-    m = fit([r for r, h in zip(x, held, strict=True) if not h], y[~held], languages)
-    p = np.array([m.probability(x[i], np.array([0, len(x[i])]))[0] for i in np.flatnonzero(held)])
-    yh, lh = y[held], lang[held]
-    if yh.sum():
-        m.thresholds[-1] = best_threshold(p, yh)
-    for k in set(lh.tolist()):
-        own = lh == k
-        if yh[own].sum() >= 8:
-            m.thresholds[k] = best_threshold(p[own], yh[own])
+    m = fit([np.frombuffer(v, np.int32).reshape(-1, PARTS) for v in found["x"].to_pylist()], y, languages)
+    del found
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in tx.chunks(batch.column(1), 1 << 18):
+                p = np.clip(shared.value.probability(*word_slots(data, at)).astype(np.float64), 1e-6, 1 - 1e-6)
+                cell = np.floor(np.log(p / (1 - p)) * CELLS).astype(np.int32)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(shared.value.language(data, at), pa.int64()), pa.array(cell)], names=["key", "lang", "cell"])
+
+    # Texts stay where they are: only keys and cells meet the labels.
+    unseen = given.join(F.broadcast(chosen.select("key")), "key", "left_anti")
+    scored = source.mapInArrow(cells, f"key {source.schema['key'].dataType.simpleString()}, lang long, cell int")
+    table = scored.join(unseen, "key").groupBy("lang", "y", "cell").count().toArrow()
+    total = {r["y"]: r["count"] for r in given.groupBy("y").count().collect()}
+    set_thresholds(m, *(table[c].to_numpy() for c in ("lang", "y", "cell", "count")), total)
     return m
 
 
+def set_thresholds(m: Model, lang: np.ndarray, y: np.ndarray, cell: np.ndarray, count: np.ndarray, total: dict[int, int]) -> None:
+    """Thresholds of all languages and of each from counts by language, label and cell of log odds; ``total`` are the labels' true counts."""
+    p = 1 / (1 + np.exp(-(cell + 0.5) / CELLS))
+    weight = count * np.where(y == 1, total.get(1, 0) / max(1, count[y == 1].sum()), total.get(0, 0) / max(1, count[y == 0].sum()))
+    if (y == 1).any():
+        m.thresholds[-1] = best_threshold(p, y, weight)
+    for k in set(lang.tolist()):
+        own = lang == k
+        if count[own & (y == 1)].sum() >= 8:
+            m.thresholds[k] = best_threshold(p[own], y[own], weight[own])
+
+
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score per row; null text is empty; 0 without a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -328,3 +328,26 @@ def test_toxicity(spark, messy):
     p = np.linspace(0, 1, 11)
     s = toxicity.bend(p, np.zeros(11, int), {-1: 0.5, 0: 0.7})
     assert abs(s[7] - 0.3) < 1e-9 and (np.diff(s) > 0).all()
+
+
+def test_thresholds_and_curve_do_not_depend_on_the_sample(spark, monkeypatch):
+    """Labels overlap and one in nine is positive; a balanced sample must not shift the cut or the curve."""
+    rng = random.Random(12)
+    words, rows = [f"w{i}" for i in range(30)], []
+    for i in range(1800):
+        y = int(i % 9 == 0)
+        odd = rng.random() < (0.9 if y else 0.3)
+        rows.append((i, "\n".join(" ".join(["badword" if odd else "fine", *rng.choices(words, k=8)]) for _ in range(2)), "en", y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, y int").cache()
+    labels = docs.select("doc_id", F.col("y").alias("toxic"), F.col("y").alias("quality"))
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_LABEL", 150)
+    monkeypatch.setattr(quality, "SAMPLE_PER_LABEL", 150)
+    model = toxicity.train(docs, labels, langid.train(docs))
+    m = toxicity.Model(*[None] * 5, None)
+    toxicity.set_thresholds(m, np.zeros(4, int), np.array([1, 0, 1, 0]), np.array([10, 10, 60, 60]), np.array([100, 100, 100, 5]), {1: 200, 0: 2000})
+    assert m.thresholds[0] > 1 / (1 + math.exp(-0.2))
+    assert model.thresholds and quality_mean(spark, docs, labels) < 0.2
+
+
+def quality_mean(spark, docs, labels):
+    return quality.score(docs, quality.train(docs, labels)).agg(F.avg("score")).first()[0]
