@@ -9,18 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows per Arrow batch: texts can be long, and Spark's default of 10,000 rows holds tens of MB in every task.
-BATCH_ROWS = "1000"
+#: What one Arrow batch may hold. Texts can be long: rows alone would not bound what a task keeps in memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a task hands to Python at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what a task hands to Python at once, for all plans that this session runs from now on."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` of a data folder."""
-    small_batches(spark)
+    """The table ``name`` of a data folder, for the registered queries: their last plan, which the caller runs, has bounded batches too."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,10 +41,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends, a lost executor costs one task."""
-    small_batches(df.sparkSession)
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    before = {key: spark.conf.get(key, None) for key in BATCH}
+    bounded_batches(spark)
+    try:
+        path = scratch(spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold_of(doc_id: Column, n: int) -> Column:

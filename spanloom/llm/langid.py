@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
-from spanloom.llm.common import Rows
 
 #: Learning rows per language at most (expected number; chosen by a hash of the id).
 SAMPLE_PER_LANGUAGE = 400
@@ -207,10 +206,29 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def keep_identified(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.3, text: str = "text") -> DataFrame:
-    """Rows whose text has a language (one of ``languages``, if given) with a score of ``least`` or more; columns as they were."""
-    rows = Rows(docs)
-    scored = identify(rows.df.withColumn("body", rows.col(text)), model, "row", "body")
-    ok = (F.col("lang_pred") != "und") & (F.col("score") >= least)
-    if languages is not None:
-        ok &= F.col("lang_pred").isin(languages)
-    return rows.back(scored.where(ok), "key")
+    """Rows whose text has a language (one of ``languages``, if given) with a score of ``least`` or more; columns as they were.
+
+    Rows with a null text or one without letters go; repeated rows and null ids are judged one by one. Each row
+    crosses to Python once and the kept ones come back whole.
+    """
+    names, spark = docs.columns, docs.sparkSession
+    shared, place = spark.sparkContext.broadcast(model), names.index(text)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    source = rows.withColumn("letters", F.coalesce(F.col(f"c{place}").cast("string").rlike("\\p{L}"), F.lit(False)))
+    wanted = None if languages is None else [i for i, name in enumerate(model.languages) if name in languages]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            keep = batch.column(len(names)).to_numpy(zero_copy_only=False).copy()
+            if not m.languages:
+                keep[:] = False
+            else:
+                for i, j, data, at in tx.chunks(batch.column(place)):
+                    own, score = m.predict(data, at)
+                    keep[i:j] &= score >= least
+                    if wanted is not None:
+                        keep[i:j] &= np.isin(own, wanted)
+            yield batch.select(range(len(names))).filter(pa.array(keep))
+
+    return source.mapInArrow(run, rows.schema).toDF(*names)

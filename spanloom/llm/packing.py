@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import parts_for, save
+from spanloom.llm.text import release
 from spanloom.llm.tokens import crc32, encode_documents
 
 #: Pieces per group: bounds a task's memory and time.
@@ -174,6 +175,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
 
 def _pack_group(capacity: int):
     def run(group: pa.Table) -> pa.Table:
+        release()
         group = group.sort_by("piece_key")
         lengths = group["length"].to_pylist()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)

@@ -7,6 +7,7 @@ hash is a polynomial over its words' hashes. Hashes depend on content alone, not
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = U64(0x9FB21C651E98DF25)
@@ -54,6 +55,22 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def release() -> None:
+    """Hands memory that this worker no longer uses back to the system.
+
+    Workers live on from task to task and stage to stage; what allocators keep of each would add up.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # only some C libraries have it
+    _trim = None
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads a hash over all bits."""
     h = h ^ (h >> U64(32))
@@ -111,6 +128,7 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, side="right")) - 1)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    release()
 
 
 def words(data: np.ndarray, at: np.ndarray, kind: str = "space", fold: bool = True) -> Words:

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
 
-#: Words kept per worker (about 40 bytes each); at this many the store starts anew.
-CACHE_WORDS = 2_000_000
+#: Words kept per worker (about 40 bytes each); at this many the store starts anew. The library makes an object of
+#: about a thousand bytes for each word it is asked for, so it is asked for so many at a time.
+CACHE_WORDS, ASK_WORDS = 400_000, 4_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -48,9 +49,12 @@ class WordEncoder:
         return _encoders[path]
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
+        sizes, ids = [], []
+        for i in range(0, len(texts), ASK_WORDS):
+            found = [e.ids for e in self.tokenizer.encode_batch(texts[i : i + ASK_WORDS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((x for own in found for x in own), np.uint32, int(sizes[-1].sum())))
+        size, new = np.concatenate(sizes), np.concatenate(ids)
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(new)] = new
