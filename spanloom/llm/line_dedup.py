@@ -1,8 +1,11 @@
 """Boilerplate lines by their frequency within a site, in DataFrame operations only.
 
-A line's ratio is the number of its host's pages that contain it, divided by the host's pages. Lines
-are compared without leading and trailing spaces; blank lines never count. A page that consists of
-boilerplate alone is a copy, not a frame around content, and keeps its text.
+A line's ratio is the number of its host's pages that contain it, divided by the host's pages; lines whose
+ratio exceeds a limit are dropped. Lines are compared without leading and trailing spaces; blank lines never count.
+
+Two options soften this, both off unless asked for: ``min_pages`` spares lines of fewer pages (on a host of
+a few pages every line has a high ratio), and ``keep_whole`` spares pages that consist of boilerplate alone
+(copies of a page, not frames around content).
 """
 
 from __future__ import annotations
@@ -16,6 +19,12 @@ from spanloom.llm.common import Rows, save
 BROADCAST_LINES = 200_000
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without user and port; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(host != "", host)
+
+
 def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line).cast("binary")))
 
@@ -24,7 +33,7 @@ def _lines(text: Column | str) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 1) -> DataFrame:
     """host, line_key, n_pages, host_pages of lines on more than ``max_ratio`` of the host's pages and on ``min_pages`` or more.
 
     At most (mean number of lines a page) / max_ratio lines for a host. Rows without a host form one host
@@ -36,10 +45,14 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_
     return counts.join(totals, F.col("host").eqNullSafe(F.col("_host"))).drop("_host").where(F.col("n_pages") > F.col("host_pages") * F.lit(max_ratio))
 
 
-def drop_lines(pages: DataFrame, page_id: str = "doc_id", host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
-    """All rows with their columns, ``text`` without boilerplate lines, and added n_lines and n_dropped (lines that are not blank).
+def drop_lines(
+    pages: DataFrame, page_id: str = "doc_id", host: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 1, keep_whole: bool = False, counts: bool = True
+) -> DataFrame:
+    """All rows with their columns, ``text`` without boilerplate lines; with ``counts`` also n_lines and n_dropped (lines that are not blank).
 
-    Null text stays null with 0 lines; blank lines stay where they are.
+    Null text stays null with 0 lines, and a page that loses all its lines has an empty text or blank lines alone;
+    blank lines stay where they are. Repeated rows each count as a page. Own columns named n_lines or n_dropped
+    are replaced where ``counts`` is set and stay where it is not.
     """
     found = save(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
     rows = Rows(pages)
@@ -55,6 +68,8 @@ def drop_lines(pages: DataFrame, page_id: str = "doc_id", host: str = "source",
     rest = F.when(F.col("bad").isNotNull(), F.filter(F.split("text", "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains("bad", _key(x))))
     lines = F.coalesce(F.size(_lines("text")), zero)
     left = F.size(F.filter("rest", lambda x: F.trim(x) != ""))
-    whole = F.col("rest").isNull() | (left == 0)
-    new = {text: F.when(whole, F.col("text")).otherwise(F.array_join("rest", "\n")), "n_lines": lines.cast("long"), "n_dropped": F.when(whole, zero).otherwise(lines - left).cast("long")}
+    whole = F.col("rest").isNull() | ((left == 0) if keep_whole else F.lit(False))
+    new = {text: F.when(whole, F.col("text")).otherwise(F.array_join("rest", "\n"))}
+    if counts:
+        new |= {"n_lines": lines.cast("long"), "n_dropped": F.when(whole, zero).otherwise(lines - left).cast("long")}
     return rows.back(joined.withColumn("rest", rest), **new)

@@ -54,7 +54,7 @@ def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.drop_lines(docs, host="source", max_ratio=0.05, min_pages=5).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.drop_lines(docs, host="source", max_ratio=0.05).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +76,10 @@ OP8_SQL = """
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 h AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 c AS (SELECT source, trim(line, ' ') AS k, count(DISTINCT doc_id) AS n FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL),
-b AS (SELECT c.source, k FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n >= 5 AND n > pages * 0.05::double),
+b AS (SELECT c.source, k FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n > pages * 0.05::double),
 m AS (SELECT l.*, b.k IS NOT NULL AS bad, trim(line, ' ') <> '' AS solid FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(line, ' ') = b.k),
 d AS (SELECT doc_id, count(*) FILTER (WHERE solid) AS n_lines, count(*) FILTER (WHERE bad) AS n_bad, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad) AS rest FROM m GROUP BY doc_id)
-SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN coalesce(n_bad, 0) < n_lines THEN n_bad ELSE 0 END AS n_dropped,
-       CASE WHEN n_bad > 0 AND n_bad < n_lines THEN rest ELSE t.text END AS text
+SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad, 0) AS n_dropped, CASE WHEN n_bad > 0 THEN coalesce(rest, '') ELSE t.text END AS text
 FROM documents t LEFT JOIN d USING (doc_id)
 """
 
