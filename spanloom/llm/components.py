@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +38,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """node, component (least node reachable) for every node with an edge to another; ids are longs.
 
-    Each round halves paths; every intermediate table goes to the shared folder. A node with many
+    Rounds go on until one changes nothing, and each halves paths; every intermediate table goes to the shared folder. A node with many
     neighbours is a skewed join key, which adaptive execution splits.
     """
     e = save(edges.select(a, b).mapInArrow(_forest, "u long, v long").distinct(), f"{name}_0")
     mark = None
-    for i in range(1, 60):
+    for i in count(1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = e.join(least, e.v == least.x).select("u", F.col("m").alias("v"))
