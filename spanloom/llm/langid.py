@@ -8,6 +8,7 @@ per-gram weights: scoring gathers weights and sums them, with no vector per docu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -112,7 +113,7 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200, c: f
     w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     v, vb = w.copy(), b
     scale = weight / weight.sum()
-    rate = np.float32(0.5 / (2 * float((scale * (x * x).sum(axis=1)).sum() + 1) + c))
+    rate = np.float32(0.5 / (2 * float((scale * np.einsum("ij,ij->i", x, x)).sum() + 1) + c))
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v + vb))
         g = (-2 * scale * y * slack).astype(np.float32)
@@ -141,18 +142,21 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         for batch in batches:
             for i, j, data, at in tx.chunks(batch.column(1)):
                 owner = np.repeat(np.arange(j - i), np.diff(at))
-                total = np.zeros((j - i, (1 << BITS) + 1), np.float32)
+                total = np.zeros((j - i, (1 << BITS) + 1), np.uint32)
                 for n in ORDERS:
                     np.add.at(total, (owner, gram_slots(data, at, n)), 1)
-                total = total[:, :-1] / gram_numbers(at)[:, None].astype(np.float32)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([x.astype("<f4").tobytes() for x in total], pa.binary())], names=["lang", "x"])
+                packed = [zlib.compress(x[:-1].astype("<u4").tobytes(), 1) for x in total]
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(gram_numbers(at)), pa.array(packed, pa.binary())], names=["lang", "n", "x"])
 
-    found = rows.select("lang", "text").mapInArrow(features, "lang string, x binary").toArrow()
+    found = rows.select("lang", "text").mapInArrow(features, "lang string, n long, x binary").toArrow()
     names = sorted(set(found["lang"].to_pylist()))
     if not names:
         return Model()
     y = np.array([names.index(v) for v in found["lang"].to_pylist()])
-    x = np.stack([np.frombuffer(v, "<f4") for v in found["x"].to_pylist()]) * np.float32(SCALE)
+    x = np.empty((len(y), 1 << BITS), np.float32)
+    for row, packed, n in zip(x, found["x"], found["n"].to_pylist(), strict=True):
+        row[:] = np.frombuffer(zlib.decompress(packed.as_buffer()), "<u4")
+        row *= SCALE / n
     del found
     family_of = {code: name for name, codes in FAMILIES.items() for code in codes}
     groups: dict[str, list[int]] = {}
@@ -178,6 +182,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             pairs.append((a, b))
     w = np.zeros(((1 << BITS) + 1, len(weights)), np.float32)
     w[:-1] = np.stack(weights, axis=1)
+    del x
+    tx.release()
     return Model(names, families, pairs, w, np.array(biases))
 
 

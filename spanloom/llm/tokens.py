@@ -2,7 +2,7 @@
 
 The tokenizer's pre-tokenization never joins text across ASCII white space, so a text's ids are
 its words' ids in order. Each Python worker keeps the ids of the words it has met in sorted numpy
-arrays and asks the library only for new ones.
+arrays and asks the library only for new ones; words that it met once give way when the store is full.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
 
-#: Words kept per worker (about 40 bytes each); at this many the store starts anew. The library makes an object of
-#: about a thousand bytes for each word it is asked for, so it is asked for so many at a time.
-CACHE_WORDS, ASK_WORDS = 400_000, 4_000
+#: Words kept per worker (about 30 bytes each): beyond it, those met in one chunk only go. The library makes an
+#: object of about a thousand bytes for each word it is asked for, so it is asked for so many at a time.
+CACHE_WORDS, ASK_WORDS = 1_600_000, 4_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -36,11 +36,23 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, tx.U64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Drops the words that were met in one chunk only; all, where that leaves too many."""
+        keep = np.flatnonzero(self.again)
+        if len(keep) > CACHE_WORDS // 2:
+            return self._clear()
+        size = self.size[keep]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[keep] - ends + size, size)]
+        self.keys, self.size, self.at, self.again = self.keys[keep], size, (ends - size).astype(np.int32), np.zeros(len(keep), bool)
+        self.ids, self.used = np.concatenate([ids, np.zeros(1 << 16, np.uint32)]), len(ids)
+
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
         """This worker's encoder for ``path``."""
@@ -56,11 +68,12 @@ class WordEncoder:
             ids.append(np.fromiter((x for own in found for x in own), np.uint32, int(sizes[-1].sum())))
         size, new = np.concatenate(sizes), np.concatenate(ids)
         while self.used + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(new), len(self.ids) // 4), np.uint32)])
         self.ids[self.used : self.used + len(new)] = new
         where = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, where, size)
+        self.at = np.insert(self.at, where, (self.used + np.cumsum(size) - size).astype(np.int32))
+        self.size = np.insert(self.size, where, size.astype(np.int32))
+        self.again = np.insert(self.again, where, False)
         self.keys = np.insert(self.keys, where, keys)
         self.used += len(new)
 
@@ -71,14 +84,15 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         keys, first, inverse = np.unique(ws.hashes, return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_WORDS:
-            self._clear()
+            self._shrink()
         spot = np.searchsorted(self.keys, keys)
         known = spot < len(self.keys)
         known[known] = self.keys[spot[known]] == keys[known]
+        self.again[spot[known]] = True
         if not known.all():
             self._learn(keys[~known], [ws.text(i) for i in first[~known].tolist()])
             spot = np.searchsorted(self.keys, keys)
-        size, start = self.size[spot][inverse], self.at[spot][inverse]
+        size, start = self.size[spot][inverse].astype(np.int64), self.at[spot][inverse]
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)
         return self.ids[flat], ends[ws.row_at]
