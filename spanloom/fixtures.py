@@ -46,11 +46,14 @@ def _scores(names: list[str], value) -> Column:
 
 
 def window_replies(windows: DataFrame) -> DataFrame:
-    """A reply per window: video_id, window_idx, reply_json."""
+    """A reply per window: video_id, window_idx, reply_json. Some are missing, no JSON, no object, or have no usable scores."""
     v, k = F.col("video_id"), F.col("window_idx")
     base = (v * 31 + k * 17) % 101
     scores = _scores(list(fixed.CANDIDATE_WEIGHTS), lambda d: F.greatest(F.lit(0), F.least(F.lit(100), base + d * 5 - 15)))
-    return windows.select("video_id", "window_idx", F.to_json(F.struct(F.concat(F.lit("Window "), k.cast("string")).alias("title"), scores.alias("scores"), F.lit("why").alias("reason"))).alias("reply_json"))
+    good = F.to_json(F.struct(F.concat(F.lit("Window "), k.cast("string")).alias("title"), scores.alias("scores"), F.lit("why").alias("reason")))
+    odd = (v * 7 + k * 3) % 23
+    bad = F.when(odd == 1, F.lit(None)).when(odd == 2, F.lit('{"title":"list","scores":[1]}')).when(odd == 3, F.lit("not json")).when(odd == 4, F.lit("[1, 2]")).when(odd == 5, F.lit('{"reason":"bare"}'))
+    return windows.select("video_id", "window_idx", F.when(odd.between(1, 5), bad).otherwise(good).alias("reply_json"))
 
 
 def analysis_replies(candidates: DataFrame) -> DataFrame:
@@ -85,6 +88,8 @@ def analysis_replies(candidates: DataFrame) -> DataFrame:
         F.lit('{"content_type":"podcast","scores":'), scores,
         F.lit(',"retention_anchors":'), listed("importance", lambda h: (v * 7 + h * 31) % 101),
         F.lit(',"retention_risks":'), listed("severity", lambda h: (v * 11 + h * 17) % 101),
+        F.lit(',"open_loops":'), listed("strength", lambda h: (v * 13 + h * 19) % 101),
+        F.lit(',"pattern_interrupts":'), listed("importance", lambda h: (v * 17 + h * 23) % 101),
         F.lit(',"hook_variants":'), F.to_json(F.transform(ints(4), hook)),
         F.lit(',"variants":'), F.to_json(F.transform(ints(3), variant)), F.lit("}"),
     )
@@ -103,7 +108,12 @@ def detections(clips: DataFrame) -> DataFrame:
     return rows.select("video_id", "clip_idx", (i * 0.5).alias("t"), F.posexplode(boxes).alias("box_pos", "b")).select("video_id", "clip_idx", "t", "b.kind", "box_pos", "b.x", "b.y", "b.w", "b.h")
 
 
-def voices(clips: DataFrame) -> DataFrame:
-    """A spoken hook for two clips of three."""
+def voice_audio(hooks: DataFrame) -> DataFrame:
+    """The synthesised voice of each spoken hook: its length, or an error for some."""
     v = F.col("video_id")
-    return clips.where(v % 3 != 0).select("video_id", "clip_idx", F.lit("Nobody knew what came after, until now").alias("text"), F.lit("question").alias("type"), F.lit("en").alias("language"), (1.0 + v % 25 / 10).alias("hook_duration"))
+    return hooks.select("video_id", "clip_idx", (1.0 + v % 37 / 10).alias("hook_duration"), F.when(v % 10 == 3, "synthesis failed").alias("error"))
+
+
+def clip_files(clips: DataFrame) -> DataFrame:
+    """The clips whose file is there."""
+    return clips.where("(video_id + clip_idx) % 9 <> 0").select("video_id", "clip_idx")

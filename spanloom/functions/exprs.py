@@ -10,9 +10,9 @@ from spanloom.functions import fixed
 
 def clamp_score(value: Column) -> Column:
     """Text of a JSON value as an int from 0 to 100, rounded half to even; what is no number is 0, infinities are the ends."""
-    text = F.lower(F.trim(value.cast("string")))
-    number = F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))
-    return F.when(number.isNull() | F.isnan(number), 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)))).cast("int")
+    text = value.cast("string")
+    number = F.nanvl(F.coalesce(text.try_cast("double"), F.when(F.lower(F.trim(text)) == "true", 1.0), F.lit(0.0)), F.lit(0.0))
+    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), number))).cast("int")
 
 
 def bounded(value: Column, low, high) -> Column:
@@ -85,6 +85,10 @@ def ends_clause(word: Column) -> Column:
     return word.rlike(r"[,;:]\s*$")
 
 
+def has_pause(previous_end: Column, start: Column, least: float = 0.35) -> Column:
+    return start - previous_end >= least
+
+
 def clean_word(word: Column) -> Column:
     return F.coalesce(F.replace(strip(word), F.lit("\n"), F.lit(" ")), F.lit(""))
 

@@ -141,21 +141,45 @@ def item_weight(field: str) -> Column:
     return exprs.map_score(F.col("obj"), field, 50)
 
 
+#: The field of each kind of item that says how much it counts.
+ITEM_WEIGHTS = {"retention_anchors": "importance", "retention_risks": "severity", "open_loops": "strength", "pattern_interrupts": "importance"}
+
+
 def fallback_clips(analyses: DataFrame, reason: str = "retention_error") -> DataFrame:
     """Candidates whose reply failed, whole, scored as they were found."""
     rows = analyses.where(F.col("top").isNull())
     whole = F.bround(F.greatest(F.lit(0.0), F.col("end") - F.col("start")), 3)
-    return rows.select(*C, "start", "end", whole.alias("duration"), F.lit("extractive_fallback").alias("strategy"), F.lit(None).cast("string").alias("content_type"), F.lit(reason).alias("rationale"), F.col("score").alias("retention_score"), F.lit(1).cast("bigint").alias("n_pieces"))
+    none = F.create_map().cast("map<string,int>")
+    return rows.select(*C, "title", "reason", "start", "end", whole.alias("duration"), F.lit("extractive_fallback").alias("strategy"), F.lit(None).cast("string").alias("content_type"), F.lit(reason).alias("rationale"), none.alias("scores"), F.col("score").alias("retention_score"), F.lit(1).cast("bigint").alias("n_pieces"))
 
 
 def assemble(selected: DataFrame, analyses: DataFrame) -> DataFrame:
-    """One clip per candidate - the chosen variant, or the fallback - ranked in its video (clip_idx from 1)."""
-    ok = selected.join(analyses.where(F.col("top").isNotNull()).select(*C, F.coalesce(F.col("top")["content_type"], F.lit("general")).alias("content_type")), C)
+    """One clip per candidate - the chosen variant, or the fallback - ranked in its video (clip_idx from 1).
+
+    ``debug_index`` is the candidate's place from 1, by which audit records are named.
+    """
+    ok = selected.join(analyses.where(F.col("top").isNotNull()).select(*C, "title", "reason", F.coalesce(F.col("top")["content_type"], F.lit("general")).alias("content_type")), C)
     r = lambda c: F.bround(c, 3)
-    clips = ok.select(*C, r("clip_start").alias("start"), r("clip_end").alias("end"), r("duration").alias("duration"), F.lit("extractive").alias("strategy"), "content_type", "rationale", "retention_score", "n_pieces")
+    clips = ok.select(*C, "title", "reason", r("clip_start").alias("start"), r("clip_end").alias("end"), r("duration").alias("duration"), F.lit("extractive").alias("strategy"), "content_type", "rationale", "scores", "retention_score", "n_pieces")
     every = clips.unionByName(fallback_clips(analyses))
     order = Window.partitionBy("video_id").orderBy(F.desc("retention_score"), "cand_idx")
-    return every.withColumn("clip_idx", F.row_number().over(order))
+    return every.withColumns({"clip_idx": F.row_number().over(order), "debug_index": F.col("cand_idx") + 1})
+
+
+def fallback_pieces(analyses: DataFrame, reason: str = "retention_error") -> tuple[DataFrame, DataFrame]:
+    """The one segment and the one timeline entry of each fallback clip."""
+    rows = analyses.where(F.col("top").isNull())
+    role = F.lit("escalation").alias("role")
+    segment = rows.select(*C, F.lit(0).alias("seg_pos"), "start", "end", role, F.lit(reason).alias("reason"))
+    whole = F.bround(F.greatest(F.lit(0.0), F.col("end") - F.col("start")), 3)
+    line = rows.select(*C, F.lit(0).alias("index"), F.lit(0).alias("seg_pos"), F.col("start").alias("source_start"), F.col("end").alias("source_end"), F.lit(0.0).alias("target_start"), whole.alias("target_end"), role)
+    return segment, line
+
+
+def nested(rows: DataFrame, key: list[str], name: str, order: list[str]) -> DataFrame:
+    """Per key the rows as an array of structs ``name``, in the order of ``order``; the other columns follow in theirs."""
+    rest = [c for c in rows.columns if c not in key and c not in order]
+    return rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias(name))
 
 
 def cut_plan(clips: DataFrame, pieces: DataFrame, key: list[str], least: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -173,14 +197,16 @@ def cut_plan(clips: DataFrame, pieces: DataFrame, key: list[str], least: float =
     return plan, clips.join(plan.select(*key).distinct(), key, "left_anti")
 
 
-def run_summary(windows: DataFrame, candidates: DataFrame, clips: DataFrame, plan: DataFrame, limit: int = fixed.MAX_CANDIDATES) -> DataFrame:
-    """Per video windows, candidates kept, candidates past the limit, clips optimised and exported."""
+def run_summary(windows: DataFrame, candidates: DataFrame, clips: DataFrame, plan: DataFrame, voices: DataFrame | None = None, limit: int = fixed.MAX_CANDIDATES) -> DataFrame:
+    """Per video windows, candidates kept, candidates past the limit, clips optimised, exported and, of ``voices``, given a spoken hook."""
     counts = [
         windows.select("video_id", "window_idx").distinct().groupBy("video_id").agg(F.count("*").alias("windows")),
         candidates.groupBy("video_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("cand_idx") >= limit).alias("skipped")),
         clips.groupBy("video_id").agg(F.count("*").alias("clips")),
         plan.groupBy("video_id").agg(F.count_if(F.col("n") == 1).alias("exported")),
     ]
+    if voices is not None:
+        counts.append(voices.groupBy("video_id").agg(F.count_if("applied").alias("hooks_applied")))
     out = counts[0]
     for c in counts[1:]:
         out = out.join(c, "video_id", "left")

@@ -81,12 +81,35 @@ def tempo_factors(speed: Column) -> Column:
     return F.concat(twos, F.array(s / F.pow(F.lit(2.0), n)))
 
 
-def applied(clips: DataFrame, hooks: DataFrame, files: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Clips with a cut file and their voice-over record, and the clips that have no file.
+def fitted(duration: Column, most: float = fixed.VOICE_SECONDS) -> Column:
+    """How long a voice lasts once it fits: its own length, or ``most`` if it had to be sped up."""
+    return F.when(fit_speed(duration, most) == 1.0, duration).otherwise(max(0.1, most))
 
-    hooks: key, text, type, hook_score, language, hook_duration. A clip without a hook has applied = false and a reason.
+
+def applied(clips: DataFrame, hooks: DataFrame, audio: DataFrame, files: DataFrame, anchors: DataFrame, key: list[str], requested: str = "") -> tuple[DataFrame, DataFrame]:
+    """Clips with a cut file and their voice-over record, and the clips that have no file.
+
+    clips: key, duration. hooks: key, text, type, score, language (the chosen ones). audio: key, hook_duration of
+    the synthesised voice and ``error`` where synthesis failed. anchors: key, pos, start, end, importance in clip
+    time. ``applied`` is false without a hook (no_valid_generated_hook) or with an error, which is the reason then.
     """
-    found = clips.join(files.select(*key), key, "left_semi").join(hooks, key, "left")
+    found = clips.join(files.select(*key), key, "left_semi").select(*key, "duration")
+    rows = found.join(hooks.select(*key, "text", "type", F.col("score").alias("hook_score"), "language"), key, "left").join(audio.select(*key, F.col("hook_duration").alias("raw_duration"), "error"), key, "left")
     has = F.col("text").isNotNull()
-    rows = found.withColumns({"enabled": F.lit(True), "applied": has, "reason": F.when(~has, "no_valid_generated_hook")})
-    return rows, clips.join(files.select(*key), key, "left_anti")
+    failed = has & (F.col("error").isNotNull() | F.col("raw_duration").isNull())
+    reason = F.when(~has, "no_valid_generated_hook").when(failed, F.coalesce("error", F.lit("no audio")))
+    rows = rows.withColumns({"enabled": F.lit(True), "applied": has & ~failed, "reason": reason, "hook_duration": F.when(has & ~failed, fitted(F.col("raw_duration")))})
+    spoken = rows.where("applied")
+    named = routed(spoken, F.col("language"), F.lit(requested))
+    ranged = teasers(named, anchors, key)
+    timed = word_timings(spoken, key, "text", "hook_duration").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("w_idx", "word", "start", "end"))).alias("word_timings"))
+    r = lambda c: F.bround(c, 3)
+    teaser = F.struct(r(F.col("teaser_start")).alias("start"), r(F.col("teaser_end")).alias("end"), F.col("teaser_source").alias("source"))
+    transition = F.struct(
+        r(F.col("hook_duration")).alias("original_audio_start"), F.lit(True).alias("original_audio_muted_during_hook"), F.lit(False).alias("audio_ducking"),
+        F.lit(0.0).alias("ducking_volume"), F.lit("tts_fade_out_then_original_fade_in").alias("mode"), F.lit(fixed.VOICE_FADE).alias("fade_duration"),
+    )
+    detail = ranged.select(*key, "provider", "voice", teaser.alias("teaser"), transition.alias("transition")).join(timed, key, "left")
+    own = lambda c: F.when(F.col("applied"), F.col(c)).alias(c)
+    out = rows.join(detail, key, "left").select(*key, "enabled", "applied", "reason", own("text"), own("type"), own("hook_score"), own("language"), r(F.col("hook_duration")).alias("hook_duration"), "provider", "voice", "word_timings", "teaser", "transition")
+    return out, clips.join(files.select(*key), key, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import exprs, fixed
+from spanloom.operators.intervals import touching
 
 
 def video_ends(segments: DataFrame) -> DataFrame:
@@ -65,11 +66,13 @@ def suppress_overlaps(scored: DataFrame, least: int = fixed.MIN_CANDIDATE_SCORE,
     length bounds.
     """
     others = [c for c in scored.columns if c not in ("video_id", "window_idx", "score")]
-    row = F.struct((-F.col("score")).alias("rank"), "window_idx", "score", *others)
-    best = scored.where(F.col("score") >= least).groupBy("video_id").agg(F.collect_list(row).alias("rows"))
-    ordered = F.array_sort("rows", lambda a, b: F.when(a["rank"] != b["rank"], a["rank"] - b["rank"]).otherwise((a["window_idx"] - b["window_idx"]).cast("int")).cast("int"))
-    kept = F.aggregate(ordered, F.slice(ordered, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: exprs.overlap_ratio(k, x) >= limit), acc).otherwise(F.concat(acc, F.array(x))))
-    return best.select("video_id", F.posexplode(kept).alias("cand_idx", "r")).select("video_id", "cand_idx", "r.window_idx", "r.score", *(F.col(f"r.{c}") for c in others))
+    # Only what decides is folded; a video's rank and window order its rows, since both come first in the struct.
+    row = F.struct((-F.col("score")).alias("rank"), "window_idx", "start", "end")
+    good = scored.where(F.col("score") >= least)
+    best = good.groupBy("video_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: exprs.overlap_ratio(k, x) >= limit), acc).otherwise(F.concat(acc, F.array(x))))
+    places = best.select("video_id", F.posexplode(kept).alias("cand_idx", "r")).select("video_id", "cand_idx", "r.window_idx")
+    return places.join(good, ["video_id", "window_idx"]).select("video_id", "cand_idx", "window_idx", "score", *others)
 
 
 def best_candidates(candidates: DataFrame, limit: int = fixed.MAX_CANDIDATES) -> DataFrame:
@@ -86,8 +89,6 @@ def contexts(segments: DataFrame, candidates: DataFrame, before: float = fixed.C
 
 def context_segments(segments: DataFrame, bounds: DataFrame) -> DataFrame:
     """video_id, cand_idx, section (before, candidate, after, all), seg_idx, start, end, text; a segment may be in several."""
-    from spanloom.operators.intervals import touching
-
     met = touching(segments.select("video_id", "seg_idx", "start", "end", "text"), bounds.withColumns({"start": F.col("context_start"), "end": F.col("context_end")}))
     low, high = F.col("start"), F.col("end")
     inside = lambda a, b: (high >= F.col(a)) & (low <= F.col(b))

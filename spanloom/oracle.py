@@ -33,7 +33,8 @@ spans AS (SELECT DISTINCT video_id, window_idx, window_start AS start, window_en
 
 _SUM = " + ".join(f"{w} * greatest(0, least(100, (video_id * 31 + window_idx * 17) % 101 + {5 * d} - 15))" for d, w in enumerate(fixed.CANDIDATE_WEIGHTS.values()))
 _SCORED = f"""
-scored AS (SELECT *, greatest(0, least(100, round_even(({_SUM}) / 100.0::double, 0)))::int AS score FROM spans)"""
+odd AS (SELECT *, (video_id * 7 + window_idx * 3) % 23 AS odd FROM spans),
+scored AS (SELECT video_id, window_idx, start, "end", odd IN (3, 4, 5) AS bare, CASE WHEN odd IN (3, 4, 5) THEN 0 ELSE greatest(0, least(100, round_even(({_SUM}) / 100.0::double, 0))) END::int AS score FROM odd WHERE odd NOT IN (1, 2))"""
 
 # The greedy choice is a recursion over each recording's ranked windows.
 _CANDIDATES = """
@@ -58,18 +59,18 @@ line AS (SELECT video_id, cand_idx, seg_pos AS index, round_even(start, 3) AS so
   FROM pieces WINDOW o AS (PARTITION BY video_id, cand_idx ORDER BY seg_pos))"""
 
 
-def _pacing(spans: str, key: str) -> str:
-    """CTEs that measure ordered words ``ordered`` (key, word, start, end, o) of ``spans`` (key, duration)."""
+def _pacing(spans: str, key: str, p: str = "") -> str:
+    """CTEs that measure ordered words ``ordered`` (key, word, start, end, o) of ``spans`` (key, duration); ``p`` begins their names."""
     return rf"""
-tok AS (SELECT *, nullif(regexp_replace(lower(trim(word)), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g'), '') AS token FROM ordered),
-seq AS (SELECT *, last_value(token IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lead(start) OVER w AS nxt, greatest(0.0::double, lead(start) OVER w - "end") AS gap FROM tok WINDOW w AS (PARTITION BY {key} ORDER BY o)),
-agg AS (SELECT {key}, count(*) AS n, count(*) FILTER (WHERE token IN {_list(fixed.FILLERS)}) AS fillers, count(*) FILTER (WHERE token = before) AS repeats,
-  coalesce(sum(round_even(gap * 10000, 0)::bigint) FILTER (WHERE gap >= 0.75::double), 0) / 10000.0::double AS pause FROM seq GROUP BY ALL),
-raw AS (SELECT s.*, greatest(0.01::double, s.duration) AS d, coalesce(n, 0) AS n, coalesce(fillers, 0) AS fillers, coalesce(repeats, 0) AS repeats, coalesce(pause, 0.0::double) AS pause FROM {spans} s LEFT JOIN agg USING ({key})),
-pace AS (SELECT {key}, round_even(d, 3) AS duration, n AS word_count, round_even(n / d, 3) AS words_per_second, fillers AS filler_count, round_even(fillers / greatest(1, n)::double, 4) AS filler_ratio, repeats AS repeated_word_count, round_even(pause, 3) AS long_pause_seconds,
+{p}tok AS (SELECT *, nullif(regexp_replace(lower(trim(word)), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g'), '') AS token FROM {p}ordered),
+{p}seq AS (SELECT *, last_value(token IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lead(start) OVER w AS nxt, greatest(0.0::double, lead(start) OVER w - "end") AS gap FROM {p}tok WINDOW w AS (PARTITION BY {key} ORDER BY o)),
+{p}agg AS (SELECT {key}, count(*) AS n, count(*) FILTER (WHERE token IN {_list(fixed.FILLERS)}) AS fillers, count(*) FILTER (WHERE token = before) AS repeats,
+  coalesce(sum(round_even(gap * 10000, 0)::bigint) FILTER (WHERE gap >= 0.75::double), 0) / 10000.0::double AS pause FROM {p}seq GROUP BY ALL),
+{p}raw AS (SELECT s.*, greatest(0.01::double, s.duration) AS d, coalesce(n, 0) AS n, coalesce(fillers, 0) AS fillers, coalesce(repeats, 0) AS repeats, coalesce(pause, 0.0::double) AS pause FROM {spans} s LEFT JOIN {p}agg USING ({key})),
+{p}pace AS (SELECT {key}, round_even(d, 3) AS duration, n AS word_count, round_even(n / d, 3) AS words_per_second, fillers AS filler_count, round_even(fillers / greatest(1, n)::double, 4) AS filler_ratio, repeats AS repeated_word_count, round_even(pause, 3) AS long_pause_seconds,
   round_even(greatest(0, least(100, 100.0::double - least(35.0::double, pause / d * 120.0::double) - least(25.0::double, fillers / greatest(1, n)::double * 180.0::double) - least(15.0::double, repeats / greatest(1, n)::double * 120.0::double)
    - CASE WHEN n / d < 1.45::double THEN least(22.0::double, (1.45::double - n / d) * 18.0::double) WHEN n / d > 4.4::double THEN least(14.0::double, (n / d - 4.4::double) * 6.0::double) ELSE 0.0::double END)), 0)::int AS pacing_score,
-  round_even(greatest(0, least(100, 30.0::double + greatest(0, n - fillers - repeats) / d * 20.0::double)), 0)::int AS information_density_proxy FROM raw)"""
+  round_even(greatest(0, least(100, 30.0::double + greatest(0, n - fillers - repeats) / d * 20.0::double)), 0)::int AS information_density_proxy FROM {p}raw)"""
 
 
 _INSIDE = """
@@ -95,12 +96,148 @@ def _with(ctes: str, select: str) -> str:
 
 
 _C = "video_id, cand_idx"
+_V = "video_id, cand_idx, variant_pos"
+
+#: Replies that are JSON objects, and the bounds that edits snap to.
+_GOOD = f"""{_CONTEXT},
+good AS (SELECT b.*, xs, xe, cs, ce FROM best b JOIN ctx USING ({_C}) WHERE b.video_id % 13 <> 0 AND b.video_id % 17 <> 0),
+bs AS (SELECT DISTINCT * FROM (SELECT c.video_id, c.cand_idx, s.start AS bound FROM ctx c JOIN segments s ON s.video_id = c.video_id AND s.start <= xe AND s."end" >= xs
+  UNION ALL SELECT c.video_id, c.cand_idx, w.start FROM ctx c JOIN words w ON w.video_id = c.video_id AND seg_start <= xe AND seg_end >= xs AND w.start BETWEEN xs AND xe)),
+be AS (SELECT DISTINCT * FROM (SELECT c.video_id, c.cand_idx, s."end" AS bound FROM ctx c JOIN segments s ON s.video_id = c.video_id AND s.start <= xe AND s."end" >= xs
+  UNION ALL SELECT c.video_id, c.cand_idx, w."end" FROM ctx c JOIN words w ON w.video_id = c.video_id AND seg_start <= xe AND seg_end >= xs AND w."end" BETWEEN xs AND xe))"""
+
+_ROLES = "[" + ", ".join(f"'{r}'" for r in [*fixed.ROLES, "bridge"]) + "]"
+
+
+def _snapped(table: str, at: str, bounds: str, out: str) -> str:
+    """``table`` (with a unique ``id``) and column ``out``: ``at`` at the nearest bound within reach."""
+    return f"""(SELECT t.*, coalesce(n.b, t.{at}) AS {out} FROM {table} t LEFT JOIN (SELECT id, min({{'f': abs(bound - {at}), 'b': bound}}).b AS b FROM {table} t JOIN {bounds} b ON b.video_id = t.video_id AND b.cand_idx = t.cand_idx AND abs(bound - {at}) <= {fixed.SNAP_SECONDS}::double GROUP BY id) n USING (id))"""
+
+
+#: Proposed edits, cut, snapped and merged; variants of an allowed length and every candidate as it is.
+_VARIANTS = f"""
+prop AS (SELECT row_number() OVER () AS id, * FROM (SELECT video_id, cand_idx, j AS variant_pos, q AS seg_pos, greatest(xs, least(xe, s)) AS s, greatest(xs, least(xe, s + 1 + (q + j) % 9)) AS e, {_ROLES}[(q + j) % 7 + 1] AS role, 'r' || q AS reason
+  FROM (SELECT *, start + (q * 11 + j * 7 + video_id) % 40 + 0.137::double AS s FROM good, (SELECT unnest(range(0, {fixed.MAX_VARIANTS}))::int AS j), (SELECT unnest(range(0, {fixed.MAX_SEGMENTS}))::int AS q) WHERE NOT (j = 1 AND video_id % 4 = 0)))),
+snap1 AS {_snapped("prop", "s", "bs", "s2")},
+snap2 AS {_snapped("snap1", "e", "be", "e2")},
+long_ AS (SELECT {_V}, seg_pos, round_even(s2, 3) AS s, round_even(e2, 3) AS e, role, reason FROM snap2 WHERE e2 - s2 >= {fixed.MIN_SEGMENT}::double),
+once AS (SELECT * FROM (SELECT *, coalesce(lag(s) OVER o = s AND lag(e) OVER o = e, false) AS same FROM long_ WINDOW o AS (PARTITION BY {_V} ORDER BY seg_pos)) WHERE NOT same),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY {_V} ORDER BY seg_pos) AS isle FROM (SELECT *, CASE WHEN s - lag(e) OVER o BETWEEN 0 AND {fixed.MERGE_GAP}::double AND lag(role) OVER o = role THEN 0 ELSE 1 END AS fresh FROM once WINDOW o AS (PARTITION BY {_V} ORDER BY seg_pos))),
+merged AS (SELECT {_V}, min(seg_pos) AS seg_pos, arg_min(s, seg_pos) AS start, arg_max(e, seg_pos) AS "end", arg_min(role, seg_pos) AS role, string_agg(reason, '; ' ORDER BY seg_pos) AS reason FROM isle GROUP BY {_V}, isle),
+cost AS (SELECT {_V}, sum(round_even(greatest(0.0::double, "end" - start) * 1000, 0)::bigint) / 1000.0::double AS duration, (greatest(0, count(*) - 4) * 1.5 + count(*) FILTER (WHERE start < ps) * 6.0 + count(*) FILTER (WHERE start >= ps AND start - pe > 20) * 2.0)::double AS edit_penalty, min(start) AS clip_start, max("end") AS clip_end, count(*) AS n_pieces
+  FROM (SELECT *, lag(start) OVER o AS ps, lag("end") OVER o AS pe FROM merged WINDOW o AS (PARTITION BY {_V} ORDER BY seg_pos)) GROUP BY {_V}),
+vars AS (SELECT {_V}, 'v' || variant_pos AS name, '' AS rationale, duration, edit_penalty, clip_start, clip_end, n_pieces FROM cost WHERE duration BETWEEN {fixed.MIN_CLIP * 0.65!r}::double AND {fixed.MAX_CLIP * 1.20!r}::double
+  UNION ALL SELECT {_C}, 1000, 'original_fallback', 'original candidate', round_even(greatest(0.0::double, "end" - start), 3), 0.0::double, start, "end", 1 FROM good),
+vpieces AS (SELECT m.* FROM merged m SEMI JOIN vars USING ({_V}) UNION ALL SELECT {_C}, 1000, 0, start, "end", 'escalation', 'original_candidate' FROM good)"""
+
+_KEYS = list(fixed.RETENTION_WEIGHTS)
+
+
+def _reply_score(d: int) -> str:
+    own = f"(video_id * 29 + cand_idx * 19 + {13 * d}) % 101"
+    odd = {1: f"CASE WHEN video_id % 11 = 0 THEN 85 ELSE {own} END", 2: f"CASE WHEN video_id % 7 = 0 THEN 0 ELSE {own} END", 3: f"CASE WHEN video_id % 5 = 0 THEN 50 ELSE {own} END"}
+    return f"({odd.get(d, own)})"
+
+
+def _blended(d: int) -> str:
+    name, own = _KEYS[d], _reply_score(d)
+    if name == "pacing":
+        own = f"round_even(({own} * 60 + pacing_score * 40) / 100.0::double, 0)"
+    if name == "information_density":
+        own = f"round_even(({own} * 70 + information_density_proxy * 30) / 100.0::double, 0)"
+    return f"{own}::int AS {name}"
+
+
+_WEIGHED = " + ".join(f"{w} * {k}" for k, w in fixed.RETENTION_WEIGHTS.items())
+#: Measured and scored variants, the chosen one of each candidate, and the clips.
+_CLIPS = rf"""
+vlaid AS (SELECT *, greatest(0.0::double, "end" - start) AS len, coalesce(sum(greatest(0.0::double, "end" - start)) OVER (PARTITION BY {_V} ORDER BY seg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::double) AS at_ FROM vpieces),
+vdur AS (SELECT {_V}, sum(len) AS duration FROM vlaid GROUP BY {_V}),
+vordered AS (SELECT p.video_id, p.cand_idx, p.variant_pos, word, at_ + greatest(0.0::double, w.start - p.start) AS start, at_ + least(len, greatest(0.0::double, w."end" - p.start)) AS "end", row_number() OVER (PARTITION BY p.video_id, p.cand_idx, p.variant_pos ORDER BY seg_pos, w.start, w."end", seg_idx, word_idx) AS o
+  FROM vlaid p JOIN words w ON w.video_id = p.video_id AND len > 0 AND (w.start + w."end") / 2.0::double BETWEEN p.start AND p."end" AND seg_end >= p.start AND seg_start <= p."end"),
+{_pacing("vdur", _V, "v")},
+vscored AS (SELECT v.*, {", ".join(_blended(d) for d in range(8))}, word_count FROM vars v JOIN vpace USING ({_V})),
+vfinal AS (SELECT *, greatest(0, least(100, round_even(({_WEIGHED} - greatest(0.0::double, edit_penalty) * 100) / 100.0::double, 0)))::int AS retention_score FROM vscored),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY retention_score DESC, variant_pos) AS pl FROM vfinal) WHERE pl = 1),
+cpieces AS (SELECT p.* FROM vpieces p SEMI JOIN chosen c USING ({_V})),
+clips AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY retention_score DESC, cand_idx)::int AS clip_idx FROM (
+  SELECT c.video_id, c.cand_idx, g.window_idx, round_even(clip_start, 3) AS start, round_even(clip_end, 3) AS "end", round_even(duration, 3) AS duration, 'extractive' AS strategy, 'podcast' AS content_type, rationale, hook AS hook_points, retention_score, n_pieces FROM chosen c JOIN good g USING ({_C})
+  UNION ALL SELECT video_id, cand_idx, window_idx, start, "end", round_even(greatest(0.0::double, "end" - start), 3), 'extractive_fallback', NULL, 'retention_error', NULL, score, 1 FROM best b WHERE b.video_id % 13 = 0 OR b.video_id % 17 = 0)),
+cline AS (SELECT * FROM (SELECT {_C}, (row_number() OVER o - 1)::int AS index, round_even(start, 3) AS source_start, round_even("end", 3) AS source_end, greatest(0.0::double, "end" - start) AS len,
+  round_even(coalesce(sum(greatest(0.0::double, "end" - start)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::double), 3) AS target_start,
+  round_even(coalesce(sum(greatest(0.0::double, "end" - start)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::double) + greatest(0.0::double, "end" - start), 3) AS target_end, role FROM cpieces WINDOW o AS (PARTITION BY {_C} ORDER BY seg_pos)) WHERE len > 0)"""
+
+#: Annotations of the replies and measured pauses, in edited time.
+_MAPPED = rf"""
+durations AS (SELECT {_C}, ce - cs AS duration FROM ctx),
+ordered AS (SELECT s.video_id, s.cand_idx, word, w.start, w."end", row_number() OVER (PARTITION BY s.video_id, s.cand_idx ORDER BY w.start, w."end", seg_idx, word_idx) AS o
+  FROM ctx s JOIN words w ON w.video_id = s.video_id AND (w.start + w."end") / 2.0::double BETWEEN cs AND ce AND seg_end >= cs AND seg_start <= ce),
+{_pacing("durations", _C)},
+pauses AS (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY start, "end") - 1 AS place FROM (SELECT {_C}, round_even("end", 3) AS start, round_even(nxt, 3) AS "end", least(100, round_even(45 + gap * 25, 0)::int) AS weight FROM seq WHERE gap >= 0.75::double)),
+noted AS (SELECT video_id, cand_idx, kind, h AS pos, start + (h * 9 + video_id) % 40 AS start, start + (h * 9 + video_id) % 40 + 3 AS "end",
+  CASE kind WHEN 'retention_anchors' THEN (video_id * 7 + h * 31) % 101 WHEN 'retention_risks' THEN (video_id * 11 + h * 17) % 101 WHEN 'open_loops' THEN (video_id * 13 + h * 19) % 101 ELSE (video_id * 17 + h * 23) % 101 END::int AS weight
+  FROM good, (SELECT unnest([0, 1, 2, 3, 4, 6])::int AS h), (SELECT unnest(['retention_anchors', 'retention_risks', 'open_loops', 'pattern_interrupts']) AS kind)
+  UNION ALL SELECT video_id, cand_idx, 'retention_risks', (1000000 + place)::int, start, "end", weight FROM pauses),
+citems AS (SELECT video_id, cand_idx, kind, pos, round_even(target_start + (lo - source_start), 3) AS start, round_even(target_start + (hi - source_start), 3) AS "end", weight, index, round_even(lo, 3) AS source_start, round_even(hi, 3) AS source_end
+  FROM (SELECT i.video_id, i.cand_idx, kind, pos, weight, index, target_start, greatest(i.start, source_start) AS lo, least(i."end", source_end) AS hi, source_start FROM noted i JOIN cline l ON l.video_id = i.video_id AND l.cand_idx = i.cand_idx) WHERE hi > lo),
+ccells AS (SELECT {_C}, b AS bucket, (b * 5.0)::double AS start, least(duration, (b + 1) * 5.0::double) AS "end" FROM (SELECT *, unnest(range(0, ceil((duration - 1e-6) / 5.0::double)::int))::int AS b FROM clips WHERE strategy = 'extractive' AND duration > 0)),
+cmass AS (SELECT c.video_id, c.cand_idx, bucket, sum(round_even((least(c."end", m."end") - greatest(c.start, m.start)) * 1000, 0)::bigint * weight * CASE WHEN kind = 'retention_anchors' THEN 45 ELSE -55 END)::bigint AS mass
+  FROM ccells c JOIN citems m ON m.video_id = c.video_id AND m.cand_idx = c.cand_idx AND kind IN ('retention_anchors', 'retention_risks') AND least(c."end", m."end") > greatest(c.start, m.start) GROUP BY ALL),
+cbuckets AS (SELECT c.*, greatest(0, least(100, round_even(60.0::double + coalesce(mass, 0) / (greatest(1, round_even(("end" - start) * 1000, 0)::bigint) * 100)::double, 0)))::int AS score FROM ccells c LEFT JOIN cmass USING ({_C}, bucket)),
+ccut AS (SELECT b.video_id, b.cand_idx, b.start AS cs, b."end" AS ce, seg_pos, p.start AS o, greatest(p.start, b.start) AS s, least(p."end", b."end") AS e FROM good b JOIN cpieces p ON p.video_id = b.video_id AND p.cand_idx = b.cand_idx AND p."end" > b.start AND p.start < b."end"),
+cgaps AS (SELECT *, greatest(cs, coalesce(max(e) OVER (PARTITION BY {_C} ORDER BY o, seg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), cs)) AS at_ FROM ccut),
+cremoved AS (SELECT {_C}, round_even(at_, 3) AS start, round_even(s, 3) AS "end", 'not_selected_by_retention_edit' AS reason FROM cgaps WHERE s > at_ + 0.15::double
+  UNION ALL SELECT {_C}, round_even(last, 3), round_even(ce, 3), 'not_selected_by_retention_edit' FROM (SELECT b.video_id, b.cand_idx, b."end" AS ce, coalesce(max(e), b.start) AS last FROM good b LEFT JOIN ccut c ON c.video_id = b.video_id AND c.cand_idx = b.cand_idx GROUP BY b.video_id, b.cand_idx, b."end", b.start) WHERE last < ce - 0.15::double)"""
+
+_GIVEN = {"curiosity": "((video_id * 3 + h * 11) % 101)", "relevance": "((video_id * 5 + h * 7) % 101)", "brevity": "brevity"}
+_HOOK_SUM = " + ".join(f"{w} * {_GIVEN.get(k, fixed.HOOK_DEFAULTS.get(k))}" for k, w in fixed.HOOK_WEIGHTS.items())
+#: Hooks of the replies, normalised and scored.
+_HOOKS = f"""
+hraw AS (SELECT *, h % 2 = 0 AS generated, (video_id + h) % 6 = 0 AS weak, CASE WHEN (video_id + h) % 5 <> 0 THEN 1 ELSE 0 END::bigint AS n_evidence, 2 * (4 + h * 5) + CASE WHEN (video_id + h) % 6 = 0 THEN 3 ELSE 0 END AS n FROM good, (SELECT unnest(range(0, 5))::int AS h)),
+hnum AS (SELECT *, CASE WHEN n <= 8 THEN 100 WHEN n <= 10 THEN 94 WHEN n <= 12 THEN 86 WHEN n <= 14 THEN 70 ELSE greatest(20, 70 - (n - 14) * 8) END::int AS brevity FROM hraw),
+hooks AS (SELECT {_C}, h AS hook_pos, CASE WHEN weak THEN 'Did you know ' ELSE '' END || array_to_string(list_transform(range(1, 5 + h * 5), lambda x: 'the w' || x), ' ') AS text, 'question' AS type, generated, 'en' AS language, n_evidence, brevity, ({_GIVEN["curiosity"]})::int AS curiosity,
+  greatest(0, least(100, round_even((({_HOOK_SUM}) - CASE WHEN weak THEN 1800 ELSE 0 END - CASE WHEN generated AND n_evidence = 0 THEN 1200 ELSE 0 END) * 100 / 10000.0::double, 0)))::int AS score,
+  CASE WHEN NOT generated THEN greatest(xs, least(xe, start + h)) END AS source_start, CASE WHEN NOT generated THEN greatest(xs, least(xe, start + h + 2)) END AS source_end, CASE WHEN generated THEN 'voiceover_tts_candidate' ELSE 'extractive_audio' END AS application, weak, n
+  FROM hnum WHERE generated OR greatest(xs, least(xe, start + h + 2)) > greatest(xs, least(xe, start + h))),
+hbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score - CASE WHEN generated THEN 8 ELSE 0 END DESC, hook_pos) AS pl FROM hooks) WHERE pl = 1),
+hvoice AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score DESC, hook_pos) AS pl FROM hooks WHERE generated AND n_evidence > 0 AND NOT weak AND n <= {fixed.VOICE_MAX_WORDS} AND score >= {fixed.VOICE_MIN_SCORE}) WHERE pl = 1)"""
+
+_TO_GOOD = f"{_TO_BEST},{_GOOD}"
+_TO_CLIPS = f"{_TO_GOOD},{_VARIANTS},{_CLIPS}"
+_TO_ALL = f"{_TO_CLIPS},{_MAPPED},{_HOOKS}"
+
+#: Spoken hooks: the chosen one of each clip with a file, its voice, teaser and last word.
+_VOICES = rf"""
+filed AS (SELECT * FROM clips WHERE (video_id + clip_idx) % 9 <> 0),
+spoken AS (SELECT f.video_id, f.clip_idx, f.cand_idx, f.duration, h.text, h.type, h.score, h.language, h.n, 1.0::double + f.video_id % 37 / 10.0::double AS raw, f.video_id % 10 = 3 AS failed FROM filed f LEFT JOIN hvoice h ON h.video_id = f.video_id AND h.cand_idx = f.cand_idx),
+timed AS (SELECT *, text IS NOT NULL AND NOT failed AS applied, CASE WHEN raw <= {fixed.VOICE_SECONDS + 0.02!r}::double THEN raw ELSE {fixed.VOICE_SECONDS!r}::double END AS fit FROM spoken),
+top AS (SELECT {_C}, max({{'w': weight::double, 'p': -(pos::bigint * 1048576 + index), 's': start, 'e': "end"}}) AS a FROM citems WHERE kind = 'retention_anchors' GROUP BY {_C}),
+tease AS (SELECT t.*, a, least(greatest(0.1::double, fit), greatest(0.1::double, duration)) AS hd FROM timed t LEFT JOIN top USING ({_C})),
+teased AS (SELECT *, CASE WHEN a IS NULL THEN 0.0::double ELSE greatest(0.0::double, least(greatest(0.0::double, duration - hd), greatest(a.s, (a.s + a.e) / 2.0::double) - hd / 2.0::double)) END AS ts FROM tease),
+wts AS (SELECT video_id, clip_idx, least(8, greatest(1, length(word))) AS k, word, i, fit FROM (SELECT *, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM timed WHERE applied)),
+wsum AS (SELECT *, sum(k) OVER (PARTITION BY video_id, clip_idx ORDER BY i)::bigint AS upto, sum(k) OVER (PARTITION BY video_id, clip_idx)::bigint AS total, round_even(fit * 10000, 0)::bigint AS t FROM wts),
+wlast AS (SELECT video_id, clip_idx, word AS last_word, total AS n_k, round_even(t * (upto - k) / total::double, 0) / 10000.0::double AS last_start, i AS n_timings FROM wsum WHERE upto = total)"""
+
+
+_W = "video_id, window_idx"
+#: Words of the windows in order, parted at sentences' ends and pauses.
+_IDEAS = """
+inw AS (SELECT s.video_id, s.window_idx, w.word, w.start, w."end", row_number() OVER (PARTITION BY s.video_id, s.window_idx ORDER BY seg_idx, word_idx) - 1 AS place
+  FROM spans s JOIN words w ON w.video_id = s.video_id AND (w.start + w."end") / 2.0::double BETWEEN s.start AND s."end" AND seg_end >= s.start AND seg_start <= s."end"),
+parted AS (SELECT *, regexp_matches(lag(word) OVER o, '[.!?]["\'\']?$') OR start - lag("end") OVER o >= 0.55::double AS c FROM inw WINDOW o AS (PARTITION BY video_id, window_idx ORDER BY place)),
+ideas AS (SELECT video_id, window_idx, place, word, start, "end", sum(CASE WHEN c THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, window_idx ORDER BY place)::bigint AS span FROM parted)"""
+
+
+def _case(values: list[str], by: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{by}]"
+
+
 SQL: dict[str, str] = {
     "timed_words": _with(_BASE, "SELECT * FROM words"),
     "timed_segments": _with(_BASE, "SELECT * FROM segments"),
     "sliding_windows": _with(_TO_WINDOWS, "SELECT video_id, window_idx, window_start, window_end, seg_idx FROM links"),
     "window_text": _with(_TO_WINDOWS, """SELECT video_id, window_idx, any_value(window_start) AS start, any_value(window_end) AS "end", string_agg(printf('[%.1fs - %.1fs] %s' || chr(10), round_even(start, 1), round_even("end", 1), text), '' ORDER BY seg_idx) AS text FROM links GROUP BY ALL"""),
-    "window_scores": _with(",".join([_TO_WINDOWS, _SCORED]), "SELECT video_id, window_idx, 'Window ' || window_idx AS title, greatest(0, least(100, (video_id * 31 + window_idx * 17) % 101 - 15))::int AS hook, greatest(0, least(100, (video_id * 31 + window_idx * 17) % 101 + 15))::int AS density, score FROM scored"),
+    "window_scores": _with(",".join([_TO_WINDOWS, _SCORED]), "SELECT video_id, window_idx, CASE WHEN bare THEN 'Untitled' ELSE 'Window ' || window_idx END AS title, CASE WHEN bare THEN 0 ELSE greatest(0, least(100, (video_id * 31 + window_idx * 17) % 101 - 15)) END::int AS hook, CASE WHEN bare THEN 0 ELSE greatest(0, least(100, (video_id * 31 + window_idx * 17) % 101 + 15)) END::int AS density, score FROM scored"),
     "candidates": _with(_TO_BEST, "SELECT * FROM cands"),
     "context_segments": _with(
         f"{_TO_BEST},{_CONTEXT}",
@@ -148,13 +285,7 @@ SQL: dict[str, str] = {
         y AS (SELECT *, sum(k) OVER (PARTITION BY video_id, seg_idx ORDER BY w_idx)::bigint AS upto, sum(k) OVER (PARTITION BY video_id, seg_idx)::bigint AS total FROM x)""" % _WORDS,
         """SELECT video_id, seg_idx, w_idx::int AS w_idx, word, round_even(t * (upto - k) / total::double, 0) / 10000.0::double AS start, CASE WHEN upto = total THEN t ELSE greatest(round_even(t * (upto - k) / total::double, 0) + 100, round_even(t * upto / total::double, 0)) END / 10000.0::double AS "end" FROM (SELECT *, round_even(d * 10000, 0)::bigint AS t FROM y)""",
     ),
-    "idea_spans": _with(
-        f"""{_TO_WINDOWS},
-        inw AS (SELECT s.video_id, s.window_idx, w.word, w.start, w."end", row_number() OVER (PARTITION BY s.video_id, s.window_idx ORDER BY seg_idx, word_idx) - 1 AS place
-          FROM spans s JOIN words w ON w.video_id = s.video_id AND s.window_idx % 2 = 0 AND (w.start + w."end") / 2.0::double BETWEEN s.start AND s."end" AND seg_end >= s.start AND seg_start <= s."end"),
-        cut AS (SELECT *, regexp_matches(lag(word) OVER o, '[.!?]["'']?$') OR start - lag("end") OVER o >= 0.55::double AS c FROM inw WINDOW o AS (PARTITION BY video_id, window_idx ORDER BY place))""",
-        """SELECT video_id, window_idx, place::int AS place, word, start, "end", sum(CASE WHEN c THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, window_idx ORDER BY place)::bigint AS span FROM cut""",
-    ),
+    "idea_spans": _with(f"{_TO_WINDOWS},{_IDEAS}", f"""SELECT {_W}, place::int AS place, word, start, "end", span FROM ideas"""),
     "text_functions": _with(
         _BASE,
         rf"""SELECT video_id, seg_idx, n AS n_words, (CASE WHEN n <= 0 THEN 0 WHEN n <= 8 THEN 100 WHEN n <= 10 THEN 94 WHEN n <= 12 THEN 86 WHEN n <= 14 THEN 70 ELSE greatest(20, 70 - (n - 14) * 8) END)::bigint AS brevity,
@@ -162,4 +293,113 @@ SQL: dict[str, str] = {
         regexp_matches(lower(text), '^(?:{"|".join(w.replace("'", "''") for w in fixed.WEAK_PREFIXES)})') AS weak, replace(replace(replace(text, '\', '\\'), '{{', '\{{'), '}}', '\}}') AS escaped
         FROM (SELECT *, ' ' || lower(text) || ' ' AS p, len(regexp_split_to_array(trim(text), '\s+'))::bigint AS n FROM segments)""",
     ),
+    "discovered": _with(_TO_BEST, """SELECT video_id, cand_idx, window_idx, 'Window ' || window_idx AS title, start, "end", score FROM cands"""),
+    "context_text": _with(
+        f"""{_TO_BEST},{_CONTEXT},
+        hundredths AS (SELECT *, a // 10 + CASE WHEN a % 10 > 5 OR (a % 10 = 5 AND a // 10 % 2 = 1) THEN 1 ELSE 0 END AS h1, z // 10 + CASE WHEN z % 10 > 5 OR (z % 10 = 5 AND z // 10 % 2 = 1) THEN 1 ELSE 0 END AS h2 FROM (SELECT *, round(start * 1000)::bigint AS a, round("end" * 1000)::bigint AS z FROM segments)),
+        met AS (SELECT c.video_id, c.cand_idx, seg_idx, printf('[%d.%02d-%d.%02d] %s', h1 // 100, h1 % 100, h2 // 100, h2 % 100, trim(text)) AS line, s."end" >= xs AND start <= cs AS b, s."end" >= cs AND start <= ce AS c, s."end" >= ce AND start <= xe AS a FROM ctx c JOIN hundredths s ON s.video_id = c.video_id AND s."end" >= xs AND s.start <= xe AND trim(text) <> ''),
+        three AS (SELECT {_C}, concat_ws(chr(10), 'CONTEXT_BEFORE', string_agg(line, chr(10) ORDER BY seg_idx) FILTER (WHERE b)) AS b, concat_ws(chr(10), 'CANDIDATE', string_agg(line, chr(10) ORDER BY seg_idx) FILTER (WHERE c)) AS c, concat_ws(chr(10), 'CONTEXT_AFTER', string_agg(line, chr(10) ORDER BY seg_idx) FILTER (WHERE a)) AS a FROM ctx LEFT JOIN met USING ({_C}) GROUP BY {_C}),
+        full_text AS (SELECT *, concat_ws(chr(10) || chr(10), b, c, a) AS payload, floor(greatest(0, {fixed.CONTEXT_CHARS} - length(c) - 20) / 2)::int AS half FROM three),
+        cut AS (SELECT {_C}, CASE WHEN length(payload) <= {fixed.CONTEXT_CHARS} THEN payload ELSE left(CASE WHEN half > 0 THEN right(b, half) ELSE '' END || chr(10) || chr(10) || c || chr(10) || chr(10) || CASE WHEN half > 0 THEN left(a, half) ELSE '' END, {fixed.CONTEXT_CHARS}) END AS text FROM full_text)""",
+        f"SELECT {_C}, length(text)::bigint AS n_chars, md5(text) AS text_md5 FROM cut",
+    ),
+    "pacing_edits": _with(
+        f"""{_TO_PIECES},
+        laid AS (SELECT *, "end" - start AS len, coalesce(sum("end" - start) OVER (PARTITION BY {_C} ORDER BY seg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::double) AS at_ FROM pieces),
+        durations AS (SELECT {_C}, sum(len) AS duration FROM laid GROUP BY {_C}),
+        ordered AS (SELECT p.video_id, p.cand_idx, word, at_ + greatest(0.0::double, w.start - p.start) AS start, at_ + least(len, greatest(0.0::double, w."end" - p.start)) AS "end", row_number() OVER (PARTITION BY p.video_id, p.cand_idx ORDER BY seg_pos, w.start, w."end", seg_idx, word_idx) AS o
+          FROM laid p JOIN words w ON w.video_id = p.video_id AND (w.start + w."end") / 2.0::double BETWEEN p.start AND p."end" AND seg_end >= p.start AND seg_start <= p."end"),
+        {_pacing("durations", _C)}""",
+        "SELECT * FROM pace",
+    ),
+    "edit_bounds": _with(_TO_GOOD, f"SELECT {_C}, bound, 'start' AS side FROM bs UNION ALL SELECT {_C}, bound, 'end' FROM be"),
+    "snapped_points": _with(f"{_TO_PIECES},{_GOOD}, points AS (SELECT row_number() OVER () AS id, {_C}, seg_pos, start AS s FROM pieces), moved AS {_snapped('points', 's', 'bs', 'at_')}", f"SELECT {_C}, seg_pos, at_ AS at FROM moved"),
+    "hook_scores": _with(f"{_TO_GOOD},{_HOOKS}", f"SELECT {_C}, hook_pos, text, type, generated, language, n_evidence, brevity, curiosity, score, source_start, source_end, application FROM hooks"),
+    "hook_best": _with(f"{_TO_GOOD},{_HOOKS}", f"SELECT {_C}, hook_pos, score, generated FROM hbest"),
+    "hook_voice": _with(f"{_TO_GOOD},{_HOOKS}", f"SELECT {_C}, hook_pos, score, text FROM hvoice"),
+    "variant_pieces": _with(f"{_TO_GOOD},{_VARIANTS}", f'SELECT {_V}, seg_pos, start, "end", role, reason FROM vpieces'),
+    "variant_scores": _with(_TO_CLIPS, f"SELECT {_V}, name, duration, edit_penalty, {', '.join(_KEYS)}, word_count, retention_score FROM vfinal"),
+    "clips": _with(_TO_CLIPS, f"""SELECT {_C}, clip_idx, cand_idx + 1 AS debug_index, 'Window ' || window_idx AS title, start, "end", duration, strategy, content_type, rationale, hook_points, retention_score, n_pieces FROM clips"""),
+    "clip_segments": _with(_TO_CLIPS, f'SELECT {_C}, seg_pos, start, "end", role, reason FROM cpieces'),
+    "clip_timeline": _with(_TO_CLIPS, f"SELECT {_C}, index, source_start, source_end, target_start, target_end, role FROM cline"),
+    "clip_items": _with(_TO_ALL, "SELECT * FROM citems"),
+    "clip_buckets": _with(_TO_ALL, f"""SELECT {_C}, bucket, round_even(start, 3) AS start, round_even("end", 3) AS "end", score, CASE WHEN score >= 80 THEN 'very_good' WHEN score >= 65 THEN 'good' WHEN score >= 45 THEN 'medium' ELSE 'retention_hole' END AS label FROM cbuckets"""),
+    "clip_removed": _with(_TO_ALL, "SELECT * FROM cremoved"),
+    "clip_cuts": _with(
+        f"""{_TO_CLIPS},
+        given AS (SELECT c.video_id, c.cand_idx, coalesce(p.seg_pos, 0) AS seg_pos, coalesce(p.start, c.start) AS s, coalesce(p."end", c."end") AS e, p.seg_pos IS NULL AS whole FROM clips c LEFT JOIN cpieces p ON p.video_id = c.video_id AND p.cand_idx = c.cand_idx)""",
+        f"SELECT {_C}, (row_number() OVER (PARTITION BY {_C} ORDER BY seg_pos))::int AS n, s AS start, round_even(e - s, 4) AS duration, count(*) OVER (PARTITION BY {_C}) = 1 AS continuous FROM given WHERE (NOT whole AND e - s >= 0.05::double) OR (whole AND e > s)",
+    ),
+    "clip_rejects": _with(_TO_CLIPS, f"SELECT {_C}, clip_idx FROM clips WHERE cand_idx % 2 = 0"),
+    "clip_records": _with(
+        f"""{_TO_ALL},
+        segs AS (SELECT {_C}, count(*) AS n, arg_min(role, seg_pos) AS r FROM cpieces GROUP BY {_C}),
+        tl AS (SELECT {_C}, count(*) AS n, arg_max(target_end, index) AS t FROM cline GROUP BY {_C}),
+        its AS (SELECT {_C}, count(*) FILTER (WHERE kind = 'retention_anchors') AS a, count(*) FILTER (WHERE kind = 'retention_risks') AS r, count(*) FILTER (WHERE kind = 'open_loops') AS l, count(*) FILTER (WHERE kind = 'pattern_interrupts') AS i, sum(weight) FILTER (WHERE kind = 'retention_anchors') AS w FROM citems GROUP BY {_C}),
+        hv AS (SELECT {_C}, count(*) AS n FROM hooks GROUP BY {_C}), bk AS (SELECT {_C}, count(*) AS n FROM cbuckets GROUP BY {_C}), rm AS (SELECT {_C}, count(*) AS n FROM cremoved GROUP BY {_C})""",
+        f"""SELECT {_C}, clip_idx, 'Window ' || window_idx AS title, hb.text AS hook_text, hb.score AS hook_score, ho.text AS voice_text, coalesce(segs.n, 1) AS n_segments, CASE WHEN strategy = 'extractive' THEN coalesce(tl.n, 0) ELSE 1 END AS n_timeline, coalesce(hv.n, 0) AS n_hook_variants, coalesce(bk.n, 0) AS n_retention_timeline, coalesce(rm.n, 0) AS n_removed_segments,
+        coalesce(its.a, 0) AS n_retention_anchors, coalesce(its.r, 0) AS n_retention_risks, coalesce(its.l, 0) AS n_open_loops, coalesce(its.i, 0) AS n_pattern_interrupts, coalesce(segs.r, 'escalation') AS first_role, CASE WHEN strategy = 'extractive' THEN tl.t ELSE duration END AS last_target, coalesce(its.w, 0)::bigint AS anchor_weight
+        FROM clips c LEFT JOIN hbest hb USING ({_C}) LEFT JOIN hvoice ho USING ({_C}) LEFT JOIN segs USING ({_C}) LEFT JOIN tl USING ({_C}) LEFT JOIN its USING ({_C}) LEFT JOIN hv USING ({_C}) LEFT JOIN bk USING ({_C}) LEFT JOIN rm USING ({_C})""",
+    ),
+    "run_summary": _with(
+        f"{_TO_ALL},{_VOICES}",
+        """SELECT video_id, windows, coalesce(candidates, 0) AS candidates, coalesce(skipped, 0) AS skipped, coalesce(nclips, 0) AS clips, coalesce(nclips, 0) AS exported, coalesce(hooked, 0) AS hooks_applied FROM (SELECT video_id, count(DISTINCT window_idx) AS windows FROM links GROUP BY video_id)
+        LEFT JOIN (SELECT video_id, count(*) AS candidates, count(*) FILTER (WHERE cand_idx >= 8) AS skipped FROM cands GROUP BY video_id) USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS nclips FROM clips GROUP BY video_id) USING (video_id) LEFT JOIN (SELECT video_id, count(*) FILTER (WHERE applied) AS hooked FROM timed GROUP BY video_id) USING (video_id)""",
+    ),
+    "audit_records": _with(
+        f"{_TO_ALL},{_VOICES}",
+        f"""SELECT {_C}, CASE WHEN strategy = 'extractive' THEN NULL ELSE 'no JSON object' END AS error, hn.n AS n_hooks, vn.n AS n_variants, retention_score, t.applied FROM clips c LEFT JOIN (SELECT {_C}, count(*) AS n FROM hooks GROUP BY {_C}) hn USING ({_C}) LEFT JOIN (SELECT {_C}, count(*) AS n FROM vars GROUP BY {_C}) vn USING ({_C}) LEFT JOIN timed t USING ({_C})""".replace("LEFT JOIN timed t", f"LEFT JOIN (SELECT {_C}, applied FROM timed) t"),
+    ),
+    "voice_hooks_spoken": _with(f"{_TO_ALL}", f"SELECT video_id, clip_idx, text, type, h.score, language FROM clips c JOIN hvoice h USING ({_C})"),
+    "voice_records": _with(
+        f"{_TO_ALL},{_VOICES}",
+        f"""SELECT video_id, clip_idx, applied, CASE WHEN text IS NULL THEN 'no_valid_generated_hook' WHEN failed THEN 'synthesis failed' END AS reason, CASE WHEN applied THEN text END AS text, CASE WHEN applied THEN type END AS type, CASE WHEN applied THEN score END AS hook_score, CASE WHEN applied THEN language END AS language, CASE WHEN applied THEN round_even(fit, 3) END AS hook_duration,
+        CASE WHEN applied THEN '{fixed.VOICE_PROVIDER}' END AS provider, CASE WHEN applied THEN '{fixed.VOICES[fixed.VOICE_CODES["en"]]}' END AS voice, n_timings, last_word, last_start, CASE WHEN applied THEN round_even(ts, 3) END AS teaser_start, CASE WHEN applied THEN round_even(least(duration, ts + hd), 3) END AS teaser_end, CASE WHEN applied THEN CASE WHEN a IS NULL THEN 'clip_start' ELSE 'retention_anchor' END END AS teaser_source, CASE WHEN applied THEN round_even(fit, 3) END AS audio_start
+        FROM teased LEFT JOIN wlast USING (video_id, clip_idx)""",
+    ),
+    "voice_missing": _with(_TO_CLIPS, "SELECT video_id, clip_idx FROM clips WHERE (video_id + clip_idx) % 9 = 0"),
+    "voice_mix": _with(
+        f"""{_TO_BEST},
+        m_items AS (SELECT video_id, cand_idx, max({{'i': ((video_id * 7 + h * 31) % 101)::double, 'p': -h, 's': ((h * 9 + video_id) % 40)::double, 'e': ((h * 9 + video_id) % 40 + 3)::double}}) AS a FROM best, (SELECT unnest(range(0, 5))::int AS h) GROUP BY ALL),
+        m_clips AS (SELECT b.video_id, b.cand_idx, b."end" - b.start AS duration, 1.0::double + b.video_id % 25 / 10.0::double AS hook_duration, a FROM best b JOIN m_items USING ({_C})),
+        m_hook AS (SELECT *, least(greatest(0.1::double, hook_duration), greatest(0.1::double, duration)) AS hd FROM m_clips),
+        m_start AS (SELECT *, greatest(0.0::double, least(greatest(0.0::double, duration - hd), greatest(a.s, (a.s + a.e) / 2.0::double) - hd / 2.0::double)) AS teaser_start FROM m_hook),
+        m_end AS (SELECT *, least(duration, teaser_start + hd) AS teaser_end, CASE WHEN hook_duration * 3 <= {fixed.VOICE_SECONDS + 0.02!r}::double THEN 1.0::double ELSE hook_duration * 3 / {fixed.VOICE_SECONDS!r}::double END AS speed FROM m_start),
+        m_all AS (SELECT *, greatest(0.0::double, least(duration, teaser_start)) AS s, greatest(0, ceil(log2(speed)) - 1)::int AS twos, least({fixed.VOICE_FADE!r}::double, hook_duration / 3.0::double) AS fade FROM m_end)""",
+        f"""SELECT {_C}, duration, hook_duration, teaser_start, teaser_end, 'retention_anchor' AS teaser_source, greatest(0.0::double, hook_duration - greatest(0.01::double, greatest(s + 0.01::double, least(duration, teaser_end)) - s)) AS pad, fade, greatest(0.0::double, hook_duration - fade) AS fade_start, speed,
+        array_to_string(list_concat(list_transform(range(0, twos), lambda q: '2.000000'), [printf('%.6f', speed / 2 ** twos)]), ',') AS tempo FROM m_all""",
+    ),
+    "voice_routes": _with(
+        _BASE,
+        f"""SELECT v.video_id, v.language, k.code AS lang_code, CASE WHEN k.code IS NULL THEN '{fixed.VOICE_FALLBACK}' ELSE '{fixed.VOICE_PROVIDER}' END AS provider, CASE WHEN k.code IS NULL THEN '' WHEN v.video_id % 3 = 0 THEN 'own_voice' ELSE n.voice END AS voice
+        FROM (SELECT DISTINCT video_id, {_case(["en", "EN-GB ", "ro", "auto", "", "pt_br", "zh", "xx"], "video_id % 8 + 1")} AS language FROM segments) v
+        LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in fixed.VOICE_CODES.items())}) k(given, code) ON k.given = CASE WHEN lower(trim(v.language)) IN ('', 'auto') THEN '{fixed.VOICE_LANGUAGE}' ELSE lower(trim(v.language)) END
+        LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in fixed.VOICES.items())}) n(code, voice) ON n.code = k.code""",
+    ),
+    "caption_styles": _with(
+        _BASE,
+        f"""SELECT v.*, t.* EXCLUDE (style) FROM (SELECT DISTINCT video_id, {_case(["modern", "tiktok", "reels", "capcut", "submagic", "minimal", "tiktok"], "video_id % 7 + 1")} AS style FROM segments) v
+        JOIN (VALUES {", ".join("('" + "', '".join([name, *(str((fixed.STYLE_BASE | own)[f]) for f in fixed.STYLE_FIELDS)]) + "')" for name, own in fixed.STYLES.items())}) t(style, {", ".join(fixed.STYLE_FIELDS)}) ON t.style = v.style""",
+    ),
+    "scalar_functions": _with(
+        rf"""{_BASE},
+        c AS (SELECT *, regexp_replace(regexp_replace(lower(trim(word)), '^[\s"“”„''()\[\]{{}}]+', ''), '[\s"“”„''()\[\]{{}}.,!?;:]+$', '') AS ct, start * 10 AS t FROM words),
+        h AS (SELECT *, floor(greatest(0.0::double, t)) AS w, round_even((greatest(0.0::double, t) - floor(greatest(0.0::double, t))) * 100, 0)::bigint AS hh FROM c),
+        k AS (SELECT *, (w + CASE WHEN hh >= 100 THEN 1 ELSE 0 END)::bigint AS carried FROM h)""",
+        r"""SELECT video_id, seg_idx, word_idx, regexp_replace(lower(trim(word)), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g') AS pacing_token, ct AS caption_token, regexp_matches(replace(ct, ',', '.'), '^\d+(\.\d+)?%?$') AS is_number, regexp_matches(word, '[.!?]["'']?$') AS ends_sentence, regexp_matches(word, '[,;:]\s*$') AS ends_clause,
+        regexp_replace(word, '[.,!?;:"''(){}\[\]]', '', 'g') AS bare, regexp_matches(word, '^[.,!?;:]+$') AS is_punctuation, (carried // 3600) || ':' || lpad((carried % 3600 // 60)::varchar, 2, '0') || ':' || lpad((carried % 60)::varchar, 2, '0') || '.' || lpad(CASE WHEN hh >= 100 THEN 0 ELSE hh END::varchar, 2, '0') AS clock FROM k""",
+    ),
+    "boundary_costs": _with(
+        rf"""{_TO_WINDOWS},{_IDEAS},
+        w7 AS (SELECT *, count(*) OVER o AS n7, last_value("end") OVER o - first_value(start) OVER o AS long7 FROM ideas WINDOW o AS (PARTITION BY {_W}, span ORDER BY place ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+        wps AS (SELECT *, CASE WHEN long7 > 0 THEN n7 / long7 ELSE 0.0::double END AS wps,
+          regexp_replace(regexp_replace(lower(trim(word)), '^[\s"“”„''()\[\]{{}}]+', ''), '[\s"“”„''()\[\]{{}}.,!?;:]+$', '') AS token, regexp_replace(word, '^[ "''“”„()\[\]{{}}.,!?;:]+|[ "''“”„()\[\]{{}}.,!?;:]+$', '', 'g') AS bare FROM w7),
+        kinds AS (SELECT *, regexp_matches(replace(token, ',', '.'), '^\d+(\.\d+)?%?$') AS number, length(bare) > 1 AND regexp_matches(bare[1], '^\p{{Lu}}') AS capital FROM wps),
+        near AS (SELECT *, lag(token, 2) OVER o AS b2, lag(token) OVER o AS b1, lead(token) OVER o AS a1, lead(token, 2) OVER o AS a2, lead(token, 3) OVER o AS a3, lead(capital) OVER o AS next_capital, lag(number) OVER o AS prev_number, greatest(0.0::double, lead(start) OVER o - "end") AS pause FROM kinds WINDOW o AS (PARTITION BY {_W}, span ORDER BY place)),
+        rated AS (SELECT *, list_has_any([token || ' ' || a1, b1 || ' ' || token || ' ' || a1, token || ' ' || a1 || ' ' || a2, b2 || ' ' || b1 || ' ' || token || ' ' || a1, b1 || ' ' || token || ' ' || a1 || ' ' || a2, token || ' ' || a1 || ' ' || a2 || ' ' || a3], [{", ".join(f"'{x}'" for x in fixed.PHRASES)}]) AS phrase,
+          capital AND next_capital AND token NOT IN {_list(fixed.ENDERS)} AND a1 NOT IN {_list(fixed.STARTERS)} AS named, (number AND (a1 IN {_list(fixed.UNITS)} OR a1 = 'de')) OR (coalesce(prev_number, false) AND token = 'de' AND a1 IN {_list(fixed.UNITS)}) AS counted FROM near)""",
+        f"""SELECT {_W}, place::int AS place, word, start, "end", span, token, CASE WHEN wps >= 3.10::double THEN 3 ELSE 2 END AS ideal_words, (CASE WHEN wps >= 3.10::double THEN 0.95 WHEN wps <= 1.75::double THEN 1.35 ELSE 1.15 END)::double AS ideal_duration, (CASE WHEN wps >= 3.10::double THEN 1.45 WHEN wps <= 1.75::double THEN 1.85 ELSE 1.65 END)::double AS max_duration,
+        CASE WHEN a1 IS NULL THEN NULL WHEN phrase OR named OR counted THEN 100.0::double ELSE (CASE WHEN pause >= 0.55::double THEN -6.0 WHEN pause >= 0.35::double THEN -4.0 WHEN pause >= 0.18::double THEN -1.8 WHEN pause < 0.05::double THEN 0.35 ELSE 0 END)::double + (CASE WHEN regexp_matches(word, '[.!?]["'']?$') THEN -7.0 WHEN regexp_matches(word, '[,;:]\\s*$') THEN -2.2 ELSE 0 END)::double
+          + (CASE WHEN token IN {_list(fixed.ENDERS)} THEN 3.6 ELSE 0 END)::double + (CASE WHEN a1 IN {_list(fixed.STARTERS)} THEN 3.0 ELSE 0 END)::double + (CASE WHEN token IN {_list(fixed.ENDERS)} AND length(token) <= 2 THEN 1.0 ELSE 0 END)::double END AS cost FROM rated""",
+    ),
 }

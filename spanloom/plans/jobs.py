@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators import captions, crop, edit, intervals, pacing, voice, windows
+from spanloom.operators import captions, crop, edit, hooks, intervals, pacing, voice, windows
+from spanloom.sources import transcripts
 from spanloom.sources.scratch import save
 
 L = ["video_id", "clip_idx"]
@@ -41,6 +43,9 @@ class Retention:
     timeline: DataFrame
     clips: DataFrame
     pacing: DataFrame
+    best_hooks: DataFrame
+    voice_hooks: DataFrame
+    items: DataFrame
 
 
 def optimise(segments: DataFrame, words: DataFrame, candidates: DataFrame, replies: Replies) -> Retention:
@@ -61,14 +66,89 @@ def optimise(segments: DataFrame, words: DataFrame, candidates: DataFrame, repli
     selected = edit.select_best(evaluated)
     own = pieces.join(selected.select(*edit.V), edit.V, "left_semi").select(*edit.C, "seg_pos", "start", "end", "role", "reason")
     spans = contexts.select(*edit.C, F.col("candidate_start").alias("start"), F.col("candidate_end").alias("end"))
-    return Retention(analyses, contexts, save(edit.hooks_of(analyses, contexts), "hooks"), evaluated, pieces, selected, own, intervals.timeline(own, edit.C), edit.assemble(selected, analyses), pacing.of_spans(words, spans, edit.C))
+    measured, found = pacing.of_spans(words, spans, edit.C), save(edit.hooks_of(analyses, contexts), "hooks")
+    line, clips = intervals.timeline(own, edit.C), save(edit.assemble(selected, analyses), "clips")
+    items = save(remapped_items(analyses, measured, line), "items")
+    return Retention(analyses, contexts, found, evaluated, pieces, selected, own, line, clips, measured, hooks.best(found), hooks.best_voice(found), items)
 
 
-def remapped_items(r: Retention) -> DataFrame:
-    """Anchors and risks (the reply's and the measured) in edited time, with their weight."""
-    anchors = edit.read_items(r.analyses, "retention_anchors").withColumn("weight", edit.item_weight("importance"))
-    risks = edit.with_measured_risks(edit.read_items(r.analyses, "retention_risks"), r.pacing).withColumn("weight", edit.item_weight("severity"))
-    return intervals.remap_items(anchors.unionByName(risks).drop("obj"), r.timeline, edit.C)
+def remapped_items(analyses: DataFrame, measured: DataFrame, line: DataFrame) -> DataFrame:
+    """Anchors, risks (the reply's and the measured), open loops and interrupts in edited time, with their weight."""
+    kinds = {k: edit.read_items(analyses, k) for k in edit.ITEM_WEIGHTS}
+    kinds["retention_risks"] = edit.with_measured_risks(kinds["retention_risks"], measured)
+    weighted = [rows.withColumn("weight", edit.item_weight(edit.ITEM_WEIGHTS[k])).drop("obj") for k, rows in kinds.items()]
+    return intervals.remap_items(reduce(DataFrame.unionByName, weighted), line, edit.C)
+
+
+def of_kind(r: Retention, kind: str) -> DataFrame:
+    """One kind of a job's items."""
+    return r.items.where(F.col("kind") == kind).drop("kind")
+
+
+def buckets(r: Retention) -> DataFrame:
+    """The retention buckets of every optimised clip."""
+    optimised = r.clips.join(r.selected.select(*edit.C), edit.C, "left_semi").select(*edit.C, "duration")
+    return edit.retention_buckets(optimised, of_kind(r, "retention_anchors"), of_kind(r, "retention_risks"), edit.C)
+
+
+def removed(r: Retention) -> DataFrame:
+    """What every optimised clip leaves out of its candidate."""
+    optimised = r.analyses.join(r.selected.select(*edit.C), edit.C, "left_semi").select(*edit.C, "start", "end")
+    return intervals.removed(optimised, r.selected_pieces, edit.C)
+
+
+def clip_records(r: Retention) -> DataFrame:
+    """Every clip as one record with its segments, timeline, hooks, items, buckets and removed parts as arrays.
+
+    Fallback clips have a segment and a timeline entry, empty anchors and risks, and nothing else.
+    """
+    segment, entry = edit.fallback_pieces(r.analyses)
+    hook = ["hook_pos", "text", "type", "generated", "language", "n_evidence", "metrics", "score", "source_start", "source_end", "application"]
+    parts = [
+        edit.nested(r.selected_pieces.unionByName(segment), edit.C, "segments", ["seg_pos"]),
+        edit.nested(r.timeline.unionByName(entry), edit.C, "timeline", ["index", "seg_pos"]),
+        r.best_hooks.select(*edit.C, F.struct(*hook).alias("hook")),
+        r.voice_hooks.select(*edit.C, F.struct(*hook).alias("voiceover_hook")),
+        r.hooks.select(*edit.C, *hook).groupBy(*edit.C).agg(F.array_sort(F.collect_list(F.struct(*hook)), lambda a, b: a["hook_pos"] - b["hook_pos"]).alias("hook_variants")),
+        edit.nested(buckets(r), edit.C, "retention_timeline", ["bucket"]),
+        edit.nested(removed(r), edit.C, "removed_segments", ["start"]),
+    ]
+    parts += [edit.nested(of_kind(r, k), edit.C, k, ["pos", "index"]) for k in edit.ITEM_WEIGHTS]
+    out = r.clips
+    for part in parts:
+        out = out.join(part, edit.C, "left")
+    arrays = [f.name for f in out.schema.fields if f.dataType.typeName() == "array"]
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in arrays})
+
+
+def spoken_hooks(r: Retention) -> DataFrame:
+    """The chosen spoken hook of every clip that has one."""
+    return r.voice_hooks.join(r.clips.select(*edit.C, "clip_idx"), edit.C).select(*L, "text", "type", "score", "language")
+
+
+def voice_over(r: Retention, audio: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """W-D: voice-over records of all clips with a file (see ``voice.applied``), and the clips without one."""
+    anchors = of_kind(r, "retention_anchors").join(r.clips.select(*edit.C, "clip_idx"), edit.C)
+    # Places of equal weight keep the order in which items were mapped.
+    place = F.col("pos").cast("long") * (1 << 20) + F.col("index")
+    anchors = anchors.select(*L, place.alias("pos"), "start", "end", F.col("weight").alias("importance"))
+    return voice.applied(r.clips, spoken_hooks(r), audio, files, anchors, L)
+
+
+def audit(r: Retention, voices: DataFrame | None = None) -> DataFrame:
+    """One record per candidate, failures included: its reply or error, context, pacing, hooks, variants, clip and voice-over."""
+    error = F.when(F.col("top").isNull(), "no JSON object")
+    tables = {
+        "candidate": r.analyses.select(*edit.C, "start", "end", "score", "title", "reason", error.alias("error")),
+        "context": r.contexts,
+        "candidate_pacing": r.pacing,
+        "hooks": r.hooks,
+        "variants": r.variants,
+        "selected": r.clips,
+    }
+    if voices is not None:
+        tables["voiceover"] = voices.join(r.clips.select(*edit.C, "clip_idx"), L)
+    return transcripts.audit(edit.C, **tables)
 
 
 def clip_captions(words: DataFrame, clips: DataFrame, pieces: DataFrame, voices: DataFrame) -> DataFrame:

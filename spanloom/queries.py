@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom import fixtures
 from spanloom.functions import exprs, fixed
 from spanloom.operators import captions, crop, edit, hooks, intervals, pacing, voice, windows
 from spanloom.plans import jobs
-from spanloom.sources.scratch import save
+from spanloom.sources import scratch
 
 C, L = ["video_id", "cand_idx"], ["video_id", "clip_idx"]
 
@@ -20,11 +20,21 @@ class Data:
     """The derived tables of one data folder; each is written once, when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.words = save(fixtures.words(spark, sf_dir), "words")
+        self.spark, self.folders = spark, []
+        self.words = self._save(fixtures.words(spark, sf_dir), "words")
+
+    def _save(self, df: DataFrame, name: str) -> DataFrame:
+        out = scratch.save(df, name)
+        self.folders += {f.rsplit("/", 1)[0] for f in out.inputFiles()}
+        return out
+
+    def lost(self) -> bool:
+        """Whether a derived table has gone from the shared folder."""
+        return not all(scratch.exists(self.spark, f) for f in self.folders)
 
     @cached_property
     def segments(self) -> DataFrame:
-        return save(fixtures.segments(self.words), "segments")
+        return self._save(fixtures.segments(self.words), "segments")
 
     @property
     def links(self) -> DataFrame:
@@ -32,27 +42,29 @@ class Data:
 
     @cached_property
     def spans(self) -> DataFrame:
-        return save(self.links.select("video_id", "window_idx", F.col("window_start").alias("start"), F.col("window_end").alias("end")).distinct(), "spans")
+        return self._save(self.links.select("video_id", "window_idx", F.col("window_start").alias("start"), F.col("window_end").alias("end")).distinct(), "spans")
 
     @cached_property
-    def window_replies(self) -> DataFrame:
-        return save(fixtures.window_replies(self.spans), "window_replies")
-
-    @property
     def scored(self) -> DataFrame:
-        return windows.read_window_replies(self.spans, self.window_replies)
+        return self._save(windows.read_window_replies(self.spans, fixtures.window_replies(self.spans)), "scored")
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return save(windows.suppress_overlaps(self.scored), "candidates")
+        return self._save(windows.suppress_overlaps(self.scored), "candidates")
 
-    @cached_property
+    @property
     def best(self) -> DataFrame:
-        return save(windows.best_candidates(self.candidates), "best")
+        return windows.best_candidates(self.candidates)
 
     @cached_property
     def retention(self) -> jobs.Retention:
-        return jobs.optimise(self.segments, self.words, self.candidates, save(fixtures.analysis_replies(self.best), "replies"))
+        return jobs.optimise(self.segments, self.words, self.candidates, fixtures.analysis_replies)
+
+    @cached_property
+    def voices(self) -> tuple[DataFrame, DataFrame]:
+        r = self.retention
+        records, missing = jobs.voice_over(r, fixtures.voice_audio(jobs.spoken_hooks(r)), fixtures.clip_files(r.clips))
+        return self._save(records, "voices"), missing
 
     @property
     def plain_pieces(self) -> DataFrame:
@@ -67,9 +79,9 @@ _made: dict[tuple, Data] = {}
 
 
 def derived(spark: SparkSession, sf_dir: str) -> Data:
-    """The derived tables of a folder, shared by the queries of one application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _made:
+    """The derived tables of a folder as it is now, shared by the queries of one session; made anew where they have gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, scratch.state(spark, f"{sf_dir}/conversations.parquet"))
+    if key not in _made or _made[key].lost():
         _made[key] = Data(spark, sf_dir)
     return _made[key]
 
@@ -136,8 +148,6 @@ def pacing_edits(d):
 
 def best_windows(d):
     """The flagship: windows ranked by pacing score in each video, the first three."""
-    from pyspark.sql import Window
-
     rows = pacing.of_spans(d.words, d.spans, ["video_id", "window_idx"])
     order = Window.partitionBy("video_id").orderBy(F.desc("pacing_score"), F.desc("word_count"), "window_idx")
     return rows.withColumn("place", F.row_number().over(order)).where("place <= 3").select("video_id", "place", "window_idx", "word_count", "pacing_score")
@@ -192,6 +202,11 @@ def edit_buckets(d):
     return edit.retention_buckets(clips, items.where("pos % 2 = 0"), items.where("pos % 2 = 1"), C)
 
 
+def discovered(d):
+    """The discovery job end to end: windows, replies made for their texts, and the candidates that are left."""
+    return jobs.discover(d.segments, fixtures.window_replies).select("video_id", "cand_idx", "window_idx", "title", "start", "end", "score")
+
+
 def hook_scores(d):
     """Normalised hooks of all replies."""
     return d.retention.hooks.select(*C, "hook_pos", "text", "type", "generated", "language", F.col("n_evidence").cast("long").alias("n_evidence"), F.col("metrics")["brevity"].alias("brevity"), F.col("metrics")["curiosity"].alias("curiosity"), "score", "source_start", "source_end", "application")
@@ -215,7 +230,22 @@ def variant_scores(d):
 
 
 def clips(d):
-    return d.retention.clips
+    return d.retention.clips.select(*C, "clip_idx", "debug_index", "title", "start", "end", "duration", "strategy", "content_type", "rationale", F.col("scores")["hook"].alias("hook_points"), "retention_score", "n_pieces")
+
+
+def clip_records(d):
+    """Whole clip records: the chosen hooks, and how much of everything else a record holds."""
+    rows = jobs.clip_records(d.retention)
+    lists = ["segments", "timeline", "hook_variants", "retention_timeline", "removed_segments", *edit.ITEM_WEIGHTS]
+    weighed = F.aggregate("retention_anchors", F.lit(0), lambda a, x: a + x["weight"])
+    return rows.select(
+        *C, "clip_idx", "title", F.col("hook.text").alias("hook_text"), F.col("hook.score").alias("hook_score"), F.col("voiceover_hook.text").alias("voice_text"),
+        *(F.size(c).cast("long").alias(f"n_{c}") for c in lists), F.col("segments")[0]["role"].alias("first_role"), F.element_at("timeline", -1)["target_end"].alias("last_target"), weighed.cast("long").alias("anchor_weight"),
+    )
+
+
+def clip_segments(d):
+    return d.retention.selected_pieces
 
 
 def clip_timeline(d):
@@ -223,7 +253,15 @@ def clip_timeline(d):
 
 
 def clip_items(d):
-    return jobs.remapped_items(d.retention)
+    return d.retention.items
+
+
+def clip_buckets(d):
+    return jobs.buckets(d.retention)
+
+
+def clip_removed(d):
+    return jobs.removed(d.retention)
 
 
 def clip_cuts(d):
@@ -233,7 +271,19 @@ def clip_cuts(d):
 
 def run_summary(d):
     r = d.retention
-    return edit.run_summary(d.links, d.candidates, r.clips, edit.cut_plan(r.clips, r.selected_pieces, C)[0])
+    return edit.run_summary(d.links, d.candidates, r.clips, edit.cut_plan(r.clips, r.selected_pieces, C)[0], d.voices[0])
+
+
+def clip_rejects(d):
+    """Clips without a valid cut: here those whose candidate's place is even are given an empty range first."""
+    r = d.retention
+    flat = r.clips.withColumn("end", F.when(F.col("cand_idx") % 2 == 0, F.col("start")).otherwise(F.col("end")))
+    return edit.cut_plan(flat, r.selected_pieces.where("cand_idx % 2 = 1"), C)[1].select(*C, "clip_idx")
+
+
+def audit_records(d):
+    rows = jobs.audit(d.retention, d.voices[0])
+    return rows.select(*C, F.col("candidate")[0]["error"].alias("error"), F.size("hooks").cast("long").alias("n_hooks"), F.size("variants").cast("long").alias("n_variants"), F.col("selected")[0]["retention_score"].alias("retention_score"), F.col("voiceover")[0]["applied"].alias("applied"))
 
 
 def clip_words(d):
@@ -266,7 +316,7 @@ def caption_events(d):
 
 def _clip_groups(d):
     r = d.retention
-    return jobs.clip_captions(d.words, r.clips, r.selected_pieces, fixtures.voices(r.clips))
+    return jobs.clip_captions(d.words, r.clips, r.selected_pieces, d.voices[0].where("applied"))
 
 
 def clip_subtitles(d):
@@ -298,10 +348,19 @@ def voice_mix(d):
     return out.withColumn("speed", voice.fit_speed(F.col("hook_duration") * 3)).withColumn("tempo", F.array_join(F.transform(voice.tempo_factors(F.col("speed")), lambda x: F.format_string("%.6f", x)), ","))
 
 
+def voice_hooks_spoken(d):
+    return jobs.spoken_hooks(d.retention)
+
+
 def voice_records(d):
-    r = d.retention
-    files = r.clips.where("(video_id + clip_idx) % 9 <> 0")
-    return voice.applied(r.clips.select(*L, "duration"), fixtures.voices(r.clips), files, L)[0]
+    rows = d.voices[0]
+    last = F.element_at("word_timings", -1)
+    return rows.select(*L, "applied", "reason", "text", "type", "hook_score", "language", "hook_duration", "provider", "voice", F.size("word_timings").cast("long").alias("n_timings"), last["word"].alias("last_word"), last["start"].alias("last_start"), "teaser.*", F.col("transition.original_audio_start").alias("audio_start")).withColumnsRenamed({"start": "teaser_start", "end": "teaser_end", "source": "teaser_source"})
+
+
+def voice_missing(d):
+    """Clips whose file is not there."""
+    return d.voices[1].select(*L)
 
 
 def _framed(d):
@@ -332,9 +391,9 @@ def text_functions(d):
 
 
 _ALL = [
-    timed_words, timed_segments, sliding_windows, window_text, window_scores, candidates, context_segments, context_text, pacing_windows, pacing_risks, pacing_edits, best_windows,
+    timed_words, timed_segments, sliding_windows, window_text, window_scores, candidates, discovered, context_segments, context_text, pacing_windows, pacing_risks, pacing_edits, best_windows,
     snapped_points, edit_bounds, edit_timeline, edit_words, edit_removed, edit_costs, edit_times, edit_items, edit_buckets, hook_scores, hook_best, hook_voice, variant_pieces, variant_scores,
-    clips, clip_timeline, clip_items, clip_cuts, run_summary, clip_words, idea_spans, boundary_costs, caption_groups, caption_events, clip_subtitles, caption_styles, voice_timings, voice_routes,
-    voice_mix, voice_records, crop_points, crop_commands, scalar_functions, text_functions,
+    clips, clip_records, clip_segments, clip_timeline, clip_items, clip_buckets, clip_removed, clip_cuts, clip_rejects, run_summary, audit_records, clip_words, idea_spans, boundary_costs, caption_groups, caption_events, clip_subtitles, caption_styles, voice_timings, voice_routes,
+    voice_mix, voice_hooks_spoken, voice_records, voice_missing, crop_points, crop_commands, scalar_functions, text_functions,
 ]
 QUERIES = {f.__name__: _data(f) for f in _ALL}

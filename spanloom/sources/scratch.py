@@ -5,16 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` and reads it back, so that later plans start there and a lost executor costs one task."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Only where none is set (tests, a local shell) is a temporary folder chosen."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/timed-{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/spanloom-{uuid.uuid4().hex}/{name}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` and reads it back, so that later plans start there and a lost executor costs one task."""
+    path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def state(spark: SparkSession, path: str) -> tuple:
+    """Files, bytes and time of change of a folder: another state means other data."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(at)
+    return summary.getFileCount(), summary.getLength(), fs.getFileStatus(at).getModificationTime()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "struct<word:string,start:double,end:double>"
@@ -36,9 +36,19 @@ def read_replies(spark: SparkSession, path: str, key: list[str], kinds: dict[str
 
 
 def write_table(df: DataFrame, path: str, key: str = "video_id", buckets: int = 64, kind: str = "parquet") -> None:
-    """A table in folders by a hash of the key; a repeated run replaces only the folders it writes."""
+    """A table in folders by a hash of the key, in place of what was there."""
     out = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").format(kind).save(path)
+    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").format(kind).save(path)
+
+
+def clean_outputs(spark: SparkSession, *paths: str) -> None:
+    """Empties the output folders before a run, so that nothing of an earlier, larger one stays."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        at = hadoop.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(at, True)
+        fs.mkdirs(at)
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -61,7 +71,3 @@ def write_documents(documents: DataFrame, path: str, key: list[str], text: str =
     """One text file per row in a folder by its key; the sink writes the last line break."""
     documents.select(*key, F.regexp_replace(text, "\n$", "").alias("value")).repartition(*key).write.mode("overwrite").partitionBy(*key).text(path)
 
-
-def ordered(df: DataFrame, *columns: str | Column) -> DataFrame:
-    """Rows sorted inside partitions, for sinks that keep order per file."""
-    return df.sortWithinPartitions(*columns)
