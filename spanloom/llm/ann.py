@@ -4,11 +4,16 @@ Equal vectors are one node. The first graph comes from exact neighbours within r
 random projections. Each round then compares the neighbours of every node with each other, since
 neighbours of neighbours are likely neighbours, and keeps every node's nearest. Rounds are Spark joins:
 nodes are dealt to buckets, a bucket receives each vector it needs once, and only improvements leave it.
-Queries walk the graph greedily: each round expands the nearest nodes of a query that were not expanded yet.
+Queries walk the graph greedily: each round expands the nearest nodes of a query that were not expanded yet,
+until none is left among its nearest ``POOL``. Queries that met too few nodes, in a small part of the graph,
+are compared with all nodes block by block.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,23 +23,19 @@ from spanloom.llm.common import parts_for, save
 
 #: Neighbours kept per node, and nodes per bucket.
 DEGREE, BUCKET = 28, 20_000
-#: Projections and run length of the first graph; most rounds; a round that changes a smaller share is the last.
-PROJECTIONS, RUN, ROUNDS, ENOUGH = 2, 768, 6, 0.02
-#: Search: nodes expanded per query and round, nearest nodes remembered, rounds at most.
-EXPAND, POOL, SEARCH_ROUNDS = 32, 160, 6
+#: Projections and run length of the first graph; a round that changes a smaller share of edges is the last.
+PROJECTIONS, RUN, ENOUGH = 2, 768, 0.02
+#: Search: nodes expanded per query and round, nearest nodes remembered; queries of one block where all nodes are met.
+EXPAND, POOL, ASKED = 32, 160, 1_000
 
 _EDGE = "src long, dst long, d double, fresh boolean"
 
 
 def nodes_of(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """id, vec of usable rows: not null, not zero, all components finite, of the commonest length."""
+    """id, vec of usable rows: id and vector not null, not zero, all components finite. Lengths may differ."""
     v = F.col("vec")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    out = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & v.isNotNull() & ok)
-    sizes = out.groupBy(F.size("vec").alias("n")).count().collect()
-    if not sizes:
-        return out
-    return out.where(F.size("vec") == max(sizes, key=lambda r: (r["count"], r.n)).n)
+    return rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & v.isNotNull() & ok)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -145,9 +146,9 @@ def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
         runs = nodes.repartitionByRange(parts_for(n, RUN), along, "id").withColumn("run", F.spark_partition_id())
         found = runs.groupBy("run").applyInArrow(_run_graph, "src long, dst long, d double")
         edges = save(_merged(edges, found, buckets), f"start_{p}")
-    for r in range(ROUNDS):
+    for r in count():
         fresh = edges.where("fresh").count()
-        if r and fresh < ENOUGH * DEGREE * n:
+        if fresh == 0 or (r and fresh < ENOUGH * DEGREE * n):
             break
         forward = edges.select(F.col("src").alias("node"), F.col("dst").alias("member"), "fresh")
         near = Window.partitionBy("dst").orderBy("d", "src")
@@ -195,7 +196,7 @@ def walk(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
     starts = queries.join(both, queries.q == both.src).select("q", F.col("dst").alias("c")).distinct()
     pool = save(measured(starts, nodes, buckets).withColumn("done", F.lit(False)), "pool")
     near = Window.partitionBy("q").orderBy("d", "c")
-    for r in range(SEARCH_ROUNDS):
+    for r in count():
         ranked = pool.withColumn("place", F.row_number().over(near)).where(F.col("place") <= POOL)
         turn = F.sum(F.when(F.col("done"), 0).otherwise(1)).over(near)
         ranked = save(ranked.withColumn("now", ~F.col("done") & (turn <= EXPAND)).select("q", "c", "d", "done", "now"), f"ranked_{r}")
@@ -209,22 +210,59 @@ def walk(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return pool.select("q", "c", "d")
 
 
+def _meet(asked: pa.Table, block: pa.Table) -> pa.Table:
+    """The nearest ``POOL`` of a block's nodes for each of a block's queries."""
+    if asked.num_rows == 0 or block.num_rows == 0:
+        return pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+    q, ids, x, y = asked["q"].to_numpy(), block["other"].to_numpy(), _matrix(asked["vec"]), _matrix(block["other_vec"])
+    out = []
+    for i in range(len(q)):
+        diff = y - x[i]
+        d = np.sqrt((diff * diff).sum(axis=1))
+        near = np.lexsort((ids, d))
+        near = near[ids[near] != q[i]][:POOL]
+        out.append((np.full(len(near), q[i]), ids[near], d[near]))
+    return pa.table({"q": np.concatenate([o[0] for o in out]), "c": np.concatenate([o[1] for o in out]), "d": np.concatenate([o[2] for o in out])})
+
+
+def met_all(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(q, c, d) for queries ``q`` against all nodes: every block of queries meets every block of nodes."""
+    blocks, groups = parts_for(nodes.count(), BUCKET), parts_for(queries.count(), ASKED)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.join(nodes, queries.q == nodes.id).select("q", "vec", _bucket("q", groups).alias("a"), every(blocks).alias("b"))
+    block = nodes.toDF("other", "other_vec").select("other", "other_vec", every(groups).alias("a2"), _bucket("other", blocks).alias("b2"))
+    return asked.groupBy("a", "b").cogroup(block.groupBy("a2", "b2")).applyInArrow(_meet, "q long, c long, d double")
+
+
 def nearest(rows: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose id is divisible by ``every``.
 
     Nearest by Euclidean distance, ties to the smaller id. Rows with equal vectors share a node; of each
-    node the k + 1 smallest ids can be among a result. Unusable vectors (see ``nodes_of``) take no part;
-    rows that repeat an id with the same vector count once. Without candidates a query has no rows.
+    node the k + 1 smallest ids can be among a result. Unusable vectors (see ``nodes_of``) take no part, and
+    vectors of different lengths are searched apart, since no distance is defined between them; rows that repeat
+    an id with the same vector count once. Every query has k rows, or all candidates if there are fewer.
     """
     usable = save(nodes_of(rows, vec_id, vector).distinct(), "usable")
+    lengths = sorted(r.n for r in usable.groupBy(F.size("vec").alias("n")).count().collect())
+    found = [_nearest_of_length(usable.where(F.size("vec") == n), k, every, f"_{n}") for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else _nearest_of_length(usable, k, every, "")
+
+
+def _nearest_of_length(usable: DataFrame, k: int, every: int, name: str) -> DataFrame:
     named = usable.groupBy("vec").agg(F.min("id").alias("node"))
-    nodes = save(named.select(F.col("node").alias("id"), "vec"), "nodes")
-    member = save(usable.join(named, "vec").select("id", "node"), "members")
+    nodes = save(named.select(F.col("node").alias("id"), "vec"), f"nodes{name}")
+    member = save(usable.join(named, "vec").select("id", "node"), f"members{name}")
     first = Window.partitionBy("node").orderBy("id")
     listed = member.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1).select("id", "node")
     asked = member.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("node").alias("q"))
     asked_nodes = asked.select("q").distinct()
-    found = walk(asked_nodes, build(nodes), nodes).unionByName(asked_nodes.select("q", F.col("q").alias("c"), F.lit(0.0).alias("d")))
+    found = save(walk(asked_nodes, build(nodes), nodes), f"found{name}")
+    few = min(k, nodes.count() - 1)
+    met = found.groupBy(F.col("q").alias("m")).agg(F.count("*").alias("n"))
+    short = save(asked_nodes.join(met, F.col("q") == F.col("m"), "left").where(F.coalesce("n", F.lit(0)) < few).select("q"), f"short{name}")
+    if not short.isEmpty():
+        found = found.join(short, "q", "left_anti").unionByName(met_all(short, nodes))
+    found = found.unionByName(asked_nodes.select("q", F.col("q").alias("c"), F.lit(0.0).alias("d")))
     near = Window.partitionBy("q").orderBy("d", "id")
     spread = found.join(listed, found.c == listed.node).select("q", "id", "d").withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1).select("q", "id", "d")
     own = Window.partitionBy("query_id").orderBy("score", "vec_id")
