@@ -237,22 +237,68 @@ def test_line_dedup(spark, monkeypatch, messy, most):
     assert line_dedup.drop_lines(messy.limit(0)).count() == 0
 
 
-def test_nearest(spark):
+def brute_nearest(rows, k=10):
+    """query_id to its exact (score, vec_id) pairs; usable vectors of the query's length only."""
+    ok = {i: np.array(v, float) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and any(v)}
+    out = {}
+    for q in ok:
+        if q % 100 == 0:
+            others = [(float(np.sqrt(((v - ok[q]) ** 2).sum())), i) for i, v in ok.items() if i != q and len(v) == len(ok[q])]
+            out[q] = sorted(others)[:k]
+    return out
+
+
+def found_nearest(spark, rows):
+    got = defaultdict(list)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in ann.nearest(frame).orderBy("query_id", "rank").collect():
+        assert r.rank == len(got[r.query_id]) + 1
+        got[r.query_id].append((r.score, r.vec_id))
+    return got
+
+
+def recall(got, want):
+    return sum(len({i for _, i in got[q]} & {i for _, i in w}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def test_nearest_with_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 16))
     x[100:104] = x[300]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(800, None), (900, [0.0] * 16), (901, [float("nan")] * 16), (902, [None] + [1.0] * 15), (903, [1.0])]
-    got = defaultdict(list)
-    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    hit = 0
-    for q in range(0, 700, 100):
-        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
-        d[q] = np.inf
-        top = np.lexsort((np.arange(700), d))[:10]
-        hit += len({v for v, _ in got[q]} & set(top.tolist()))
-        assert all(abs(d[v] - s) < 1e-9 for v, s in got[q]) and len(got[q]) == 10
-    assert hit >= 63 and set(got) == set(range(0, 700, 100)) and [v for v, _ in got[300][:4]] == [100, 101, 102, 103]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(800, None), (900, [0.0] * 16), (901, [float("nan")] * 16), (902, [None] + [1.0] * 15)]
+    rows += [(1000, [1.0]), (1001, [2.0]), (1002, [4.0]), (1100, [3.0, 1.0]), (0, rows[0][1])]
+    want = brute_nearest(rows)
+    got = found_nearest(spark, rows)
+    assert set(got) == set(range(0, 700, 100)) | {1000} and [(i, s) for s, i in got[1000]] == [(1001, 1.0), (1002, 3.0)]
+    assert all(len(got[q]) == len(want[q]) and all(abs(s - dict((b, a) for a, b in brute_scores(rows, q))[i]) < 1e-9 for s, i in got[q]) for q in got)
+    assert recall(got, want) > 0.95 and [i for _, i in got[300][:4]] == [100, 101, 102, 103]
+
+
+def brute_scores(rows, q):
+    ok = dict((i, np.array(v)) for i, v in rows if v is not None and None not in v)
+    return [(float(np.sqrt(((v - ok[q]) ** 2).sum())), i) for i, v in ok.items() if len(v) == len(ok[q])]
+
+
+def test_descent_over_many_runs_and_a_skewed_part(spark, monkeypatch):
+    """With runs of 64, nearly all of the graph comes from descent; half of the vectors crowd in a small ball."""
+    for name, value in (("RUN", 64), ("BUCKET", 1500), ("DEGREE", 16), ("POOL", 64)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1500, 12)), 5 + 0.01 * rng.normal(size=(1500, 12))])
+    rows = [(int(i), [float(v) for v in r]) for i, r in zip(rng.permutation(3000), x)]
+    want, got = brute_nearest(rows), found_nearest(spark, rows)
+    assert all(len(got[q]) == 10 for q in want) and recall(got, want) >= 0.9
+
+
+def test_nearest_of_islands_and_of_few(spark, monkeypatch):
+    """Graph parts smaller than a result, fewer candidates than asked for, one candidate, none, and an empty table."""
+    monkeypatch.setattr(ann, "RUN", 4)
+    monkeypatch.setattr(ann, "PROJECTIONS", 1)
+    rows = [(100 * g + i, [10.0**g, float(i)]) for g in range(8) for i in range(4)]
+    want, got = brute_nearest(rows), found_nearest(spark, rows)
+    assert got == want
+    few = [(0, [1.0, 2.0]), (1, [2.0, 2.0]), (2, [1.0, 1.0])]
+    assert found_nearest(spark, few) == brute_nearest(few) and found_nearest(spark, few[:1]) == {} and found_nearest(spark, []) == {}
 
 
 def sentences(rng, words, n):
@@ -297,6 +343,45 @@ def test_quality(spark, messy):
     assert quality.train(messy, docs.limit(0).withColumn("quality", F.lit(1))) is None and quality.score(messy, None).first().score is not None
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_a_bad_line_in_a_good_page_is_found(mixed):
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(["river", "stone", "walk", "light"]) for _ in range(9)).capitalize() + "."
+    junk = lambda: " | ".join(rng.choice(["river", "stone", "$$$", "9"]) for _ in range(9))
+    pages, y = [], []
+    for i in range(240):
+        lines = [good() if i % 3 else junk() for _ in range(5)]
+        if mixed and rng.random() < 0.5:
+            lines[rng.randrange(5)] = junk() if i % 3 else good()
+        pages.append("\n".join(lines))
+        y.append(int(i % 3 > 0))
+    m = quality.fit(*quality.line_features(*text.buffers(pa.array(pages))), np.array(y))
+    _, p, at = quality.score_rows(m, *text.buffers(pa.array(["\n".join([good(), good(), junk(), good(), good()])])))
+    assert at.tolist() == [0, 5] and p[2] < 0.5 and min(p[:2].min(), p[3:].min()) > 0.8
+
+
+def test_quality_score_equals_brute_force():
+    """Scores from enumerated label sequences of short pages."""
+    pages = ["One fine line here.", "a | b | 9\nRiver stone walk light.\n\nend", "", "x\ny"]
+    rng = np.random.default_rng(5)
+    m = quality.Model(rng.normal(size=(3 * quality.N_OWN + 1, 2)), rng.normal(size=(2, 2)), (1.3, -0.2))
+    got, p, at = quality.score_rows(m, *text.buffers(pa.array(pages)))
+    own, size, line_at = quality.line_features(*text.buffers(pa.array(pages)))
+    e = quality.with_neighbours(own, line_at).astype(float) @ m.weights
+    for i, (a, b) in enumerate(zip(line_at[:-1], line_at[1:])):
+        assert b - a == len(pages[i].split("\n"))
+        good, total = np.zeros(b - a), 0.0
+        for code in range(2 ** (b - a)):
+            s = [code >> k & 1 for k in range(b - a)]
+            w = math.exp(sum(e[a + k, s[k]] for k in range(b - a)) + sum(m.changes[s[k], s[k + 1]] for k in range(b - a - 1)))
+            total += w
+            good += w * np.array(s)
+        assert np.allclose(p[a:b], good / total)
+        weight = np.array([len(x.encode()) + 1.0 for x in pages[i].split("\n")])
+        mean = np.clip((good / total * weight).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+        assert abs(got[i] - 1 / (1 + math.exp(-(1.3 * math.log(mean / (1 - mean)) - 0.2)))) < 1e-9
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(8)
     e, c, at = rng.normal(size=(5, 2)), rng.normal(size=(2, 2)), np.array([0, 1, 5])
