@@ -18,17 +18,16 @@ def read_analyses(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     return candidates.join(replies, C, "left").withColumn("top", exprs.json_map(F.col("reply_json"))).drop("reply_json")
 
 
-def bounds_of(segments: DataFrame, words: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct starts and ends in each context: of segments that touch it, uncut, and of words inside it."""
+def bounds_of(segments: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Distinct ``bound`` by ``side`` (start, end) in each context: of segments that touch it, uncut, and of words inside it."""
     spans = contexts.select(*C, F.col("context_start").alias("start"), F.col("context_end").alias("end"))
-    segs = intervals.touching(segments.select("video_id", "start", "end"), spans)
+    segs = segments.select("video_id", "start", "end", F.lit(None).cast("double").alias("ws"), F.lit(None).cast("double").alias("we"))
     wide = words.select("video_id", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.col("start").alias("ws"), F.col("end").alias("we"))
-    ws = intervals.touching(wide, spans)
-    out = []
-    for name, own in (("start", "ws"), ("end", "we")):
-        inner = ws.where((F.col(own) >= F.col("span_start")) & (F.col(own) <= F.col("span_end")))
-        out.append(segs.select(*C, F.col(name).alias("bound")).unionByName(inner.select(*C, F.col(own).alias("bound"))).distinct())
-    return out[0], out[1]
+    met = intervals.touching(segs.unionByName(wide), spans)
+    inside = lambda own: (F.col(own) >= F.col("span_start")) & (F.col(own) <= F.col("span_end"))
+    whole = F.col("ws").isNull()
+    side = lambda name, own: F.when(whole | inside(own), F.struct(F.lit(name).alias("side"), F.when(whole, F.col(name)).otherwise(F.col(own)).alias("bound")))
+    return met.select(*C, F.explode(F.array_compact(F.array(side("start", "ws"), side("end", "we")))).alias("b")).select(*C, "b.side", "b.bound").distinct()
 
 
 def proposed_variants(analyses: DataFrame, limit: int = fixed.MAX_VARIANTS) -> DataFrame:
@@ -46,12 +45,12 @@ def proposed_pieces(variants: DataFrame, limit: int = fixed.MAX_SEGMENTS) -> Dat
     return out.where(F.col("start").isNotNull() & F.col("end").isNotNull())
 
 
-def clean_pieces(pieces: DataFrame, contexts: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+def clean_pieces(pieces: DataFrame, contexts: DataFrame, bounds: DataFrame) -> DataFrame:
     """Pieces cut to the context, snapped, at least 0.35 s, merged; in edit order by seg_pos."""
     rows = pieces.join(contexts.select(*C, "context_start", "context_end"), C)
     cut = lambda c: F.greatest(F.col("context_start"), F.least(F.col("context_end"), F.col(c)))
-    rows = rows.withColumns({"start": cut("start"), "end": cut("end"), "point": F.struct(*V, "seg_pos")})
-    rows = intervals.snap(intervals.snap(rows, starts, C, "start"), ends, C, "end")
+    rows = rows.withColumns({"start": cut("start"), "end": cut("end")})
+    rows = intervals.snap_spans(rows, bounds, C, ["variant_pos", "seg_pos"])
     rows = rows.where(F.col("end") - F.col("start") >= fixed.MIN_SEGMENT)
     rows = rows.select(*V, "seg_pos", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"), "role", "reason")
     return intervals.merge_pieces(rows, V)

@@ -57,9 +57,9 @@ def optimise(segments: DataFrame, words: DataFrame, candidates: DataFrame, repli
     contexts = save(windows.contexts(segments, best), "contexts")
     analyses = save(edit.read_analyses(best, _answered(replies, best)), "analyses")
     ok = analyses.where(F.col("top").isNotNull())
-    starts, ends = edit.bounds_of(segments, words, contexts)
+    bounds = edit.bounds_of(segments, words, contexts)
     proposed = edit.proposed_variants(analyses)
-    cleaned = edit.clean_pieces(edit.proposed_pieces(proposed), contexts, starts, ends)
+    cleaned = edit.clean_pieces(edit.proposed_pieces(proposed), contexts, bounds)
     variants, pieces = edit.with_original(proposed, save(cleaned, "cleaned"), ok)
     pieces = save(pieces, "pieces")
     evaluated = save(edit.evaluate(variants, pieces, words, analyses), "evaluated")

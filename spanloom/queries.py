@@ -155,14 +155,13 @@ def best_windows(d):
 
 def snapped_points(d):
     contexts = windows.contexts(d.segments, d.best)
-    starts, _ = edit.bounds_of(d.segments, d.words, contexts)
+    starts = edit.bounds_of(d.segments, d.words, contexts).where("side = 'start'").drop("side")
     points = d.plain_pieces.select(*C, "seg_pos", F.col("start").alias("at")).withColumn("point", F.struct(*C, "seg_pos"))
     return intervals.snap(points, starts, C, "at").select(*C, "seg_pos", "at")
 
 
 def edit_bounds(d):
-    starts, ends = edit.bounds_of(d.segments, d.words, windows.contexts(d.segments, d.best))
-    return starts.withColumn("side", F.lit("start")).unionByName(ends.withColumn("side", F.lit("end")))
+    return edit.bounds_of(d.segments, d.words, windows.contexts(d.segments, d.best))
 
 
 def edit_timeline(d):
