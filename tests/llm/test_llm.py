@@ -118,33 +118,69 @@ def test_packing_of_many_groups_reaches_the_bound(spark, monkeypatch):
     assert len(got) <= -(-sum(lengths) // 100) + 2
 
 
-def kneser_ney(train, asked):
-    toks = [[w.translate(LOW) for w in WORDS.findall(t)] + ["</s>"] for t in train]
-    uni, bi = Counter(w for t in toks for w in t), Counter(p for t in toks for p in zip(["<s>", *t[:-1]], t))
-    cont, total, kinds = Counter(w for _, w in bi), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (h, w), c in bi.items():
-        total[h] += c
-        kinds[h][min(c, 3) - 1] += 1
-    d = [lm.discounts(*(Counter(x.values())[k] for k in (1, 2, 3, 4))) for x in (bi, cont)]
-    less = lambda c, d: c - (d[min(c, 3) - 1] if c else 0)
-    rest = sum(d[1][min(c, 3) - 1] for c in cont.values()) / len(bi)
-    p1 = lambda w: less(cont[w], d[1]) / len(bi) + rest / (len(uni) + 1)
-    p = lambda h, w: (less(bi[h, w], d[0]) + sum(a * b for a, b in zip(d[0], kinds[h])) * p1(w)) / total[h] if total[h] else p1(w)
+def kneser_ney(train, asked, order):
+    """n_tokens, n_known, base score and score of each text, from dictionaries of n-grams."""
+    cut = lambda t: [w.translate(LOW) for w in WORDS.findall(t)] + ["</s>"]
+    toks = [cut(t) for t in train]
+    uni = Counter(w for t in toks for w in t)
+    raw = {n: Counter(g for t in toks for g in zip(*((["<s>"] * (n - 1) + t)[k:] for k in range(n)))) for n in (2, 3)}
+    pairs = raw[2]
+    if order == 3:
+        pairs = Counter(g[1:] for g in raw[3])
+        pairs.update({g: raw[2][g] - pairs[g] for g in raw[2] if g[0] == "<s>"})
+    counts = {1: Counter(w for _, w in pairs), 2: pairs, 3: raw[3]}
+    d = {n: lm.discounts(*(Counter(counts[n].values())[k] for k in (1, 2, 3, 4))) for n in counts}
+    total, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+    for n in {2, order}:
+        for g, c in counts[n].items():
+            total[n, g[:-1]] += c
+            kinds[n, g[:-1]][min(c, 3) - 1] += 1
+    less = lambda c, n: c - (d[n][min(c, 3) - 1] if c else 0)
+    rest = sum(d[1][min(c, 3) - 1] for c in counts[1].values()) / max(1, len(pairs))
+
+    def p(g):
+        if len(g) == 1:
+            return less(counts[1][g[0]], 1) / max(1, len(pairs)) + rest / (len(uni) + 1)
+        n, lower = len(g), p(g[1:])
+        if not total[n, g[:-1]]:
+            return lower
+        return (less(counts[n][g], n) + sum(a * b for a, b in zip(d[n], kinds[n, g[:-1]])) * lower) / total[n, g[:-1]]
+
+    size = sum(uni.values()) + len(uni) + 1
     for t in asked:
-        ws = [w.translate(LOW) for w in WORDS.findall(t)] + ["</s>"]
-        yield len(ws), sum(uni[w] > 0 for w in ws), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *ws[:-1]], ws))
+        ws = cut(t)
+        grams = zip(*((["<s>"] * (order - 1) + ws)[k:] for k in range(order)))
+        yield len(ws), sum(uni[w] > 0 for w in ws), sum(math.log10((uni[w] + 1) / size) for w in ws), sum(math.log10(p(g)) for g in grams)
 
 
-def test_language_model(spark, messy):
+@pytest.mark.parametrize("order,hot", [(2, 1 << 40), (2, 3), (3, 1 << 40), (3, 3)])
+def test_language_model(spark, monkeypatch, messy, order, hot):
+    """Against dictionaries, with and without hot words, in one range and in many."""
+    monkeypatch.setattr(lm, "HOT_TOKENS", hot)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 4_000)
     train = messy.where("doc_id % 3 <> 0")
-    model = lm.train(train)
+    model = lm.train(train, order=order)
+    assert model.ranges > 1 and (len(model.hot) > 5) == (hot == 3)
     got = lm.score(messy.select("doc_id", "text").orderBy("doc_id"), model).collect()
-    want = dict(zip([i for i, _ in texts_of(messy)], kneser_ney([t for _, t in texts_of(train)], [t for _, t in texts_of(messy)])))
+    want = dict(zip([i for i, _ in texts_of(messy)], kneser_ney([t for _, t in texts_of(train)], [t for _, t in texts_of(messy)], order)))
     for r in got:
-        n, known, score = want[r.key]
-        assert (r.n_tokens, r.n_known) == (n, known) and abs(r.score - score) < 1e-6 * max(1, abs(score))
-    empty = lm.score(messy, lm.train(messy.limit(0))).first()
-    assert empty.n_known == 0 and math.isfinite(empty.score)
+        n, known, base, score = want[r.key]
+        assert (r.n_tokens, r.n_known) == (n, known) and abs(r.score - score) < 1e-6 * max(1, abs(score)) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_of_nothing_and_of_nulls(spark, messy, order):
+    for docs in (messy.limit(0), messy.where("text is null")):
+        empty = lm.score(messy, lm.train(docs, order=order)).collect()
+        assert len(empty) == messy.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in empty)
+    assert empty[0].n_known == 1  # the end of the null text
+    with pytest.raises(ValueError):
+        lm.train(messy, order=4)
+
+
+def test_counts_beyond_32_bits():
+    big = np.array([1, 2**40], np.int64)
+    assert lm._narrow(big).astype(np.int64).tolist() == big.tolist() and lm._narrow(big[:1]).itemsize == 1
 
 
 def brute_components(rows):
