@@ -25,6 +25,7 @@ from spanloom.llm.langid import sampled
 SAMPLE_PER_LABEL = 2_000
 BITS, DEPTH = 15, 12
 WIDTHS, FILTERS = (1, 2, 3), 12
+REACH = max(WIDTHS) - 1
 EPOCHS, BATCH = 6, 32
 #: Bytes of the beginnings that have embeddings of their own.
 BEGINNINGS = (3, 4, 5)
@@ -37,12 +38,15 @@ CELLS = 50
 
 
 def word_slots(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding slots of all rows' words (one row each: word and beginnings) with two blanks after each row, and row offsets."""
+    """Embedding slots of all rows' words (one row each: word and beginnings) with blanks after each row, and row offsets.
+
+    There are twice as many blanks as a filter reaches ahead: windows may begin at the first half of them, so that an
+    empty text has some and none sees the next text.
+    """
     ws = tx.words(data, at, "alnum")
-    gap = max(WIDTHS) - 1
-    row_at = ws.row_at + gap * np.arange(len(at))
+    row_at = ws.row_at + 2 * REACH * np.arange(len(at))
     out = np.full((int(row_at[-1]), PARTS), PAD, np.int32)
-    place = np.arange(len(ws.hashes)) + gap * ws.rows
+    place = np.arange(len(ws.hashes)) + 2 * REACH * ws.rows
     out[place, 0] = ws.hashes >> tx.U64(64 - BITS)
     for k, n in enumerate(BEGINNINGS, 1):
         h = ws.beginnings(n) if len(ws.hashes) else ws.hashes
@@ -73,7 +77,8 @@ class Model:
         return z
 
     def probability(self, slots: np.ndarray, row_at: np.ndarray) -> np.ndarray:
-        top = np.maximum.reduceat(self.maps(slots), row_at[:-1], axis=0)
+        ends = np.stack([row_at[:-1], row_at[1:] - REACH], axis=1).ravel()
+        top = np.maximum.reduceat(self.maps(slots), ends, axis=0)[::2]
         return 1 / (1 + np.exp(-np.clip(np.maximum(top + self.bias, 0) @ self.out + self.base, -30, 30)))
 
     def language(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -122,7 +127,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, languages: langid.Model) -> Model
             slots = np.concatenate([rows[r] for r in own])
             at = np.concatenate([[0], np.cumsum([len(rows[r]) for r in own])])
             z = m.maps(slots)
-            place = np.stack([z[a:b].argmax(axis=0) + a for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            place = np.stack([z[a : b - REACH].argmax(axis=0) + a for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
             top = z[place, np.arange(n_f)] + m.bias
             on = np.maximum(top, 0)
             p = 1 / (1 + np.exp(-np.clip(on @ m.out + m.base, -30, 30)))
@@ -131,7 +136,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, languages: langid.Model) -> Model
             grads, touched, moves = [], [], []
             for k, w in enumerate(filters):
                 cols = np.flatnonzero(masks[k].any(axis=0))
-                where = slots[np.minimum(place[:, cols] + k, len(slots) - 1)]
+                where = slots[place[:, cols] + k]
                 d = down[:, cols]
                 gw = np.zeros_like(w)
                 gw[:, cols] = np.einsum("bf,bfd->df", d, embed[where].sum(axis=2))
