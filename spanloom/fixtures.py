@@ -14,25 +14,38 @@ LONG = "Aaaaaaaaaaaaaaaaaaaaaaa"
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of conversations as recordings: video_id, seg_idx, word_idx, word, start, end, seg_start, seg_end."""
+    """Words of conversations as recordings: video_id, seg_idx, word_idx, word, start, end, seg_start, seg_end.
+
+    Whatever runs along a recording runs over its segments, one row each; words are only added up inside a segment,
+    so a very long recording is no single task.
+    """
     raw = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("seg_idx"), F.col("text"))
     tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
-    rows = raw.select("video_id", "seg_idx", F.posexplode(tokens).alias("word_idx", "w0"))
-    w = Window.partitionBy("video_id").orderBy("seg_idx", "word_idx")
-    n = F.col("n")
-    rows = rows.withColumn("n", F.row_number().over(w) - 1)
-    word = F.when(n % 41 == 3, "20").when(n % 41 == 4, "de").when(n % 41 == 5, "ani").when(n % 43 == 11, "you").when(n % 43 == 12, "know,")
-    word = word.when(n % 47 == 13, "Știi").when((n % 53).isin(17, 18), "echo").when(n % 59 == 19, "Ana").when(n % 59 == 20, "Pop").when(n % 29 == 6, "um").when(n % 211 == 100, LONG).otherwise(F.col("w0"))
-    rows = rows.withColumn("word", word)
-    letters = F.least(F.lit(8), F.greatest(F.lit(1), F.length(F.regexp_replace("word", r"[^\p{L}\p{N}_]+", ""))))
-    dur = F.when(F.col("word") == LONG, 2500).otherwise(90 + 45 * letters)
-    gap = F.when(F.col("word").rlike("[.!?]$"), 600 + n * 37 % 5 * 100).when(F.col("word").endswith(","), 250).when(n % 11 == 0, 800).otherwise(n * 13 % 4 * 30)
-    rows = rows.withColumns({"dur": dur.cast("bigint"), "gap": gap.cast("bigint")})
-    st = F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("st", st)
-    seg = Window.partitionBy("video_id", "seg_idx")
+    rows = raw.select("video_id", "seg_idx", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    along = Window.partitionBy("video_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("n0", F.coalesce(F.sum(F.size("tokens")).over(along), F.lit(0)))
+
+    def spoken(w0: Column, n: Column) -> Column:
+        word = F.when(n % 41 == 3, "20").when(n % 41 == 4, "de").when(n % 41 == 5, "ani").when(n % 43 == 11, "you").when(n % 43 == 12, "know,")
+        return word.when(n % 47 == 13, "Știi").when((n % 53).isin(17, 18), "echo").when(n % 59 == 19, "Ana").when(n % 59 == 20, "Pop").when(n % 29 == 6, "um").when(n % 211 == 100, LONG).otherwise(w0)
+
+    def timed(x: Column) -> Column:
+        word, n = x["word"], x["n"]
+        letters = F.least(F.lit(8), F.greatest(F.lit(1), F.length(F.regexp_replace(word, r"[^\p{L}\p{N}_]+", ""))))
+        dur = F.when(word == LONG, 2500).otherwise(90 + 45 * letters)
+        gap = F.when(word.rlike("[.!?]$"), 600 + n * 37 % 5 * 100).when(word.endswith(","), 250).when(n % 11 == 0, 800).otherwise(n * 13 % 4 * 30)
+        return F.struct(word.alias("word"), dur.cast("bigint").alias("dur"), gap.cast("bigint").alias("gap"))
+
+    named = F.transform("tokens", lambda w0, i: F.struct(spoken(w0, F.col("n0") + i).alias("word"), (F.col("n0") + i).alias("n")))
+    rows = rows.select("video_id", "seg_idx", F.transform(named, timed).alias("w"))
+    rows = rows.withColumn("length", F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + x["dur"] + x["gap"]))
+    rows = rows.withColumn("base", F.coalesce(F.sum("length").over(along), F.lit(0)))
+    rows = rows.withColumn("stop", F.col("base") + F.col("length") - F.element_at("w", -1)["gap"])
+    each = rows.select("video_id", "seg_idx", "base", "stop", F.posexplode("w").alias("word_idx", "x")).select("video_id", "seg_idx", "base", "stop", "word_idx", "x.*")
+    inside = Window.partitionBy("video_id", "seg_idx").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("st", F.col("base") + F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(inside), F.lit(0)))
     ms = lambda c: c / 1000.0
-    return rows.select("video_id", "seg_idx", "word_idx", "word", ms(F.col("st")).alias("start"), ms(F.col("st") + F.col("dur")).alias("end"), ms(F.min("st").over(seg)).alias("seg_start"), ms(F.max(F.col("st") + F.col("dur")).over(seg)).alias("seg_end"))
+    return each.select("video_id", "seg_idx", "word_idx", "word", ms(F.col("st")).alias("start"), ms(F.col("st") + F.col("dur")).alias("end"), ms(F.col("base")).alias("seg_start"), ms(F.col("stop")).alias("seg_end"))
 
 
 def segments(words_: DataFrame) -> DataFrame:
