@@ -23,10 +23,11 @@ from spanloom.llm.common import parts_for, save
 
 #: Neighbours kept per node, and nodes per bucket.
 DEGREE, BUCKET = 28, 20_000
-#: Projections and run length of the first graph; a round that changes a smaller share of edges is the last.
-PROJECTIONS, RUN, ENOUGH = 2, 768, 0.02
+#: Projections and run length of the first graph; a round that changes a smaller share of edges is the last. Rounds
+#: touch all nodes and the search only what queries meet, so a wide search makes up for the last edges at less cost.
+PROJECTIONS, RUN, ENOUGH = 2, 768, 0.1
 #: Search: nodes expanded per query and round, nearest nodes remembered; queries of one block where all nodes are met.
-EXPAND, POOL, ASKED = 32, 160, 1_000
+EXPAND, POOL, ASKED = 64, 400, 1_000
 
 _EDGE = "src long, dst long, d double, fresh boolean"
 
