@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanloom.functions import fixed
+from spanloom.operators import captions
 
 
 def _list(words: list[str]) -> str:
@@ -220,12 +221,115 @@ wlast AS (SELECT video_id, clip_idx, word AS last_word, total AS n_k, round_even
 
 
 _W = "video_id, window_idx"
-#: Words of the windows in order, parted at sentences' ends and pauses.
-_IDEAS = """
+#: Words of the windows in order.
+_WINDOW_WORDS = """
 inw AS (SELECT s.video_id, s.window_idx, w.word, w.start, w."end", row_number() OVER (PARTITION BY s.video_id, s.window_idx ORDER BY seg_idx, word_idx) - 1 AS place
-  FROM spans s JOIN words w ON w.video_id = s.video_id AND (w.start + w."end") / 2.0::double BETWEEN s.start AND s."end" AND seg_end >= s.start AND seg_start <= s."end"),
-parted AS (SELECT *, regexp_matches(lag(word) OVER o, '[.!?]["\'\']?$') OR start - lag("end") OVER o >= 0.55::double AS c FROM inw WINDOW o AS (PARTITION BY video_id, window_idx ORDER BY place)),
-ideas AS (SELECT video_id, window_idx, place, word, start, "end", sum(CASE WHEN c THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, window_idx ORDER BY place)::bigint AS span FROM parted)"""
+  FROM spans s JOIN words w ON w.video_id = s.video_id AND (w.start + w."end") / 2.0::double BETWEEN s.start AND s."end" AND seg_end >= s.start AND seg_start <= s."end")"""
+
+
+def _ideas(key: str) -> str:
+    """The words ``inw`` (key, place, word, start, end) parted at sentences' ends and pauses."""
+    return f"""
+parted AS (SELECT *, regexp_matches(lag(word) OVER o, '[.!?]["\'\']?$') OR start - lag("end") OVER o >= 0.55::double AS c FROM inw WINDOW o AS (PARTITION BY {key} ORDER BY place)),
+ideas AS (SELECT {key}, place, word, start, "end", sum(CASE WHEN c THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY place)::bigint AS span FROM parted)"""
+
+
+def _costs(key: str) -> str:
+    """What a break after each word costs."""
+    return rf"""
+w7 AS (SELECT *, count(*) OVER o AS n7, last_value("end") OVER o - first_value(start) OVER o AS long7 FROM ideas WINDOW o AS (PARTITION BY {key}, span ORDER BY place ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+wps AS (SELECT *, CASE WHEN long7 > 0 THEN n7 / long7 ELSE 0.0::double END AS wps,
+  regexp_replace(regexp_replace(lower(trim(word)), '^[\s"“”„''()\[\]{{}}]+', ''), '[\s"“”„''()\[\]{{}}.,!?;:]+$', '') AS token, regexp_replace(word, '^[ "''“”„()\[\]{{}}.,!?;:]+|[ "''“”„()\[\]{{}}.,!?;:]+$', '', 'g') AS bare FROM w7),
+marks AS (SELECT *, regexp_matches(replace(token, ',', '.'), '^\d+(\.\d+)?%?$') AS number, length(bare) > 1 AND regexp_matches(bare[1], '^\p{{Lu}}') AS capital FROM wps),
+near AS (SELECT *, lag(token, 2) OVER o AS b2, lag(token) OVER o AS b1, lead(token) OVER o AS a1, lead(token, 2) OVER o AS a2, lead(token, 3) OVER o AS a3, lead(capital) OVER o AS next_capital, lag(number) OVER o AS prev_number, greatest(0.0::double, lead(start) OVER o - "end") AS pause FROM marks WINDOW o AS (PARTITION BY {key}, span ORDER BY place)),
+rated AS (SELECT *, list_has_any([token || ' ' || a1, b1 || ' ' || token || ' ' || a1, token || ' ' || a1 || ' ' || a2, b2 || ' ' || b1 || ' ' || token || ' ' || a1, b1 || ' ' || token || ' ' || a1 || ' ' || a2, token || ' ' || a1 || ' ' || a2 || ' ' || a3], [{", ".join(f"'{x}'" for x in fixed.PHRASES)}]) AS phrase,
+  capital AND next_capital AND token NOT IN {_list(fixed.ENDERS)} AND a1 NOT IN {_list(fixed.STARTERS)} AS named, (number AND (a1 IN {_list(fixed.UNITS)} OR a1 = 'de')) OR (coalesce(prev_number, false) AND token = 'de' AND a1 IN {_list(fixed.UNITS)}) AS counted FROM near),
+breaks AS (SELECT {key}, place::int AS place, word, start, "end", span, token, CASE WHEN wps >= 3.10::double THEN 3 ELSE 2 END AS ideal_words, (CASE WHEN wps >= 3.10::double THEN 0.95 WHEN wps <= 1.75::double THEN 1.35 ELSE 1.15 END)::double AS ideal_duration, (CASE WHEN wps >= 3.10::double THEN 1.45 WHEN wps <= 1.75::double THEN 1.85 ELSE 1.65 END)::double AS max_duration,
+  CASE WHEN a1 IS NULL THEN NULL WHEN phrase OR named OR counted THEN 100.0::double ELSE (CASE WHEN pause >= 0.55::double THEN -6.0 WHEN pause >= 0.35::double THEN -4.0 WHEN pause >= 0.18::double THEN -1.8 WHEN pause < 0.05::double THEN 0.35 ELSE 0 END)::double + (CASE WHEN regexp_matches(word, '[.!?]["'']?$') THEN -7.0 WHEN regexp_matches(word, '[,;:]\s*$') THEN -2.2 ELSE 0 END)::double
+   + (CASE WHEN token IN {_list(fixed.ENDERS)} THEN 3.6 ELSE 0 END)::double + (CASE WHEN a1 IN {_list(fixed.STARTERS)} THEN 3.0 ELSE 0 END)::double + (CASE WHEN token IN {_list(fixed.ENDERS)} AND length(token) <= 2 THEN 1.0 ELSE 0 END)::double END AS cost FROM rated)"""
+
+
+def _group_cost(n: int) -> str:
+    last = lambda c: f"lead({c}, {n - 1}) OVER o" if n > 1 else c
+    d = f"""({last('"end"')} - start)"""
+    single = """ + 1.15::double - (CASE WHEN ("end" - start) >= 0.70::double THEN 0.65 ELSE 0 END)::double - (CASE WHEN regexp_matches(word, '[.!?]["\'\']?$') THEN 0.45 ELSE 0 END)::double"""
+    own = f"""abs({n} - {last("ideal_words")}) * 1.15::double{single if n == 1 else ""} + abs({d} - {last("ideal_duration")}) * 1.25::double + CASE WHEN {d} < 0.38::double THEN (0.38::double - {d}) * 6.0::double ELSE 0.0::double END
+     + (CASE WHEN token IN {_list(fixed.STARTERS)} AND row_number() OVER o > 1 THEN 1.6 ELSE 0 END)::double + (CASE WHEN {last("token")} IN {_list(fixed.ENDERS)} AND {last("cost")} IS NOT NULL THEN 2.1 ELSE 0 END)::double + coalesce({last("cost")}, 0.0::double)"""
+    too_long = f"{d} > {1.85 + 0.30!r}::double" + (f" OR {d} > {last('max_duration')}" if n > 1 else "")
+    return f"""CASE WHEN {last('"end"')} IS NULL OR {too_long} THEN 'infinity'::double ELSE {own} END AS c{n}"""
+
+
+def _groups(key: str) -> str:
+    """Captions: the cheapest split of each span by a recursion from its end, then a fold that joins short single words."""
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in key.split(", "))
+    fits = lambda a, b: f"{a}.n + {b}.n <= 3 AND {b}.e - {a}.s <= 1.85::double AND {b}.s - {a}.e < 0.55::double"
+    both = lambda a, b: f"{{'a': {a}.a, 'n': {a}.n + {b}.n, 's': {a}.s, 'e': {b}.e}}"
+    short = "len(gs) > 1 AND gs[j].n = 1 AND greatest(0.0::double, gs[j].e - gs[j].s) < 0.65::double"
+    back, ahead = f"({short} AND len(done) > 0 AND {fits('done[-1]', 'gs[j]')})", f"({short} AND j < len(gs) AND {fits('gs[j]', 'gs[j + 1]')})"
+    return f"""
+priced AS (SELECT *, {", ".join(_group_cost(n) for n in (1, 2, 3))} FROM breaks WINDOW o AS (PARTITION BY {key}, span ORDER BY place)),
+lists AS (SELECT {key}, span, min(place) AS p0, count(*) AS n, list(c1 ORDER BY place) AS c1, list(c2 ORDER BY place) AS c2, list(c3 ORDER BY place) AS c3 FROM priced GROUP BY {key}, span),
+dp AS (SELECT {key}, span, p0, n, c1, c2, c3, n AS i, 0.0::double AS t0, 'infinity'::double AS t1, 'infinity'::double AS t2, []::INT[] AS sizes FROM lists
+ UNION ALL SELECT {key}, span, p0, n, c1, c2, c3, i - 1, least(c1[i] + t0, c2[i] + t1, c3[i] + t2), t0, t1,
+   list_prepend(CASE WHEN least(c1[i] + t0, c2[i] + t1, c3[i] + t2) = 'infinity'::double THEN 0 WHEN c1[i] + t0 <= least(c2[i] + t1, c3[i] + t2) THEN 1 WHEN c2[i] + t1 <= c3[i] + t2 THEN 2 ELSE 3 END, sizes) FROM dp WHERE i > 0),
+walk AS (SELECT {key}, span, p0, n, sizes, 1::bigint AS i, 0 AS k FROM dp WHERE i = 0
+ UNION ALL SELECT {key}, span, p0, n, sizes, i + k, CASE WHEN sizes[1] = 0 OR i + k > n THEN 1 ELSE greatest(1, sizes[i + k]) END FROM walk WHERE i + k <= n),
+firsts AS (SELECT {key}, span, p0 + i - 1 AS a, k AS n FROM walk WHERE k > 0),
+spans_of AS (SELECT f.*, x.start AS s, y."end" AS e FROM firsts f JOIN priced x ON {same("x", "f")} AND x.place = f.a JOIN priced y ON {same("y", "f")} AND y.place = f.a + f.n - 1),
+given_groups AS (SELECT {key}, list({{'a': a::bigint, 'n': n::bigint, 's': s, 'e': e}} ORDER BY a) AS gs FROM spans_of GROUP BY {key}),
+joined AS (SELECT {key}, gs, 1::bigint AS j, []::STRUCT(a BIGINT, n BIGINT, s DOUBLE, e DOUBLE)[] AS done FROM given_groups
+ UNION ALL SELECT {key}, gs, CASE WHEN NOT {back} AND {ahead} THEN j + 2 ELSE j + 1 END,
+   CASE WHEN {back} THEN list_append(done[:-2], {both("done[-1]", "gs[j]")}) WHEN {ahead} THEN list_append(done, {both("gs[j]", "gs[j + 1]")}) ELSE list_append(done, gs[j]) END FROM joined WHERE j <= len(gs)),
+numbered AS (SELECT {key}, g - 1 AS group_idx, done[g] AS d FROM (SELECT *, unnest(range(1, len(done) + 1)) AS g FROM joined WHERE j > len(gs))),
+captions AS (SELECT c.*, list({{'w': p.word, 's': p.start, 'e': p."end"}} ORDER BY place) AS ws FROM numbered c JOIN priced p ON {same("p", "c")} AND p.place >= c.d.a AND p.place < c.d.a + c.d.n GROUP BY ALL)"""
+
+
+def _escaped(w: str) -> str:
+    return rf"replace(replace(replace({w}, '\', '\\'), '{{', '\{{'), '}}', '\}}')"
+
+
+def _events(key: str, animation: str = "capcut") -> str:
+    """An event per word of every caption."""
+    plain = f"'{{\\c{fixed.PLAIN_COLOR}\\fscx100\\fscy100}}' || {_escaped('x.w')}"
+    lit = f"'{{\\c{fixed.ACTIVE_COLOR}}}{fixed.WORD_TAGS[animation]}' || {_escaped('x.w')} || '{fixed.RESET_TAG}'"
+    return f"""
+each AS (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM captions),
+events AS (SELECT {key}, group_idx, (k - 1)::int AS active_index, ws[k].s AS start, ws[k].s + greatest(0.01::double, greatest(ws[k].e, coalesce(ws[k + 1].s, ws[-1].e)) - ws[k].s) AS "end", ws[k].w AS word, array_to_string(list_transform(ws, lambda x, i: CASE WHEN i = k THEN {lit} ELSE {plain} END), ' ') AS text FROM each)"""
+
+
+def _clock(t: str) -> str:
+    """H:MM:SS.CC of seconds."""
+    t = f"greatest(0.0::double, {t})"
+    cs = f"(floor({t})::bigint * 100 + round_even(({t} - floor({t})) * 100, 0)::bigint)"
+    return f"({cs} // 360000) || ':' || lpad(({cs} % 360000 // 6000)::varchar, 2, '0') || ':' || lpad(({cs} % 6000 // 100)::varchar, 2, '0') || '.' || lpad(({cs} % 100)::varchar, 2, '0')"
+
+
+#: Words of every clip: part 0 the spoken hook, part 1 the clip's own words, moved behind it.
+_CLIP_WORDS = f"""
+hooked AS (SELECT c.*, fit FROM clips c LEFT JOIN (SELECT video_id, clip_idx, fit FROM timed WHERE applied) t USING (video_id, clip_idx)),
+cput AS (SELECT p.*, h.clip_idx, h.fit, p."end" - p.start AS len, coalesce(sum(p."end" - p.start) OVER (PARTITION BY p.video_id, p.cand_idx ORDER BY seg_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::double) AS at_ FROM cpieces p JOIN hooked h USING ({_C})),
+cmet AS (SELECT p.video_id, p.clip_idx, fit, seg_pos, seg_idx, word_idx, word, at_, len, greatest(0.0::double, w.start - p.start) AS lo, w."end" - p.start AS hi, row_number() OVER (PARTITION BY p.video_id, p.clip_idx, seg_pos, round_even(w.start, 4), round_even(w."end", 4), word ORDER BY seg_idx, word_idx) AS twin
+  FROM cput p JOIN words w ON w.video_id = p.video_id AND (w.start + w."end") / 2.0::double BETWEEN p.start AND p."end" AND seg_end >= p.start AND seg_start <= p."end"),
+cown AS (SELECT video_id, clip_idx, fit, seg_pos, seg_idx, word_idx, word, round_even(at_ + lo, 4) AS s, round_even(at_ + least(len, greatest(lo, hi)), 4) AS e FROM cmet WHERE twin = 1
+ UNION ALL SELECT h.video_id, h.clip_idx, fit, 0, seg_idx, word_idx, word, w.start - h.start, w."end" - h.start FROM hooked h JOIN words w ON h.strategy <> 'extractive' AND w.video_id = h.video_id AND w."end" >= h.start AND w.start <= h."end"),
+cwords AS (SELECT video_id, clip_idx, 1 AS part, seg_pos, seg_idx, word_idx, word, round_even(s + coalesce(fit, 0.0::double), 4) AS start, round_even(e + coalesce(fit, 0.0::double), 4) AS "end" FROM cown
+ UNION ALL SELECT video_id, clip_idx, 0, 0, 0, i, word, round_even(t * (upto - k) / total::double, 0) / 10000.0::double, CASE WHEN upto = total THEN t ELSE greatest(round_even(t * (upto - k) / total::double, 0) + 100, round_even(t * upto / total::double, 0)) END / 10000.0::double FROM wsum),
+inw AS (SELECT video_id, clip_idx, part, row_number() OVER (PARTITION BY video_id, clip_idx, part ORDER BY seg_pos, seg_idx, word_idx) - 1 AS place, word, start, greatest(start, "end") AS "end" FROM cwords)"""
+_P = "video_id, clip_idx, part"
+
+
+#: Crop tracks of whole clips, 1920 by 1080: the crop is 608 wide and as high as the frame, so its centre lies at 540.
+_CROP = """
+framed AS (SELECT video_id, cand_idx AS clip_idx, "end" - start AS duration, floor(("end" - start + 0.001::double) * 2)::int AS top FROM best),
+raw_track AS (SELECT video_id, clip_idx, duration, top, -1 AS i, NULL::double AS lx, ''::varchar AS source FROM framed
+ UNION ALL SELECT video_id, clip_idx, duration, top, i + 1, greatest(304.0::double, least(CASE WHEN face THEN CASE WHEN two AND lx IS NOT NULL AND sqrt((x + 200 + s / 2 - lx) ** 2 + (y + s / 2 - 540) ** 2) - 0.2::double * s < sqrt((x + s / 2 - lx) ** 2 + (y + s / 2 - 540) ** 2) - 0.2::double * s THEN x + 200 ELSE x END + s / 2 WHEN person THEN x + 50 + s / 2 ELSE coalesce(lx, 960.0::double) END, 1616.0::double)),
+   CASE WHEN face THEN 'face' WHEN person THEN 'person' WHEN lx IS NULL THEN 'center' ELSE 'previous' END
+  FROM (SELECT *, (video_id + i + 1) % 6 <> 0 AS face, (i + 1) % 5 = 0 AS two, (video_id + i + 1) % 4 <> 0 AS person, ((video_id * 37 + (i + 1) * 29) % 1500)::double AS x, ((video_id * 17 + (i + 1) * 11) % 700)::double AS y, (80 + (i + 1) % 3 * 40)::double AS s FROM raw_track WHERE i < top)),
+track AS (SELECT video_id, clip_idx, i AS n, i * 0.5::double AS time, lx AS at_x, source FROM raw_track WHERE i >= 0
+ UNION ALL SELECT video_id, clip_idx, i + 1, duration, lx, source FROM raw_track WHERE i = top AND i * 0.5::double < duration),
+calm AS (SELECT video_id, clip_idx, n, time, at_x AS center_x, source FROM track WHERE n = 0
+ UNION ALL SELECT t.video_id, t.clip_idx, t.n, t.time, greatest(304.0::double, least(CASE WHEN abs(at_x - center_x) <= 608 * 0.07::double THEN center_x ELSE center_x + greatest(-(608 * 0.18::double), least(608 * 0.18::double, at_x - center_x)) * 0.32::double END, 1616.0::double)), t.source
+  FROM calm c JOIN track t ON t.video_id = c.video_id AND t.clip_idx = c.clip_idx AND t.n = c.n + 1)"""
 
 
 def _case(values: list[str], by: str) -> str:
@@ -285,7 +389,7 @@ SQL: dict[str, str] = {
         y AS (SELECT *, sum(k) OVER (PARTITION BY video_id, seg_idx ORDER BY w_idx)::bigint AS upto, sum(k) OVER (PARTITION BY video_id, seg_idx)::bigint AS total FROM x)""" % _WORDS,
         """SELECT video_id, seg_idx, w_idx::int AS w_idx, word, round_even(t * (upto - k) / total::double, 0) / 10000.0::double AS start, CASE WHEN upto = total THEN t ELSE greatest(round_even(t * (upto - k) / total::double, 0) + 100, round_even(t * upto / total::double, 0)) END / 10000.0::double AS "end" FROM (SELECT *, round_even(d * 10000, 0)::bigint AS t FROM y)""",
     ),
-    "idea_spans": _with(f"{_TO_WINDOWS},{_IDEAS}", f"""SELECT {_W}, place::int AS place, word, start, "end", span FROM ideas"""),
+    "idea_spans": _with(f"{_TO_WINDOWS},{_WINDOW_WORDS},{_ideas(_W)}", f"""SELECT {_W}, place::int AS place, word, start, "end", span FROM ideas"""),
     "text_functions": _with(
         _BASE,
         rf"""SELECT video_id, seg_idx, n AS n_words, (CASE WHEN n <= 0 THEN 0 WHEN n <= 8 THEN 100 WHEN n <= 10 THEN 94 WHEN n <= 12 THEN 86 WHEN n <= 14 THEN 70 ELSE greatest(20, 70 - (n - 14) * 8) END)::bigint AS brevity,
@@ -389,17 +493,20 @@ SQL: dict[str, str] = {
         r"""SELECT video_id, seg_idx, word_idx, regexp_replace(lower(trim(word)), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g') AS pacing_token, ct AS caption_token, regexp_matches(replace(ct, ',', '.'), '^\d+(\.\d+)?%?$') AS is_number, regexp_matches(word, '[.!?]["'']?$') AS ends_sentence, regexp_matches(word, '[,;:]\s*$') AS ends_clause,
         regexp_replace(word, '[.,!?;:"''(){}\[\]]', '', 'g') AS bare, regexp_matches(word, '^[.,!?;:]+$') AS is_punctuation, (carried // 3600) || ':' || lpad((carried % 3600 // 60)::varchar, 2, '0') || ':' || lpad((carried % 60)::varchar, 2, '0') || '.' || lpad(CASE WHEN hh >= 100 THEN 0 ELSE hh END::varchar, 2, '0') AS clock FROM k""",
     ),
-    "boundary_costs": _with(
-        rf"""{_TO_WINDOWS},{_IDEAS},
-        w7 AS (SELECT *, count(*) OVER o AS n7, last_value("end") OVER o - first_value(start) OVER o AS long7 FROM ideas WINDOW o AS (PARTITION BY {_W}, span ORDER BY place ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
-        wps AS (SELECT *, CASE WHEN long7 > 0 THEN n7 / long7 ELSE 0.0::double END AS wps,
-          regexp_replace(regexp_replace(lower(trim(word)), '^[\s"“”„''()\[\]{{}}]+', ''), '[\s"“”„''()\[\]{{}}.,!?;:]+$', '') AS token, regexp_replace(word, '^[ "''“”„()\[\]{{}}.,!?;:]+|[ "''“”„()\[\]{{}}.,!?;:]+$', '', 'g') AS bare FROM w7),
-        kinds AS (SELECT *, regexp_matches(replace(token, ',', '.'), '^\d+(\.\d+)?%?$') AS number, length(bare) > 1 AND regexp_matches(bare[1], '^\p{{Lu}}') AS capital FROM wps),
-        near AS (SELECT *, lag(token, 2) OVER o AS b2, lag(token) OVER o AS b1, lead(token) OVER o AS a1, lead(token, 2) OVER o AS a2, lead(token, 3) OVER o AS a3, lead(capital) OVER o AS next_capital, lag(number) OVER o AS prev_number, greatest(0.0::double, lead(start) OVER o - "end") AS pause FROM kinds WINDOW o AS (PARTITION BY {_W}, span ORDER BY place)),
-        rated AS (SELECT *, list_has_any([token || ' ' || a1, b1 || ' ' || token || ' ' || a1, token || ' ' || a1 || ' ' || a2, b2 || ' ' || b1 || ' ' || token || ' ' || a1, b1 || ' ' || token || ' ' || a1 || ' ' || a2, token || ' ' || a1 || ' ' || a2 || ' ' || a3], [{", ".join(f"'{x}'" for x in fixed.PHRASES)}]) AS phrase,
-          capital AND next_capital AND token NOT IN {_list(fixed.ENDERS)} AND a1 NOT IN {_list(fixed.STARTERS)} AS named, (number AND (a1 IN {_list(fixed.UNITS)} OR a1 = 'de')) OR (coalesce(prev_number, false) AND token = 'de' AND a1 IN {_list(fixed.UNITS)}) AS counted FROM near)""",
-        f"""SELECT {_W}, place::int AS place, word, start, "end", span, token, CASE WHEN wps >= 3.10::double THEN 3 ELSE 2 END AS ideal_words, (CASE WHEN wps >= 3.10::double THEN 0.95 WHEN wps <= 1.75::double THEN 1.35 ELSE 1.15 END)::double AS ideal_duration, (CASE WHEN wps >= 3.10::double THEN 1.45 WHEN wps <= 1.75::double THEN 1.85 ELSE 1.65 END)::double AS max_duration,
-        CASE WHEN a1 IS NULL THEN NULL WHEN phrase OR named OR counted THEN 100.0::double ELSE (CASE WHEN pause >= 0.55::double THEN -6.0 WHEN pause >= 0.35::double THEN -4.0 WHEN pause >= 0.18::double THEN -1.8 WHEN pause < 0.05::double THEN 0.35 ELSE 0 END)::double + (CASE WHEN regexp_matches(word, '[.!?]["'']?$') THEN -7.0 WHEN regexp_matches(word, '[,;:]\\s*$') THEN -2.2 ELSE 0 END)::double
-          + (CASE WHEN token IN {_list(fixed.ENDERS)} THEN 3.6 ELSE 0 END)::double + (CASE WHEN a1 IN {_list(fixed.STARTERS)} THEN 3.0 ELSE 0 END)::double + (CASE WHEN token IN {_list(fixed.ENDERS)} AND length(token) <= 2 THEN 1.0 ELSE 0 END)::double END AS cost FROM rated""",
+    "boundary_costs": _with(f"{_TO_WINDOWS},{_WINDOW_WORDS},{_ideas(_W)},{_costs(_W)}", "SELECT * FROM breaks"),
+    "caption_groups": _with(f"{_TO_WINDOWS},{_WINDOW_WORDS},{_ideas(_W)},{_costs(_W)},{_groups(_W)}", f"""SELECT {_W}, group_idx, ws[1].s AS start, ws[-1].e AS "end", array_to_string(list_transform(ws, lambda x: x.w), ' ') AS text FROM captions"""),
+    "caption_events": _with(f"{_TO_WINDOWS},{_WINDOW_WORDS},{_ideas(_W)},{_costs(_W)},{_groups(_W)},{_events(_W)}", 'SELECT * FROM events WHERE "end" > start'),
+    "clip_subtitles": _with(
+        f"{_TO_ALL},{_VOICES},{_CLIP_WORDS},{_ideas(_P)},{_costs(_P)},{_groups(_P)},{_events(_P)}",
+        f"""SELECT video_id, clip_idx, length(document)::bigint AS n_chars, md5(document) AS document_md5 FROM (SELECT video_id, clip_idx, '{captions.header(captions.style_of("modern", fixed.STYLE_OVERRIDES))}' || string_agg('Dialogue: 0,' || {_clock("start")} || ',' || {_clock('"end"')} || ',Default,,0,0,0,,{fixed.LINE_TAGS["capcut"]}' || text, chr(10) ORDER BY part, group_idx, active_index) || chr(10) AS document FROM events WHERE "end" > start GROUP BY video_id, clip_idx)""",
+    ),
+    "crop_points": _with(f"{_TO_BEST},{_CROP}", "SELECT video_id, clip_idx, n, time, center_x, 540.0::double AS center_y, source, greatest(0.0::double, least(1312.0::double, center_x - 304)) AS x, 0.0::double AS y FROM calm"),
+    "crop_commands": _with(
+        f"""{_TO_BEST},{_CROP},
+        placed AS (SELECT *, greatest(0.0::double, least(1312.0::double, center_x - 304)) AS x FROM calm),
+        steps AS (SELECT *, lead(time) OVER o AS nt, lead(x) OVER o AS nx, count(*) OVER (PARTITION BY video_id, clip_idx) AS every FROM placed WINDOW o AS (PARTITION BY video_id, clip_idx ORDER BY n)),
+        commands AS (SELECT *, printf('%.3f-%.3f', round_even(time, 3), round_even(greatest(nt, time + 0.001::double), 3)) AS span FROM steps),
+        texts AS (SELECT video_id, clip_idx, string_agg(CASE WHEN every = 1 THEN printf('0.000 crop@smart x %.3f;', round_even(x, 3)) || chr(10) || '0.000 crop@smart y 0.000;' ELSE span || printf(' [expr] crop@smart x ''lerp(%.3f,%.3f,TI)'';', round_even(x, 3), round_even(nx, 3)) || chr(10) || span || ' [expr] crop@smart y ''lerp(0.000,0.000,TI)'';' END, chr(10) ORDER BY n) || chr(10) AS document FROM commands WHERE every = 1 OR nt IS NOT NULL GROUP BY ALL)""",
+        "SELECT video_id, clip_idx, length(document)::bigint AS n_chars, md5(document) AS document_md5 FROM texts",
     ),
 }
