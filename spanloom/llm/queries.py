@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import ann, decontaminate, langid, line_dedup, lm, ngram_join, packing, quality, rans, toxicity
 from spanloom.llm.common import fold_of, table
 
-#: The tokenizer file of the token queries; any tokenizers JSON file will do.
+#: The tokenizer file of the token queries; any that encodes words apart will do (see ``tokens``).
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 

@@ -21,6 +21,8 @@ from spanloom.llm import text as tx
 #: Words kept per worker (about 30 bytes each): beyond it, those met in one chunk only go. The library makes an
 #: object of about a thousand bytes for each word it is asked for, so it is asked for so many at a time.
 CACHE_WORDS, ASK_WORDS = 1_600_000, 4_000
+#: Words that a tokenizer must encode alike alone and between white space.
+_PROBE = ["Ab", "9x", "don't", "é.", "(z)"]
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -32,6 +34,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        if any(ids(gap.join(_PROBE)) != [i for w in _PROBE for i in ids(w)] for gap in (" ", "\n", " \t ")):
+            raise ValueError(f"{path} joins text across white space, so texts cannot be encoded word by word")
         self._clear()
 
     def _clear(self) -> None:
