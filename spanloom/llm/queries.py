@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import ann, decontaminate, langid, line_dedup, lm, ngram_join, packing, quality, rans, toxicity
+from spanloom.llm import ann, cover_tree, decontaminate, langid, line_dedup, lm, ngram_join, packing, quality, rans, toxicity, turn_trie, whitening
 from spanloom.llm.common import fold_of, table
 
 #: The tokenizer file of the token queries; any that encodes words apart will do (see ``tokens``).
@@ -70,7 +70,20 @@ def op10_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("key.*", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op3_nn_descent, op4_ngram_join, op5_crf_quality, op6_language, op7_rans, op8_site_lines, op9_winnowing, op10_cnn_toxicity)}
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op13_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64.0, shift=1_000_000)
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond a long, where the operator's decimal is whole
+
+
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_packing, op3_nn_descent, op4_ngram_join, op5_crf_quality, op6_language, op7_rans, op8_site_lines, op9_winnowing, op10_cnn_toxicity, op11_turn_trie, op12_cover_tree, op13_qd_whitening)}
 #: The line queries of op8: lines of a page once, their share of the host's pages, and what is left of each page.
 OP8_SQL = """
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -117,4 +130,36 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN q USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op4_ngram_join": OP4_SQL, "op9_winnowing": OP9_SQL, "op8_site_lines": OP8_SQL}
+#: crc32 bit by bit; then every prefix of every rebuilt conversation by the hash of its turns' hashes.
+OP11_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+k(conv_id, i, crc) AS (SELECT DISTINCT conv_id, 0, 4294967295::bigint FROM t
+    UNION ALL SELECT conv_id, i + 1, CASE WHEN i % 9 = 0 THEN xor(crc, ascii(substr(conv_id::varchar, i // 9 + 1, 1))::bigint) ELSE xor(crc >> 1, 3988292384::bigint * (crc & 1)) END FROM k WHERE i < 9 * length(conv_id::varchar)),
+h AS (SELECT conv_id, xor(crc, 4294967295::bigint) % 9 AS h FROM k WHERE i = 9 * length(conv_id::varchar)),
+r AS (SELECT h.conv_id, t.pos, t.said, t.size FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 WHERE t.pos <= h.h
+      UNION ALL SELECT h.conv_id, 1000000 + t.pos, t.said, t.size FROM h JOIN t ON t.conv_id = h.conv_id WHERE t.pos > h.h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, said, size FROM r),
+n AS (SELECT h.conv_id, coalesce(max(depth), 0) AS n FROM h LEFT JOIN s USING (conv_id) GROUP BY h.conv_id),
+p(conv_id, depth, node, size) AS (SELECT conv_id, 0::bigint, '', 0::bigint FROM h UNION ALL SELECT s.conv_id, s.depth, md5(p.node || s.said), s.size FROM p JOIN s ON s.conv_id = p.conv_id AND s.depth = p.depth + 1),
+a AS (SELECT node, depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+      coalesce(string_agg(p.conv_id::varchar, ',' ORDER BY p.conv_id) FILTER (WHERE n.n = depth), '') AS ends FROM p JOIN n USING (conv_id) GROUP BY node, depth),
+u AS (SELECT a.node, a.depth, b.node AS up, c.conv_id AS up_conv FROM a LEFT JOIN p b ON b.conv_id = a.conv_id AND b.depth = a.depth - 1 LEFT JOIN a c ON c.node = b.node AND c.depth = b.depth),
+c AS (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM u WHERE up IS NOT NULL GROUP BY ALL),
+w AS (SELECT p.node, p.depth, sum(a.own) AS saved, count(*) FILTER (WHERE c.n_children IS NULL) AS leaves FROM a LEFT JOIN c ON c.up = a.node AND c.depth = a.depth JOIN p ON p.conv_id = a.conv_id AND p.depth <= a.depth GROUP BY ALL)
+SELECT a.conv_id, a.depth, u.up_conv AS parent_conv_id, a.n_convs, coalesce(c.n_children, 0)::bigint AS n_children, w.leaves::bigint AS n_leaves, w.saved::bigint AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM a JOIN u USING (node, depth) LEFT JOIN c ON c.up = a.node AND c.depth = a.depth JOIN w ON w.node = a.node AND w.depth = a.depth
+"""
+
+#: All pairs of a label, then the least id reachable.
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::double[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding::double[], lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding::double[], lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93::double),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c(vec_id, top) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.top FROM c JOIN l ON l.a = c.vec_id WHERE c.top < l.b)
+SELECT e.vec_id, coalesce(any_value(n.n), 0)::bigint AS n_links, min(c.top) AS component_id, e.vec_id = min(c.top) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN c ON c.vec_id = e.vec_id GROUP BY e.vec_id
+"""
+
+SQL: dict[str, str] = {"op11_turn_trie": OP11_SQL, "op12_cover_tree": OP12_SQL, "op4_ngram_join": OP4_SQL, "op9_winnowing": OP9_SQL, "op8_site_lines": OP8_SQL}
