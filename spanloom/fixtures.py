@@ -81,28 +81,45 @@ def analysis_replies(candidates: DataFrame) -> DataFrame:
     roles = F.array(*map(F.lit, [*fixed.ROLES, "other"]))
 
     def piece(j: Column, q: Column) -> Column:
-        start = cs + (q * 11 + j * 7 + v) % 40 + 0.137
-        return F.struct(start.alias("start"), (start + 1 + (q + j) % 9).alias("end"), F.element_at(roles, ((q + j) % 7 + 1).cast("int")).alias("role"), F.concat(F.lit("r"), q.cast("string")).alias("reason"))
+        # Variant 0 keeps two to four long pieces, variant 2 begins with a later one, the others scatter short ones.
+        start = F.when(j == 0, cs + (q * 13 + v % 4)).when(j == 2, cs + (q * 16 + 20) % 36).otherwise(cs + (q * 11 + j * 7 + v) % 40) + 0.137
+        end = start + F.when(j == 0, 9 + (q * 3 + v) % 4).when(j == 2, 8 + q).otherwise(1 + (q + j) % 9)
+        return F.struct(start.alias("start"), end.alias("end"), F.element_at(roles, ((q + j) % 7 + 1).cast("int")).alias("role"), F.concat(F.lit("r"), q.cast("string")).alias("reason"))
+
+    def variant(j: Column) -> Column:
+        n = F.when(j == 0, 2 + v % 3).when(j == 2, 3).otherwise(10)
+        pieces = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda q: piece(j, q))
+        own = _scores(keys, lambda d: F.when(j == 0, 60 + (v * 7 + c * 5 + d * 11) % 41).otherwise(40 + (v * 3 + c * 11 + d * 17) % 61))
+        given = F.when(((j == 0) & ((v + c) % 3 != 0)) | (j == 2), own).otherwise(F.create_map().cast("map<string,string>"))
+        way = F.when((j == 1) & (v % 4 == 0), "tts").otherwise("extractive")
+        return F.struct(F.concat(F.lit("v"), j.cast("string")).alias("name"), way.alias("strategy"), F.concat(F.lit("why "), j.cast("string")).alias("rationale"), given.alias("scores"), pieces.alias("segments"))
 
     ints = lambda n: F.sequence(F.lit(0), F.lit(n))
-    variant = lambda j: F.struct(F.concat(F.lit("v"), j.cast("string")).alias("name"), F.when((j == 1) & (v % 4 == 0), "tts").otherwise("extractive").alias("strategy"), F.transform(ints(9), lambda q: piece(j, q)).alias("segments"))
-    item = lambda h, k, w: F.when(h % 6 == 5, F.lit('"note"')).otherwise(F.to_json(F.struct((cs + (h * 9 + v) % 40).alias("start"), (cs + (h * 9 + v) % 40 + 3).alias("end"), w.alias(k))))
-    listed = lambda k, w: F.concat(F.lit("["), F.array_join(F.transform(ints(6), lambda h: item(h, k, w(h))), ","), F.lit("]"))
+    kinds = F.array(*map(F.lit, ["claim", "payoff", "story"]))
+    named = {"type": lambda h: F.element_at(kinds, (h % 3 + 1).cast("int")), "reason": lambda h: F.concat(F.lit("because "), h.cast("string")), "text": lambda h: F.concat(F.lit("what is w"), h.cast("string"))}
+
+    def item(h: Column, own: list[str], k: str, w: Column) -> Column:
+        start = cs + (h * 9 + v) % 40
+        whole = F.struct(start.alias("start"), (start + 3 + h % 3 * 4).alias("end"), *(named[f](h).alias(f) for f in own), w.alias(k))
+        return F.when(h % 6 == 5, F.lit('"note"')).otherwise(F.to_json(whole))
+
+    listed = lambda k, w, *own: F.concat(F.lit("["), F.array_join(F.transform(ints(6), lambda h: item(h, own, k, w(h))), ","), F.lit("]"))
+    proof = lambda h, i: F.struct((cs + h).alias("start"), (cs + h + 1.5 + i).alias("end"), F.concat(F.lit("said at "), i.cast("string")).alias("reason"))
     hook = lambda h: F.struct(
         F.concat(F.when((v + h) % 6 == 0, "Did you know ").otherwise(""), F.array_join(F.transform(F.sequence(F.lit(1), 4 + h * 5), lambda x: F.concat(F.lit("the w"), x.cast("string"))), " ")).alias("text"),
         F.lit("question").alias("type"),
         (h % 2 == 0).alias("generated"),
-        F.when((v + h) % 5 == 0, F.array().cast("array<double>")).otherwise(F.array(cs)).alias("evidence"),
+        F.when((v + h) % 5 != 0, F.transform(F.sequence(F.lit(0), (h % 2).cast("int")), lambda i: proof(h, i))).otherwise(F.array().cast("array<struct<start:double,end:double,reason:string>>")).alias("evidence"),
         F.create_map(F.lit("curiosity"), (v * 3 + h * 11) % 101, F.lit("relevance"), (v * 5 + h * 7) % 101).alias("metrics"),
         F.when(h % 2 == 1, cs + h).alias("source_start"),
         F.when(h % 2 == 1, cs + h + 2).alias("source_end"),
     )
     good = F.concat(
         F.lit('{"content_type":"podcast","scores":'), scores,
-        F.lit(',"retention_anchors":'), listed("importance", lambda h: (v * 7 + h * 31) % 101),
-        F.lit(',"retention_risks":'), listed("severity", lambda h: (v * 11 + h * 17) % 101),
-        F.lit(',"open_loops":'), listed("strength", lambda h: (v * 13 + h * 19) % 101),
-        F.lit(',"pattern_interrupts":'), listed("importance", lambda h: (v * 17 + h * 23) % 101),
+        F.lit(',"retention_anchors":'), listed("importance", lambda h: (v * 7 + h * 31) % 101, "type", "reason"),
+        F.lit(',"retention_risks":'), listed("severity", lambda h: (v * 11 + h * 17) % 101, "reason"),
+        F.lit(',"open_loops":'), listed("strength", lambda h: (v * 13 + h * 19) % 101, "text"),
+        F.lit(',"pattern_interrupts":'), listed("importance", lambda h: (v * 17 + h * 23) % 101, "type", "reason"),
         F.lit(',"hook_variants":'), F.to_json(F.transform(ints(4), hook)),
         F.lit(',"variants":'), F.to_json(F.transform(ints(3), variant)), F.lit("}"),
     )

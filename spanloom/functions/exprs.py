@@ -40,16 +40,16 @@ def json_map(text: Column) -> Column:
 
 
 def json_objects(text: Column, limit: int | None = None) -> Column:
-    """Objects of a JSON array as array<struct<pos:int,obj:map<string,string>>>; others, and what is no array, are left out.
+    """Objects of a JSON array as array<struct<pos:int,obj:map<string,string>,body:string>>; others, and what is no array, are left out.
 
-    ``limit`` counts places of the array before anything is left out.
+    ``body`` is the object's own JSON text, for what must keep its types and nesting. ``limit`` counts places of the array before anything is left out.
     """
     items = F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), F.array().cast("array<variant>"))
     if limit is not None:
         items = F.slice(items, 1, limit)
     rows = F.transform(items, lambda v, i: F.struct(i.cast("int").alias("pos"), F.when(F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v)).alias("body")))
     rows = F.filter(rows, lambda r: r["body"].isNotNull())
-    return F.transform(rows, lambda r: F.struct(r["pos"].alias("pos"), F.from_json(r["body"], "map<string,string>").alias("obj")))
+    return F.transform(rows, lambda r: F.struct(r["pos"].alias("pos"), F.from_json(r["body"], "map<string,string>").alias("obj"), r["body"].alias("body")))
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:

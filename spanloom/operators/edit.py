@@ -98,11 +98,14 @@ def select_best(evaluated: DataFrame) -> DataFrame:
 
 
 def read_items(analyses: DataFrame, field: str) -> DataFrame:
-    """Objects of a reply's list (anchors, risks, loops, interrupts) with numeric start and end (end defaults to start)."""
+    """Objects of a reply's list (anchors, risks, loops, interrupts) with numeric start and end (end defaults to start).
+
+    ``obj`` holds their fields as strings, ``item`` (a variant) as they were given, nested values included.
+    """
     rows = analyses.where(F.col("top").isNotNull()).select(*C, F.explode(exprs.json_objects(F.col("top")[field])).alias("i"))
     number = lambda k: F.col("i.obj")[k].try_cast("double")
     end = F.when(F.map_contains_key(F.col("i.obj"), "end"), number("end")).otherwise(number("start"))
-    rows = rows.select(*C, F.lit(field).alias("kind"), F.col("i.pos").alias("pos"), number("start").alias("start"), end.alias("end"), F.col("i.obj").alias("obj"))
+    rows = rows.select(*C, F.lit(field).alias("kind"), F.col("i.pos").alias("pos"), number("start").alias("start"), end.alias("end"), F.col("i.obj").alias("obj"), F.parse_json("i.body").alias("item"))
     return rows.where(F.col("start").isNotNull() & F.col("end").isNotNull())
 
 
@@ -110,7 +113,7 @@ def with_measured_risks(risks: DataFrame, measured: DataFrame) -> DataFrame:
     """The reply's risks and, after them, the long pauses that were measured (``risks`` of pacing rows)."""
     rows = measured.select(*C, F.posexplode("risks").alias("pos", "r"))
     obj = F.map_from_arrays(F.array(F.lit("reason"), F.lit("severity")), F.array(F.col("r.reason"), F.col("r.severity").cast("string")))
-    own = rows.select(*C, F.lit("retention_risks").alias("kind"), (F.col("pos") + 1_000_000).alias("pos"), F.col("r.start").alias("start"), F.col("r.end").alias("end"), obj.alias("obj"))
+    own = rows.select(*C, F.lit("retention_risks").alias("kind"), (F.col("pos") + 1_000_000).alias("pos"), F.col("r.start").alias("start"), F.col("r.end").alias("end"), obj.alias("obj"), F.to_variant_object("r").alias("item"))
     return risks.unionByName(own)
 
 
@@ -140,6 +143,14 @@ def item_weight(field: str) -> Column:
     return exprs.map_score(F.col("obj"), field, 50)
 
 
+def described(items: DataFrame, field: str) -> DataFrame:
+    """Items with ``weight`` (see ``item_weight``) and the texts that they may have: type, reason, text; ``item`` stays, ``obj`` goes."""
+    return items.withColumns({"weight": item_weight(field), **{k: F.col("obj")[k] for k in ITEM_TEXTS}}).drop("obj")
+
+
+#: Fields of items that are texts.
+ITEM_TEXTS = ["type", "reason", "text"]
+
 #: The field of each kind of item that says how much it counts.
 ITEM_WEIGHTS = {"retention_anchors": "importance", "retention_risks": "severity", "open_loops": "strength", "pattern_interrupts": "importance"}
 
@@ -149,17 +160,17 @@ def fallback_clips(analyses: DataFrame, reason: str = "retention_error") -> Data
     rows = analyses.where(F.col("top").isNull())
     whole = F.bround(F.greatest(F.lit(0.0), F.col("end") - F.col("start")), 3)
     none = F.create_map().cast("map<string,int>")
-    return rows.select(*C, "title", "reason", "start", "end", whole.alias("duration"), F.lit("extractive_fallback").alias("strategy"), F.lit(None).cast("string").alias("content_type"), F.lit(reason).alias("rationale"), none.alias("scores"), F.col("score").alias("retention_score"), F.lit(1).cast("bigint").alias("n_pieces"))
+    return rows.select(*C, "title", "reason", "start", "end", whole.alias("duration"), F.lit("extractive_fallback").alias("strategy"), F.lit(None).cast("string").alias("content_type"), F.lit(reason).alias("rationale"), none.alias("scores"), F.col("score").alias("retention_score"), F.lit(1).cast("bigint").alias("n_pieces"), "score")
 
 
 def assemble(selected: DataFrame, analyses: DataFrame) -> DataFrame:
     """One clip per candidate - the chosen variant, or the fallback - ranked in its video (clip_idx from 1).
 
-    ``debug_index`` is the candidate's place from 1, by which audit records are named.
+    ``debug_index`` is the candidate's place from 1, by which audit records are named; ``score`` is the candidate's own.
     """
-    ok = selected.join(analyses.where(F.col("top").isNotNull()).select(*C, "title", "reason", F.coalesce(F.col("top")["content_type"], F.lit("general")).alias("content_type")), C)
+    ok = selected.join(analyses.where(F.col("top").isNotNull()).select(*C, "title", "reason", "score", F.coalesce(F.col("top")["content_type"], F.lit("general")).alias("content_type")), C)
     r = lambda c: F.bround(c, 3)
-    clips = ok.select(*C, "title", "reason", r("clip_start").alias("start"), r("clip_end").alias("end"), r("duration").alias("duration"), F.lit("extractive").alias("strategy"), "content_type", "rationale", "scores", "retention_score", "n_pieces")
+    clips = ok.select(*C, "title", "reason", r("clip_start").alias("start"), r("clip_end").alias("end"), r("duration").alias("duration"), F.lit("extractive").alias("strategy"), "content_type", "rationale", "scores", "retention_score", "n_pieces", "score")
     every = clips.unionByName(fallback_clips(analyses))
     order = Window.partitionBy("video_id").orderBy(F.desc("retention_score"), "cand_idx")
     return every.withColumns({"clip_idx": F.row_number().over(order), "debug_index": F.col("cand_idx") + 1})
@@ -176,9 +187,11 @@ def fallback_pieces(analyses: DataFrame, reason: str = "retention_error") -> tup
 
 
 def nested(rows: DataFrame, key: list[str], name: str, order: list[str]) -> DataFrame:
-    """Per key the rows as an array of structs ``name``, in the order of ``order``; the other columns follow in theirs."""
+    """Per key the rows as an array of structs ``name``, in the order of ``order``; the other columns, variants and maps too, follow in theirs."""
     rest = [c for c in rows.columns if c not in key and c not in order]
-    return rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias(name))
+    place = lambda x: F.struct(*(x[c].alias(c) for c in order))
+    before = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    return rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest)), before).alias(name))
 
 
 def cut_plan(clips: DataFrame, pieces: DataFrame, key: list[str], least: float = 0.05) -> tuple[DataFrame, DataFrame]:

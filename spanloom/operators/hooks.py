@@ -42,9 +42,9 @@ def score(metric: Column, hook: Column, text: Column, generated: Column) -> Colu
 
 
 def normalize(rows: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Hooks (key, hook_pos, text, type, generated, language, n_evidence, metrics, score, source_start, source_end, application).
+    """Hooks (key, hook_pos, text, type, generated, language, evidence, n_evidence, metrics, score, source_start, source_end, application).
 
-    rows: key, hooks_json. Hooks without text go, and extractive ones without a source range inside the context.
+    rows: key, hooks_json. ``evidence`` is the reply's list as array<variant>, empty where it is none. Hooks without text go, and extractive ones without a source range inside the context.
     """
     hooks = rows.select(*C, F.explode(exprs.json_objects(F.col("hooks_json"))).alias("h")).select(*C, F.col("h.pos").alias("hook_pos"), F.col("h.obj").alias("obj"))
     obj = F.col("obj")
@@ -54,8 +54,8 @@ def normalize(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     given = F.lower(exprs.strip(F.coalesce(obj["language"], F.lit(""))))
     language = F.when(given.isin("ro", "en"), given).otherwise(exprs.language_of(F.col("text")))
     kind = exprs.strip(F.coalesce(obj["type"], F.lit("unknown")))
-    proof = F.coalesce(F.size(F.try_variant_get(F.try_parse_json(obj["evidence"]), "$", "array<variant>")), F.lit(0))
-    hooks = hooks.withColumns({"generated": generated, "language": language, "type": F.when(kind == "", "unknown").otherwise(kind), "n_evidence": F.greatest(F.lit(0), proof), "metrics": metrics(obj, F.col("text"))})
+    proof = F.coalesce(F.try_variant_get(F.try_parse_json(obj["evidence"]), "$", "array<variant>"), F.array().cast("array<variant>"))
+    hooks = hooks.withColumns({"generated": generated, "language": language, "type": F.when(kind == "", "unknown").otherwise(kind), "evidence": proof, "n_evidence": F.size(proof), "metrics": metrics(obj, F.col("text"))})
     hooks = hooks.withColumn("score", score(F.col("metrics"), obj, F.col("text"), F.col("generated")))
     hooks = hooks.join(contexts.select(*C, "context_start", "context_end"), C)
     cut = lambda k: F.greatest(F.col("context_start"), F.least(F.col("context_end"), obj[k].try_cast("double")))

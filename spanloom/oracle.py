@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from spanloom.functions import fixed
-from spanloom.operators import captions
 
 
 def _list(words: list[str]) -> str:
@@ -117,8 +116,9 @@ def _snapped(table: str, at: str, bounds: str, out: str) -> str:
 
 #: Proposed edits, cut, snapped and merged; variants of an allowed length and every candidate as it is.
 _VARIANTS = f"""
-prop AS (SELECT row_number() OVER () AS id, * FROM (SELECT video_id, cand_idx, j AS variant_pos, q AS seg_pos, greatest(xs, least(xe, s)) AS s, greatest(xs, least(xe, s + 1 + (q + j) % 9)) AS e, {_ROLES}[(q + j) % 7 + 1] AS role, 'r' || q AS reason
-  FROM (SELECT *, start + (q * 11 + j * 7 + video_id) % 40 + 0.137::double AS s FROM good, (SELECT unnest(range(0, {fixed.MAX_VARIANTS}))::int AS j), (SELECT unnest(range(0, {fixed.MAX_SEGMENTS}))::int AS q) WHERE NOT (j = 1 AND video_id % 4 = 0)))),
+prop AS (SELECT row_number() OVER () AS id, * FROM (SELECT video_id, cand_idx, j AS variant_pos, q AS seg_pos, greatest(xs, least(xe, s)) AS s, greatest(xs, least(xe, s + CASE j WHEN 0 THEN 9 + (q * 3 + video_id) % 4 WHEN 2 THEN 8 + q ELSE 1 + (q + j) % 9 END)) AS e, {_ROLES}[(q + j) % 7 + 1] AS role, 'r' || q AS reason
+  FROM (SELECT *, CASE j WHEN 0 THEN start + (q * 13 + video_id % 4) WHEN 2 THEN start + (q * 16 + 20) % 36 ELSE start + (q * 11 + j * 7 + video_id) % 40 END + 0.137::double AS s FROM good, (SELECT unnest(range(0, {fixed.MAX_VARIANTS}))::int AS j), (SELECT unnest(range(0, {fixed.MAX_SEGMENTS}))::int AS q)
+    WHERE NOT (j = 1 AND video_id % 4 = 0) AND q < CASE j WHEN 0 THEN 2 + video_id % 3 WHEN 2 THEN 3 ELSE 10 END))),
 snap1 AS {_snapped("prop", "s", "bs", "s2")},
 snap2 AS {_snapped("snap1", "e", "be", "e2")},
 long_ AS (SELECT {_V}, seg_pos, round_even(s2, 3) AS s, round_even(e2, 3) AS e, role, reason FROM snap2 WHERE e2 - s2 >= {fixed.MIN_SEGMENT}::double),
@@ -127,7 +127,7 @@ isle AS (SELECT *, sum(fresh) OVER (PARTITION BY {_V} ORDER BY seg_pos) AS isle
 merged AS (SELECT {_V}, min(seg_pos) AS seg_pos, arg_min(s, seg_pos) AS start, arg_max(e, seg_pos) AS "end", arg_min(role, seg_pos) AS role, string_agg(reason, '; ' ORDER BY seg_pos) AS reason FROM isle GROUP BY {_V}, isle),
 cost AS (SELECT {_V}, sum(round_even(greatest(0.0::double, "end" - start) * 1000, 0)::bigint) / 1000.0::double AS duration, (greatest(0, count(*) - 4) * 1.5 + count(*) FILTER (WHERE start < ps) * 6.0 + count(*) FILTER (WHERE start >= ps AND start - pe > 20) * 2.0)::double AS edit_penalty, min(start) AS clip_start, max("end") AS clip_end, count(*) AS n_pieces
   FROM (SELECT *, lag(start) OVER o AS ps, lag("end") OVER o AS pe FROM merged WINDOW o AS (PARTITION BY {_V} ORDER BY seg_pos)) GROUP BY {_V}),
-vars AS (SELECT {_V}, 'v' || variant_pos AS name, '' AS rationale, duration, edit_penalty, clip_start, clip_end, n_pieces FROM cost WHERE duration BETWEEN {fixed.MIN_CLIP * 0.65!r}::double AND {fixed.MAX_CLIP * 1.20!r}::double
+vars AS (SELECT {_V}, 'v' || variant_pos AS name, 'why ' || variant_pos AS rationale, duration, edit_penalty, clip_start, clip_end, n_pieces FROM cost WHERE duration BETWEEN {fixed.MIN_CLIP * 0.65!r}::double AND {fixed.MAX_CLIP * 1.20!r}::double
   UNION ALL SELECT {_C}, 1000, 'original_fallback', 'original candidate', round_even(greatest(0.0::double, "end" - start), 3), 0.0::double, start, "end", 1 FROM good),
 vpieces AS (SELECT m.* FROM merged m SEMI JOIN vars USING ({_V}) UNION ALL SELECT {_C}, 1000, 0, start, "end", 'escalation', 'original_candidate' FROM good)"""
 
@@ -137,7 +137,7 @@ _KEYS = list(fixed.RETENTION_WEIGHTS)
 def _reply_score(d: int) -> str:
     own = f"(video_id * 29 + cand_idx * 19 + {13 * d}) % 101"
     odd = {1: f"CASE WHEN video_id % 11 = 0 THEN 85 ELSE {own} END", 2: f"CASE WHEN video_id % 7 = 0 THEN 0 ELSE {own} END", 3: f"CASE WHEN video_id % 5 = 0 THEN 50 ELSE {own} END"}
-    return f"({odd.get(d, own)})"
+    return f"(CASE WHEN variant_pos = 0 AND (video_id + cand_idx) % 3 <> 0 THEN 60 + (video_id * 7 + cand_idx * 5 + {11 * d}) % 41 WHEN variant_pos = 2 THEN 40 + (video_id * 3 + cand_idx * 11 + {17 * d}) % 61 ELSE {odd.get(d, own)} END)"
 
 
 def _blended(d: int) -> str:
@@ -162,8 +162,8 @@ vfinal AS (SELECT *, greatest(0, least(100, round_even(({_WEIGHED} - greatest(0.
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY retention_score DESC, variant_pos) AS pl FROM vfinal) WHERE pl = 1),
 cpieces AS (SELECT p.* FROM vpieces p SEMI JOIN chosen c USING ({_V})),
 clips AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY retention_score DESC, cand_idx)::int AS clip_idx FROM (
-  SELECT c.video_id, c.cand_idx, g.window_idx, round_even(clip_start, 3) AS start, round_even(clip_end, 3) AS "end", round_even(duration, 3) AS duration, 'extractive' AS strategy, 'podcast' AS content_type, rationale, hook AS hook_points, retention_score, n_pieces FROM chosen c JOIN good g USING ({_C})
-  UNION ALL SELECT video_id, cand_idx, window_idx, start, "end", round_even(greatest(0.0::double, "end" - start), 3), 'extractive_fallback', NULL, 'retention_error', NULL, score, 1 FROM best b WHERE b.video_id % 13 = 0 OR b.video_id % 17 = 0)),
+  SELECT c.video_id, c.cand_idx, g.window_idx, g.score, round_even(clip_start, 3) AS start, round_even(clip_end, 3) AS "end", round_even(duration, 3) AS duration, 'extractive' AS strategy, 'podcast' AS content_type, rationale, hook AS hook_points, retention_score, n_pieces FROM chosen c JOIN good g USING ({_C})
+  UNION ALL SELECT video_id, cand_idx, window_idx, score, start, "end", round_even(greatest(0.0::double, "end" - start), 3), 'extractive_fallback', NULL, 'retention_error', NULL, score, 1 FROM best b WHERE b.video_id % 13 = 0 OR b.video_id % 17 = 0)),
 cline AS (SELECT * FROM (SELECT {_C}, (row_number() OVER o - 1)::int AS index, round_even(start, 3) AS source_start, round_even("end", 3) AS source_end, greatest(0.0::double, "end" - start) AS len,
   round_even(coalesce(sum(greatest(0.0::double, "end" - start)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::double), 3) AS target_start,
   round_even(coalesce(sum(greatest(0.0::double, "end" - start)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::double) + greatest(0.0::double, "end" - start), 3) AS target_end, role FROM cpieces WINDOW o AS (PARTITION BY {_C} ORDER BY seg_pos)) WHERE len > 0)"""
@@ -175,12 +175,13 @@ ordered AS (SELECT s.video_id, s.cand_idx, word, w.start, w."end", row_number()
   FROM ctx s JOIN words w ON w.video_id = s.video_id AND (w.start + w."end") / 2.0::double BETWEEN cs AND ce AND seg_end >= cs AND seg_start <= ce),
 {_pacing("durations", _C)},
 pauses AS (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY start, "end") - 1 AS place FROM (SELECT {_C}, round_even("end", 3) AS start, round_even(nxt, 3) AS "end", least(100, round_even(45 + gap * 25, 0)::int) AS weight FROM seq WHERE gap >= 0.75::double)),
-noted AS (SELECT video_id, cand_idx, kind, h AS pos, start + (h * 9 + video_id) % 40 AS start, start + (h * 9 + video_id) % 40 + 3 AS "end",
-  CASE kind WHEN 'retention_anchors' THEN (video_id * 7 + h * 31) % 101 WHEN 'retention_risks' THEN (video_id * 11 + h * 17) % 101 WHEN 'open_loops' THEN (video_id * 13 + h * 19) % 101 ELSE (video_id * 17 + h * 23) % 101 END::int AS weight
+noted AS (SELECT video_id, cand_idx, kind, h AS pos, start + (h * 9 + video_id) % 40 AS start, start + (h * 9 + video_id) % 40 + 3 + h % 3 * 4 AS "end",
+  CASE kind WHEN 'retention_anchors' THEN (video_id * 7 + h * 31) % 101 WHEN 'retention_risks' THEN (video_id * 11 + h * 17) % 101 WHEN 'open_loops' THEN (video_id * 13 + h * 19) % 101 ELSE (video_id * 17 + h * 23) % 101 END::int AS weight,
+  CASE WHEN kind IN ('retention_anchors', 'pattern_interrupts') THEN ['claim', 'payoff', 'story'][h % 3 + 1] END AS type, CASE WHEN kind <> 'open_loops' THEN 'because ' || h END AS reason, CASE WHEN kind = 'open_loops' THEN 'what is w' || h END AS text
   FROM good, (SELECT unnest([0, 1, 2, 3, 4, 6])::int AS h), (SELECT unnest(['retention_anchors', 'retention_risks', 'open_loops', 'pattern_interrupts']) AS kind)
-  UNION ALL SELECT video_id, cand_idx, 'retention_risks', (1000000 + place)::int, start, "end", weight FROM pauses),
-citems AS (SELECT video_id, cand_idx, kind, pos, round_even(target_start + (lo - source_start), 3) AS start, round_even(target_start + (hi - source_start), 3) AS "end", weight, index, round_even(lo, 3) AS source_start, round_even(hi, 3) AS source_end
-  FROM (SELECT i.video_id, i.cand_idx, kind, pos, weight, index, target_start, greatest(i.start, source_start) AS lo, least(i."end", source_end) AS hi, source_start FROM noted i JOIN cline l ON l.video_id = i.video_id AND l.cand_idx = i.cand_idx) WHERE hi > lo),
+  UNION ALL SELECT video_id, cand_idx, 'retention_risks', (1000000 + place)::int, start, "end", weight, NULL, 'long_pause', NULL FROM pauses),
+citems AS (SELECT video_id, cand_idx, kind, pos, round_even(target_start + (lo - source_start), 3) AS start, round_even(target_start + (hi - source_start), 3) AS "end", weight, type, reason, text, index, round_even(lo, 3) AS source_start, round_even(hi, 3) AS source_end, given_start, weight AS given_weight
+  FROM (SELECT i.video_id, i.cand_idx, kind, pos, weight, type, reason, text, i.start AS given_start, index, target_start, greatest(i.start, source_start) AS lo, least(i."end", source_end) AS hi, source_start FROM noted i JOIN cline l ON l.video_id = i.video_id AND l.cand_idx = i.cand_idx) WHERE hi > lo),
 ccells AS (SELECT {_C}, b AS bucket, (b * 5.0)::double AS start, least(duration, (b + 1) * 5.0::double) AS "end" FROM (SELECT *, unnest(range(0, ceil((duration - 1e-6) / 5.0::double)::int))::int AS b FROM clips WHERE strategy = 'extractive' AND duration > 0)),
 cmass AS (SELECT c.video_id, c.cand_idx, bucket, sum(round_even((least(c."end", m."end") - greatest(c.start, m.start)) * 1000, 0)::bigint * weight * CASE WHEN kind = 'retention_anchors' THEN 45 ELSE -55 END)::bigint AS mass
   FROM ccells c JOIN citems m ON m.video_id = c.video_id AND m.cand_idx = c.cand_idx AND kind IN ('retention_anchors', 'retention_risks') AND least(c."end", m."end") > greatest(c.start, m.start) GROUP BY ALL),
@@ -194,11 +195,11 @@ _GIVEN = {"curiosity": "((video_id * 3 + h * 11) % 101)", "relevance": "((video_
 _HOOK_SUM = " + ".join(f"{w} * {_GIVEN.get(k, fixed.HOOK_DEFAULTS.get(k))}" for k, w in fixed.HOOK_WEIGHTS.items())
 #: Hooks of the replies, normalised and scored.
 _HOOKS = f"""
-hraw AS (SELECT *, h % 2 = 0 AS generated, (video_id + h) % 6 = 0 AS weak, CASE WHEN (video_id + h) % 5 <> 0 THEN 1 ELSE 0 END::bigint AS n_evidence, 2 * (4 + h * 5) + CASE WHEN (video_id + h) % 6 = 0 THEN 3 ELSE 0 END AS n FROM good, (SELECT unnest(range(0, 5))::int AS h)),
+hraw AS (SELECT *, h % 2 = 0 AS generated, (video_id + h) % 6 = 0 AS weak, CASE WHEN (video_id + h) % 5 <> 0 THEN 1 + h % 2 ELSE 0 END::bigint AS n_evidence, 2 * (4 + h * 5) + CASE WHEN (video_id + h) % 6 = 0 THEN 3 ELSE 0 END AS n FROM good, (SELECT unnest(range(0, 5))::int AS h)),
 hnum AS (SELECT *, CASE WHEN n <= 8 THEN 100 WHEN n <= 10 THEN 94 WHEN n <= 12 THEN 86 WHEN n <= 14 THEN 70 ELSE greatest(20, 70 - (n - 14) * 8) END::int AS brevity FROM hraw),
 hooks AS (SELECT {_C}, h AS hook_pos, CASE WHEN weak THEN 'Did you know ' ELSE '' END || array_to_string(list_transform(range(1, 5 + h * 5), lambda x: 'the w' || x), ' ') AS text, 'question' AS type, generated, 'en' AS language, n_evidence, brevity, ({_GIVEN["curiosity"]})::int AS curiosity,
   greatest(0, least(100, round_even((({_HOOK_SUM}) - CASE WHEN weak THEN 1800 ELSE 0 END - CASE WHEN generated AND n_evidence = 0 THEN 1200 ELSE 0 END) * 100 / 10000.0::double, 0)))::int AS score,
-  CASE WHEN NOT generated THEN greatest(xs, least(xe, start + h)) END AS source_start, CASE WHEN NOT generated THEN greatest(xs, least(xe, start + h + 2)) END AS source_end, CASE WHEN generated THEN 'voiceover_tts_candidate' ELSE 'extractive_audio' END AS application, weak, n
+  CASE WHEN NOT generated THEN greatest(xs, least(xe, start + h)) END AS source_start, CASE WHEN NOT generated THEN greatest(xs, least(xe, start + h + 2)) END AS source_end, CASE WHEN generated THEN 'voiceover_tts_candidate' ELSE 'extractive_audio' END AS application, weak, n, start AS cs0
   FROM hnum WHERE generated OR greatest(xs, least(xe, start + h + 2)) > greatest(xs, least(xe, start + h))),
 hbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score - CASE WHEN generated THEN 8 ELSE 0 END DESC, hook_pos) AS pl FROM hooks) WHERE pl = 1),
 hvoice AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY score DESC, hook_pos) AS pl FROM hooks WHERE generated AND n_evidence > 0 AND NOT weak AND n <= {fixed.VOICE_MAX_WORDS} AND score >= {fixed.VOICE_MIN_SCORE}) WHERE pl = 1)"""
@@ -336,6 +337,31 @@ def _case(values: list[str], by: str) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + f"][{by}]"
 
 
+#: The head of a subtitle document in the default style.
+_HEAD = """[Script Info]
+ScriptType: v4.00+
+PlayResX: 1080
+PlayResY: 1920
+
+[V4+ Styles]
+
+Format: Name,Fontname,Fontsize,PrimaryColour,SecondaryColour,OutlineColour,BackColour,Bold,Italic,Underline,StrikeOut,ScaleX,ScaleY,Spacing,Angle,BorderStyle,Outline,Shadow,Alignment,MarginL,MarginR,MarginV,Encoding
+Style: Default,Anton,92,&H00FFFFFF,&H0000FFFF,&H00000000,&H64000000,-1,0,0,0,100,100,0,0,1,4,1,2,70,70,140,1
+
+[Events]
+
+Format: Layer,Start,End,Style,Name,MarginL,MarginR,MarginV,Effect,Text
+"""
+
+_ITEM_KINDS = ["retention_anchors", "retention_risks", "open_loops", "pattern_interrupts"]
+
+
+def _told(*fields: str, order: str) -> str:
+    """A digest ``told`` of a group's rows in order, with a dash for nulls."""
+    line = " || '|' || ".join(f"coalesce({f}, '-')" for f in fields)
+    return f"md5(string_agg({line}, ';' ORDER BY {order})) AS told"
+
+
 SQL: dict[str, str] = {
     "timed_words": _with(_BASE, "SELECT * FROM words"),
     "timed_segments": _with(_BASE, "SELECT * FROM segments"),
@@ -437,14 +463,17 @@ SQL: dict[str, str] = {
     "clip_rejects": _with(_TO_CLIPS, f"SELECT {_C}, clip_idx FROM clips WHERE cand_idx % 2 = 0"),
     "clip_records": _with(
         f"""{_TO_ALL},
-        segs AS (SELECT {_C}, count(*) AS n, arg_min(role, seg_pos) AS r FROM cpieces GROUP BY {_C}),
-        tl AS (SELECT {_C}, count(*) AS n, arg_max(target_end, index) AS t FROM cline GROUP BY {_C}),
-        its AS (SELECT {_C}, count(*) FILTER (WHERE kind = 'retention_anchors') AS a, count(*) FILTER (WHERE kind = 'retention_risks') AS r, count(*) FILTER (WHERE kind = 'open_loops') AS l, count(*) FILTER (WHERE kind = 'pattern_interrupts') AS i, sum(weight) FILTER (WHERE kind = 'retention_anchors') AS w FROM citems GROUP BY {_C}),
-        hv AS (SELECT {_C}, count(*) AS n FROM hooks GROUP BY {_C}), bk AS (SELECT {_C}, count(*) AS n FROM cbuckets GROUP BY {_C}), rm AS (SELECT {_C}, count(*) AS n FROM cremoved GROUP BY {_C})""",
-        f"""SELECT {_C}, clip_idx, 'Window ' || window_idx AS title, hb.text AS hook_text, hb.score AS hook_score, ho.text AS voice_text, coalesce(segs.n, 1) AS n_segments, CASE WHEN strategy = 'extractive' THEN coalesce(tl.n, 0) ELSE 1 END AS n_timeline, coalesce(hv.n, 0) AS n_hook_variants, coalesce(bk.n, 0) AS n_retention_timeline, coalesce(rm.n, 0) AS n_removed_segments,
-        coalesce(its.a, 0) AS n_retention_anchors, coalesce(its.r, 0) AS n_retention_risks, coalesce(its.l, 0) AS n_open_loops, coalesce(its.i, 0) AS n_pattern_interrupts, coalesce(segs.r, 'escalation') AS first_role, CASE WHEN strategy = 'extractive' THEN tl.t ELSE duration END AS last_target, coalesce(its.w, 0)::bigint AS anchor_weight
-        FROM clips c LEFT JOIN hbest hb USING ({_C}) LEFT JOIN hvoice ho USING ({_C}) LEFT JOIN segs USING ({_C}) LEFT JOIN tl USING ({_C}) LEFT JOIN its USING ({_C}) LEFT JOIN hv USING ({_C}) LEFT JOIN bk USING ({_C}) LEFT JOIN rm USING ({_C})""",
+        segs AS (SELECT {_C}, count(*) AS n, {_told("printf('%.3f', start)", "printf('%.3f', \"end\")", "role", "reason", order="seg_pos")} FROM (FROM cpieces UNION ALL BY NAME SELECT {_C}, 0 AS seg_pos, start, "end", 'escalation' AS role, 'retention_error' AS reason FROM clips WHERE strategy <> 'extractive') GROUP BY {_C}),
+        tl AS (SELECT {_C}, count(*) AS n, {_told(*(f"printf('%.3f', {c}::double)" for c in ("index", "source_start", "source_end", "target_start", "target_end")), "role", order="index")} FROM (FROM cline UNION ALL BY NAME SELECT {_C}, 0 AS index, start AS source_start, "end" AS source_end, 0.0::double AS target_start, duration AS target_end, 'escalation' AS role FROM clips WHERE strategy <> 'extractive') GROUP BY {_C}),
+        hv AS (SELECT {_C}, count(*) AS n, {_told("printf('%.3f', hook_pos::double)", "text", "type", "language", "printf('%.3f', n_evidence::double)", "printf('%.3f', score::double)", "printf('%.3f', source_start)", "printf('%.3f', source_end)", "application", order="hook_pos")} FROM hooks GROUP BY {_C}),
+        bk AS (SELECT {_C}, count(*) AS n, {_told("printf('%.3f', round_even(start, 3))", "printf('%.3f', round_even(\"end\", 3))", "printf('%.3f', score::double)", "CASE WHEN score >= 80 THEN 'very_good' WHEN score >= 65 THEN 'good' WHEN score >= 45 THEN 'medium' ELSE 'retention_hole' END", order="bucket")} FROM cbuckets GROUP BY {_C}),
+        rm AS (SELECT {_C}, count(*) AS n, {_told("printf('%.3f', start)", "printf('%.3f', \"end\")", "reason", order="start")} FROM cremoved GROUP BY {_C}),
+        its AS (SELECT {_C}, kind, count(*) AS n, {_told(*(f"printf('%.3f', {c}::double)" for c in ("pos", "index", "start", '"end"', "source_start", "source_end", "weight")), "type", "reason", "text", order="pos, index")} FROM citems GROUP BY {_C}, kind)""",
+        f"""SELECT {_C}, clip_idx, 'Window ' || window_idx AS title, 'why' AS reason, c.score, hb.text AS hook_text, hb.score AS hook_score, hb.n_evidence AS hook_evidence, ho.text AS voice_text,
+        {", ".join(f"coalesce({t}.n, 0) AS n_{name}, coalesce({t}.told, md5('')) AS {name}_md5" for t, name in (("segs", "segments"), ("tl", "timeline"), ("hv", "hook_variants"), ("bk", "retention_timeline"), ("rm", "removed_segments"), *((k, k) for k in _ITEM_KINDS)))}
+        FROM clips c LEFT JOIN hbest hb USING ({_C}) LEFT JOIN hvoice ho USING ({_C}) LEFT JOIN segs USING ({_C}) LEFT JOIN tl USING ({_C}) LEFT JOIN hv USING ({_C}) LEFT JOIN bk USING ({_C}) LEFT JOIN rm USING ({_C}) {" ".join(f"LEFT JOIN (SELECT * FROM its WHERE kind = '{k}') {k} USING ({_C})" for k in _ITEM_KINDS)}""",
     ),
+    "hook_evidence": _with(f"{_TO_GOOD},{_HOOKS}", f"""SELECT {_C}, hook_pos, pos, cs0 + hook_pos AS start, cs0 + hook_pos + 1.5::double + pos AS "end", 'said at ' || pos AS reason FROM (SELECT *, unnest(range(0, n_evidence))::int AS pos FROM hooks)"""),
     "run_summary": _with(
         f"{_TO_ALL},{_VOICES}",
         """SELECT video_id, windows, coalesce(candidates, 0) AS candidates, coalesce(skipped, 0) AS skipped, coalesce(nclips, 0) AS clips, coalesce(nclips, 0) AS exported, coalesce(hooked, 0) AS hooks_applied FROM (SELECT video_id, count(DISTINCT window_idx) AS windows FROM links GROUP BY video_id)
@@ -498,7 +527,7 @@ SQL: dict[str, str] = {
     "caption_events": _with(f"{_TO_WINDOWS},{_WINDOW_WORDS},{_ideas(_W)},{_costs(_W)},{_groups(_W)},{_events(_W)}", 'SELECT * FROM events WHERE "end" > start'),
     "clip_subtitles": _with(
         f"{_TO_ALL},{_VOICES},{_CLIP_WORDS},{_ideas(_P)},{_costs(_P)},{_groups(_P)},{_events(_P)}",
-        f"""SELECT video_id, clip_idx, length(document)::bigint AS n_chars, md5(document) AS document_md5 FROM (SELECT video_id, clip_idx, '{captions.header(captions.style_of("modern", fixed.STYLE_OVERRIDES))}' || string_agg('Dialogue: 0,' || {_clock("start")} || ',' || {_clock('"end"')} || ',Default,,0,0,0,,{fixed.LINE_TAGS["capcut"]}' || text, chr(10) ORDER BY part, group_idx, active_index) || chr(10) AS document FROM events WHERE "end" > start GROUP BY video_id, clip_idx)""",
+        f"""SELECT video_id, clip_idx, length(document)::bigint AS n_chars, md5(document) AS document_md5 FROM (SELECT video_id, clip_idx, '{_HEAD}' || string_agg('Dialogue: 0,' || {_clock("start")} || ',' || {_clock('"end"')} || ',Default,,0,0,0,,{fixed.LINE_TAGS["capcut"]}' || text, chr(10) ORDER BY part, group_idx, active_index) || chr(10) AS document FROM events WHERE "end" > start GROUP BY video_id, clip_idx)""",
     ),
     "crop_points": _with(f"{_TO_BEST},{_CROP}", "SELECT video_id, clip_idx, n, time, center_x, 540.0::double AS center_y, source, greatest(0.0::double, least(1312.0::double, center_x - 304)) AS x, 0.0::double AS y FROM calm"),
     "crop_commands": _with(

@@ -73,11 +73,14 @@ def optimise(segments: DataFrame, words: DataFrame, candidates: DataFrame, repli
 
 
 def remapped_items(analyses: DataFrame, measured: DataFrame, line: DataFrame) -> DataFrame:
-    """Anchors, risks (the reply's and the measured), open loops and interrupts in edited time, with their weight."""
+    """Anchors, risks (the reply's and the measured), open loops and interrupts in edited time, with all that they say.
+
+    ``weight`` and the texts are columns; ``item`` is the whole object as it was given.
+    """
     kinds = {k: edit.read_items(analyses, k) for k in edit.ITEM_WEIGHTS}
     kinds["retention_risks"] = edit.with_measured_risks(kinds["retention_risks"], measured)
-    weighted = [rows.withColumn("weight", edit.item_weight(edit.ITEM_WEIGHTS[k])).drop("obj") for k, rows in kinds.items()]
-    return intervals.remap_items(reduce(DataFrame.unionByName, weighted), line, edit.C)
+    told = [edit.described(rows, edit.ITEM_WEIGHTS[k]) for k, rows in kinds.items()]
+    return intervals.remap_items(reduce(DataFrame.unionByName, told), line, edit.C)
 
 
 def of_kind(r: Retention, kind: str) -> DataFrame:
@@ -103,13 +106,13 @@ def clip_records(r: Retention) -> DataFrame:
     Fallback clips have a segment and a timeline entry, empty anchors and risks, and nothing else.
     """
     segment, entry = edit.fallback_pieces(r.analyses)
-    hook = ["hook_pos", "text", "type", "generated", "language", "n_evidence", "metrics", "score", "source_start", "source_end", "application"]
+    hook = ["hook_pos", "text", "type", "generated", "language", "evidence", "n_evidence", "metrics", "score", "source_start", "source_end", "application"]
     parts = [
         edit.nested(r.selected_pieces.unionByName(segment), edit.C, "segments", ["seg_pos"]),
         edit.nested(r.timeline.unionByName(entry), edit.C, "timeline", ["index", "seg_pos"]),
         r.best_hooks.select(*edit.C, F.struct(*hook).alias("hook")),
         r.voice_hooks.select(*edit.C, F.struct(*hook).alias("voiceover_hook")),
-        r.hooks.select(*edit.C, *hook).groupBy(*edit.C).agg(F.array_sort(F.collect_list(F.struct(*hook)), lambda a, b: a["hook_pos"] - b["hook_pos"]).alias("hook_variants")),
+        edit.nested(r.hooks.select(*edit.C, *hook), edit.C, "hook_variants", ["hook_pos"]),
         edit.nested(buckets(r), edit.C, "retention_timeline", ["bucket"]),
         edit.nested(removed(r), edit.C, "removed_segments", ["start"]),
     ]

@@ -211,6 +211,13 @@ def hook_scores(d):
     return d.retention.hooks.select(*C, "hook_pos", "text", "type", "generated", "language", F.col("n_evidence").cast("long").alias("n_evidence"), F.col("metrics")["brevity"].alias("brevity"), F.col("metrics")["curiosity"].alias("curiosity"), "score", "source_start", "source_end", "application")
 
 
+def hook_evidence(d):
+    """What each hook's reply says in its support, entry by entry."""
+    rows = d.retention.hooks.select(*C, "hook_pos", F.posexplode("evidence").alias("pos", "e"))
+    given = lambda k, kind: F.try_variant_get("e", f"$.{k}", kind).alias(k)
+    return rows.select(*C, "hook_pos", "pos", given("start", "double"), given("end", "double"), given("reason", "string"))
+
+
 def hook_best(d):
     return hooks.best(d.retention.hooks).select(*C, "hook_pos", "score", "generated")
 
@@ -232,14 +239,28 @@ def clips(d):
     return d.retention.clips.select(*C, "clip_idx", "debug_index", "title", "start", "end", "duration", "strategy", "content_type", "rationale", F.col("scores")["hook"].alias("hook_points"), "retention_score", "n_pieces")
 
 
+def _told(column: str, *fields: str):
+    """An array of structs as text, entry by entry in its order: numbers with three decimals, nulls as a dash."""
+    number = lambda v: F.when(v.isNotNull(), F.format_string("%.3f", v.cast("double")))
+    text = lambda x, f: F.coalesce(number(x[f[1:]]) if f[0] == "#" else x[f].cast("string"), F.lit("-"))
+    return F.md5(F.array_join(F.transform(column, lambda x: F.concat_ws("|", *(text(x, f) for f in fields))), ";"))
+
+
 def clip_records(d):
-    """Whole clip records: the chosen hooks, and how much of everything else a record holds."""
+    """Whole clip records: the chosen hooks, and every list of a record by its size and a digest of what it holds, in order."""
     rows = jobs.clip_records(d.retention)
-    lists = ["segments", "timeline", "hook_variants", "retention_timeline", "removed_segments", *edit.ITEM_WEIGHTS]
-    weighed = F.aggregate("retention_anchors", F.lit(0), lambda a, x: a + x["weight"])
+    items = ("#pos", "#index", "#start", "#end", "#source_start", "#source_end", "#weight", "type", "reason", "text")
+    lists = {
+        "segments": ("#start", "#end", "role", "reason"),
+        "timeline": ("#index", "#source_start", "#source_end", "#target_start", "#target_end", "role"),
+        "hook_variants": ("#hook_pos", "text", "type", "language", "#n_evidence", "#score", "#source_start", "#source_end", "application"),
+        "retention_timeline": ("#start", "#end", "#score", "label"),
+        "removed_segments": ("#start", "#end", "reason"),
+        **dict.fromkeys(edit.ITEM_WEIGHTS, items),
+    }
     return rows.select(
-        *C, "clip_idx", "title", F.col("hook.text").alias("hook_text"), F.col("hook.score").alias("hook_score"), F.col("voiceover_hook.text").alias("voice_text"),
-        *(F.size(c).cast("long").alias(f"n_{c}") for c in lists), F.col("segments")[0]["role"].alias("first_role"), F.element_at("timeline", -1)["target_end"].alias("last_target"), weighed.cast("long").alias("anchor_weight"),
+        *C, "clip_idx", "title", "reason", "score", F.col("hook.text").alias("hook_text"), F.col("hook.score").alias("hook_score"), F.size("hook.evidence").cast("long").alias("hook_evidence"), F.col("voiceover_hook.text").alias("voice_text"),
+        *(F.size(c).cast("long").alias(f"n_{c}") for c in lists), *(_told(c, *f).alias(f"{c}_md5") for c, f in lists.items()),
     )
 
 
@@ -252,7 +273,9 @@ def clip_timeline(d):
 
 
 def clip_items(d):
-    return d.retention.items
+    """Every item in edited time with all that it says; ``given_start`` and ``given_weight`` come from the object as it was given."""
+    field = F.when(F.col("kind") == "retention_risks", F.try_variant_get("item", "$.severity", "int")).when(F.col("kind") == "open_loops", F.try_variant_get("item", "$.strength", "int")).otherwise(F.try_variant_get("item", "$.importance", "int"))
+    return d.retention.items.withColumns({"given_start": F.try_variant_get("item", "$.start", "double"), "given_weight": field}).drop("item")
 
 
 def clip_buckets(d):
@@ -391,7 +414,7 @@ def text_functions(d):
 
 _ALL = [
     timed_words, timed_segments, sliding_windows, window_text, window_scores, candidates, discovered, context_segments, context_text, pacing_windows, pacing_risks, pacing_edits, best_windows,
-    snapped_points, edit_bounds, edit_timeline, edit_words, edit_removed, edit_costs, edit_times, edit_items, edit_buckets, hook_scores, hook_best, hook_voice, variant_pieces, variant_scores,
+    snapped_points, edit_bounds, edit_timeline, edit_words, edit_removed, edit_costs, edit_times, edit_items, edit_buckets, hook_scores, hook_evidence, hook_best, hook_voice, variant_pieces, variant_scores,
     clips, clip_records, clip_segments, clip_timeline, clip_items, clip_buckets, clip_removed, clip_cuts, clip_rejects, run_summary, audit_records, clip_words, idea_spans, boundary_costs, caption_groups, caption_events, clip_subtitles, caption_styles, voice_timings, voice_routes,
     voice_mix, voice_hooks_spoken, voice_records, voice_missing, crop_points, crop_commands, scalar_functions, text_functions,
 ]
