@@ -14,8 +14,8 @@ V = [*C, "variant_pos"]
 
 
 def read_analyses(candidates: DataFrame, replies: DataFrame) -> DataFrame:
-    """Candidates with their reply as map<string,string> ``top``; null where it is missing or no JSON object."""
-    return candidates.join(replies, C, "left").withColumn("top", exprs.json_map(F.col("reply_json"))).drop("reply_json")
+    """Candidates with their reply as map<string,string> ``top``; null where it is missing or no JSON object; ``reply_json`` stays."""
+    return candidates.join(replies, C, "left").withColumn("top", exprs.json_map(F.col("reply_json")))
 
 
 def bounds_of(segments: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -480,8 +480,21 @@ SQL: dict[str, str] = {
         LEFT JOIN (SELECT video_id, count(*) AS candidates, count(*) FILTER (WHERE cand_idx >= 8) AS skipped FROM cands GROUP BY video_id) USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS nclips FROM clips GROUP BY video_id) USING (video_id) LEFT JOIN (SELECT video_id, count(*) FILTER (WHERE applied) AS hooked FROM timed GROUP BY video_id) USING (video_id)""",
     ),
     "audit_records": _with(
-        f"{_TO_ALL},{_VOICES}",
-        f"""SELECT {_C}, CASE WHEN strategy = 'extractive' THEN NULL ELSE 'no JSON object' END AS error, hn.n AS n_hooks, vn.n AS n_variants, retention_score, t.applied FROM clips c LEFT JOIN (SELECT {_C}, count(*) AS n FROM hooks GROUP BY {_C}) hn USING ({_C}) LEFT JOIN (SELECT {_C}, count(*) AS n FROM vars GROUP BY {_C}) vn USING ({_C}) LEFT JOIN timed t USING ({_C})""".replace("LEFT JOIN timed t", f"LEFT JOIN (SELECT {_C}, applied FROM timed) t"),
+        f"""{_TO_ALL},{_VOICES}, hn AS (SELECT {_C}, count(*) AS n FROM hooks GROUP BY {_C}), vn AS (SELECT {_C}, count(*) AS n, arg_max(retention_score, variant_pos) AS last_score FROM vfinal GROUP BY {_C}), sn AS (SELECT {_C}, count(*) AS n FROM cpieces GROUP BY {_C})""",
+        f"""SELECT {_C}, CASE WHEN ok THEN NULL ELSE 'no JSON object' END AS error, c.window_idx, c.score, c.content_type, CASE WHEN ok THEN CASE WHEN video_id % 4 = 0 THEN 'tts' ELSE 'extractive' END END AS second_strategy, CASE WHEN ok THEN 'because 1' END AS second_anchor,
+        CASE WHEN ok THEN round_even(xs, 3) END AS context_start, CASE WHEN ok THEN round_even(xe, 3) END AS context_end, CASE WHEN ok THEN word_count END AS word_count, hn.n AS n_hooks, vn.n AS n_variants, vn.last_score, c.clip_idx, c.retention_score, coalesce(sn.n, 1) AS n_segments,
+        t.applied, CASE WHEN t.text IS NULL AND NOT t.applied THEN 'no_valid_generated_hook' WHEN failed AND t.text IS NOT NULL THEN 'synthesis failed' END AS reason, CASE WHEN t.applied THEN t.text END AS spoken
+        FROM (SELECT *, strategy = 'extractive' AS ok FROM clips) c JOIN ctx USING ({_C}) LEFT JOIN pace USING ({_C}) LEFT JOIN hn USING ({_C}) LEFT JOIN vn USING ({_C}) LEFT JOIN sn USING ({_C}) LEFT JOIN (SELECT {_C}, applied, failed, text FROM timed) t USING ({_C})""",
+    ),
+    "catalogue_clips": _with(
+        f"""{_TO_ALL},{_VOICES}, sn AS (SELECT {_C}, count(*) AS n FROM cpieces GROUP BY {_C}), tl AS (SELECT {_C}, arg_max(target_end, index) AS t FROM cline GROUP BY {_C})""",
+        f"""SELECT {_C}, c.clip_idx, c.score, retention_score, start, "end", coalesce(sn.n, 1) AS n_segments, CASE WHEN strategy = 'extractive' THEN tl.t ELSE c.duration END AS last_target, t.applied, CASE WHEN t.text IS NULL AND NOT t.applied THEN 'no_valid_generated_hook' WHEN failed AND t.text IS NOT NULL THEN 'synthesis failed' END AS reason, CASE WHEN t.applied THEN t.text END AS spoken
+        FROM clips c LEFT JOIN sn USING ({_C}) LEFT JOIN tl USING ({_C}) LEFT JOIN (SELECT {_C}, applied, failed, text FROM timed) t USING ({_C})""",
+    ),
+    "catalogue_audit": _with(
+        f"""{_TO_ALL},{_VOICES}, hn AS (SELECT {_C}, count(*) AS n FROM hooks GROUP BY {_C})""",
+        f"""SELECT {_C}, b.score AS backup_score, CASE WHEN strategy <> 'extractive' THEN 'no JSON object' END AS error, hn.n AS n_hooks, content_type, t.applied, CASE WHEN t.applied THEN t.text END AS spoken
+        FROM cands b LEFT JOIN clips c USING ({_C}) LEFT JOIN hn USING ({_C}) LEFT JOIN (SELECT {_C}, applied, text FROM timed) t USING ({_C})""",
     ),
     "voice_hooks_spoken": _with(f"{_TO_ALL}", f"SELECT video_id, clip_idx, text, type, h.score, language FROM clips c JOIN hvoice h USING ({_C})"),
     "voice_records": _with(
@@ -539,3 +552,5 @@ SQL: dict[str, str] = {
         "SELECT video_id, clip_idx, length(document)::bigint AS n_chars, md5(document) AS document_md5 FROM texts",
     ),
 }
+#: The written subtitles are those of the job in memory.
+SQL["catalogue_documents"] = SQL["clip_subtitles"]

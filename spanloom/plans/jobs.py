@@ -6,11 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators import captions, crop, edit, hooks, intervals, pacing, voice, windows
-from spanloom.sources import transcripts
 from spanloom.sources.scratch import save
 
 L = ["video_id", "clip_idx"]
@@ -138,20 +137,37 @@ def voice_over(r: Retention, audio: DataFrame, files: DataFrame) -> tuple[DataFr
     return voice.applied(r.clips, spoken_hooks(r), audio, files, anchors, L)
 
 
-def audit(r: Retention, voices: DataFrame | None = None) -> DataFrame:
-    """One record per candidate, failures included: its reply or error, context, pacing, hooks, variants, clip and voice-over."""
-    error = F.when(F.col("top").isNull(), "no JSON object")
-    tables = {
-        "candidate": r.analyses.select(*edit.C, "start", "end", "score", "title", "reason", error.alias("error")),
-        "context": r.contexts,
-        "candidate_pacing": r.pacing,
-        "hooks": r.hooks,
-        "variants": r.variants,
-        "selected": r.clips,
-    }
-    if voices is not None:
-        tables["voiceover"] = voices.join(r.clips.select(*edit.C, "clip_idx"), L)
-    return transcripts.audit(edit.C, **tables)
+def audit(r: Retention, voices: DataFrame) -> DataFrame:
+    """One record per candidate, failures included, as structs and arrays of structs: candidate, context, candidate_pacing, analysis (its
+    whole reply), hooks, variants, selected (the clip record), error and voiceover.
+
+    A failed candidate has its error, its fallback clip and no analysis. ``voices`` are the voice-over records so far, none at first;
+    ``with_voices`` adds them later.
+    """
+    failed = F.col("top").isNull()
+    whole = lambda df, name: df.select(*edit.C, F.struct(*(c for c in df.columns if c not in edit.C)).alias(name))
+    out = r.analyses.select(
+        *edit.C, F.struct("window_idx", "start", "end", "title", "reason", "scores", "score").alias("candidate"),
+        F.when(~failed, F.try_parse_json("reply_json")).alias("analysis"), F.when(failed, "no JSON object").alias("error"),
+    )
+    good = r.analyses.where(~failed).select(*edit.C)
+    parts = [
+        whole(r.contexts.join(good, edit.C), "context"), whole(r.pacing.join(good, edit.C), "candidate_pacing"), edit.nested(r.hooks, edit.C, "hooks", ["hook_pos"]),
+        edit.nested(r.variants, edit.C, "variants", ["variant_pos"]), whole(clip_records(r), "selected"),
+    ]
+    for part in parts:
+        out = out.join(part, edit.C, "left")
+    return with_voices(out, voices, F.col("selected.clip_idx"))
+
+
+def with_voices(records: DataFrame, voices: DataFrame, clip_idx: Column) -> DataFrame:
+    """Audit records with ``voiceover``, and with it inside ``selected``: that of ``voices`` (keyed by clip) where there is one, else what was there, else null."""
+    kept = [c for c in records.columns if c != "voiceover"]
+    said = voices.select(F.col("video_id").alias("_v"), F.col("clip_idx").alias("_c"), F.struct(*(c for c in voices.columns if c not in L)).alias("_said"))
+    joined = records.join(said, (F.col("video_id") == F.col("_v")) & (clip_idx == F.col("_c")), "left")
+    given = F.coalesce("_said", "voiceover") if "voiceover" in records.columns else F.col("_said")
+    selected = F.when(F.col("selected").isNotNull(), F.col("selected").withField("voiceover", given))
+    return joined.withColumn("voiceover", given).withColumn("selected", selected).select(*kept, "voiceover")
 
 
 def clip_captions(words: DataFrame, clips: DataFrame, pieces: DataFrame, voices: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from spanloom import fixtures
 from spanloom.functions import exprs, fixed
 from spanloom.operators import captions, crop, edit, hooks, intervals, pacing, voice, windows
-from spanloom.plans import jobs
-from spanloom.sources import scratch
+from spanloom.plans import files, jobs
+from spanloom.sources import scratch, transcripts
+from spanloom.sources.store import Store
 
 C, L = ["video_id", "cand_idx"], ["video_id", "clip_idx"]
 
@@ -20,12 +21,12 @@ class Data:
     """The derived tables of one data folder; each is written once, when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.folders = spark, []
+        self.spark, self.folders = spark, set()
         self.words = self._save(fixtures.words(spark, sf_dir), "words")
 
     def _save(self, df: DataFrame, name: str) -> DataFrame:
         out = scratch.save(df, name)
-        self.folders += {f.rsplit("/", 1)[0] for f in out.inputFiles()}
+        self.folders |= {f.rsplit("/", 1)[0] for f in out.inputFiles()}
         return out
 
     def lost(self) -> bool:
@@ -66,6 +67,22 @@ class Data:
         records, missing = jobs.voice_over(r, fixtures.voice_audio(jobs.spoken_hooks(r)), fixtures.clip_files(r.clips))
         return self._save(records, "voices"), missing
 
+    @cached_property
+    def audit(self) -> DataFrame:
+        return self._save(jobs.audit(self.retention, self.voices[0]), "audit")
+
+    @cached_property
+    def store(self) -> Store:
+        """Transcripts and replies written as files, the job from files to files over them, and the voice-overs after it."""
+        folder = scratch.folder(self.spark, "catalogue")
+        transcripts.write_transcripts(self.segments, self.words, f"{folder}/transcripts")
+        fixtures.window_replies(self.spans).write.json(f"{folder}/windows.json")
+        fixtures.analysis_replies(self.best).write.parquet(f"{folder}/analyses")
+        r = files.edit_catalogue(self.spark, f"{folder}/transcripts", f"{folder}/windows.json", f"{folder}/analyses", f"{folder}/out", kind="bigint")
+        files.add_voices(self.spark, f"{folder}/out", r, fixtures.voice_audio(jobs.spoken_hooks(r)), fixtures.clip_files(r.clips))
+        self.folders.add(f"{folder}/out/runs")
+        return Store(self.spark, f"{folder}/out")
+
     @property
     def plain_pieces(self) -> DataFrame:
         """Three pieces per candidate, the last one backwards: edits that SQL can follow."""
@@ -304,8 +321,33 @@ def clip_rejects(d):
 
 
 def audit_records(d):
-    rows = jobs.audit(d.retention, d.voices[0])
-    return rows.select(*C, F.col("candidate")[0]["error"].alias("error"), F.size("hooks").cast("long").alias("n_hooks"), F.size("variants").cast("long").alias("n_variants"), F.col("selected")[0]["retention_score"].alias("retention_score"), F.col("voiceover")[0]["applied"].alias("applied"))
+    """One record per candidate: its own fields, what its reply holds, what was made of it, and its voice-over in both places."""
+    rows = d.audit
+    given = lambda k, kind: F.try_variant_get("analysis", f"$.{k}", kind)
+    return rows.select(
+        *C, "error", "candidate.window_idx", "candidate.score", given("content_type", "string").alias("content_type"), given("variants[1].strategy", "string").alias("second_strategy"), given("retention_anchors[1].reason", "string").alias("second_anchor"),
+        F.bround("context.context_start", 3).alias("context_start"), F.bround("context.context_end", 3).alias("context_end"), F.col("candidate_pacing.word_count").alias("word_count"), F.size("hooks").cast("long").alias("n_hooks"), F.size("variants").cast("long").alias("n_variants"),
+        F.element_at("variants", -1)["retention_score"].alias("last_score"), F.col("selected.clip_idx").alias("clip_idx"), F.col("selected.retention_score").alias("retention_score"), F.size("selected.segments").cast("long").alias("n_segments"),
+        "voiceover.applied", "voiceover.reason", F.col("selected.voiceover.text").alias("spoken"),
+    )
+
+
+def catalogue_clips(d):
+    """The clips that the job from files to files has written, their voice-overs patched in."""
+    rows = d.store.read("clips")
+    return rows.select(*C, "clip_idx", "score", "retention_score", "start", "end", F.size("segments").cast("long").alias("n_segments"), F.element_at("timeline", -1)["target_end"].alias("last_target"), "voiceover.applied", "voiceover.reason", F.col("voiceover.text").alias("spoken"))
+
+
+def catalogue_audit(d):
+    """The audit that the same job has written, the candidates' backup beside it."""
+    backup = d.store.read("backup").select(*C, F.col("score").alias("backup_score"))
+    rows = d.store.read("audit").select(*C, "error", F.size("hooks").cast("long").alias("n_hooks"), F.try_variant_get("analysis", "$.content_type", "string").alias("content_type"), "voiceover.applied", F.col("selected.voiceover.text").alias("spoken"))
+    return backup.join(rows, C, "left")
+
+
+def catalogue_documents(d):
+    """The subtitles that the same job has written, those with a spoken hook anew."""
+    return d.store.read("documents").select(*L, F.length("document").cast("long").alias("n_chars"), F.md5("document").alias("document_md5"))
 
 
 def clip_words(d):
@@ -415,7 +457,7 @@ def text_functions(d):
 _ALL = [
     timed_words, timed_segments, sliding_windows, window_text, window_scores, candidates, discovered, context_segments, context_text, pacing_windows, pacing_risks, pacing_edits, best_windows,
     snapped_points, edit_bounds, edit_timeline, edit_words, edit_removed, edit_costs, edit_times, edit_items, edit_buckets, hook_scores, hook_evidence, hook_best, hook_voice, variant_pieces, variant_scores,
-    clips, clip_records, clip_segments, clip_timeline, clip_items, clip_buckets, clip_removed, clip_cuts, clip_rejects, run_summary, audit_records, clip_words, idea_spans, boundary_costs, caption_groups, caption_events, clip_subtitles, caption_styles, voice_timings, voice_routes,
+    clips, clip_records, clip_segments, clip_timeline, clip_items, clip_buckets, clip_removed, clip_cuts, clip_rejects, run_summary, audit_records, catalogue_clips, catalogue_audit, catalogue_documents, clip_words, idea_spans, boundary_costs, caption_groups, caption_events, clip_subtitles, caption_styles, voice_timings, voice_routes,
     voice_mix, voice_hooks_spoken, voice_records, voice_missing, crop_points, crop_commands, scalar_functions, text_functions,
 ]
 QUERIES = {f.__name__: _data(f) for f in _ALL}

@@ -9,13 +9,15 @@ WORD = "struct<word:string,start:double,end:double>"
 SEGMENT = f"struct<start:double,end:double,text:string,words:array<{WORD}>>"
 
 
-def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_transcripts(spark: SparkSession, path: str, kind: str = "string") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Segments, words and rejected files of a folder of transcripts, one JSON array per video.
 
-    The file's name without its ending is the video_id; array order is kept as seg_idx and word_idx. Files that
-    are no array, or empty, are rejected with a reason.
+    The video_id (of type ``kind``) is the file's name without its ending or, in a folder of folders video_id=..., the folder's. Array order
+    is kept as seg_idx and word_idx. Files that are no array, or empty, are rejected with a reason.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("video_id"), F.from_json("value", f"array<{SEGMENT}>").alias("s"))
+    files = spark.read.text(path, wholetext=True)
+    name = F.col("video_id") if "video_id" in files.columns else F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    raw = files.select(name.cast(kind).alias("video_id"), F.from_json("value", f"array<{SEGMENT}>").alias("s"))
     bad = raw.where(F.col("s").isNull() | (F.size("s") == 0)).select("video_id", F.when(F.col("s").isNull(), "no JSON array").otherwise("empty transcript").alias("reason"))
     segments = raw.select("video_id", F.posexplode("s").alias("seg_idx", "seg")).select("video_id", "seg_idx", "seg.start", "seg.end", "seg.text", "seg.words")
     return segments.drop("words"), words_of(segments), bad
@@ -35,6 +37,15 @@ def read_replies(spark: SparkSession, path: str, key: list[str], kinds: dict[str
     return spark.read.parquet(path).select(*key, "reply_json")
 
 
+def write_transcripts(segments: DataFrame, words: DataFrame, path: str) -> None:
+    """The files that ``read_transcripts`` reads: per video one JSON array of segments with their words, in a folder video_id=..."""
+    spoken = words.groupBy("video_id", "seg_idx").agg(F.sort_array(F.collect_list(F.struct("word_idx", "word", "start", "end"))).alias("w"))
+    nested = F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end")))
+    rows = segments.join(spoken, ["video_id", "seg_idx"], "left").select("video_id", F.struct("seg_idx", F.struct("start", "end", "text", nested.alias("words")).alias("s")).alias("r"))
+    listed = rows.groupBy("video_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["s"])).alias("value"))
+    listed.repartition("video_id").write.partitionBy("video_id").text(path)
+
+
 def write_table(df: DataFrame, path: str, key: str = "video_id", buckets: int = 64, kind: str = "parquet") -> None:
     """A table in folders by a hash of the key, in place of what was there."""
     out = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
@@ -57,16 +68,6 @@ def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: st
     return (reader.schema(schema) if schema else reader).load(path).drop("bucket")
 
 
-def audit(key: list[str], **tables: DataFrame) -> DataFrame:
-    """One record per key: each table's rows of it as an array of structs, null where it has none."""
-    out = None
-    for name, df in tables.items():
-        rest = [c for c in df.columns if c not in key]
-        rows = df.groupBy(*key).agg(F.collect_list(F.struct(*rest)).alias(name))
-        out = rows if out is None else out.join(rows, key, "full")
-    return out
-
-
 def write_documents(documents: DataFrame, path: str, key: list[str], text: str = "document") -> None:
     """One text file per row in a folder by its key; the sink writes the last line break."""
     documents.select(*key, F.regexp_replace(text, "\n$", "").alias("value")).repartition(*key).write.mode("overwrite").partitionBy(*key).text(path)
