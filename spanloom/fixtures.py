@@ -9,21 +9,47 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import fixed
+from spanloom.sources.scratch import save
 
 LONG = "Aaaaaaaaaaaaaaaaaaaaaaa"
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of conversations as recordings: video_id, seg_idx, word_idx, word, start, end, seg_start, seg_end.
+#: Segments of a recording that are added up together; the sums of such blocks are added up after them.
+BLOCK = 1024
 
-    Whatever runs along a recording runs over its segments, one row each; words are only added up inside a segment,
-    so a very long recording is no single task.
+
+def running(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """video_id, seg_idx and ``name``: the sum of ``value`` over a recording's earlier segments. rows: video_id, seg_idx (unique), value.
+
+    Sums go block by block, so no task sorts more than a block or a recording's blocks: a recording of n segments is n / 1024 rows at most.
+    """
+    narrow = rows.select("video_id", "seg_idx", value, F.floor(F.col("seg_idx") / BLOCK).alias("_block"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = narrow.groupBy("video_id", "_block").agg(F.sum(value).alias("_sum"))
+    tops = sums.select("video_id", "_block", F.coalesce(F.sum("_sum").over(before(Window.partitionBy("video_id").orderBy("_block"))), F.lit(0)).alias("_top"))
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy("video_id", "_block").orderBy("seg_idx"))), F.lit(0))
+    return narrow.join(tops, ["video_id", "_block"]).select("video_id", "seg_idx", (F.col("_top") + inside).alias(name))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations: video_id, seg_idx, text."""
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("seg_idx"), F.col("text"))
+
+
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents, some of them very long: video_id, seg_idx, text."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("seg_idx", "text"))
+
+
+def words(raw: DataFrame) -> DataFrame:
+    """Words of segments (video_id, seg_idx, text): video_id, seg_idx, word_idx, word, start, end, seg_start, seg_end.
+
+    What runs along a recording is summed over narrow rows, one a segment (see ``running``), and joined back; words are only added up inside
+    a segment, so a very long recording is no single task.
     """
-    raw = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("seg_idx"), F.col("text"))
     tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
-    rows = raw.select("video_id", "seg_idx", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    along = Window.partitionBy("video_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("n0", F.coalesce(F.sum(F.size("tokens")).over(along), F.lit(0)))
+    rows = save(raw.select("video_id", "seg_idx", tokens.alias("tokens")).where(F.size("tokens") > 0), "tokens")
+    rows = rows.join(running(rows.withColumn("n", F.size("tokens")), "n", "n0"), ["video_id", "seg_idx"])
 
     def spoken(w0: Column, n: Column) -> Column:
         word = F.when(n % 41 == 3, "20").when(n % 41 == 4, "de").when(n % 41 == 5, "ani").when(n % 43 == 11, "you").when(n % 43 == 12, "know,")
@@ -38,8 +64,8 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     named = F.transform("tokens", lambda w0, i: F.struct(spoken(w0, F.col("n0") + i).alias("word"), (F.col("n0") + i).alias("n")))
     rows = rows.select("video_id", "seg_idx", F.transform(named, timed).alias("w"))
-    rows = rows.withColumn("length", F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + x["dur"] + x["gap"]))
-    rows = rows.withColumn("base", F.coalesce(F.sum("length").over(along), F.lit(0)))
+    rows = save(rows.withColumn("length", F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + x["dur"] + x["gap"])), "timed")
+    rows = rows.join(running(rows, "length", "base"), ["video_id", "seg_idx"])
     rows = rows.withColumn("stop", F.col("base") + F.col("length") - F.element_at("w", -1)["gap"])
     each = rows.select("video_id", "seg_idx", "base", "stop", F.posexplode("w").alias("word_idx", "x")).select("video_id", "seg_idx", "base", "stop", "word_idx", "x.*")
     inside = Window.partitionBy("video_id", "seg_idx").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,6 +152,17 @@ def analysis_replies(candidates: DataFrame) -> DataFrame:
     return candidates.select("video_id", "cand_idx", F.when(v % 13 == 0, "not json").when(v % 17 == 0, "[1, 2]").otherwise(good).alias("reply_json"))
 
 
+#: Frames of the clips: wide, upright, odd, square and small.
+FRAMES = [(1920, 1080), (1080, 1920), (1279, 719), (1000, 1000), (202, 360)]
+
+
+def framed(clips: DataFrame) -> DataFrame:
+    """Clips (video_id, clip_idx, duration) with the size of their frames."""
+    kinds = F.array(*(F.struct(F.lit(w).alias("width"), F.lit(h).alias("height")) for w, h in FRAMES))
+    at = F.element_at(kinds, (F.col("video_id") % len(FRAMES) + 1).cast("int"))
+    return clips.select("video_id", "clip_idx", at["width"].alias("width"), at["height"].alias("height"), "duration")
+
+
 def detections(clips: DataFrame) -> DataFrame:
     """Boxes every half second: video_id, clip_idx, t, kind, box_pos, x, y, w, h."""
     v = F.col("video_id")

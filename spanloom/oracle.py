@@ -12,7 +12,7 @@ def _list(words: list[str]) -> str:
 # Timed words and segments from conversations, in whole milliseconds.
 _WORDS = r"""
 t AS (SELECT conv_id AS video_id, turn::int AS seg_idx, unnest(w) AS w0, generate_subscripts(w, 1) - 1 AS p
-      FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text, ' '), '\s+'), lambda x: x <> '') AS w FROM conversations)),
+      FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text, ' '), '\s+'), lambda x: x <> '') AS w FROM (SELECT conv_id, turn, text FROM conversations))),
 n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx, p) - 1 AS n FROM t),
 i AS (SELECT *, CASE WHEN n % 41 = 3 THEN '20' WHEN n % 41 = 4 THEN 'de' WHEN n % 41 = 5 THEN 'ani' WHEN n % 43 = 11 THEN 'you' WHEN n % 43 = 12 THEN 'know,'
       WHEN n % 47 = 13 THEN 'Știi' WHEN n % 53 IN (17, 18) THEN 'echo' WHEN n % 59 = 19 THEN 'Ana' WHEN n % 59 = 20 THEN 'Pop' WHEN n % 29 = 6 THEN 'um'
@@ -95,6 +95,16 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes} {select}"
 
 
+#: Segments of the two catalogues: turns of conversations, and lines of documents.
+_TURNS = "(SELECT conv_id, turn, text FROM conversations)"
+_LINES = "(SELECT doc_id AS conv_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS turn, unnest(string_split(text, chr(10))) AS text FROM documents)"
+
+
+def _long(ctes: str, select: str) -> str:
+    """The same over lines of documents."""
+    return _with(ctes, select).replace(_TURNS, _LINES)
+
+
 _C = "video_id, cand_idx"
 _V = "video_id, cand_idx, variant_pos"
 
@@ -319,18 +329,25 @@ inw AS (SELECT video_id, clip_idx, part, row_number() OVER (PARTITION BY video_i
 _P = "video_id, clip_idx, part"
 
 
-#: Crop tracks of whole clips, 1920 by 1080: the crop is 608 wide and as high as the frame, so its centre lies at 540.
+#: Crop tracks of whole clips: w and h are the crop's, the largest even 9:16 part of the frame; (x, y) is a box's corner.
 _CROP = """
-framed AS (SELECT video_id, cand_idx AS clip_idx, "end" - start AS duration, floor(("end" - start + 0.001::double) * 2)::int AS top FROM best),
-raw_track AS (SELECT video_id, clip_idx, duration, top, -1 AS i, NULL::double AS lx, ''::varchar AS source FROM framed
- UNION ALL SELECT video_id, clip_idx, duration, top, i + 1, greatest(304.0::double, least(CASE WHEN face THEN CASE WHEN two AND lx IS NOT NULL AND sqrt((x + 200 + s / 2 - lx) ** 2 + (y + s / 2 - 540) ** 2) - 0.2::double * s < sqrt((x + s / 2 - lx) ** 2 + (y + s / 2 - 540) ** 2) - 0.2::double * s THEN x + 200 ELSE x END + s / 2 WHEN person THEN x + 50 + s / 2 ELSE coalesce(lx, 960.0::double) END, 1616.0::double)),
+sizes AS (SELECT video_id, cand_idx AS clip_idx, "end" - start AS duration, floor(("end" - start + 0.001::double) * 2)::int AS top, [1920, 1080, 1279, 1000, 202][video_id % 5 + 1] AS fw, [1080, 1920, 719, 1000, 360][video_id % 5 + 1] AS fh FROM best),
+framed AS (SELECT *, CASE WHEN fw / fh::double >= 0.5625::double THEN least(fw, even_w - even_w % 2) ELSE fw END AS w, CASE WHEN fw / fh::double >= 0.5625::double THEN fh ELSE least(fh, even_h - even_h % 2) END AS h FROM (SELECT *, round_even(fh * 0.5625::double, 0)::int AS even_w, round_even(fw / 0.5625::double, 0)::int AS even_h FROM sizes)),
+raw_track AS (SELECT video_id, clip_idx, duration, top, fw, fh, w, h, -1 AS i, NULL::double AS lx, NULL::double AS ly, ''::varchar AS source FROM framed
+ UNION ALL SELECT video_id, clip_idx, duration, top, fw, fh, w, h, i + 1,
+   greatest(w / 2.0::double, least(CASE WHEN face THEN CASE WHEN second THEN x + 200 ELSE x END + s / 2 WHEN person THEN x + 50 + s / 2 ELSE coalesce(lx, fw / 2.0::double) END, fw - w / 2.0::double)),
+   greatest(h / 2.0::double, least(CASE WHEN face THEN y + s * 0.72::double WHEN person THEN y + s * 0.42::double ELSE coalesce(ly, fh / 2.0::double) END, fh - h / 2.0::double)),
    CASE WHEN face THEN 'face' WHEN person THEN 'person' WHEN lx IS NULL THEN 'center' ELSE 'previous' END
-  FROM (SELECT *, (video_id + i + 1) % 6 <> 0 AS face, (i + 1) % 5 = 0 AS two, (video_id + i + 1) % 4 <> 0 AS person, ((video_id * 37 + (i + 1) * 29) % 1500)::double AS x, ((video_id * 17 + (i + 1) * 11) % 700)::double AS y, (80 + (i + 1) % 3 * 40)::double AS s FROM raw_track WHERE i < top)),
-track AS (SELECT video_id, clip_idx, i AS n, i * 0.5::double AS time, lx AS at_x, source FROM raw_track WHERE i >= 0
- UNION ALL SELECT video_id, clip_idx, i + 1, duration, lx, source FROM raw_track WHERE i = top AND i * 0.5::double < duration),
-calm AS (SELECT video_id, clip_idx, n, time, at_x AS center_x, source FROM track WHERE n = 0
- UNION ALL SELECT t.video_id, t.clip_idx, t.n, t.time, greatest(304.0::double, least(CASE WHEN abs(at_x - center_x) <= 608 * 0.07::double THEN center_x ELSE center_x + greatest(-(608 * 0.18::double), least(608 * 0.18::double, at_x - center_x)) * 0.32::double END, 1616.0::double)), t.source
-  FROM calm c JOIN track t ON t.video_id = c.video_id AND t.clip_idx = c.clip_idx AND t.n = c.n + 1)"""
+  FROM (SELECT *, two AND lx IS NOT NULL AND sqrt((x + 200 + s / 2 - lx) ** 2 + (y + s / 2 - ly) ** 2) - 0.2::double * s < sqrt((x + s / 2 - lx) ** 2 + (y + s / 2 - ly) ** 2) - 0.2::double * s AS second
+    FROM (SELECT *, (video_id + i + 1) % 6 <> 0 AS face, (i + 1) % 5 = 0 AS two, (video_id + i + 1) % 4 <> 0 AS person, ((video_id * 37 + (i + 1) * 29) % 1500)::double AS x, ((video_id * 17 + (i + 1) * 11) % 700)::double AS y, (80 + (i + 1) % 3 * 40)::double AS s FROM raw_track WHERE i < top))),
+track AS (SELECT video_id, clip_idx, fw, fh, w, h, i AS n, i * 0.5::double AS time, lx AS at_x, ly AS at_y, source FROM raw_track WHERE i >= 0
+ UNION ALL SELECT video_id, clip_idx, fw, fh, w, h, i + 1, duration, lx, ly, source FROM raw_track WHERE i = top AND i * 0.5::double < duration),
+calm AS (SELECT video_id, clip_idx, fw, fh, w, h, n, time, at_x AS center_x, at_y AS center_y, source FROM track WHERE n = 0
+ UNION ALL SELECT t.video_id, t.clip_idx, t.fw, t.fh, t.w, t.h, t.n, t.time,
+   greatest(t.w / 2.0::double, least(CASE WHEN abs(at_x - center_x) <= t.w * 0.07::double THEN center_x ELSE center_x + greatest(-(t.w * 0.18::double), least(t.w * 0.18::double, at_x - center_x)) * 0.32::double END, t.fw - t.w / 2.0::double)),
+   greatest(t.h / 2.0::double, least(CASE WHEN abs(at_y - center_y) <= t.h * 0.07::double THEN center_y ELSE center_y + greatest(-(t.h * 0.18::double), least(t.h * 0.18::double, at_y - center_y)) * 0.32::double END, t.fh - t.h / 2.0::double)), t.source
+  FROM calm c JOIN track t ON t.video_id = c.video_id AND t.clip_idx = c.clip_idx AND t.n = c.n + 1),
+corners AS (SELECT video_id, clip_idx, n, time, center_x, center_y, source, greatest(0.0::double, least((fw - w)::double, center_x - w / 2.0::double)) AS x, greatest(0.0::double, least((fh - h)::double, center_y - h / 2.0::double)) AS y FROM calm)"""
 
 
 def _case(values: list[str], by: str) -> str:
@@ -542,15 +559,25 @@ SQL: dict[str, str] = {
         f"{_TO_ALL},{_VOICES},{_CLIP_WORDS},{_ideas(_P)},{_costs(_P)},{_groups(_P)},{_events(_P)}",
         f"""SELECT video_id, clip_idx, length(document)::bigint AS n_chars, md5(document) AS document_md5 FROM (SELECT video_id, clip_idx, '{_HEAD}' || string_agg('Dialogue: 0,' || {_clock("start")} || ',' || {_clock('"end"')} || ',Default,,0,0,0,,{fixed.LINE_TAGS["capcut"]}' || text, chr(10) ORDER BY part, group_idx, active_index) || chr(10) AS document FROM events WHERE "end" > start GROUP BY video_id, clip_idx)""",
     ),
-    "crop_points": _with(f"{_TO_BEST},{_CROP}", "SELECT video_id, clip_idx, n, time, center_x, 540.0::double AS center_y, source, greatest(0.0::double, least(1312.0::double, center_x - 304)) AS x, 0.0::double AS y FROM calm"),
+    "crop_points": _with(f"{_TO_BEST},{_CROP}", "SELECT * FROM corners"),
     "crop_commands": _with(
         f"""{_TO_BEST},{_CROP},
-        placed AS (SELECT *, greatest(0.0::double, least(1312.0::double, center_x - 304)) AS x FROM calm),
-        steps AS (SELECT *, lead(time) OVER o AS nt, lead(x) OVER o AS nx, count(*) OVER (PARTITION BY video_id, clip_idx) AS every FROM placed WINDOW o AS (PARTITION BY video_id, clip_idx ORDER BY n)),
+        steps AS (SELECT *, lead(time) OVER o AS nt, lead(x) OVER o AS nx, lead(y) OVER o AS ny, count(*) OVER (PARTITION BY video_id, clip_idx) AS every FROM corners WINDOW o AS (PARTITION BY video_id, clip_idx ORDER BY n)),
         commands AS (SELECT *, printf('%.3f-%.3f', round_even(time, 3), round_even(greatest(nt, time + 0.001::double), 3)) AS span FROM steps),
-        texts AS (SELECT video_id, clip_idx, string_agg(CASE WHEN every = 1 THEN printf('0.000 crop@smart x %.3f;', round_even(x, 3)) || chr(10) || '0.000 crop@smart y 0.000;' ELSE span || printf(' [expr] crop@smart x ''lerp(%.3f,%.3f,TI)'';', round_even(x, 3), round_even(nx, 3)) || chr(10) || span || ' [expr] crop@smart y ''lerp(0.000,0.000,TI)'';' END, chr(10) ORDER BY n) || chr(10) AS document FROM commands WHERE every = 1 OR nt IS NOT NULL GROUP BY ALL)""",
+        texts AS (SELECT video_id, clip_idx, string_agg(CASE WHEN every = 1 THEN printf('0.000 crop@smart x %.3f;', round_even(x, 3)) || chr(10) || printf('0.000 crop@smart y %.3f;', round_even(y, 3)) ELSE span || printf(' [expr] crop@smart x ''lerp(%.3f,%.3f,TI)'';', round_even(x, 3), round_even(nx, 3)) || chr(10) || span || printf(' [expr] crop@smart y ''lerp(%.3f,%.3f,TI)'';', round_even(y, 3), round_even(ny, 3)) END, chr(10) ORDER BY n) || chr(10) AS document FROM commands WHERE every = 1 OR nt IS NOT NULL GROUP BY ALL)""",
         "SELECT video_id, clip_idx, length(document)::bigint AS n_chars, md5(document) AS document_md5 FROM texts",
     ),
+    "long_segments": _long(_BASE, 'SELECT video_id, seg_idx, start, "end", md5(text) AS text_md5 FROM segments'),
+    "long_windows": _long(_TO_WINDOWS, "SELECT video_id, window_idx, window_start, window_end, seg_idx FROM links"),
+    "long_pacing": _long(_TO_PACE, "SELECT * FROM pace"),
+    "long_candidates": _long(_TO_BEST, "SELECT *, cand_idx < 8 AS edited FROM cands"),
+    "long_summary": _long(
+        _TO_BEST,
+        """SELECT video_id, windows, coalesce(candidates, 0) AS candidates, coalesce(skipped, 0) AS skipped, coalesce(edited, 0) AS clips, coalesce(edited, 0) AS exported FROM (SELECT video_id, count(DISTINCT window_idx) AS windows FROM links GROUP BY video_id)
+        LEFT JOIN (SELECT video_id, count(*) AS candidates, count(*) FILTER (WHERE cand_idx >= 8) AS skipped, count(*) FILTER (WHERE cand_idx < 8) AS edited FROM cands GROUP BY video_id) USING (video_id)""",
+    ),
 }
 #: The written subtitles are those of the job in memory.
 SQL["catalogue_documents"] = SQL["clip_subtitles"]
+#: The second catalogue's contexts, with a limit that is passed.
+SQL["long_context_text"] = SQL["context_text"].replace(_TURNS, _LINES).replace(str(fixed.CONTEXT_CHARS), "2500")

@@ -20,9 +20,16 @@ C, L = ["video_id", "cand_idx"], ["video_id", "clip_idx"]
 class Data:
     """The derived tables of one data folder; each is written once, when first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.folders = spark, set()
-        self.words = self._save(fixtures.words(spark, sf_dir), "words")
+    def __init__(self, spark: SparkSession, sf_dir: str, lines=fixtures.lines):
+        self.spark, self.sf_dir, self.folders = spark, sf_dir, set()
+        self.words = self._save(fixtures.words(lines(spark, sf_dir)), "words")
+
+    @cached_property
+    def long(self) -> Data:
+        """The same tables of a second catalogue, recordings of very different lengths."""
+        out = Data(self.spark, self.sf_dir, fixtures.long_lines)
+        self.folders |= out.folders
+        return out
 
     def _save(self, df: DataFrame, name: str) -> DataFrame:
         out = scratch.save(df, name)
@@ -350,6 +357,38 @@ def catalogue_documents(d):
     return d.store.read("documents").select(*L, F.length("document").cast("long").alias("n_chars"), F.md5("document").alias("document_md5"))
 
 
+def long_segments(d):
+    """Segments of the second catalogue, whose longest recordings have many times the length of the usual one."""
+    return d.long.segments.select("video_id", "seg_idx", "start", "end", F.md5("text").alias("text_md5"))
+
+
+def long_windows(d):
+    return d.long.links.select("video_id", "window_idx", "window_start", "window_end", "seg_idx")
+
+
+def long_pacing(d):
+    return pacing.of_spans(d.long.words, d.long.spans, W).drop("risks")
+
+
+def long_candidates(d):
+    """Candidates of long recordings, and which of them are edited."""
+    kept = windows.best_candidates(d.long.candidates).select(*C, F.lit(True).alias("edited"))
+    return d.long.candidates.select(*C, "window_idx", "start", "end", "score").join(kept, C, "left").fillna(False, ["edited"])
+
+
+def long_context_text(d):
+    """Contexts of long recordings with a limit that many of them pass, so that both surroundings are cut."""
+    bounds = windows.contexts(d.long.segments, d.long.best)
+    text = windows.context_text(windows.context_segments(d.long.segments, bounds), bounds, limit=2500)
+    return text.select(*C, F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def long_summary(d):
+    """The run over the second catalogue in numbers; its long recordings have more candidates than are edited."""
+    r = d.long.retention
+    return edit.run_summary(d.long.links, d.long.candidates, r.clips, edit.cut_plan(r.clips, r.selected_pieces, C)[0])
+
+
 def clip_words(d):
     return intervals.clip_words(d.words, d.best, C)
 
@@ -428,7 +467,7 @@ def voice_missing(d):
 
 
 def _framed(d):
-    return d.best.select("video_id", F.col("cand_idx").alias("clip_idx"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), (F.col("end") - F.col("start")).alias("duration"))
+    return fixtures.framed(d.best.select("video_id", F.col("cand_idx").alias("clip_idx"), (F.col("end") - F.col("start")).alias("duration")))
 
 
 def crop_points(d):
@@ -457,7 +496,7 @@ def text_functions(d):
 _ALL = [
     timed_words, timed_segments, sliding_windows, window_text, window_scores, candidates, discovered, context_segments, context_text, pacing_windows, pacing_risks, pacing_edits, best_windows,
     snapped_points, edit_bounds, edit_timeline, edit_words, edit_removed, edit_costs, edit_times, edit_items, edit_buckets, hook_scores, hook_evidence, hook_best, hook_voice, variant_pieces, variant_scores,
-    clips, clip_records, clip_segments, clip_timeline, clip_items, clip_buckets, clip_removed, clip_cuts, clip_rejects, run_summary, audit_records, catalogue_clips, catalogue_audit, catalogue_documents, clip_words, idea_spans, boundary_costs, caption_groups, caption_events, clip_subtitles, caption_styles, voice_timings, voice_routes,
+    clips, clip_records, clip_segments, clip_timeline, clip_items, clip_buckets, clip_removed, clip_cuts, clip_rejects, run_summary, audit_records, catalogue_clips, catalogue_audit, catalogue_documents, long_segments, long_windows, long_pacing, long_candidates, long_context_text, long_summary, clip_words, idea_spans, boundary_costs, caption_groups, caption_events, clip_subtitles, caption_styles, voice_timings, voice_routes,
     voice_mix, voice_hooks_spoken, voice_records, voice_missing, crop_points, crop_commands, scalar_functions, text_functions,
 ]
 QUERIES = {f.__name__: _data(f) for f in _ALL}
