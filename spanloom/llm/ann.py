@@ -3,10 +3,11 @@
 Equal vectors are one node. The first graph comes from exact neighbours within runs of nodes along
 random projections. Each round then compares the neighbours of every node with each other, since
 neighbours of neighbours are likely neighbours, and keeps every node's nearest. Rounds are Spark joins:
-nodes are dealt to buckets, a bucket receives each vector it needs once, and only improvements leave it.
+nodes are dealt to buckets whose vectors fit a fixed number of bytes however many nodes there are, only nodes with new
+neighbours are dealt, and only improvements leave a bucket.
 Queries walk the graph greedily: each round expands the nearest nodes of a query that were not expanded yet,
-until none is left among its nearest ``POOL``. Queries that met too few nodes, in a small part of the graph,
-are compared with all nodes block by block.
+until none is left among its nearest ``POOL``. What a query has met is kept, as one sorted list of ids, so that no pair
+is measured twice. Queries that met too few nodes, in a small part of the graph, are compared with all nodes block by block.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import parts_for, save
 
-#: Neighbours kept per node, and nodes per bucket.
-DEGREE, BUCKET = 28, 20_000
-#: Projections and run length of the first graph; a round that changes a smaller share of edges is the last. Rounds
-#: touch all nodes and the search only what queries meet, so a wide search makes up for the last edges at less cost.
-PROJECTIONS, RUN, ENOUGH = 2, 768, 0.1
+#: Neighbours kept per node; of those whose neighbour a node is, the nearest so many join its round, or are its way on in a search;
+#: nodes of a block where all nodes are met.
+DEGREE, BACK, WAYS, BLOCK = 24, 36, 48, 20_000
+#: Bytes of vectors that a bucket of the descent, and one of the measuring, receives.
+ROUND_BYTES, MEASURE_BYTES = 2 << 20, 16 << 20
+#: Projections and run length of the first graph; a round that changes a smaller share of edges is the last.
+PROJECTIONS, RUN, ENOUGH = 2, 768, 0.01
 #: Search: nodes expanded per query and round, nearest nodes remembered; queries of one block where all nodes are met.
-EXPAND, POOL, ASKED = 64, 400, 1_000
+EXPAND, POOL, ASKED = 32, 216, 1_000
 
 _EDGE = "src long, dst long, d double, fresh boolean"
 
@@ -133,12 +136,22 @@ def _bucket(column: str, n: int):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
+def _around(edges: DataFrame) -> DataFrame:
+    """node, members (member, fresh) of nodes with a fresh neighbour: their own neighbours and the nearest of those whose neighbour they are."""
+    forward = edges.select(F.col("src").alias("node"), F.col("dst").alias("member"), "fresh")
+    near = Window.partitionBy("dst").orderBy("d", "src")
+    backward = edges.withColumn("place", F.row_number().over(near)).where(F.col("place") <= BACK).select(F.col("dst").alias("node"), F.col("src").alias("member"), "fresh")
+    listed = forward.unionByName(backward).groupBy("node").agg(F.collect_list(F.struct("member", "fresh")).alias("members"))
+    return listed.where(F.exists("members", lambda m: m["fresh"]))
+
+
 def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
     """Edges (src, dst, d) of the neighbour graph of id, vec rows with different vectors: the nearest ``DEGREE`` found."""
     n = nodes.count()
-    buckets = parts_for(n, BUCKET)
     spark = nodes.sparkSession
     dim = len(nodes.first().vec) if n else 0
+    buckets = parts_for(n, max(1, ROUND_BYTES // (4 * max(1, dim) * (DEGREE + BACK + 1))))
+    merges = parts_for(n, BLOCK)
     rng = np.random.default_rng(seed)
     edges = spark.createDataFrame([], _EDGE)
     for p in range(PROJECTIONS):
@@ -146,21 +159,19 @@ def build(nodes: DataFrame, seed: int = 11) -> DataFrame:
         along = F.aggregate(F.zip_with("vec", axis, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         runs = nodes.repartitionByRange(parts_for(n, RUN), along, "id").withColumn("run", F.spark_partition_id())
         found = runs.groupBy("run").applyInArrow(_run_graph, "src long, dst long, d double")
-        edges = save(_merged(edges, found, buckets), f"start_{p}")
+        edges = save(_merged(edges, found, merges), f"start_{p}")
     for r in count():
         fresh = edges.where("fresh").count()
         if fresh == 0 or (r and fresh < ENOUGH * DEGREE * n):
             break
-        forward = edges.select(F.col("src").alias("node"), F.col("dst").alias("member"), "fresh")
-        near = Window.partitionBy("dst").orderBy("d", "src")
-        backward = edges.withColumn("place", F.row_number().over(near)).where(F.col("place") <= DEGREE).select(F.col("dst").alias("node"), F.col("src").alias("member"), "fresh")
-        around = save(forward.unionByName(backward).withColumn("bucket", _bucket("node", buckets)), f"around_{r}")
+        listed = save(_around(edges).withColumn("bucket", _bucket("node", buckets)), f"around_{r}")
+        around = listed.select("bucket", "node", F.explode("members").alias("m")).select("bucket", "node", "m.member", "m.fresh")
         reach = edges.groupBy("src").agg(F.when(F.count("*") >= DEGREE, F.max("d")).otherwise(float("inf")).alias("reach"))
-        reached = nodes.join(reach, nodes.id == reach.src, "left").select("id", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+        reached = nodes.join(reach, nodes.id == reach.src, "left").select("id", F.col("vec").cast("array<float>").alias("vec"), F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
         wanted = around.select("bucket", F.col("member").alias("w")).distinct()
-        vectors = wanted.join(reached, wanted.w == reached.id).select(F.col("bucket").alias("b"), "id", F.col("vec").cast("array<float>").alias("vec"), "reach")
+        vectors = wanted.join(reached, wanted.w == reached.id).select(F.col("bucket").alias("b"), "id", "vec", "reach")
         better = around.groupBy("bucket").cogroup(vectors.groupBy("b")).applyInArrow(_local_join, "src long, dst long, d double")
-        edges = save(_merged(edges, better, buckets), f"round_{r}")
+        edges = save(_merged(edges, better, merges), f"round_{r}")
     return edges.select("src", "dst", "d")
 
 
@@ -191,24 +202,35 @@ def measured(pairs: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
 
 
 def walk(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(q, c, d): the nearest nodes found for every query node ``q``, itself left out; at most ``POOL`` each."""
-    buckets = parts_for(nodes.count(), BUCKET)
-    both = save(graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "adjacency")
-    starts = queries.join(both, queries.q == both.src).select("q", F.col("dst").alias("c")).distinct()
-    pool = save(measured(starts, nodes, buckets).withColumn("done", F.lit(False)), "pool")
-    near = Window.partitionBy("q").orderBy("d", "c")
+    """(q, c, d, n_met): the nearest nodes found for every query node ``q``, itself left out, at most ``POOL`` each, and how many it met.
+
+    Edges count both ways, each node with the nearest ``WAYS`` of those whose neighbour it is.
+    """
+    n, dim = nodes.count(), len(nodes.first().vec) if not nodes.isEmpty() else 1
+    buckets = parts_for(n * dim * 8, MEASURE_BYTES)
+    near = Window.partitionBy("dst").orderBy("d", "src")
+    backward = graph.withColumn("place", F.row_number().over(near)).where(F.col("place") <= WAYS)
+    both = graph.select(F.col("src").alias("at"), "dst").unionByName(backward.select(F.col("dst").alias("at"), F.col("src").alias("dst")))
+    lists = save(both.groupBy("at").agg(F.collect_set("dst").alias("near")), "adjacency")
+    none = F.array().cast("array<struct<d:double,c:long,done:boolean>>")
+    state = queries.select("q", F.array("q").alias("met"), none.alias("pool"))
+    frontier = queries.select("q", F.col("q").alias("at"))
     for r in count():
-        ranked = pool.withColumn("place", F.row_number().over(near)).where(F.col("place") <= POOL)
-        turn = F.sum(F.when(F.col("done"), 0).otherwise(1)).over(near)
-        ranked = save(ranked.withColumn("now", ~F.col("done") & (turn <= EXPAND)).select("q", "c", "d", "done", "now"), f"ranked_{r}")
-        frontier = ranked.where("now").select("q", F.col("c").alias("at"))
+        offered = frontier.join(lists, "at").select("q", F.explode("near").alias("c")).groupBy("q").agg(F.collect_set("c").alias("c"))
+        unmet = save(state.select("q", "met").join(offered, "q").select("q", F.explode(F.array_except("c", "met")).alias("c")), f"unmet_{r}")
+        new = measured(unmet, nodes, buckets).groupBy("q").agg(F.collect_list(F.struct("d", "c", F.lit(False).alias("done"))).alias("new"))
+        joined = state.join(new, "q", "left").withColumn("new", F.coalesce("new", none))
+        pool = F.slice(F.array_sort(F.concat("pool", "new")), 1, POOL)
+        state = save(joined.select("q", F.array_sort(F.concat("met", F.transform("new", lambda x: x["c"]))).alias("met"), pool.alias("pool")), f"met_{r}")
+        turn = F.slice(F.filter("pool", lambda x: ~x["done"]), 1, EXPAND)
+        state = state.withColumn("turn", F.transform(turn, lambda x: x["c"]))
+        frontier = state.select("q", F.explode("turn").alias("at"))
         if frontier.isEmpty():
             break
-        met = frontier.join(both, frontier["at"] == both.src).select("q", F.col("dst").alias("c")).where("q <> c").distinct()
-        unseen = met.join(pool.select("q", "c"), ["q", "c"], "left_anti")
-        more = measured(unseen, nodes, buckets).withColumn("done", F.lit(False))
-        pool = save(ranked.select("q", "c", "d", (F.col("done") | F.col("now")).alias("done")).unionByName(more), f"pool_{r}")
-    return pool.select("q", "c", "d")
+        done = F.transform("pool", lambda x: F.struct(x["d"].alias("d"), x["c"].alias("c"), (x["done"] | F.array_contains("turn", x["c"])).alias("done")))
+        state = state.select("q", "met", done.alias("pool"))
+    found = state.select("q", F.size("met").cast("long").alias("n_met"), F.explode("pool").alias("p"))
+    return found.select("q", "p.c", "p.d", "n_met")
 
 
 def _meet(asked: pa.Table, block: pa.Table) -> pa.Table:
@@ -228,7 +250,7 @@ def _meet(asked: pa.Table, block: pa.Table) -> pa.Table:
 
 def met_all(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(q, c, d) for queries ``q`` against all nodes: every block of queries meets every block of nodes."""
-    blocks, groups = parts_for(nodes.count(), BUCKET), parts_for(queries.count(), ASKED)
+    blocks, groups = parts_for(nodes.count(), BLOCK), parts_for(queries.count(), ASKED)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.join(nodes, queries.q == nodes.id).select("q", "vec", _bucket("q", groups).alias("a"), every(blocks).alias("b"))
     block = nodes.toDF("other", "other_vec").select("other", "other_vec", every(groups).alias("a2"), _bucket("other", blocks).alias("b2"))
@@ -257,7 +279,7 @@ def _nearest_of_length(usable: DataFrame, k: int, every: int, name: str) -> Data
     listed = member.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1).select("id", "node")
     asked = member.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("node").alias("q"))
     asked_nodes = asked.select("q").distinct()
-    found = save(walk(asked_nodes, build(nodes), nodes), f"found{name}")
+    found = save(walk(asked_nodes, build(nodes), nodes).drop("n_met"), f"found{name}")
     few = min(k, nodes.count() - 1)
     met = found.groupBy(F.col("q").alias("m")).agg(F.count("*").alias("n"))
     short = save(asked_nodes.join(met, F.col("q") == F.col("m"), "left").where(F.coalesce("n", F.lit(0)) < few).select("q"), f"short{name}")
