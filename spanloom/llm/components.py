@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import save
 
+#: Parts of a node's neighbours, and nodes that a task's forest holds before it is handed on.
+SPLIT, NODES = 64, 200_000
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's edges as a spanning forest: each node with the least node of its tree."""
+    """A task's edges as spanning forests, of ``NODES`` nodes or a batch more each: each node with the least node of its tree."""
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -24,31 +27,55 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x], x = top, up[x]
         return top
 
+    def grown() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in up if up[x] != x]
+        for i in range(0, len(nodes), 10_000):
+            own = nodes[i : i + 10_000]
+            yield pa.record_batch([pa.array(own, pa.int64()), pa.array([root(x) for x in own], pa.int64())], names=["u", "v"])
+        up.clear()
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 up[max(a, b)] = min(a, b)
-    nodes = [x for x in up if up[x] != x]
-    for i in range(0, len(nodes), 10_000):
-        own = nodes[i : i + 10_000]
-        yield pa.record_batch([pa.array(own, pa.int64()), pa.array([root(x) for x in own], pa.int64())], names=["u", "v"])
+        if len(up) > NODES:
+            yield from grown()
+    yield from grown()
+
+
+def salted(pairs: DataFrame) -> DataFrame:
+    """Pairs (x, y) and a part of x's neighbours that y falls into."""
+    return pairs.withColumn("part", F.pmod(F.xxhash64("y"), F.lit(SPLIT)).cast("int"))
+
+
+def with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) with ``m``, the least of x's ys and x itself, and (x, m) of every x.
+
+    The least is taken per part, then per node, and comes back by node and part: of a node with n neighbours no task reads more than its
+    ``SPLIT`` parts or n / ``SPLIT`` pairs.
+    """
+    parted = salted(pairs)
+    per = parted.groupBy("x", "part").agg(F.min("y").alias("low"))
+    least = per.groupBy("x").agg(F.least(F.min("low"), F.col("x")).alias("m"))
+    back = per.select("x", "part").join(least, "x")
+    return parted.join(back, ["x", "part"]).drop("part"), least
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """node, component (least node reachable) for every node with an edge to another; ids are longs.
 
     Rounds go on until one changes nothing, and each halves paths; every intermediate table goes to the shared folder. A node with many
-    neighbours is a skewed join key, which adaptive execution splits.
+    neighbours is dealt in parts (see ``with_least``).
     """
     e = save(edges.select(a, b).mapInArrow(_forest, "u long, v long").distinct(), f"{name}_0")
     mark = None
     for i in count(1):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = e.join(least, e.v == least.x).select("u", F.col("m").alias("v"))
-        mins = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
-        small = large.join(mins, large.u == mins.x).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
+        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
+        # Large star: every larger neighbour of a node goes to the node's least one. Small star: so does every smaller one.
+        large = with_least(both)[0].where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        near, least = with_least(large)
+        small = near.where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         e = save(small, f"{name}_{i}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
