@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -397,25 +398,49 @@ def train(docs: DataFrame, text_column: str = "text", order: int = 2) -> Model:
     both = every.where(F.col("kind") == WORDS).select("kind", "range", "a", "b").unionByName(words.select(F.lit(-1).alias("kind"), "range", F.col("w").alias("a"), F.col("raw").alias("b")))
     stats = save(both.groupBy("range").applyInArrow(_merge_words(folder), "t long, n1 long, n2 long, n3 long, n4 long"), "stats")
     s = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in stats.columns)).first()
-    kinds = {2: np.zeros(4, np.int64), 3: np.zeros(4, np.int64)}
-    for x in every.where(F.col("kind") == COUNTED).select("range", "a").toLocalIterator():  # 32 bytes a range
-        kinds[x.range] += np.frombuffer(x.a, "<i8")
+    four = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4")]
+    counts = every.where(F.col("kind") == COUNTED).select("range", "a").mapInArrow(_counts_of_counts, "order int, n1 long, n2 long, n3 long, n4 long").groupBy("order").agg(*four)
+    kinds = {2: [0] * 4, 3: [0] * 4} | {x.order: [x.n1, x.n2, x.n3, x.n4] for x in counts.collect()}
     d = {1: discounts(s.n1, s.n2, s.n3, s.n4)} | {k: discounts(*map(int, n)) for k, n in kinds.items()}
     rest = (d[1][0] * s.n1 + d[1][1] * s.n2 + d[1][2] * (total[1] - s.n1 - s.n2)) / s.t if s.t else 1.0
     model = Model(folder, order, ranges, total[0], total[1], s.t, d, rest, hot, np.zeros((len(hot), 4), np.int64))
-    for x in pairs.where(F.col("kind") == SUMS).select("a", "b").toLocalIterator():  # at most MAX_HOT words a range
-        model.hot_sums[np.searchsorted(hot, np.frombuffer(x.a, "<u8"))] += np.frombuffer(x.b, "<i8").reshape(-1, 4)
+    sums = pairs.where(F.col("kind") == SUMS).select("a", "b").mapInArrow(_hot_sums, "w long, n1 long, n2 long, n3 long, n4 long").groupBy("w").agg(*four)
+    for x in sums.toLocalIterator():  # a row a hot word
+        model.hot_sums[np.searchsorted(hot, np.int64(x.w).astype(_U))] = (x.n1, x.n2, x.n3, x.n4)
     return model
 
 
+def _counts_of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """order, and how many of a range's n-grams were seen once, twice, three and four times: a row a range."""
+    for batch in batches:
+        n = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(-1, 4)
+        yield pa.record_batch([batch.column(0).cast(pa.int32()), *(pa.array(n[:, k]) for k in range(4))], names=["order", "n1", "n2", "n3", "n4"])
+
+
+def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hot word of each range: its pairs there, and those seen once, twice and more often."""
+    for batch in batches:
+        w = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").view(np.int64)
+        n = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(-1, 4)
+        yield pa.record_batch([pa.array(w), *(pa.array(n[:, k]) for k in range(4))], names=["w", "n1", "n2", "n3", "n4"])
+
+
+#: Files that a worker keeps mapped, at most: the corpus decides how many there are, the system how many maps a process may hold.
+MAPS = 2048
+
+
 class Arrays:
-    """Memory-mapped look-ups in a model's files."""
+    """Memory-mapped look-ups in a model's files, of which the ``MAPS`` used last stay mapped."""
 
     def __init__(self, model: Model):
-        self.model, self.maps = model, {}
+        self.model, self.maps = model, OrderedDict()
 
     def _map(self, name: str) -> list[np.ndarray] | None:
-        if name not in self.maps:
+        if name in self.maps:
+            self.maps.move_to_end(name)
+        else:
+            while len(self.maps) >= MAPS:
+                self.maps.popitem(last=False)
             path = f"{self.model.folder}/{name}"
             if not os.path.exists(path):
                 self.maps[name] = None
@@ -430,13 +455,14 @@ class Arrays:
                 self.maps[name] = out
         return self.maps[name]
 
-    def _look(self, names: list[str], of: np.ndarray, keys: np.ndarray, key: int, values: list[int]) -> list[np.ndarray]:
-        """For keys, the values beside them in the file ``names[of]``; 0 where a key is missing."""
+    def _look(self, kinds: tuple[str, ...], of: np.ndarray, keys: np.ndarray, key: int, values: list[int]) -> list[np.ndarray]:
+        """For keys, the values beside them in their files, 0 where a key is missing; ``of`` counts the ranges of the first kind, then of the next."""
         out = [np.zeros(len(keys), np.int64) for _ in values]
         by = np.lexsort((keys, of))
         of, keys = of[by], keys[by]
         for s in _slices(_runs(of), len(of)):
-            arrays = self._map(names[of[s.start]])
+            kind, at = divmod(int(of[s.start]), self.model.ranges)
+            arrays = self._map(f"{kinds[kind]}-{at}" if len(kinds) > 1 else f"{kinds[0]}-{int(of[s.start])}")
             if arrays and len(arrays[key]):
                 at = np.minimum(np.searchsorted(arrays[key], keys[s]), len(arrays[key]) - 1)
                 hit = arrays[key][at] == keys[s]
@@ -444,22 +470,19 @@ class Arrays:
                     o[by[s]] = np.where(hit, arrays[v][at], 0)
         return out
 
-    def _names(self, *kinds: str) -> list[str]:
-        return [f"{k}-{i}" for k in kinds for i in range(self.model.ranges)]
-
     def words(self, w: np.ndarray) -> list[np.ndarray]:
         """Counts and continuation counts."""
-        return self._look(self._names("words"), range_of(w, self.model.ranges), w, 0, [1, 2])
+        return self._look(("words",), range_of(w, self.model.ranges), w, 0, [1, 2])
 
     def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         keys, of = pair_key(v, w), range_of(v, self.model.ranges)
         hot = _member(v, self.model.hot)
         of[hot] = self.model.ranges + range_of(tx.mix(keys[hot]), self.model.ranges)
-        return self._look(self._names("pairs", "hot"), of, keys, 0, [1])[0]
+        return self._look(("pairs", "hot"), of, keys, 0, [1])[0]
 
     def histories(self, v: np.ndarray) -> list[np.ndarray]:
         """Sum of a word's pairs and the numbers of those seen once, twice and more often."""
-        out = self._look(self._names("pairs"), range_of(v, self.model.ranges), v, 2, [3, 4, 5, 6])
+        out = self._look(("pairs",), range_of(v, self.model.ranges), v, 2, [3, 4, 5, 6])
         hot = np.flatnonzero(_member(v, self.model.hot))
         sums = self.model.hot_sums[np.searchsorted(self.model.hot, v[hot])]
         for k, o in enumerate(out):
@@ -473,12 +496,10 @@ class Arrays:
         return of
 
     def grams(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        names = [f"grams-{i}" for i in range(2 * self.model.ranges)]
-        return self._look(names, self._gram_file(u, v), gram_key(u, v, w), 0, [2])[0]
+        return self._look(("grams",), self._gram_file(u, v), gram_key(u, v, w), 0, [2])[0]
 
     def pair_histories(self, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
-        names = [f"grams-{i}" for i in range(2 * self.model.ranges)]
-        return self._look(names, self._gram_file(u, v), history_key(u, v), 1, [3, 4, 5, 6])
+        return self._look(("grams",), self._gram_file(u, v), history_key(u, v), 1, [3, 4, 5, 6])
 
 
 def _less(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
