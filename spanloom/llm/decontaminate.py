@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
@@ -132,7 +132,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, **columns
     """Per document: doc_id, n_words, n_hit (words inside a shared window), n_items, items_sha256, contaminated."""
     rows, hits = matches(docs, items, window, **columns)
     hits = save(hits, "hits")
-    n_hit = hits.select("row_key", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct().groupBy("row_key").agg(F.count("*").alias("n_hit"))
+    # Spans in order: each adds what lies behind the furthest end before it.
+    along = Window.partitionBy("row_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0).cast("long"), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(along), "start")))
+    n_hit = hits.select("row_key", "start", "end").distinct().withColumn("new", new).groupBy("row_key").agg(F.sum("new").alias("n_hit"))
     listed = hits.select("row_key", "item_id").distinct().groupBy("row_key").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item_id"))), 256).alias("items_sha256"))
     zero = F.lit(0).cast("long")
     return rows.join(n_hit, "row_key", "left").join(listed, "row_key", "left").select(
