@@ -58,6 +58,20 @@ def fold_of(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def within_bytes(rows: DataFrame, text: str, most: int) -> DataFrame:
+    """Rows whose texts hold about ``most`` bytes at most, for what one machine learns from: all of them, or a share by their hash.
+
+    Where not all fit, texts of more than a sixteenth of ``most`` are left out first, so that no single text decides. rows must be a written table.
+    """
+    size, longest = F.octet_length(text), most // 16
+    fits = F.coalesce(size, F.lit(0)) <= longest
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(fits, size)), F.lit(0)).alias("fit")).first()
+    if total["all"] <= most:
+        return rows
+    share = min(1.0, most / max(1, total["fit"]))
+    return rows.where(fits & (F.pmod(F.xxhash64(text, F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))))
+
+
 def parts_for(total: float, each: float) -> int:
     """How many parts of about ``each`` units hold ``total`` units; at least one, and it grows with the data."""
     return max(1, int(-(-total // each)))

@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import text as tx
+from spanloom.llm.common import save, within_bytes
 from spanloom.llm.langid import sampled
 
 #: Learning documents per label at most (expected number; chosen by a hash of the id).
 SAMPLE_PER_LABEL = 1_000
+#: Bytes of text that weights are learned from, at most: features take some times as much on the driver.
+SAMPLE_BYTES = 24 << 20
 STEPS = 150
 #: How sharply the share of good lines decides a document's label, what neighbours' features weigh beside a line's own,
 #: and the penalties on weights and on label changes.
@@ -220,11 +223,11 @@ def curve_of(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality") -> Model | None:
-    """Learns from documents with a label 0 or 1: weights from a sample bounded by ``SAMPLE_PER_LABEL``, the curve from all. None without labels."""
+    """Learns from documents with a label 0 or 1: weights from a sample bounded by ``SAMPLE_PER_LABEL`` and ``SAMPLE_BYTES``, the curve from all. None without labels."""
     given = labels.select(F.col(label_id).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null")
     chosen = sampled(given, F.col("y"), SAMPLE_PER_LABEL, F.col("key"))
     source = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = source.join(F.broadcast(chosen), "key").select("y", "text")
+    rows = within_bytes(save(source.join(F.broadcast(chosen), "key").select("y", "text"), "learned"), "text", SAMPLE_BYTES)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import langid
 from spanloom.llm import text as tx
+from spanloom.llm.common import save, within_bytes
 from spanloom.llm.langid import sampled
 
 #: Learning documents at most by label (expected number; chosen by a hash of the id).
 SAMPLE_PER_LABEL = 2_000
+#: Bytes of text that weights are learned from, at most: slots take some times as much on the driver.
+SAMPLE_BYTES = 32 << 20
 BITS, DEPTH = 15, 12
 WIDTHS, FILTERS = (1, 2, 3), 12
 REACH = max(WIDTHS) - 1
@@ -172,11 +175,11 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = Non
 
 
 def train(docs: DataFrame, labels: DataFrame, languages: langid.Model, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic") -> Model | None:
-    """Learns from a sample of documents with a label 0 or 1; all labelled documents it did not learn from set the thresholds. None without both labels."""
+    """Learns from a sample of documents with a label 0 or 1, bounded by ``SAMPLE_PER_LABEL`` and ``SAMPLE_BYTES``; all labelled documents it did not learn from set the thresholds. None without both labels."""
     given = labels.select(F.col(label_id).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null")
     chosen = sampled(given, F.col("y"), SAMPLE_PER_LABEL, F.col("key")).where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5)) != 0)
     source = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = source.join(F.broadcast(chosen), "key")
+    rows = within_bytes(save(source.join(F.broadcast(chosen), "key"), "learned"), "text", SAMPLE_BYTES)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
