@@ -97,15 +97,16 @@ def select_best(evaluated: DataFrame) -> DataFrame:
     return evaluated.join(best.select(*C, (-F.col("b.place")).alias("variant_pos")), V)
 
 
-def read_items(analyses: DataFrame, field: str) -> DataFrame:
-    """Objects of a reply's list (anchors, risks, loops, interrupts) with numeric start and end (end defaults to start).
+def read_items(analyses: DataFrame, *fields: str) -> DataFrame:
+    """Objects of a reply's lists (anchors, risks, loops, interrupts; all of them by default) with numeric start and end (end defaults to start).
 
-    ``obj`` holds their fields as strings, ``item`` (a variant) as they were given, nested values included.
+    ``obj`` holds their fields as strings, ``item`` (a variant) as they were given, nested values included. Each reply is read once.
     """
-    rows = analyses.where(F.col("top").isNotNull()).select(*C, F.explode(exprs.json_objects(F.col("top")[field])).alias("i"))
+    lists = F.array(*(F.struct(F.lit(f).alias("kind"), F.col("top")[f].alias("json")) for f in fields or ITEM_WEIGHTS))
+    rows = analyses.where(F.col("top").isNotNull()).select(*C, F.explode(lists).alias("l")).select(*C, "l.kind", F.explode(exprs.json_objects(F.col("l.json"))).alias("i"))
     number = lambda k: F.col("i.obj")[k].try_cast("double")
     end = F.when(F.map_contains_key(F.col("i.obj"), "end"), number("end")).otherwise(number("start"))
-    rows = rows.select(*C, F.lit(field).alias("kind"), F.col("i.pos").alias("pos"), number("start").alias("start"), end.alias("end"), F.col("i.obj").alias("obj"), F.parse_json("i.body").alias("item"))
+    rows = rows.select(*C, "kind", F.col("i.pos").alias("pos"), number("start").alias("start"), end.alias("end"), F.col("i.obj").alias("obj"), F.parse_json("i.body").alias("item"))
     return rows.where(F.col("start").isNotNull() & F.col("end").isNotNull())
 
 
@@ -138,14 +139,12 @@ def retention_buckets(clips: DataFrame, anchors: DataFrame, risks: DataFrame, ke
     return rows.select(*key, "bucket", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"), "score", label.alias("label"))
 
 
-def item_weight(field: str) -> Column:
-    """Importance or severity of an item's object: 50 where missing, 0 to 100."""
-    return exprs.map_score(F.col("obj"), field, 50)
-
-
-def described(items: DataFrame, field: str) -> DataFrame:
-    """Items with ``weight`` (see ``item_weight``) and the texts that they may have: type, reason, text; ``item`` stays, ``obj`` goes."""
-    return items.withColumns({"weight": item_weight(field), **{k: F.col("obj")[k] for k in ITEM_TEXTS}}).drop("obj")
+def described(items: DataFrame) -> DataFrame:
+    """Items with ``weight`` (their kind's score: 50 where missing, 0 to 100) and the texts that they may have: type, reason, text; ``item`` stays, ``obj`` goes."""
+    field = F.create_map(*(F.lit(x) for pair in ITEM_WEIGHTS.items() for x in pair))[F.col("kind")]
+    given = F.when(F.map_contains_key("obj", field), F.struct(F.col("obj")[field].alias("score")))
+    weight = F.when(given.isNotNull(), exprs.clamp_score(given["score"])).otherwise(F.lit(50))
+    return items.withColumns({"weight": weight, **{k: F.col("obj")[k] for k in ITEM_TEXTS}}).drop("obj")
 
 
 #: Fields of items that are texts.

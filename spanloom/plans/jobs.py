@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +59,6 @@ def optimise(segments: DataFrame, words: DataFrame, candidates: DataFrame, repli
     proposed = edit.proposed_variants(analyses)
     cleaned = edit.clean_pieces(edit.proposed_pieces(proposed), contexts, bounds)
     variants, pieces = edit.with_original(proposed, save(cleaned, "cleaned"), ok)
-    pieces = save(pieces, "pieces")
     evaluated = save(edit.evaluate(variants, pieces, words, analyses), "evaluated")
     selected = edit.select_best(evaluated)
     own = pieces.join(selected.select(*edit.V), edit.V, "left_semi").select(*edit.C, "seg_pos", "start", "end", "role", "reason")
@@ -76,10 +74,8 @@ def remapped_items(analyses: DataFrame, measured: DataFrame, line: DataFrame) ->
 
     ``weight`` and the texts are columns; ``item`` is the whole object as it was given.
     """
-    kinds = {k: edit.read_items(analyses, k) for k in edit.ITEM_WEIGHTS}
-    kinds["retention_risks"] = edit.with_measured_risks(kinds["retention_risks"], measured)
-    told = [edit.described(rows, edit.ITEM_WEIGHTS[k]) for k, rows in kinds.items()]
-    return intervals.remap_items(reduce(DataFrame.unionByName, told), line, edit.C)
+    told = edit.described(edit.with_measured_risks(edit.read_items(analyses), measured))
+    return intervals.remap_items(told, line, edit.C)
 
 
 def of_kind(r: Retention, kind: str) -> DataFrame:

@@ -127,7 +127,7 @@ def test_items_keep_what_they_say(spark):
     top = {"retention_anchors": json.dumps([{"start": 1, "end": 9, "type": "claim", "importance": "70", "extra": {"a": [1, None]}}, "note", {"start": "x"}, {"start": 4, "reason": None}])}
     analyses = spark.createDataFrame([(1, 0, top)], "video_id long, cand_idx int, top map<string,string>")
     line = spark.createDataFrame([(1, 0, 0, 0.0, 2.0, 0.0, 2.0, "hook"), (1, 0, 1, 5.0, 8.0, 2.0, 5.0, "payoff")], "video_id long, cand_idx int, index int, source_start double, source_end double, target_start double, target_end double, role string")
-    told = edit.described(edit.read_items(analyses, "retention_anchors"), "importance")
+    told = edit.described(edit.read_items(analyses))
     got = edit.nested(intervals.remap_items(told, line, edit.C), edit.C, "items", ["pos", "index"]).select("items", F.transform("items", lambda x: F.to_json(x["item"])).alias("given")).first()
     assert [(x.pos, x["index"], x.source_start, x.source_end, x.start, x.end, x.weight, x.type, x.reason) for x in got["items"]] == [(0, 0, 1.0, 2.0, 1.0, 2.0, 70, "claim", None), (0, 1, 5.0, 8.0, 2.0, 5.0, 70, "claim", None)]
     assert all(json.loads(g) == {"start": 1, "end": 9, "type": "claim", "importance": "70", "extra": {"a": [1, None]}} for g in got.given)
