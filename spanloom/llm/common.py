@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import folder
 
 #: What one Arrow batch may hold. Texts can be long: rows alone would not bound what a task keeps in memory.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
@@ -26,17 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names.
-
-    Only where that setting is absent (tests, a local shell) is a temporary folder chosen.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names."""
+    return folder(spark, name)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
