@@ -102,6 +102,40 @@ def bend(p: np.ndarray, language: np.ndarray, thresholds: dict[int, float]) -> n
     return np.where(p < t, p / t * CUT, CUT + (p - t) / (1 - t) * (1 - CUT))
 
 
+#: Weight of the penalty on the output layer, and toxic documents that the common threshold counts like beside a language's own.
+OUT_PENALTY, SHRINK = 1e-3, 8
+
+
+def gradients(m: Model, masks: list[np.ndarray], slots: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+    """Gradients of the mean log loss and the penalty for filters, bias and output, then the base's, and embedding rows with theirs.
+
+    Only the places that gave a maximum have a part in it; ``masks`` say which weights of the filters are theirs.
+    """
+    n_f = len(m.bias)
+    z = m.maps(slots)
+    place = np.stack([z[a : b - REACH].argmax(axis=0) + a for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+    top = z[place, np.arange(n_f)] + m.bias
+    on = np.maximum(top, 0)
+    p = 1 / (1 + np.exp(-np.clip(on @ m.out + m.base, -30, 30)))
+    g = ((p - y) / len(y)).astype(m.out.dtype)
+    down = (g[:, None] * m.out) * (top > 0)
+    grads, touched, moves = [], [], []
+    for k, w in enumerate(m.filters):
+        cols = np.flatnonzero(masks[k].any(axis=0))
+        where = slots[place[:, cols] + k]
+        d = down[:, cols]
+        gw = np.zeros_like(w)
+        gw[:, cols] = np.einsum("bf,bfd->df", d, m.embed[where].sum(axis=2))
+        grads.append(gw)
+        touched.append(where.ravel())
+        moves.append(np.repeat((d[:, :, None] * w[:, cols].T[None]).reshape(-1, DEPTH), PARTS, axis=0))
+    names, back = np.unique(np.concatenate(touched), return_inverse=True)
+    total = np.zeros((len(names), DEPTH), m.embed.dtype)
+    np.add.at(total, back, np.concatenate(moves))
+    total[names == PAD] = 0
+    return [*grads, down.sum(axis=0), on.T @ g + OUT_PENALTY * m.out], float(g.sum()), names, total
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, languages: langid.Model) -> Model:
     """Adam for filters, row-wise Adagrad for embeddings; only the places that gave a maximum learn."""
     rng = np.random.default_rng(7)
@@ -129,34 +163,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, languages: langid.Model) -> Model
             own = order[i : i + BATCH]
             slots = np.concatenate([rows[r] for r in own])
             at = np.concatenate([[0], np.cumsum([len(rows[r]) for r in own])])
-            z = m.maps(slots)
-            place = np.stack([z[a : b - REACH].argmax(axis=0) + a for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-            top = z[place, np.arange(n_f)] + m.bias
-            on = np.maximum(top, 0)
-            p = 1 / (1 + np.exp(-np.clip(on @ m.out + m.base, -30, 30)))
-            g = ((p - y[own]) / len(own)).astype(np.float32)
-            down = (g[:, None] * m.out) * (top > 0)
-            grads, touched, moves = [], [], []
-            for k, w in enumerate(filters):
-                cols = np.flatnonzero(masks[k].any(axis=0))
-                where = slots[place[:, cols] + k]
-                d = down[:, cols]
-                gw = np.zeros_like(w)
-                gw[:, cols] = np.einsum("bf,bfd->df", d, embed[where].sum(axis=2))
-                grads.append(gw)
-                touched.append(where.ravel())
-                moves.append(np.repeat((d[:, :, None] * w[:, cols].T[None]).reshape(-1, DEPTH), PARTS, axis=0))
-            grads += [down.sum(axis=0), on.T @ g + 1e-3 * m.out]
+            grads, base, names, total = gradients(m, masks, slots, at, y[own])
             step += 1
             for k, (param, grad) in enumerate(zip(dense, grads, strict=True)):
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.99 * second[k] + 0.01 * grad * grad
                 param -= 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
-            m.base -= 0.05 * float(g.sum())
-            names, back = np.unique(np.concatenate(touched), return_inverse=True)
-            total = np.zeros((len(names), DEPTH), np.float32)
-            np.add.at(total, back, np.concatenate(moves))
-            total[names == PAD] = 0
+            m.base -= 0.05 * base
             seen[names] += (total * total).mean(axis=1)
             embed[names] -= 0.1 * total / np.sqrt(seen[names])[:, None]
     return m
@@ -174,10 +187,15 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = Non
     return float(np.clip(1 / (1 + np.exp(-(odds[i] + low) / 2)), 0.02, 0.98))
 
 
+def learned(given: DataFrame) -> DataFrame:
+    """The labelled documents (key, y) that weights are learned from."""
+    return sampled(given, F.col("y"), SAMPLE_PER_LABEL, F.col("key")).where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5)) != 0)
+
+
 def train(docs: DataFrame, labels: DataFrame, languages: langid.Model, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic") -> Model | None:
     """Learns from a sample of documents with a label 0 or 1, bounded by ``SAMPLE_PER_LABEL`` and ``SAMPLE_BYTES``; all labelled documents it did not learn from set the thresholds. None without both labels."""
     given = labels.select(F.col(label_id).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null")
-    chosen = sampled(given, F.col("y"), SAMPLE_PER_LABEL, F.col("key")).where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(5)) != 0)
+    chosen = learned(given)
     source = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text"))
     rows = within_bytes(save(source.join(F.broadcast(chosen), "key"), "learned"), "text", SAMPLE_BYTES)
 
@@ -213,19 +231,28 @@ def train(docs: DataFrame, labels: DataFrame, languages: langid.Model, doc_id: s
 
 
 def set_thresholds(m: Model, lang: np.ndarray, y: np.ndarray, cell: np.ndarray, count: np.ndarray, total: dict[int, int]) -> None:
-    """Thresholds of all languages and of each from counts by language, label and cell of log odds; ``total`` are the labels' true counts."""
+    """Thresholds of all languages and of each from counts by language, label and cell of log odds; ``total`` are the labels' true counts.
+
+    A language's own threshold and the common one are averaged in log odds, by its number of toxic documents and ``SHRINK``.
+    """
     p = 1 / (1 + np.exp(-(cell + 0.5) / CELLS))
     weight = count * np.where(y == 1, total.get(1, 0) / max(1, count[y == 1].sum()), total.get(0, 0) / max(1, count[y == 0].sum()))
-    if (y == 1).any():
-        m.thresholds[-1] = best_threshold(p, y, weight)
+    if not (y == 1).any():
+        return
+    odds = lambda t: np.log(t / (1 - t))
+    m.thresholds[-1] = best_threshold(p, y, weight)
     for k in set(lang.tolist()):
         own = lang == k
-        if count[own & (y == 1)].sum() >= 8:
-            m.thresholds[k] = best_threshold(p[own], y[own], weight[own])
+        if n := int(count[own & (y == 1)].sum()):
+            z = (n * odds(best_threshold(p[own], y[own], weight[own])) + SHRINK * odds(m.thresholds[-1])) / (n + SHRINK)
+            m.thresholds[k] = float(1 / (1 + np.exp(-z)))
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score per row; null text is empty; 0 without a model."""
+    """key and score per row; null text is empty; 0 without a model.
+
+    Rows are scored one by one, repeated ones and null keys alike, very long texts whole; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
