@@ -129,7 +129,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, **columns: str) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside a shared window), n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit (words inside a shared window), n_items, items_sha256, contaminated.
+
+    One row per input row, repeated ones and null ids included. Null, empty and wordless texts have no words and no hits; very long texts
+    are searched whole. Items that repeat an id are one item; those without text match nothing. An empty table gives no rows, an empty test set no hits.
+    """
     rows, hits = matches(docs, items, window, **columns)
     hits = save(hits, "hits")
     # Spans in order: each adds what lies behind the furthest end before it.

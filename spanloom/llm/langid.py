@@ -188,7 +188,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score per row; ``und`` and 0 where the text is null or has no letter."""
+    """key, lang_pred, score per row; ``und`` and 0 where the text is null or has no letter.
+
+    Rows are judged one by one, repeated ones and null keys alike, very long texts whole; an empty table gives none.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

@@ -544,7 +544,10 @@ _open: dict[str, Arrays] = {}
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """key, n_tokens, n_known, base_score, score (log10 probability) per row; null text is empty, the end alone."""
+    """key, n_tokens, n_known, base_score, score (log10 probability) per row; null text is empty, the end alone.
+
+    Rows are scored one by one, repeated ones and null keys alike; very long texts in chunks of whole texts; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.folder not in _open:

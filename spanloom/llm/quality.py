@@ -270,7 +270,10 @@ def score_rows(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", lines: bool = False) -> DataFrame:
-    """key and score per row, with ``lines`` also each line's probability to be good. Null and empty texts are one empty line; no model gives 0.5."""
+    """key and score per row, with ``lines`` also each line's probability to be good. Null and empty texts are one empty line; no model gives 0.5.
+
+    Rows are scored one by one, repeated ones and null keys alike; a very long text is one chain of its lines; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
