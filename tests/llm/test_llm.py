@@ -168,6 +168,26 @@ def test_language_model(spark, monkeypatch, messy, order, hot):
         assert (r.n_tokens, r.n_known) == (n, known) and abs(r.score - score) < 1e-6 * max(1, abs(score)) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
 
 
+def test_language_model_of_many_ranges_and_few_maps(spark, monkeypatch):
+    """More files than may stay mapped: scores don't change, and no worker holds more maps than allowed."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(rng.randrange(1, 90))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lm, "RANGE_BYTES", 600)
+    monkeypatch.setattr(lm, "HOT_TOKENS", 60)
+    model = lm.train(docs)
+    want = {r.key: r.score for r in lm.score(docs, model).collect()}
+    assert model.ranges > 30 and len(model.hot) > 2 and model.hot_sums.sum() > 0
+    monkeypatch.setattr(lm, "MAPS", 3)
+    arrays, held = lm.Arrays(model), []
+    plain = arrays._map
+    arrays._map = lambda name: (plain(name), held.append(len(arrays.maps)))[0]
+    for i, t in enumerate(texts):
+        data, at = text.buffers(pa.array([t]))
+        assert lm.score_rows(arrays, data, at)[3][0] == pytest.approx(want[i], rel=1e-12)
+    assert max(held) == 3 and len(held) > 500
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_language_model_of_nothing_and_of_nulls(spark, messy, order):
     for docs in (messy.limit(0), messy.where("text is null")):
@@ -238,6 +258,38 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {90: 90, 95: 90, 100: 90}
 
 
+def test_components_of_a_hub_in_parts(spark, monkeypatch):
+    """A star, its hub of the largest id and of the least, a long path and many small parts; no group of a round holds the star."""
+    monkeypatch.setattr(components, "SPLIT", 16)
+    rng = random.Random(0)
+    edges = [(9000, i) for i in range(1000, 3000)] + [(500, i) for i in range(3000, 4000)] + [(5000 + i, 5001 + i) for i in range(80)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in components.components(table).collect()}
+    assert all(got.get(x, x) == root(x) for e in edges for x in e)
+    parts = components.salted(table.toDF("x", "y")).groupBy("x", "part").count()
+    assert parts.agg(F.max("count")).first()[0] < 2000 / 16 * 1.6
+    pairs, least = components.with_least(table.toDF("x", "y"))
+    assert sorted((r.x, r.y) for r in pairs.collect()) == sorted(edges) and {r.x: r.m for r in least.collect()} == {x: min([x, *(b for a, b in edges if a == x)]) for x, _ in edges}
+
+
+def test_forests_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(components, "NODES", 4)
+    batches = [pa.record_batch([pa.array([i, i + 1]), pa.array([i + 1, i + 2])], names=["a", "b"]) for i in range(0, 40, 2)]
+    out = [(u, v) for b in components._forest(iter(batches)) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert all(u > v for u, v in out) and {u for u, _ in out} == set(range(1, 41)) and len(out) < 50
+
+
 def test_winnowing_equals_brute_force(spark, messy):
     rng = random.Random(9)
     docs = [[f"t{rng.randrange(300)}" for _ in range(200)] for _ in range(30)]
@@ -317,13 +369,32 @@ def brute_scores(rows, q):
 
 def test_descent_over_many_runs_and_a_skewed_part(spark, monkeypatch):
     """With runs of 64, nearly all of the graph comes from descent; half of the vectors crowd in a small ball."""
-    for name, value in (("RUN", 64), ("BUCKET", 1500), ("DEGREE", 16), ("POOL", 64)):
+    for name, value in (("RUN", 64), ("ROUND_BYTES", 1 << 18), ("MEASURE_BYTES", 1 << 16), ("POOL", 64)):
         monkeypatch.setattr(ann, name, value)
+    seen = []
+    plain = ann.walk
+    monkeypatch.setattr(ann, "walk", lambda *a: seen.append(plain(*a)) or seen[-1])
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(1500, 12)), 5 + 0.01 * rng.normal(size=(1500, 12))])
     rows = [(int(i), [float(v) for v in r]) for i, r in zip(rng.permutation(3000), x)]
     want, got = brute_nearest(rows), found_nearest(spark, rows)
     assert all(len(got[q]) == 10 for q in want) and recall(got, want) >= 0.9
+    met = seen[0].groupBy("q").agg(F.max("n_met").alias("n")).agg(F.avg("n")).first()[0]
+    assert met < 1500  # half of what a full scan measures
+
+
+def test_no_pair_is_measured_twice(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 24)))], "id long, vec array<double>")
+    monkeypatch.setattr(ann, "POOL", 40)
+    monkeypatch.setattr(ann, "EXPAND", 8)
+    pairs = []
+    plain = ann.measured
+    monkeypatch.setattr(ann, "measured", lambda p, *a: pairs.append([tuple(r) for r in p.select("q", "c").collect()]) or plain(p, *a))
+    found = ann.walk(nodes.where("id % 100 = 0").select(F.col("id").alias("q")), ann.build(nodes), nodes).collect()
+    every = [x for p in pairs for x in p]
+    assert len(every) == len(set(every)) and all(q != c for q, c in every)
+    assert {r.q: r.n_met for r in found} == {q: n + 1 for q, n in Counter(q for q, _ in every).items()}
 
 
 def test_nearest_of_islands_and_of_few(spark, monkeypatch):
@@ -467,7 +538,78 @@ def test_thresholds_and_curve_do_not_depend_on_the_sample(spark, monkeypatch):
     m = toxicity.Model(*[None] * 5, None)
     toxicity.set_thresholds(m, np.zeros(4, int), np.array([1, 0, 1, 0]), np.array([10, 10, 60, 60]), np.array([100, 100, 100, 5]), {1: 200, 0: 2000})
     assert m.thresholds[0] > 1 / (1 + math.exp(-0.2))
-    assert model.thresholds and quality_mean(spark, docs, labels) < 0.2
+    seen = {r.key for r in toxicity.learned(labels.select(F.col("doc_id").alias("key"), F.col("toxic").alias("y"))).collect()}
+    rest = [r for r in rows if r[0] not in seen]
+    p = model.probability(*toxicity.word_slots(*text.buffers(pa.array([r[1] for r in rest])))).astype(float)
+    y = np.array([r[3] for r in rest])
+    weight = np.where(y == 1, 200 / y.sum(), 1600 / (1 - y).sum())
+    want = toxicity.best_threshold(p, y, weight)
+    odds = lambda t: math.log(t / (1 - t))
+    assert set(model.thresholds) == {-1, 0} and all(abs(odds(t) - odds(want)) < 2 / toxicity.CELLS for t in model.thresholds.values())
+    assert quality_mean(spark, docs, labels) < 0.2
+
+
+def test_rare_languages_lean_on_the_common_threshold():
+    """With few toxic documents a language's threshold is near the common one, with many near its own; nothing jumps in between."""
+    found = []
+    for n in (0, 1, 2, 4, 7, 8, 9, 16, 500):
+        m = toxicity.Model(*[None] * 5, None)
+        toxicity.set_thresholds(m, np.array([0, 0, 1, 1]), np.array([1, 0, 1, 0]), np.array([100, -100, -80, -180]), np.array([50, 450, n, 9 * n + 1]), {1: 50 + n, 0: 451 + 9 * n})
+        found.append(m.thresholds.get(1, m.thresholds[-1]))
+    assert found[0] == m.thresholds[-1] or found[0] > found[-1]
+    assert all(a >= b for a, b in zip(found, found[1:])) and max(a - b for a, b in zip(found[1:], found[2:-1])) < 0.12
+
+
+def test_toxicity_gradients_equal_differences():
+    """Every kind of weight, in double precision, by central differences of the loss."""
+    rng = np.random.default_rng(2)
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    filters = [rng.normal(size=(toxicity.DEPTH, n)) for _ in range(max(toxicity.WIDTHS))]
+    for i, width in enumerate(toxicity.WIDTHS):
+        for k in range(width, len(filters)):
+            filters[k][:, i * toxicity.FILTERS : (i + 1) * toxicity.FILTERS] = 0
+    embed = rng.normal(size=(toxicity.PAD + 1, toxicity.DEPTH))
+    embed[toxicity.PAD] = 0
+    m = toxicity.Model(embed, filters, 0.5 * rng.normal(size=n), 0.02 * rng.normal(size=n), -0.3, langid.Model())
+    slots, at = toxicity.word_slots(*text.buffers(pa.array(["alpha beta gamma", "", "delta alpha", "beta beta epsilon zeta eta"])))
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    masks = [w != 0 for w in filters]
+
+    def loss():
+        p = m.probability(slots, at)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + toxicity.OUT_PENALTY / 2 * (m.out**2).sum()
+
+    grads, base, names, total = toxicity.gradients(m, masks, slots, at, y)
+    known = [(w, k) for w, mask in zip(filters, masks) for k in map(tuple, rng.permutation(np.argwhere(mask))[:40])]
+    known += [(m.bias, (k,)) for k in range(n)] + [(m.out, (k,)) for k in range(n)] + [(embed, (int(r), int(rng.integers(toxicity.DEPTH)))) for r in names if r != toxicity.PAD]
+    by = {id(w): g for w, g in zip([*filters, m.bias, m.out], grads)} | {id(embed): dict(zip(names.tolist(), total))}
+    for w, k in known:
+        kept = w[k]
+        w[k] = kept + 1e-6
+        up = loss()
+        w[k] = kept - 1e-6
+        down = loss()
+        w[k] = kept
+        want = by[id(w)][k[0]][k[1]] if w is embed else by[id(w)][k]
+        assert abs((up - down) / 2e-6 - want) < 1e-6
+    m.base += 1e-6
+    up = loss()
+    m.base -= 2e-6
+    assert abs((up - loss()) / 2e-6 - base) < 1e-6
+
+
+def test_hosts(spark):
+    urls = ["https://User@Example.com:80/x?y", "http://a.b", "ftp://h#x", "no url", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(line_dedup.host_of(F.col("u"))).collect()]
+    assert got == ["example.com", "a.b", "h", None, None, None]
+
+
+def test_tokens_of_null_texts_alone(spark):
+    docs = spark.createDataFrame([(i, None) for i in range(5)], "doc_id long, text string")
+    files = sorted((r.doc_id, r.start, r.n_tokens) for r in rans.round_trip(docs, TOKENIZER, 2).collect())
+    assert files == [(i, i, 1) for i in range(5)]
+    pieces = packing.sequences(docs, TOKENIZER, capacity=4).collect()
+    assert sorted((r.doc_id, r.length) for r in pieces) == [(i, 1) for i in range(5)] and len({r.sequence_id for r in pieces}) == 2
 
 
 def quality_mean(spark, docs, labels):
