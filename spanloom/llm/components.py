@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import save
 
-#: Parts of a node's neighbours, and nodes that a task's forest holds before it is handed on.
-SPLIT, NODES = 64, 200_000
+#: Neighbours of a node that stay together at least (a thousandth of all edges, if that is more), parts of a node's neighbours where it has
+#: more, and nodes that a task's forest holds before it is handed on.
+SHARE, SPLIT, NODES = 1_000, 64, 200_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,22 +45,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from grown()
 
 
-def salted(pairs: DataFrame) -> DataFrame:
-    """Pairs (x, y) and a part of x's neighbours that y falls into."""
-    return pairs.withColumn("part", F.pmod(F.xxhash64("y"), F.lit(SPLIT)).cast("int"))
-
-
-def with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def with_least(pairs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (x, y) with ``m``, the least of x's ys and x itself, and (x, m) of every x.
 
-    The least is taken per part, then per node, and comes back by node and part: of a node with n neighbours no task reads more than its
-    ``SPLIT`` parts or n / ``SPLIT`` pairs.
+    An x with more than ``share`` pairs, of which there are at most as many as all pairs hold shares, has them dealt in ``SPLIT`` parts: no
+    task joins more than a share, or than that part, of one x.
     """
-    parted = salted(pairs)
-    per = parted.groupBy("x", "part").agg(F.min("y").alias("low"))
-    least = per.groupBy("x").agg(F.least(F.min("low"), F.col("x")).alias("m"))
-    back = per.select("x", "part").join(least, "x")
-    return parted.join(back, ["x", "part"]).drop("part"), least
+    least = pairs.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > share).select(F.col("x").alias("hub")))
+    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("y"), F.lit(SPLIT))).otherwise(0).cast("int")
+    parted = pairs.join(hubs, F.col("x") == F.col("hub"), "left").select("x", "y", part.alias("part"))
+    parts = F.when(F.col("n") > share, F.sequence(F.lit(0), F.lit(SPLIT - 1))).otherwise(F.array(F.lit(0)))
+    back = least.select("x", "m", F.explode(parts).alias("part"))
+    return parted.join(back, ["x", "part"]).select("x", "y", "m"), least.select("x", "m")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -69,12 +67,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     neighbours is dealt in parts (see ``with_least``).
     """
     e = save(edges.select(a, b).mapInArrow(_forest, "u long, v long").distinct(), f"{name}_0")
-    mark = None
+    mark, share = None, max(SHARE, e.count() // 1000)
     for i in count(1):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         # Large star: every larger neighbour of a node goes to the node's least one. Small star: so does every smaller one.
-        large = with_least(both)[0].where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        near, least = with_least(large)
+        large = with_least(both, share)[0].where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        near, least = with_least(large, share)
         small = near.where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         e = save(small, f"{name}_{i}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
