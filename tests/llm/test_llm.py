@@ -261,6 +261,7 @@ def test_components(spark):
 def test_components_of_a_hub_in_parts(spark, monkeypatch):
     """A star, its hub of the largest id and of the least, a long path and many small parts; no group of a round holds the star."""
     monkeypatch.setattr(components, "SPLIT", 16)
+    monkeypatch.setattr(components, "SHARE", 100)
     rng = random.Random(0)
     edges = [(9000, i) for i in range(1000, 3000)] + [(500, i) for i in range(3000, 4000)] + [(5000 + i, 5001 + i) for i in range(80)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
     up = {}
@@ -277,10 +278,12 @@ def test_components_of_a_hub_in_parts(spark, monkeypatch):
     table = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in components.components(table).collect()}
     assert all(got.get(x, x) == root(x) for e in edges for x in e)
-    parts = components.salted(table.toDF("x", "y")).groupBy("x", "part").count()
+    for share in (100, 10**6):
+        pairs, least = components.with_least(table.toDF("x", "y"), share)
+        assert sorted((r.x, r.y, r.m) for r in pairs.collect()) == sorted((a, b, min([a, *(d for c, d in edges if c == a)])) for a, b in edges)
+        assert {r.x: r.m for r in least.collect()} == {x: min([x, *(b for a, b in edges if a == x)]) for x, _ in edges}
+    parts = components.with_least(table.toDF("x", "y"), 100)[0].groupBy("x", F.pmod(F.xxhash64("y"), F.lit(16)).alias("part")).count()
     assert parts.agg(F.max("count")).first()[0] < 2000 / 16 * 1.6
-    pairs, least = components.with_least(table.toDF("x", "y"))
-    assert sorted((r.x, r.y) for r in pairs.collect()) == sorted(edges) and {r.x: r.m for r in least.collect()} == {x: min([x, *(b for a, b in edges if a == x)]) for x, _ in edges}
 
 
 def test_forests_of_bounded_size(monkeypatch):
