@@ -48,27 +48,19 @@ def words(raw: DataFrame) -> DataFrame:
     """
     tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
     rows = raw.select("video_id", "seg_idx", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    rows = rows.join(running(rows.withColumn("n", F.size("tokens")), "n", "n0"), ["video_id", "seg_idx"])
-
-    def spoken(w0: Column, n: Column) -> Column:
-        word = F.when(n % 41 == 3, "20").when(n % 41 == 4, "de").when(n % 41 == 5, "ani").when(n % 43 == 11, "you").when(n % 43 == 12, "know,")
-        return word.when(n % 47 == 13, "Știi").when((n % 53).isin(17, 18), "echo").when(n % 59 == 19, "Ana").when(n % 59 == 20, "Pop").when(n % 29 == 6, "um").when(n % 211 == 100, LONG).otherwise(w0)
-
-    def timed(x: Column) -> Column:
-        word, n = x["word"], x["n"]
-        letters = F.least(F.lit(8), F.greatest(F.lit(1), F.length(F.regexp_replace(word, r"[^\p{L}\p{N}_]+", ""))))
-        dur = F.when(word == LONG, 2500).otherwise(90 + 45 * letters)
-        gap = F.when(word.rlike("[.!?]$"), 600 + n * 37 % 5 * 100).when(word.endswith(","), 250).when(n % 11 == 0, 800).otherwise(n * 13 % 4 * 30)
-        return F.struct(word.alias("word"), dur.cast("bigint").alias("dur"), gap.cast("bigint").alias("gap"))
-
-    named = F.transform("tokens", lambda w0, i: F.struct(spoken(w0, F.col("n0") + i).alias("word"), (F.col("n0") + i).alias("n")))
-    rows = rows.select("video_id", "seg_idx", F.transform(named, timed).alias("w"))
-    rows = rows.withColumn("length", F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + x["dur"] + x["gap"]))
-    rows = rows.join(running(rows, "length", "base"), ["video_id", "seg_idx"])
-    rows = rows.withColumn("stop", F.col("base") + F.col("length") - F.element_at("w", -1)["gap"])
-    each = rows.select("video_id", "seg_idx", "base", "stop", F.posexplode("w").alias("word_idx", "x")).select("video_id", "seg_idx", "base", "stop", "word_idx", "x.*")
+    placed = rows.join(running(rows.withColumn("n", F.size("tokens")), "n", "n0"), ["video_id", "seg_idx"])
+    each = placed.select("video_id", "seg_idx", "n0", F.posexplode("tokens").alias("word_idx", "w0")).withColumn("n", F.col("n0") + F.col("word_idx"))
+    n, word = F.col("n"), F.col("word")
+    spoken = F.when(n % 41 == 3, "20").when(n % 41 == 4, "de").when(n % 41 == 5, "ani").when(n % 43 == 11, "you").when(n % 43 == 12, "know,")
+    spoken = spoken.when(n % 47 == 13, "Știi").when((n % 53).isin(17, 18), "echo").when(n % 59 == 19, "Ana").when(n % 59 == 20, "Pop").when(n % 29 == 6, "um").when(n % 211 == 100, LONG).otherwise(F.col("w0"))
+    letters = F.least(F.lit(8), F.greatest(F.lit(1), F.length(F.regexp_replace(word, r"[^\p{L}\p{N}_]+", ""))))
+    dur = F.when(word == LONG, 2500).otherwise(90 + 45 * letters).cast("bigint")
+    gap = F.when(word.rlike("[.!?]$"), 600 + n * 37 % 5 * 100).when(word.endswith(","), 250).when(n % 11 == 0, 800).otherwise(n * 13 % 4 * 30).cast("bigint")
+    each = each.withColumn("word", spoken).select("video_id", "seg_idx", "word_idx", "word", dur.alias("dur"), gap.alias("gap"))
+    lengths = each.groupBy("video_id", "seg_idx").agg(F.sum(F.col("dur") + F.col("gap")).alias("length"), F.max_by("gap", "word_idx").alias("rest"))
+    based = lengths.join(running(lengths, "length", "base"), ["video_id", "seg_idx"]).select("video_id", "seg_idx", "base", (F.col("base") + F.col("length") - F.col("rest")).alias("stop"))
     inside = Window.partitionBy("video_id", "seg_idx").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("st", F.col("base") + F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(inside), F.lit(0)))
+    each = each.join(based, ["video_id", "seg_idx"]).withColumn("st", F.col("base") + F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(inside), F.lit(0)))
     ms = lambda c: c / 1000.0
     return each.select("video_id", "seg_idx", "word_idx", "word", ms(F.col("st")).alias("start"), ms(F.col("st") + F.col("dur")).alias("end"), ms(F.col("base")).alias("seg_start"), ms(F.col("stop")).alias("seg_end"))
 

@@ -45,12 +45,26 @@ def proposed_pieces(variants: DataFrame, limit: int = fixed.MAX_SEGMENTS) -> Dat
     return out.where(F.col("start").isNotNull() & F.col("end").isNotNull())
 
 
-def clean_pieces(pieces: DataFrame, contexts: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Pieces cut to the context, snapped, at least 0.35 s, merged; in edit order by seg_pos."""
+def nearby_bounds(pieces: DataFrame, segments: DataFrame, words: DataFrame) -> DataFrame:
+    """A11 where J3 needs it: bounds (key, variant_pos, seg_pos, side, at, bound) within reach of either end of pieces that have their context's bounds.
+
+    Ends meet the bounds of their own second and of the two beside it, so not all bounds of a context are ever listed.
+    """
+    side = lambda c: F.transform(F.sequence(F.floor(F.col(c)) - 1, F.floor(F.col(c)) + 1), lambda b: F.struct(F.lit(c).alias("side"), F.col(c).alias("at"), b.alias("bucket")))
+    ends = pieces.select(*V, "seg_pos", "context_start", "context_end", F.explode(F.concat(side("start"), side("end"))).alias("p")).select(*V, "seg_pos", "context_start", "context_end", "p.*")
+    bound = lambda rows, low, high, inner: rows.select("video_id", F.col(low).alias("_from"), F.col(high).alias("_to"), F.lit(inner).alias("inner"), F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("bound")) for c in ("start", "end")))).alias("b")).select("video_id", "_from", "_to", "inner", "b.*")
+    every = bound(segments, "start", "end", False).unionByName(bound(words, "seg_start", "seg_end", True)).withColumn("bucket", F.floor("bound"))
+    met = ends.join(every, ["video_id", "side", "bucket"]).where((F.col("_from") <= F.col("context_end")) & (F.col("_to") >= F.col("context_start")))
+    met = met.where(~F.col("inner") | F.col("bound").between(F.col("context_start"), F.col("context_end")))
+    return met.where(F.abs(F.col("bound") - F.col("at")) <= fixed.SNAP_SECONDS).select(*V, "seg_pos", "side", "at", "bound")
+
+
+def clean_pieces(pieces: DataFrame, contexts: DataFrame, segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Pieces cut to the context, snapped to bounds of its segments and words, at least 0.35 s, merged; in edit order by seg_pos."""
     rows = pieces.join(contexts.select(*C, "context_start", "context_end"), C)
     cut = lambda c: F.greatest(F.col("context_start"), F.least(F.col("context_end"), F.col(c)))
     rows = rows.withColumns({"start": cut("start"), "end": cut("end")})
-    rows = intervals.snap_spans(rows, bounds, C, ["variant_pos", "seg_pos"])
+    rows = intervals.nearest_ends(rows, nearby_bounds(rows, segments, words), [*V, "seg_pos"])
     rows = rows.where(F.col("end") - F.col("start") >= fixed.MIN_SEGMENT)
     rows = rows.select(*V, "seg_pos", F.bround("start", 3).alias("start"), F.bround("end", 3).alias("end"), "role", "reason")
     return intervals.merge_pieces(rows, V)

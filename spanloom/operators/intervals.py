@@ -66,20 +66,15 @@ def snap(points: DataFrame, bounds: DataFrame, key: list[str], at: str, reach: f
     return points.join(best, "point", "left").withColumn(at, F.coalesce(F.col("best.bound"), F.col(at))).drop("best")
 
 
-def snap_spans(spans: DataFrame, bounds: DataFrame, key: list[str], place: list[str], reach: float = fixed.SNAP_SECONDS) -> DataFrame:
-    """J3 for both ends of spans in one join: ``start`` moves to the nearest bound of side start, ``end`` to that of side end.
+def nearest_ends(spans: DataFrame, met: DataFrame, place: list[str]) -> DataFrame:
+    """Spans (unique by ``place``) with each end at the nearest of the bounds it has met, the smaller of two; without any it stays.
 
-    spans: key and ``place`` columns (together unique), start, end. bounds: key, side, bound.
+    met: place, side (start or end), at (that end), bound.
     """
-    near = lambda c: F.sequence(F.floor(F.col(c)) - 1, F.floor(F.col(c)) + 1)
-    side = lambda c: F.transform(near(c), lambda b: F.struct(F.lit(c).alias("side"), F.col(c).alias("at"), b.alias("bucket")))
-    left = spans.select(*key, *place, F.explode(F.concat(side("start"), side("end"))).alias("p")).select(*key, *place, "p.*")
-    right = bounds.select(*key, "side", "bound", F.floor("bound").alias("bucket"))
     far = F.abs(F.col("bound") - F.col("at"))
-    met = left.join(right, [*key, "side", "bucket"]).where(far <= reach)
     best = lambda c: F.min(F.when(F.col("side") == c, F.struct(far.alias("far"), F.col("bound")))).alias(f"_{c}")
-    moved = met.groupBy(*key, *place).agg(best("start"), best("end"))
-    out = spans.join(moved, [*key, *place], "left")
+    moved = met.groupBy(*place).agg(best("start"), best("end"))
+    out = spans.join(moved, place, "left")
     return out.withColumns({c: F.coalesce(F.col(f"_{c}.bound"), F.col(c)) for c in ("start", "end")}).drop("_start", "_end")
 
 

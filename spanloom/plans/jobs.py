@@ -55,9 +55,8 @@ def optimise(segments: DataFrame, words: DataFrame, candidates: DataFrame, repli
     contexts = save(windows.contexts(segments, best), "contexts")
     analyses = save(edit.read_analyses(best, _answered(replies, best)), "analyses")
     ok = analyses.where(F.col("top").isNotNull())
-    bounds = edit.bounds_of(segments, words, contexts)
     proposed = edit.proposed_variants(analyses)
-    cleaned = edit.clean_pieces(edit.proposed_pieces(proposed), contexts, bounds)
+    cleaned = edit.clean_pieces(edit.proposed_pieces(proposed), contexts, segments, words)
     variants, pieces = edit.with_original(proposed, save(cleaned, "cleaned"), ok)
     evaluated = save(edit.evaluate(variants, pieces, words, analyses), "evaluated")
     selected = edit.select_best(evaluated)
