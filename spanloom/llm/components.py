@@ -13,7 +13,7 @@ from spanloom.llm.common import save
 
 #: Neighbours of a node that stay together at least (a thousandth of all edges, if that is more), parts of a node's neighbours where it has
 #: more, and nodes that a task's forest holds before it is handed on.
-SHARE, SPLIT, NODES = 1_000, 64, 200_000
+SHARE, SPLIT, NODES = 100_000, 64, 200_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,12 +45,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from grown()
 
 
-def with_least(pairs: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y) with ``m``, the least of x's ys and x itself, and (x, m) of every x.
+def with_least(pairs: DataFrame, share: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y), ``total`` at most, with ``m``, the least of x's ys and x itself, and (x, m) of every x.
 
     An x with more than ``share`` pairs, of which there are at most as many as all pairs hold shares, has them dealt in ``SPLIT`` parts: no
-    task joins more than a share, or than that part, of one x.
+    task joins more than a share, or than that part, of one x. Where all pairs are no more than a share, there is nothing to part.
     """
+    if total <= share:
+        least = pairs.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        return pairs.join(least, "x").select("x", "y", "m"), least
     least = pairs.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"))
     hubs = F.broadcast(least.where(F.col("n") > share).select(F.col("x").alias("hub")))
     part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("y"), F.lit(SPLIT))).otherwise(0).cast("int")
@@ -67,12 +70,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     neighbours is dealt in parts (see ``with_least``).
     """
     e = save(edges.select(a, b).mapInArrow(_forest, "u long, v long").distinct(), f"{name}_0")
-    mark, share = None, max(SHARE, e.count() // 1000)
+    mark, total = None, 2 * e.count()
+    share = max(SHARE, total // 1000)
     for i in count(1):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         # Large star: every larger neighbour of a node goes to the node's least one. Small star: so does every smaller one.
-        large = with_least(both, share)[0].where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        near, least = with_least(large, share)
+        large = with_least(both, share, total)[0].where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        near, least = with_least(large, share, total)
         small = near.where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         e = save(small, f"{name}_{i}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
