@@ -279,10 +279,10 @@ def test_components_of_a_hub_in_parts(spark, monkeypatch):
     got = {r.node: r.component for r in components.components(table).collect()}
     assert all(got.get(x, x) == root(x) for e in edges for x in e)
     for share in (100, 10**6):
-        pairs, least = components.with_least(table.toDF("x", "y"), share)
+        pairs, least = components.with_least(table.toDF("x", "y"), share, len(edges))
         assert sorted((r.x, r.y, r.m) for r in pairs.collect()) == sorted((a, b, min([a, *(d for c, d in edges if c == a)])) for a, b in edges)
         assert {r.x: r.m for r in least.collect()} == {x: min([x, *(b for a, b in edges if a == x)]) for x, _ in edges}
-    parts = components.with_least(table.toDF("x", "y"), 100)[0].groupBy("x", F.pmod(F.xxhash64("y"), F.lit(16)).alias("part")).count()
+    parts = components.with_least(table.toDF("x", "y"), 100, len(edges))[0].groupBy("x", F.pmod(F.xxhash64("y"), F.lit(16)).alias("part")).count()
     assert parts.agg(F.max("count")).first()[0] < 2000 / 16 * 1.6
 
 
