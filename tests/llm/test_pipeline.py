@@ -242,13 +242,16 @@ COLUMNS = {
     "op8": "doc_id bigint, n_lines bigint, n_dropped bigint, text string",
     "op9": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op10": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op12": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op13": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
 }
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_of_empty_tables_and_their_columns(spark, tmp_path_factory, name):
     at = str(tmp_path_factory.mktemp("empty"))
-    tables = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>"}
+    tables = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>, label int", "conversations": "conv_id long, turn long, role string, text string"}
     for table, schema in tables.items():
         spark.createDataFrame([], schema).write.parquet(f"{at}/{table}.parquet")
     out = QUERIES[name](spark, at)

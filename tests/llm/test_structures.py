@@ -265,13 +265,6 @@ def test_small_singular_values_are_relatively_accurate():
     assert np.prod(squares[-13:] / diagonal**2) == pytest.approx(1, rel=1e-13)
 
 
-@pytest.mark.parametrize("name", ["op11_turn_trie", "op12_cover_tree", "op13_qd_whitening"])
-def test_queries_of_empty_tables(spark, tmp_path, name):
-    for table in ("conversations", "embeddings"):
-        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
-    assert registered.QUERIES[name](spark, str(tmp_path)).collect() == []
-
-
 def test_whitening_query_columns(spark):
     out = registered.op13_qd_whitening(spark, "/root/testdata/sf0.001")
     assert dict(out.dtypes) == {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"}
