@@ -263,3 +263,17 @@ def test_files(spark, tmp_path):
     assert given.collect() == transcripts.read_replies(spark, str(tmp_path / "r"), ["video_id", "window_idx"]).collect() and given.first().window_idx == 2
     transcripts.write_documents(spark.createDataFrame([(1, "x\ny\n")], "k int, document string"), str(tmp_path / "d"), ["k"])
     assert next((tmp_path / "d/k=1").glob("*.txt")).read_text() == "x\ny\n"
+
+
+def test_last_candidate_too_short_to_cut(spark, tmp_path):
+    """A recording whose last window is 0.025 s long: its clip has no valid cut, in the queries and in their SQL."""
+    db = duckdb.connect()
+    for table, key, odd in (("conversations", "conv_id", 711), ("documents", "doc_id", 2859)):
+        db.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.1/{table}.parquet' WHERE {key} = {odd}) TO '{tmp_path}/{table}.parquet'")
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    data = queries.derived(spark, str(tmp_path))
+    for name in ("run_summary", "long_summary", "clip_rejects"):
+        want = db.execute(oracle.SQL[name])
+        got = getattr(queries, name)(data).select(*(c[0] for c in want.description)).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall())
+        assert name == "clip_rejects" or all(r.exported < r.clips for r in got)
