@@ -58,11 +58,12 @@ def crop_track(detections: DataFrame, clips: DataFrame, key: list[str]) -> DataF
 
     detections: key, t, kind (face, person or null for a sample without boxes), box_pos, x, y, w, h. clips: key,
     width, height, duration. Each point depends on the one before, so a clip's samples are folded together;
-    they are bounded by its length.
+    they are bounded by its length. The join is by shuffle: Spark takes samples derived from clips to be as few
+    bytes as the clips' files, and would send them whole to every executor.
     """
     cw, ch = exprs.crop_size(F.col("width"), F.col("height"))
     sized = clips.select(*key, "width", "height", "duration", cw.alias("crop_w"), ch.alias("crop_h"))
-    rows = sized.join(detections, key, "left")
+    rows = sized.join(detections.hint("merge"), key, "left")
     kinds = {f.name: f.dataType.simpleString() for f in clips.schema.fields}
 
     def run(table: pa.Table) -> pa.Table:

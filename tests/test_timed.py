@@ -277,3 +277,10 @@ def test_last_candidate_too_short_to_cut(spark, tmp_path):
         got = getattr(queries, name)(data).select(*(c[0] for c in want.description)).collect()
         assert sorted(map(tuple, got)) == sorted(want.fetchall())
         assert name == "clip_rejects" or all(r.exported < r.clips for r in got)
+
+
+def test_samples_of_clips_are_not_broadcast(small):
+    """Samples derived from the clips' files look as small as those; sent whole to every executor they fail on many clips."""
+    clips = queries._framed(small)
+    plan = crop.crop_track(queries.fixtures.detections(clips), clips, ["video_id", "clip_idx"])._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
