@@ -160,3 +160,12 @@ def test_sums_of_one_long_recording_in_blocks(spark, monkeypatch):
 def test_nullable_everywhere(spark):
     schema = spark.range(1).select(F.array(F.lit(1)).alias("a"), F.create_map(F.lit("k"), F.lit(2)).alias("m"), F.struct(F.lit(1).alias("x")).alias("s")).schema
     assert '"nullable":false' not in store._nullable(schema) and '"containsNull":false' not in store._nullable(schema)
+
+
+def test_records_are_gathered_without_joins(small):
+    """A record has a dozen parts, an audit record five more; joined one by one they would all be held or broadcast by one task."""
+    r = small.retention
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    parts = [jobs.buckets(r), jobs.removed(r), r.selected_pieces, r.timeline, r.best_hooks, r.voice_hooks]
+    assert joins(jobs.clip_records(r)) <= sum(map(joins, parts))
+    assert joins(jobs.audit(r, small.voices[0])) <= 1 + joins(small.voices[0]) + joins(jobs.clip_records(r)) + joins(r.pacing) + joins(r.variants)
