@@ -284,3 +284,8 @@ def test_samples_of_clips_are_not_broadcast(small):
     clips = queries._framed(small)
     plan = crop.crop_track(queries.fixtures.detections(clips), clips, ["video_id", "clip_idx"])._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_replies_are_spread_over_tasks(small):
+    """Replies take much time for few bytes, so their files are not left to their size."""
+    assert len(small.retention.analyses.inputFiles()) > 1
