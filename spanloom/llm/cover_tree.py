@@ -8,7 +8,7 @@ node no wider than the threshold is closed: all its members link, whatever their
 
 The traversal joins pairs of nodes with their children, level by level. A pair too far apart is dropped, a pair that is near in
 every case links as a whole, without its pairs being listed, and what is left ends as pairs of leaves, each compared by one matrix
-product of a task that holds two leaves and nothing else.
+product of a task that holds the leaves of two groups.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import parts_for, save
 from spanloom.llm.components import components
+from spanloom.sources.scratch import drop
 
 #: Vectors of a leaf and bytes of its matrix, at most; vectors dealt to one group while cells are filled; centres of a node.
 LEAF, LEAF_BYTES, DEALT, CENTRES = 1024, 4 << 20, 8192, 16
+#: Bytes of vectors in a group of leaves; a task compares the leaves of two groups.
+GROUP_BYTES = 16 << 20
 #: What rounding can take from a bound; a pair so near a bound is compared.
 SLACK = 1e-9
 
@@ -101,7 +104,7 @@ def _described(points: DataFrame) -> DataFrame:
 
 
 def build(points: DataFrame, reach: float, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, parent, centre, radius, size, weight, rep, leaf, closed) and points (id, m, vec, leaf) of id, m, unit vec, node = root.
+    """Nodes (node, parent, centre, radius, size, weight, rep, leaf, closed) and points (id, m, vec, leaf) of id, m, unit vec, node = root, a saved table that goes.
 
     Ends where every node is a leaf, closed or was not parted by its centres; the latter two, if large, are cut into leaves by hash.
     """
@@ -117,6 +120,7 @@ def build(points: DataFrame, reach: float, leaf_rows: int) -> tuple[DataFrame, D
         closing = rest.join(done, "node")
         placed.append(save(closing.select("id", "m", "vec", "node", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut")), f"placed_{turn}"))
         if opened.isEmpty():
+            drop(rest)
             break
         parting = save(rest.join(opened.select("node", "level", "most", "deals"), "node"), f"open_{turn}")
         order = Window.partitionBy("node").orderBy(F.xxhash64("id"), "id")
@@ -124,7 +128,9 @@ def build(points: DataFrame, reach: float, leaf_rows: int) -> tuple[DataFrame, D
         centres = save(opened.select("node", "centre", "level").groupBy("node").cogroup(sample.groupBy("node")).applyInArrow(_centres, "node string, k int, centre array<double>"), f"centres_{turn}")
         dealt = parting.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(1)), F.col("deals")).cast("int"))
         offered = centres.join(opened.select("node", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")), "node")
+        drop(rest)
         rest = save(dealt.groupBy("node", "deal").cogroup(offered.groupBy("node", "deal")).applyInArrow(_cells, _CELL), f"cells_{turn}")
+        drop(parting)
         parent = F.regexp_replace("node", r"\.[^.]*$", "")
         named = _described(rest).withColumn("parent", parent).withColumn("inner", F.col("node").endswith("i"))
         above = nodes.select(F.col("node").alias("parent"), F.col("size").alias("was"), F.col("level").alias("wide"))
@@ -141,6 +147,7 @@ def build(points: DataFrame, reach: float, leaf_rows: int) -> tuple[DataFrame, D
     whole = every.withColumn("cut_up", ~F.col("open") & (F.col("size") > leaf_rows))
     leaf = F.concat("node", F.lit("/"), F.col("cut").cast("string"))
     members = save(found.select("id", "m", "vec", leaf.alias("leaf"), "node"), "members")
+    drop(*placed)
     cuts = members.groupBy("leaf", "node").agg(F.count("*").alias("size"), F.sum("m").alias("weight"), F.min("id").alias("rep"))
     under = cuts.join(whole.where("not open").select("node", "centre", "radius", "closed"), "node")
     ends = under.select(F.col("leaf").alias("node"), F.col("node").alias("parent"), "centre", "radius", "size", "weight", "rep", "closed", F.lit(True).alias("leaf"))
@@ -193,45 +200,63 @@ def _linked(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
         top = low
 
 
+def _across(cosine: float, x: tuple, y: tuple | None):
+    """Two leaves' (ids, m, vectors), or one's if ``y`` is None: ids with links to the other, by copies, and a member of their part of its links."""
+    ids, m, a = x
+    if y is None:
+        near = a @ a.T >= cosine
+        np.fill_diagonal(near, False)
+        n = near @ m
+        tops = _linked(near, ids) if n.any() else ids
+    else:
+        other, w, b = y
+        across = a @ b.T >= cosine
+        rows, cols = np.flatnonzero(across.any(axis=1)), np.flatnonzero(across.any(axis=0))
+        across, ids, other = across[np.ix_(rows, cols)], ids[rows], other[cols]
+        n = np.concatenate([across @ w[cols], across.T @ m[rows]])
+        top, far = ids.copy(), np.iinfo(np.int64).max
+        while len(rows):
+            theirs = np.where(across, top[:, None], far).min(axis=0)
+            low = np.minimum(top, np.where(across, np.minimum(theirs, other)[None], far).min(axis=1))
+            if (low == top).all():
+                break
+            top = low
+        ids, tops = np.concatenate([ids, other]), np.concatenate([top, np.where(across, top[:, None], far).min(axis=0)]) if len(rows) else ids
+    hit = np.flatnonzero(n)
+    return ids[hit], n[hit].astype(np.int64), tops[hit]
+
+
 def _compare(cosine: float):
-    """Two leaves (one, if b is null) per row: links of each member by copies, and a member of its part of the pair's links."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, m = batch.column("a_ids")[i].values.to_numpy(), batch.column("a_m")[i].values.to_numpy()
-                x = batch.column("a_vec")[i].values.to_numpy().reshape(len(ids), -1)
-                if batch.column("same")[i].as_py():
-                    near = x @ x.T >= cosine
-                    np.fill_diagonal(near, False)
-                    n = near @ m
-                    if not n.any():
-                        continue
-                    tops = _linked(near, ids)
-                else:
-                    other, w = batch.column("b_ids")[i].values.to_numpy(), batch.column("b_m")[i].values.to_numpy()
-                    y = batch.column("b_vec")[i].values.to_numpy().reshape(len(other), -1)
-                    across = x @ y.T >= cosine
-                    if not across.any():
-                        continue
-                    rows, cols = np.flatnonzero(across.any(axis=1)), np.flatnonzero(across.any(axis=0))
-                    across, ids, other = across[np.ix_(rows, cols)], ids[rows], other[cols]
-                    n = np.concatenate([across @ w[cols], across.T @ m[rows]])
-                    top, far = ids.copy(), np.iinfo(np.int64).max
-                    while True:
-                        theirs = np.where(across, top[:, None], far).min(axis=0)
-                        low = np.minimum(top, np.where(across, np.minimum(theirs, other)[None], far).min(axis=1))
-                        if (low == top).all():
-                            break
-                        top = low
-                    ids, tops = np.concatenate([ids, other]), np.concatenate([top, np.where(across, top[:, None], far).min(axis=0)])
-                hit = np.flatnonzero(n)
-                yield pa.record_batch([pa.array(ids[hit]), pa.array(n[hit].astype(np.int64)), pa.array(tops[hit])], names=["id", "n", "top"])
+    """The pairs of leaves of one cell and the cell's leaves, each there once: links of each member, by copies, and a member of its part of a pair's links."""
+
+    def run(pairs: pa.Table, leaves: pa.Table) -> pa.Table:
+        held = {}
+        for name, ids, m, vec in zip(leaves["leaf"].to_pylist(), leaves["ids"], leaves["m"], leaves["vec"], strict=True):
+            own = ids.values.to_numpy()
+            held[name] = own, m.values.to_numpy(), vec.values.to_numpy().reshape(len(own), -1)
+        found = [_across(cosine, held[a], None if a == b else held[b]) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)]
+        return pa.table({c: np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k, c in enumerate(("id", "n", "top"))})
 
     return run
 
 
-def links(points: DataFrame, cosine: float, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+def cells(base: DataFrame, block: DataFrame, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of leaves (i, j, a, b) and the leaves (at_i, at_j, leaf, ids, m, vec) of every cell, which are those of two groups of a tree's leaves.
+
+    Groups follow the order of names, so near leaves are together, and hold ``group_rows`` vectors and a leaf more at most. A leaf is sent
+    once to a cell, not once a pair: of n leaves in groups of g each goes to n / g cells at most.
+    """
+    root = F.substring_index(F.substring_index("leaf", "/", 1), ".", 1)
+    named = block.select("leaf", root.alias("root"), F.size("ids").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("root").orderBy("leaf").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    groups = save(named.select("leaf", F.concat("root", F.lit("#"), F.floor(before / group_rows).cast("string")).alias("group")), "groups")
+    of = lambda leaf, group: groups.select(F.col("leaf").alias(leaf), F.col("group").alias(group))
+    pairs = save(base.join(of("a", "i"), "a").join(of("b", "j"), "b").select("i", "j", "a", "b"), "cells")
+    there = pairs.select("i", "j", F.explode(F.array("a", "b")).alias("leaf")).distinct()
+    return pairs, there.join(block, "leaf").select(F.col("i").alias("at_i"), F.col("j").alias("at_j"), "leaf", "ids", "m", "vec")
+
+
+def links(points: DataFrame, cosine: float, leaf_rows: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
     """(id, n): linked copies of other vectors, in parts; (id, top): links that connect what is linked. points: id, m, vec, node."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     tree, members = build(points, reach, leaf_rows)
@@ -239,10 +264,8 @@ def links(points: DataFrame, cosine: float, leaf_rows: int) -> tuple[DataFrame,
     whole = save(whole, "whole")
     block = members.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("id", "m", "vec"))).alias("r"))
     block = save(block.select("leaf", F.col("r.id").alias("ids"), F.col("r.m").alias("m"), F.flatten("r.vec").alias("vec")), "blocks")
-    side = lambda s: block.select(F.col("leaf").alias(s), F.col("ids").alias(f"{s}_ids"), F.col("m").alias(f"{s}_m"), F.col("vec").alias(f"{s}_vec"))
-    alone = base.where("a = b").join(side("a"), "a").select(F.lit(True).alias("same"), "a_ids", "a_m", "a_vec", *(F.lit(None).cast(block.schema[c].dataType).alias(f"b_{c}") for c in ("ids", "m", "vec")))
-    two = base.where("a <> b").join(side("a"), "a").join(side("b"), "b").select(F.lit(False).alias("same"), *(f"{s}_{c}" for s in "ab" for c in ("ids", "m", "vec")))
-    compared = save(alone.unionByName(two).mapInArrow(_compare(cosine), "id long, n long, top long"), "compared")
+    pairs, there = cells(base, block, group_rows)
+    compared = save(pairs.groupBy("i", "j").cogroup(there.groupBy("at_i", "at_j")).applyInArrow(_compare(cosine), "id long, n long, top long"), "compared")
     # Whole links go down to leaves: a node's name begins with its ancestors' names.
     about = tree.select("node", "weight", "rep")
     partner = whole.join(about, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("weight").alias("n"), F.max(F.col("a") == F.col("b")).alias("own"), F.min("rep").alias("top"))
@@ -250,6 +273,7 @@ def links(points: DataFrame, cosine: float, leaf_rows: int) -> tuple[DataFrame,
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     lines = block.select("leaf", F.explode(F.array_append(up, F.col("leaf"))).alias("a"))
     given = save(lines.join(partner, "a").select("leaf", "n", "own", "top"), "given")
+    drop(block)
     per_leaf = given.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum(F.col("own").cast("long")).alias("own"), F.min("top").alias("top"))
     spread = members.select("id", "m", "leaf").join(per_leaf, "leaf").select("id", (F.col("n") - F.col("own") * F.col("m")).alias("n"), "top")
     # Members of a node reach all its partners through its first one.
@@ -274,13 +298,15 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
     points = same.select("id", "m", "vec", root.alias("node"))
     twice = points.groupBy("id").count().where("count > 1")  # an id with several vectors: each vector needs a name of its own
     member = usable.join(same.withColumnRenamed("id", "rep"), ["label", "vec"]).select("id", "rep", "m")
-    if not twice.isEmpty():
+    several = not twice.isEmpty()
+    if several:
         named = save(same.select(F.monotonically_increasing_id().alias("rep"), "label", "vec", "m"), "named")
         points = named.select(F.col("rep").alias("id"), "m", "vec", root.alias("node"))
         member = usable.join(named, ["label", "vec"]).select("id", "rep", "m")
     member = save(member, "member")
     points = save(points.mapInArrow(_normalised, "id long, m long, vec array<double>, node string"), "points")
-    counted, edges = links(points, cosine, leaf_rows)
+    drop(usable, same, *([named] if several else []))
+    counted, edges = links(points, cosine, leaf_rows, max(leaf_rows, GROUP_BYTES // (8 * dim)))
     n = counted.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     own = member.join(n, "rep", "left").groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n"))
     first = member.groupBy("rep").agg(F.min("id").alias("first"))

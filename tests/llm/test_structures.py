@@ -168,6 +168,18 @@ def test_cover_tree_lists_no_pairs_of_a_crowd(spark, monkeypatch):
     assert sum(df.count() for df in seen[0]) < 30
 
 
+def test_cover_tree_sends_leaves_to_cells_not_to_pairs(spark):
+    """64 leaves that all meet: 2,080 pairs, of which each once had two leaves sent; in groups of 16 leaves 256 are sent."""
+    leaves = [(f"1~x~2.{i}i/0", [10 * i + j for j in range(10)], [1] * 10, [0.0, 1.0] * 10) for i in range(64)]
+    block = spark.createDataFrame(leaves, "leaf string, ids array<long>, m array<long>, vec array<double>")
+    names = sorted(x[0] for x in leaves)
+    base = spark.createDataFrame([(a, b) for a in names for b in names if a <= b], "a string, b string")
+    pairs, there = cover_tree.cells(base, block, 160)
+    assert pairs.count() == 2080 and pairs.select("a", "b").distinct().count() == 2080 and there.count() == 4 * 16 + 6 * 32
+    held = {(r.at_i, r.at_j, r.leaf) for r in there.collect()}
+    assert all({(r.i, r.j, r.a), (r.i, r.j, r.b)} <= held for r in pairs.collect())
+
+
 def test_cover_tree_of_repeated_ids_and_nothing(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
     table = spark.createDataFrame([(*r, "x", 1, 2, 3.0) for r in rows], VECTORS)
