@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import fixed
+from spanloom.sources.scratch import save
 
 LONG = "Aaaaaaaaaaaaaaaaaaaaaaa"
 
@@ -44,25 +45,33 @@ def words(raw: DataFrame) -> DataFrame:
     """Words of segments (video_id, seg_idx, text): video_id, seg_idx, word_idx, word, start, end, seg_start, seg_end.
 
     What runs along a recording is summed over narrow rows, one a segment (see ``running``), and joined back; words are only added up inside
-    a segment, so a very long recording is no single task.
+    a segment, so a very long recording is no single task. The narrow rows are written, so texts are parted into words once for them and once
+    for the result, and both joins are of segments, before there is a row a word.
     """
+    key = ["video_id", "seg_idx"]
     tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
     rows = raw.select("video_id", "seg_idx", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    placed = rows.join(running(rows.withColumn("n", F.size("tokens")), "n", "n0"), ["video_id", "seg_idx"])
-    each = placed.select("video_id", "seg_idx", "n0", F.posexplode("tokens").alias("word_idx", "w0")).withColumn("n", F.col("n0") + F.col("word_idx"))
+    counts = save(rows.select(*key, F.size("tokens").alias("n")), "word_counts")
+    firsts = save(running(counts, "n", "n0"), "word_firsts")
+    lengths = save(_timed(rows.join(firsts, key)).groupBy(*key).agg(F.sum(F.col("dur") + F.col("gap")).alias("length"), F.max_by("gap", "word_idx").alias("rest")), "segment_lengths")
+    based = running(lengths, "length", "base").join(lengths, key).join(firsts, key).select(*key, "n0", "base", (F.col("base") + F.col("length") - F.col("rest")).alias("stop"))
+    based = save(based, "segment_bases")
+    inside = Window.partitionBy(*key).orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
+    each = _timed(rows.join(based, key), "base", "stop").withColumn("st", F.col("base") + F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(inside), F.lit(0)))
+    ms = lambda c: c / 1000.0
+    return each.select(*key, "word_idx", "word", ms(F.col("st")).alias("start"), ms(F.col("st") + F.col("dur")).alias("end"), ms(F.col("base")).alias("seg_start"), ms(F.col("stop")).alias("seg_end"))
+
+
+def _timed(placed: DataFrame, *more: str) -> DataFrame:
+    """Words with their milliseconds and those of the pause after them, of segments (video_id, seg_idx, tokens, n0: words before it)."""
+    each = placed.select("video_id", "seg_idx", *more, "n0", F.posexplode("tokens").alias("word_idx", "w0")).withColumn("n", F.col("n0") + F.col("word_idx"))
     n, word = F.col("n"), F.col("word")
     spoken = F.when(n % 41 == 3, "20").when(n % 41 == 4, "de").when(n % 41 == 5, "ani").when(n % 43 == 11, "you").when(n % 43 == 12, "know,")
     spoken = spoken.when(n % 47 == 13, "Știi").when((n % 53).isin(17, 18), "echo").when(n % 59 == 19, "Ana").when(n % 59 == 20, "Pop").when(n % 29 == 6, "um").when(n % 211 == 100, LONG).otherwise(F.col("w0"))
     letters = F.least(F.lit(8), F.greatest(F.lit(1), F.length(F.regexp_replace(word, r"[^\p{L}\p{N}_]+", ""))))
     dur = F.when(word == LONG, 2500).otherwise(90 + 45 * letters).cast("bigint")
     gap = F.when(word.rlike("[.!?]$"), 600 + n * 37 % 5 * 100).when(word.endswith(","), 250).when(n % 11 == 0, 800).otherwise(n * 13 % 4 * 30).cast("bigint")
-    each = each.withColumn("word", spoken).select("video_id", "seg_idx", "word_idx", "word", dur.alias("dur"), gap.alias("gap"))
-    lengths = each.groupBy("video_id", "seg_idx").agg(F.sum(F.col("dur") + F.col("gap")).alias("length"), F.max_by("gap", "word_idx").alias("rest"))
-    based = lengths.join(running(lengths, "length", "base"), ["video_id", "seg_idx"]).select("video_id", "seg_idx", "base", (F.col("base") + F.col("length") - F.col("rest")).alias("stop"))
-    inside = Window.partitionBy("video_id", "seg_idx").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.join(based, ["video_id", "seg_idx"]).withColumn("st", F.col("base") + F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(inside), F.lit(0)))
-    ms = lambda c: c / 1000.0
-    return each.select("video_id", "seg_idx", "word_idx", "word", ms(F.col("st")).alias("start"), ms(F.col("st") + F.col("dur")).alias("end"), ms(F.col("base")).alias("seg_start"), ms(F.col("stop")).alias("seg_end"))
+    return each.withColumn("word", spoken).select("video_id", "seg_idx", *more, "word_idx", "word", dur.alias("dur"), gap.alias("gap"))
 
 
 def segments(words_: DataFrame) -> DataFrame:
