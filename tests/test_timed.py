@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -289,3 +290,40 @@ def test_samples_of_clips_are_not_broadcast(small):
 def test_replies_are_spread_over_tasks(small):
     """Replies take much time for few bytes, so their files are not left to their size."""
     assert len(small.retention.analyses.inputFiles()) > 1
+
+
+def test_methods_of_captions_are_compiled(spark, small):
+    """The JVM never compiles a method of more than 8,000 bytes, and a key's words are sorted once, neither dealt nor sorted again for Python."""
+    words = captions.prepared(queries._window_places(small), queries.W)
+    rows_ = captions.word_events(captions.captions_of(queries._window_places(small), queries.W), queries.W)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [df._jdf.queryExecution() for df in (captions.with_group_costs(captions.idea_spans(words, queries.W), queries.W), rows_)]
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        texts = [p.explainString(mode) for p in plans]
+        plan = plans[1].executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert all(int(n) < 8000 for text in texts for n in re.findall(r"maxMethodCodeSize:(\d+)", text))
+    assert plan.count("Sort [") == 1 + 2 * plan.count("SortMergeJoin") and "ArrowEvalPython" not in plan and "FlatMapGroups" not in plan
+
+
+def test_captions_do_not_depend_on_batches(spark, small):
+    """A window's words may come in several batches, and a batch may end with a window."""
+    want = sorted(map(str, queries.caption_groups(small).collect()))
+    for size in ("1", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(map(str, queries.caption_groups(small).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert captions.captions_of(queries._window_places(small).limit(0), queries.W).count() == 0
+
+
+def test_plain_words_need_no_expressions(spark):
+    words = ["abc", "abc\n", "Ana", "20", "3,5", "x.", " y ", "", "știi", "„Bb”", None, "a b", "_a_", "Z", "a\nb"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    w = F.col("w")
+    got = df.select(exprs.pacing_token(w), exprs.caption_token(w), exprs.is_number(w), exprs.is_capitalized(w), exprs.clean_word(w), exprs.escape_caption(w)).collect()
+    assert [tuple(r) for r in got[:4]] == [("abc", "abc", False, False, "abc", "abc"), ("abc", "abc", False, False, "abc", "abc\n"), ("ana", "ana", False, True, "Ana", "Ana"), ("20", "20", True, False, "20", "20")]
+    assert [tuple(r)[:5] for r in got[4:]] == [("3,5", "3,5", True, False, "3,5"), ("x", "x", False, False, "x."), ("y", "y", False, False, "y"), ("", "", False, False, ""), ("știi", "știi", False, False, "știi"), ("bb", "bb", False, True, "„Bb”"), (None, None, None, None, ""), ("a b", "a b", False, False, "a b"), ("_a_", "_a_", False, False, "_a_"), ("z", "z", False, False, "Z"), ("a\nb", "a\nb", False, False, "a b")]
