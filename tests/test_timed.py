@@ -327,3 +327,11 @@ def test_plain_words_need_no_expressions(spark):
     got = df.select(exprs.pacing_token(w), exprs.caption_token(w), exprs.is_number(w), exprs.is_capitalized(w), exprs.clean_word(w), exprs.escape_caption(w)).collect()
     assert [tuple(r) for r in got[:4]] == [("abc", "abc", False, False, "abc", "abc"), ("abc", "abc", False, False, "abc", "abc\n"), ("ana", "ana", False, True, "Ana", "Ana"), ("20", "20", True, False, "20", "20")]
     assert [tuple(r)[:5] for r in got[4:]] == [("3,5", "3,5", True, False, "3,5"), ("x", "x", False, False, "x."), ("y", "y", False, False, "y"), ("", "", False, False, ""), ("știi", "știi", False, False, "știi"), ("bb", "bb", False, True, "„Bb”"), (None, None, None, None, ""), ("a b", "a b", False, False, "a b"), ("_a_", "_a_", False, False, "_a_"), ("z", "z", False, False, "Z"), ("a\nb", "a\nb", False, False, "a b")]
+
+
+def test_tasks_that_read_words_hold_no_bounds(small):
+    """Bounds are dealt before they are made distinct: a table of bounds in the tasks that read words would grow with the input."""
+    df = queries.edit_bounds(small)
+    above, below = df._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")
+    assert re.search(r"Aggregate\(keys=\[[^]]*bound", above) and not re.search(r"Aggregate\(keys=\[[^]]*bound", below)
+    assert df.count() == df.distinct().count() > 0
