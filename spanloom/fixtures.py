@@ -49,7 +49,7 @@ def words(raw: DataFrame) -> DataFrame:
     for the result, and both joins are of segments, before there is a row a word.
     """
     key = ["video_id", "seg_idx"]
-    tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != "")
+    tokens = F.array_remove(F.split(F.trim("text"), r"\s+"), "")
     rows = raw.select("video_id", "seg_idx", tokens.alias("tokens")).where(F.size("tokens") > 0)
     counts = save(rows.select(*key, F.size("tokens").alias("n")), "word_counts")
     firsts = save(running(counts, "n", "n0"), "word_firsts")

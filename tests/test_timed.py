@@ -335,3 +335,10 @@ def test_tasks_that_read_words_hold_no_bounds(small):
     above, below = df._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")
     assert re.search(r"Aggregate\(keys=\[[^]]*bound", above) and not re.search(r"Aggregate\(keys=\[[^]]*bound", below)
     assert df.count() == df.distinct().count() > 0
+
+
+def test_tokens_are_made_before_words_meet_spans(small):
+    """A word lies in one or two windows; its token is made once, under the join."""
+    plan = queries.pacing_windows(small)._jdf.queryExecution().optimizedPlan().toString()
+    last_join = plan.rindex("Join Inner")
+    assert "regexp_replace" in plan[last_join:] and "regexp_replace" not in plan[:last_join]
