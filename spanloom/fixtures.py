@@ -28,7 +28,7 @@ def running(rows: DataFrame, value: str, name: str) -> DataFrame:
     sums = narrow.groupBy("video_id", "_block").agg(F.sum(value).alias("_sum"))
     tops = sums.select("video_id", "_block", F.coalesce(F.sum("_sum").over(before(Window.partitionBy("video_id").orderBy("_block"))), F.lit(0)).alias("_top"))
     inside = F.coalesce(F.sum(value).over(before(Window.partitionBy("video_id", "_block").orderBy("seg_idx"))), F.lit(0))
-    return narrow.join(tops, ["video_id", "_block"]).select("video_id", "seg_idx", (F.col("_top") + inside).alias(name))
+    return narrow.join(tops.hint("merge"), ["video_id", "_block"]).select("video_id", "seg_idx", (F.col("_top") + inside).alias(name))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +53,11 @@ def words(raw: DataFrame) -> DataFrame:
     rows = raw.select("video_id", "seg_idx", tokens.alias("tokens")).where(F.size("tokens") > 0)
     counts = save(rows.select(*key, F.size("tokens").alias("n")), "word_counts")
     firsts = save(running(counts, "n", "n0"), "word_firsts")
-    lengths = save(_timed(rows.join(firsts, key)).groupBy(*key).agg(F.sum(F.col("dur") + F.col("gap")).alias("length"), F.max_by("gap", "word_idx").alias("rest")), "segment_lengths")
-    based = running(lengths, "length", "base").join(lengths, key).join(firsts, key).select(*key, "n0", "base", (F.col("base") + F.col("length") - F.col("rest")).alias("stop"))
+    lengths = save(_timed(rows.join(firsts.hint("merge"), key)).groupBy(*key).agg(F.sum(F.col("dur") + F.col("gap")).alias("length"), F.max_by("gap", "word_idx").alias("rest")), "segment_lengths")
+    based = running(lengths, "length", "base").join(lengths.hint("merge"), key).join(firsts.hint("merge"), key).select(*key, "n0", "base", (F.col("base") + F.col("length") - F.col("rest")).alias("stop"))
     based = save(based, "segment_bases")
     inside = Window.partitionBy(*key).orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
-    each = _timed(rows.join(based, key), "base", "stop").withColumn("st", F.col("base") + F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(inside), F.lit(0)))
+    each = _timed(rows.join(based.hint("merge"), key), "base", "stop").withColumn("st", F.col("base") + F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(inside), F.lit(0)))
     ms = lambda c: c / 1000.0
     return each.select(*key, "word_idx", "word", ms(F.col("st")).alias("start"), ms(F.col("st") + F.col("dur")).alias("end"), ms(F.col("base")).alias("seg_start"), ms(F.col("stop")).alias("seg_end"))
 

@@ -50,7 +50,7 @@ def teasers(clips: DataFrame, anchors: DataFrame, key: list[str]) -> DataFrame:
     """
     hook = F.least(F.greatest(F.lit(0.1), F.col("hook_duration")), F.greatest(F.lit(0.1), F.col("duration")))
     best = anchors.groupBy(*key).agg(F.max(F.struct(F.col("importance").cast("double").alias("i"), (-F.col("pos")).alias("p"), F.col("start").alias("s"), F.col("end").alias("e"))).alias("_a"))
-    rows = clips.join(best, key, "left").withColumn("_h", hook)
+    rows = clips.join(best.hint("merge"), key, "left").withColumn("_h", hook)
     middle = F.greatest(F.col("_a.s"), (F.col("_a.s") + F.col("_a.e")) / 2.0)
     at = F.greatest(F.lit(0.0), F.least(F.greatest(F.lit(0.0), F.col("duration") - F.col("_h")), middle - F.col("_h") / 2.0))
     start = F.when(F.col("_a").isNull(), 0.0).otherwise(at)
@@ -93,8 +93,8 @@ def applied(clips: DataFrame, hooks: DataFrame, audio: DataFrame, files: DataFra
     the synthesised voice and ``error`` where synthesis failed. anchors: key, pos, start, end, importance in clip
     time. ``applied`` is false without a hook (no_valid_generated_hook) or with an error, which is the reason then.
     """
-    found = clips.join(files.select(*key), key, "left_semi").select(*key, "duration")
-    rows = found.join(hooks.select(*key, "text", "type", F.col("score").alias("hook_score"), "language"), key, "left").join(audio.select(*key, F.col("hook_duration").alias("raw_duration"), "error"), key, "left")
+    found = clips.join(files.select(*key).hint("merge"), key, "left_semi").select(*key, "duration")
+    rows = found.join(hooks.select(*key, "text", "type", F.col("score").alias("hook_score"), "language").hint("merge"), key, "left").join(audio.select(*key, F.col("hook_duration").alias("raw_duration"), "error").hint("merge"), key, "left")
     has = F.col("text").isNotNull()
     failed = has & (F.col("error").isNotNull() | F.col("raw_duration").isNull())
     reason = F.when(~has, "no_valid_generated_hook").when(failed, F.coalesce("error", F.lit("no audio")))
@@ -109,7 +109,7 @@ def applied(clips: DataFrame, hooks: DataFrame, audio: DataFrame, files: DataFra
         r(F.col("hook_duration")).alias("original_audio_start"), F.lit(True).alias("original_audio_muted_during_hook"), F.lit(False).alias("audio_ducking"),
         F.lit(0.0).alias("ducking_volume"), F.lit("tts_fade_out_then_original_fade_in").alias("mode"), F.lit(fixed.VOICE_FADE).alias("fade_duration"),
     )
-    detail = ranged.select(*key, "provider", "voice", teaser.alias("teaser"), transition.alias("transition")).join(timed, key, "left")
+    detail = ranged.select(*key, "provider", "voice", teaser.alias("teaser"), transition.alias("transition")).join(timed.hint("merge"), key, "left")
     own = lambda c: F.when(F.col("applied"), F.col(c)).alias(c)
-    out = rows.join(detail, key, "left").select(*key, "enabled", "applied", "reason", own("text"), own("type"), own("hook_score"), own("language"), r(F.col("hook_duration")).alias("hook_duration"), "provider", "voice", "word_timings", "teaser", "transition")
-    return out, clips.join(files.select(*key), key, "left_anti")
+    out = rows.join(detail.hint("merge"), key, "left").select(*key, "enabled", "applied", "reason", own("text"), own("type"), own("hook_score"), own("language"), r(F.col("hook_duration")).alias("hook_duration"), "provider", "voice", "word_timings", "teaser", "transition")
+    return out, clips.join(files.select(*key).hint("merge"), key, "left_anti")

@@ -95,7 +95,7 @@ class Store:
             touched = [str(r.b) for r in new.select(bucket.alias("b")).distinct().collect()]
             old = self._load(about, [about["folders"][b] for b in touched if b in about["folders"]])
             keys = new.select(*(F.col(k).alias(f"_{k}") for k in key)).distinct()
-            kept = old.join(keys, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key)), "left_anti")
+            kept = old.join(keys.hint("merge"), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key)), "left_anti")
             every = kept.unionByName(new.select(*old.columns))
             tables[name] = {**about, "folders": {**about["folders"], **self._stage(every, name, about["key"], about["buckets"])}}
         self._switch(tables)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spanloom import oracle, queries
 from spanloom.functions import exprs
 from spanloom.operators import captions, crop, edit, hooks, intervals, pacing, scoring, voice, windows
+from spanloom.plans import jobs
 from spanloom.sources import transcripts
 
 
@@ -287,6 +288,21 @@ def test_samples_of_clips_are_not_broadcast(small):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+@pytest.mark.parametrize("name", [f.__name__ for f in queries._ALL if f.__name__ != "caption_styles"])
+def test_no_query_broadcasts_rows(small, name):
+    """Rows made from files of few bytes may be many: broadcast, they would all be in the driver's memory."""
+    assert "Broadcast" not in getattr(queries, name)(small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_saved_table_of_the_jobs_broadcasts_rows(small, monkeypatch):
+    """The replies of candidates, for one, took 7 KB a candidate in the driver."""
+    plans, save = {}, jobs.save
+    monkeypatch.setattr(jobs, "save", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or save(df, name))
+    jobs.optimise(small.segments, small.words, small.candidates, queries.fixtures.analysis_replies)
+    assert {"contexts", "analyses", "cleaned", "evaluated", "hooks", "clips", "items"} <= set(plans)
+    assert [name for name, plan in plans.items() if "Broadcast" in plan] == [] and "SortMergeJoin" in plans["analyses"]
+
+
 def test_replies_are_spread_over_tasks(small):
     """Replies take much time for few bytes, so their files are not left to their size."""
     assert len(small.retention.analyses.inputFiles()) > 1
