@@ -1,9 +1,12 @@
 """What jobs leave on disk: no shuffle files of written tables, no tables that nothing reads any more."""
 
 import os
+import random
 import time
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanloom.llm import common, ngram_join
@@ -47,3 +50,22 @@ def test_the_pipeline_keeps_only_its_last_table(spark, monkeypatch, tmp_path):
     left = saved(spark, monkeypatch, tmp_path)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert left() & {name for name, _ in corpus_pipeline.STAGES} == {"packing"}
+
+
+def test_hashes_are_packed_for_the_shuffle():
+    """Spark's codec saves nothing on hashes: an n-gram took 8 bytes, and an entry of a prefix 12 and more."""
+    draw = random.Random(1)
+    texts = [" ".join(str(draw.randrange(10**6)) for _ in range(300)) for _ in range(400)]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    n_grams = 400 * 296
+    size = lambda rows, *names: sum(len(x) for r in rows for c in names for x in r[c].to_pylist())
+    counted = list(ngram_join._frequencies(5, 4)([batch]))
+    assert size(counted, "keys", "counts") < 4 * n_grams
+    order = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    entries = list(ngram_join._prefixes(5, 75, 100, 4, order)([batch]))
+    assert size(entries, "keys", "owner", "sig", "size") < 10 * 400 * ngram_join.prefix_length(296, 75, 100)
+    for kind in ("<u4", "<u8"):
+        for rising in ([], [0], [7, 7, 9, np.iinfo(kind).max], range(0, 10**6, 999)):
+            x = np.array(rising, kind)
+            assert (ngram_join._unpacked(ngram_join._packed(x, rising=True), kind, rising=True) == x).all()
+            assert (ngram_join._unpacked(ngram_join._packed(x[::-1]), kind) == x[::-1]).all()
