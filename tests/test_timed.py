@@ -358,3 +358,27 @@ def test_tokens_are_made_before_words_meet_spans(small):
     plan = queries.pacing_windows(small)._jdf.queryExecution().optimizedPlan().toString()
     last_join = plan.rindex("Join Inner")
     assert "regexp_replace" in plan[last_join:] and "regexp_replace" not in plan[:last_join]
+
+
+def test_pacing_by_parts_equals_pacing_at_once(spark):
+    """Words that reach over buckets, overlap, end before they start or lie in no segment of theirs, in any order."""
+    draw = random.Random(7)
+    words = []
+    for i in range(600):
+        start = draw.randrange(0, 1900) / 10
+        end = start + draw.choice([0.0, 0.2, 0.4, 0.9, 3.0, 40.0, 95.0, -0.5, -35.0])
+        words.append((1 + i % 2, i // 20, i, draw.choice(["um", "a", "b", "!", "so"]), start, end, start + draw.choice([0.0, 0.0, 0.0, 50.0]), max(start, end)))
+    words = spark.createDataFrame(words, "video_id long, seg_idx int, word_idx int, word string, start double, end double, seg_start double, seg_end double")
+    spans = [(1 + i % 2, i, x, x + draw.choice([0.0, 5.0, 30.0, 45.0, 130.0, -4.0])) for i, x in enumerate(draw.randrange(0, 40) * 5.0 for _ in range(60))]
+    spans = spark.createDataFrame(spans, "video_id long, cand_idx int, start double, end double")
+    key = ["video_id", "cand_idx"]
+    inside = intervals.words_inside(pacing._tokens(words), spans).withColumnRenamed("word", "token")
+    want = pacing.measured(inside, spans.select(*key, (F.col("end") - F.col("start")).alias("duration")), key, ["start", "end", "seg_idx", "word_idx"])
+    got = rows(pacing.of_spans(words, spans, key), *key)
+    assert got == rows(want, *key) and max(r["word_count"] for r in got) > 50 and any(r["risks"] for r in got) and sum(r["repeated_word_count"] for r in got) > 20
+
+
+def test_words_of_spans_are_dealt_once(small):
+    """Words go through one shuffle, to where they meet their spans; behind it only sums do."""
+    plan = queries.pacing_windows(small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("last(_token") : plan.rindex("SortMergeJoin")]
