@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spanloom.sources.scratch import drop, save
+
 
 def _nullable(schema: StructType) -> str:
     """A schema as JSON with nulls allowed everywhere, as files are read."""
@@ -86,11 +88,12 @@ class Store:
     def upsert(self, rows: dict[str, DataFrame], key: list[str]) -> None:
         """Puts each table's ``rows`` (all of its columns) in place of its rows of the same ``key``, and adds the others; one switch for all.
 
-        Buckets that no row falls into keep their folders. Rows that repeat a key all stay; nulls in a key equal each other.
+        The rows are read three times, so they are made once and written. Buckets that no row falls into keep their folders. Rows that repeat a key all stay; nulls in a key equal each other.
         """
         tables = dict(self.tables())
         for name, new in rows.items():
             about = tables[name]
+            new = save(new, "upsert")
             bucket = F.pmod(F.xxhash64(about["key"]), F.lit(about["buckets"])).cast("int")
             touched = [str(r.b) for r in new.select(bucket.alias("b")).distinct().collect()]
             old = self._load(about, [about["folders"][b] for b in touched if b in about["folders"]])
@@ -98,6 +101,7 @@ class Store:
             kept = old.join(keys.hint("merge"), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key)), "left_anti")
             every = kept.unionByName(new.select(*old.columns))
             tables[name] = {**about, "folders": {**about["folders"], **self._stage(every, name, about["key"], about["buckets"])}}
+            drop(new)
         self._switch(tables)
 
     def clean(self, keep: int = 2) -> None:

@@ -169,3 +169,29 @@ def test_records_are_gathered_without_joins(small):
     parts = [jobs.buckets(r), jobs.removed(r), r.selected_pieces, r.timeline, r.best_hooks, r.voice_hooks]
     assert joins(jobs.clip_records(r)) <= sum(map(joins, parts))
     assert joins(jobs.audit(r, small.voices[0])) <= 1 + joins(small.voices[0]) + joins(jobs.clip_records(r)) + joins(r.pacing) + joins(r.variants)
+
+
+def test_many_transcripts_share_files(spark, small, tmp_path):
+    """A folder and a file for each of many videos take most of a job's time; both forms read alike."""
+    for name in ("in", "in.parquet"):
+        transcripts.write_transcripts(small.segments, small.words, f"{tmp_path}/{name}")
+    spark.createDataFrame([(-1, "no array"), (-2, "[]")], "video_id long, value string").write.mode("append").parquet(f"{tmp_path}/in.parquet")
+    plain, packed = (transcripts.read_transcripts(spark, f"{tmp_path}/{name}", "bigint") for name in ("in", "in.parquet"))
+    for a, b in zip(plain[:2], packed[:2], strict=True):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) != []
+    assert sorted(r.reason for r in packed[2].collect()) == ["empty transcript", "no JSON array"]
+    assert len(spark.read.parquet(f"{tmp_path}/in.parquet").inputFiles()) < small.segments.select("video_id").distinct().count() / 4
+
+
+def test_upserted_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    store = Store(spark, str(tmp_path))
+    store.publish(t=spark.range(100).selectExpr("id as video_id", "0 as x"))
+    store.upsert({"t": spark.range(50, 150, 1, 1).selectExpr("id as video_id", "1 as x").mapInArrow(counted, "video_id long, x int")}, ["video_id"])
+    assert made.value == 100 and {(r.video_id, r.x) for r in store.read("t").collect()} == {(i, int(i >= 50)) for i in range(150)}
